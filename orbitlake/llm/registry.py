@@ -4,15 +4,20 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from orbitlake.llm import decontamination, mixing, near_dedup, quality_rules, sharding
+from orbitlake.llm import decontamination, html_text, licenses, lm_scoring, mixing, near_dedup, quality_model, quality_rules, sharding, substring_dedup
 
 
 def queries() -> dict[str, Callable]:
     found = [
         mixing.op1_mixing,
+        quality_model.op2_quality_model,
+        licenses.op3_licenses,
         decontamination.op4_decontamination,
         near_dedup.op5_near_dedup,
+        lm_scoring.op6_lm_scoring,
         sharding.op7_sharding,
+        html_text.op8_html_text,
+        substring_dedup.op9_substring_dedup,
         quality_rules.op10_quality_rules,
     ]
     return {f.__name__: f for f in found}
