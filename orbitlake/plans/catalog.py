@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-MODULES: list = []
+from orbitlake.operators import evaluation, raster, text_search
+
+MODULES = [text_search, evaluation, raster]
 
 
 def queries() -> dict[str, Callable]:
