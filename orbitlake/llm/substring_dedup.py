@@ -1,12 +1,12 @@
 """Substring dedup by seed and extend.
 
-Seeds: of every SPAN words, the 5-word gram with the smallest hash is an anchor
+Seeds: of every SPAN words, the 7-word gram with the smallest hash is an anchor
 (winnowing, Schleimer et al. 2003). Which one that is depends on those SPAN words alone,
 so wherever a run of SPAN words occurs again, its anchor does too. Anchors are shuffled by hash;
 those of one document only are dropped.
 
 Extend: around the anchors that are left, matches are extended to both sides, at most
-SPAN - 5 words each way, by hashing the windows of SPAN words that chose the anchor; the
+SPAN - 7 words each way, by hashing the windows of SPAN words that chose the anchor; the
 smallest doc_id that holds a window is an aggregate over its hash. Windows found in a smaller
 document merge into maximal repeats, which go.
 
@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from orbitlake.llm.common import arrow_in_small_batches, cut, if_small, mix64, shared_folder, table
 
-SPAN, GRAM = 13, 5
+SPAN, GRAM = 13, 7
 
 
 def split(text: str | None) -> list[bytes]:
@@ -50,7 +50,7 @@ def hashes(words: list[bytes]) -> np.ndarray:
 
 
 def anchors(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes of all 5-grams, for every window the start of the gram it chooses: the first of the smallest)."""
+    """(hashes of all 7-word grams, for every window the start of the gram it chooses: the first of the smallest)."""
     g = _rolling(h, GRAM)
     n = len(h) - SPAN + 1
     if n <= 0:
@@ -119,6 +119,11 @@ def _delete(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(removed, pa.int64()), pa.array(kept, pa.string())], names=["doc_id", "n_removed", "kept"])
 
 
+def _asked(texts: DataFrame, ids: DataFrame) -> DataFrame:
+    """The packed texts of the documents in ``ids``; where these are few enough to be sent, no others are shuffled."""
+    return texts.select("doc_id", "packed").join(if_small(ids.select("doc_id"), 2_000_000), "doc_id", "left_semi")
+
+
 def dedup(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(rows, changed) for ``docs`` (doc_id, text).
 
@@ -146,12 +151,12 @@ def dedup(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     shared_ = seeds.withColumns({"lo": F.min("doc_id").over(at), "hi": F.max("doc_id").over(at)}).where("lo < hi")
     shared_ = shared_.groupBy("doc_id").agg(F.collect_list("seed").alias("seeds"))  # at most a document's own anchors
     shared_ = cut(shared_)
-    texts = once.select("doc_id", "packed").join(shared_, "doc_id").dropDuplicates(["doc_id"])
+    texts = _asked(once, shared_).join(shared_, "doc_id").dropDuplicates(["doc_id"])
     windows = texts.select("doc_id", "packed", "seeds").mapInArrow(_extend, "doc_id long, h array<long>, at array<int>")
     windows = windows.select("doc_id", F.explode(F.arrays_zip("h", "at")).alias("w")).select("doc_id", "w.h", "w.at")
     again = windows.withColumn("lo", F.min("doc_id").over(Window.partitionBy("h"))).where("lo < doc_id")
     again = cut(again.groupBy("doc_id").agg(F.collect_list("at").alias("starts")))  # at most a document's own windows
-    texts = once.select("doc_id", "packed").join(again, "doc_id").dropDuplicates(["doc_id"])
+    texts = _asked(once, again).join(again, "doc_id").dropDuplicates(["doc_id"])
     return rows, texts.select("doc_id", "packed", "starts").mapInArrow(_delete, "doc_id long, n_removed long, kept string")
 
 
