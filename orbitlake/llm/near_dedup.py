@@ -10,8 +10,13 @@ similarity 0.8 a pair meets with probability (1 - (1 - 0.8 ** 3) ** 12) ** 2 = 0
 Documents with equal shingle sets form a class that takes part once. Within a bucket
 the smallest class is linked to all others and each class to the next, never all to
 all; then, for buckets whose members still lie in different components, the pairs
-between components (only those can join anything) are listed. All candidates are
-confirmed on full shingle sets.
+between components (only those can join anything) are listed. Candidates are looked at
+through two small sketches first. An odd sketch (Mitzenmacher, Pagh and Pham, "Efficient
+estimation for high similarities using odd sketches", 2014) keeps the parity of 256 bins;
+bins that differ never outnumber the shingles that differ, so that it rules out no link.
+One bit of each of 256 one-permutation minhashes (Li, Owen and Zhang, "One permutation
+hashing", 2012) serves for long texts; it rules out a pair at the threshold about once in
+a million. All other pairs are confirmed on full shingle sets.
 """
 
 from __future__ import annotations
@@ -21,13 +26,15 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from orbitlake.llm.common import arrow_in_small_batches, cut, if_small, mix64, table
 from orbitlake.operators.graph import connected_components
 
 HALF, SKETCHES = 3, 12
+#: Longs that hold one bit for each of 256 bins.
+LONGS = 4
 
 
 def shingles(text: str | None, k: int) -> np.ndarray:
@@ -62,6 +69,37 @@ def sketches(sets: np.ndarray) -> np.ndarray:
     return out
 
 
+def glance(sets: np.ndarray) -> np.ndarray:
+    """LONGS longs with a bit of the smallest hash of each bin, LONGS that mark bins with a hash, LONGS with the parity of other bins, and the set's size."""
+    y = np.sort(mix64(sets ^ np.uint64(0x5851F42D4C957F2D)))
+    bins, at = np.unique((y >> np.uint64(56)).astype(np.int64), return_index=True)
+    bits = np.zeros((3, 64 * LONGS), bool)
+    bits[0, bins] = (y[at] & np.uint64(1)).astype(bool)
+    bits[1, bins] = True
+    other = ((y >> np.uint64(8)) & np.uint64(64 * LONGS - 1)).astype(np.int64)
+    bits[2] = np.bincount(other, minlength=64 * LONGS) % 2
+    return np.append(np.packbits(bits, axis=1, bitorder="little").view(np.int64).ravel(), len(sets))
+
+
+def _may_link(x: str, y: str, percent: int) -> Column:
+    """False if the glances in columns ``x`` and ``y`` show more differences than linked documents have.
+
+    Parities that differ are at most the shingles that differ. A bin with a hash in either
+    set differs at the rate of 1 - similarity, and shows it in its bit half of the time, so
+    that differing bits count twice; 5.5 deviations are granted.
+    """
+    x, y = F.col(x), F.col(y)
+    at = range(LONGS)
+    odd = sum(F.bit_count(x[2 * LONGS + i].bitwiseXOR(y[2 * LONGS + i])) for i in at)
+    marks = [(x[LONGS + i], y[LONGS + i]) for i in at]
+    either = sum(F.bit_count(p.bitwiseOR(q)) for p, q in marks)
+    one = sum(F.bit_count(p.bitwiseXOR(q)) for p, q in marks)
+    bits = sum(F.bit_count(x[i].bitwiseXOR(y[i]).bitwiseAND(p).bitwiseAND(q)) for i, (p, q) in zip(at, marks, strict=True))
+    far = 1 - percent / 100
+    alike = (100 + percent) * odd <= (100 - percent) * (x[3 * LONGS] + y[3 * LONGS])
+    return alike & (2 * bits + one <= far * either + 5.5 * F.sqrt((2 * far - far * far) * either) + 3)
+
+
 def _sketch(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -69,12 +107,12 @@ def _sketch(k: int):
             for text in batch.column(1):
                 x = shingles(text.as_py(), k)
                 both = sketches(x).view(np.int64) if len(x) else np.zeros(0, np.int64)
-                out.append((len(x), int(mix64(x).sum(dtype=np.uint64).astype(np.int64)), int(np.bitwise_xor.reduce(mix64(x + np.uint64(77))).astype(np.int64)), both[:SKETCHES], both[SKETCHES:]))
-            n, s1, s2, a, b = zip(*out, strict=True) if out else ([], [], [], [], [])
+                out.append((len(x), int(mix64(x).sum(dtype=np.uint64).astype(np.int64)), int(np.bitwise_xor.reduce(mix64(x + np.uint64(77))).astype(np.int64)), both[:SKETCHES], both[SKETCHES:], glance(x) if len(x) else both))
+            n, s1, s2, a, b, g = zip(*out, strict=True) if out else ([], [], [], [], [], [])
             longs = pa.list_(pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n, pa.int64()), pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), pa.array(list(a), longs), pa.array(list(b), longs)],
-                names=["doc_id", "n", "s1", "s2", "a", "b"],
+                [batch.column(0), pa.array(n, pa.int64()), pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), pa.array(list(a), longs), pa.array(list(b), longs), pa.array(list(g), longs)],
+                names=["doc_id", "n", "s1", "s2", "a", "b", "g"],
             )
 
     return run
@@ -119,9 +157,10 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     one document, whose smallest text counts where links are confirmed.
     """
     arrow_in_small_batches(docs.sparkSession)
-    found = cut(docs.select("doc_id", "text").mapInArrow(_sketch(k), "doc_id long, n long, s1 long, s2 long, a array<long>, b array<long>"))
-    kinds = found.where("n > 0").groupBy("n", "s1", "s2").agg(F.min(F.struct("doc_id", "a", "b")).alias("first"))
-    kinds = cut(kinds.select("n", "s1", "s2", F.col("first.doc_id").alias("rep"), F.col("first.a").alias("a"), F.col("first.b").alias("b")))
+    found = cut(docs.select("doc_id", "text").mapInArrow(_sketch(k), "doc_id long, n long, s1 long, s2 long, a array<long>, b array<long>, g array<long>"))
+    kinds = found.where("n > 0").groupBy("n", "s1", "s2").agg(F.min(F.struct("doc_id", "a", "b", "g")).alias("first"))
+    kinds = cut(kinds.select("n", "s1", "s2", F.col("first.doc_id").alias("rep"), F.col("first.a").alias("a"), F.col("first.b").alias("b"), F.col("first.g").alias("g")))
+    glances = kinds.select("rep", "g")
     halves = kinds.select("rep", "n", "b", F.posexplode("a").alias("i", "x"))
     keyed = halves.select("rep", "n", "i", "x", F.posexplode("b").alias("j", "y")).select(F.xxhash64("i", "x", "j", "y").alias("key"), "rep", "n")
     bucket = Window.partitionBy("key").orderBy("rep")
@@ -132,7 +171,9 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     near = cut(near.select("key", "rep", "n", "prior", "first", "members").where("members > 3 or prior is not null"))
     ends = near.where("prior is not null").select("rep", "n", F.explode(F.array_distinct(F.array("first", "prior"))).alias("other"))
     ratio = 100 * F.least(F.col("n"), F.col("other.n")) >= percent * F.greatest(F.col("n"), F.col("other.n"))
-    tried = cut(ends.where(ratio).select(F.col("other.rep").alias("a"), F.col("rep").alias("b")).where("a < b").distinct())
+    tried = ends.where(ratio).select(F.col("other.rep").alias("a"), F.col("rep").alias("b")).where("a < b").distinct()
+    tried = tried.join(glances.toDF("a", "x"), "a").join(glances.toDF("b", "y"), "b")
+    tried = cut(tried.where(_may_link("x", "y", percent)).select("a", "b"))
     links = cut(_links(tried, docs, k, percent))
     parts = cut(connected_components(links))
 
@@ -140,10 +181,11 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     open_ = near.where("members > 3").select("key", "rep", "n").join(if_small(parts.withColumnRenamed("node", "rep")), "rep", "left")
     open_ = open_.withColumn("part", F.coalesce("component", "rep")).drop("component")
     mixed = open_.groupBy("key").agg(F.min("part").alias("p"), F.max("part").alias("q")).where("p < q").select("key")
-    open_ = cut(open_.join(mixed, "key").select("key", "rep", "n", "part"))
+    open_ = cut(open_.join(mixed, "key").join(glances, "rep").select("key", "rep", "n", "part", "g"))
     l, r = open_.alias("l"), open_.alias("r")
     across = (F.col("l.key") == F.col("r.key")) & (F.col("l.rep") < F.col("r.rep")) & (F.col("l.part") != F.col("r.part"))
     across &= 100 * F.least("l.n", "r.n") >= percent * F.greatest("l.n", "r.n")
+    across &= _may_link("l.g", "r.g", percent)
     more = l.join(r, across).select(F.col("l.rep").alias("a"), F.col("r.rep").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
     more = cut(_links(more, docs, k, percent))
     if not more.isEmpty():
