@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from orbitlake.operators import evaluation, raster, text_search
+from orbitlake.operators import evaluation, raster, reports, splits, text_search, vectors
 
-MODULES = [text_search, evaluation, raster]
+MODULES = [text_search, evaluation, raster, vectors, splits, reports]
 
 
 def queries() -> dict[str, Callable]:
