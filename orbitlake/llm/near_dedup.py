@@ -162,13 +162,13 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     kinds = cut(kinds.select("n", "s1", "s2", F.col("first.doc_id").alias("rep"), F.col("first.a").alias("a"), F.col("first.b").alias("b"), F.col("first.g").alias("g")))
     glances = kinds.select("rep", "g")
     halves = kinds.select("rep", "n", "b", F.posexplode("a").alias("i", "x"))
-    keyed = halves.select("rep", "n", "i", "x", F.posexplode("b").alias("j", "y")).select(F.xxhash64("i", "x", "j", "y").alias("key"), "rep", "n")
+    keyed = halves.select("rep", "n", "i", "x", F.posexplode("b").alias("j", "y")).select(F.xxhash64("i", "x", "j", "y").alias("key"), "rep", "n", (F.col("i") * SKETCHES + F.col("j")).cast("short").alias("t"))
     bucket = Window.partitionBy("key").orderBy("rep")
     whole = bucket.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     prior = F.lag(F.struct("rep", "n")).over(bucket)
     first = F.first(F.struct("rep", "n")).over(bucket)
     near = keyed.withColumns({"prior": prior, "first": first, "members": F.count("*").over(whole)}).where("members > 1")
-    near = cut(near.select("key", "rep", "n", "prior", "first", "members").where("members > 3 or prior is not null"))
+    near = cut(near.select("key", "rep", "n", "t", "prior", "first", "members").where("members > 3 or prior is not null"))
     ends = near.where("prior is not null").select("rep", "n", F.explode(F.array_distinct(F.array("first", "prior"))).alias("other"))
     ratio = 100 * F.least(F.col("n"), F.col("other.n")) >= percent * F.greatest(F.col("n"), F.col("other.n"))
     tried = ends.where(ratio).select(F.col("other.rep").alias("a"), F.col("rep").alias("b")).where("a < b").distinct()
@@ -178,14 +178,17 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     parts = cut(connected_components(links))
 
     # buckets of four and more may hold pairs that neither the first nor a neighbour stood for
-    open_ = near.where("members > 3").select("key", "rep", "n").join(if_small(parts.withColumnRenamed("node", "rep")), "rep", "left")
+    open_ = near.where("members > 3").select("key", "rep", "n", "t").join(if_small(parts.withColumnRenamed("node", "rep")), "rep", "left")
     open_ = open_.withColumn("part", F.coalesce("component", "rep")).drop("component")
     mixed = open_.groupBy("key").agg(F.min("part").alias("p"), F.max("part").alias("q")).where("p < q").select("key")
-    open_ = cut(open_.join(mixed, "key").join(glances, "rep").select("key", "rep", "n", "part", "g"))
+    open_ = cut(open_.join(mixed, "key").join(kinds.select("rep", "a", "b", "g"), "rep").select("key", "rep", "n", "t", "part", "a", "b", "g"))
     l, r = open_.alias("l"), open_.alias("r")
     across = (F.col("l.key") == F.col("r.key")) & (F.col("l.rep") < F.col("r.rep")) & (F.col("l.part") != F.col("r.part"))
     across &= 100 * F.least("l.n", "r.n") >= percent * F.greatest("l.n", "r.n")
     across &= _may_link("l.g", "r.g", percent)
+    for m in range(SKETCHES - 1):  # a pair comes from the first of the tables in which it meets
+        across &= ~((F.col("l.t") >= SKETCHES * (m + 1)) & (F.col("l.a")[m] == F.col("r.a")[m]))
+        across &= ~((F.col("l.t") % SKETCHES > m) & (F.col("l.b")[m] == F.col("r.b")[m]))
     more = l.join(r, across).select(F.col("l.rep").alias("a"), F.col("r.rep").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
     more = cut(_links(more, docs, k, percent))
     if not more.isEmpty():
