@@ -186,9 +186,9 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     across = (F.col("l.key") == F.col("r.key")) & (F.col("l.rep") < F.col("r.rep")) & (F.col("l.part") != F.col("r.part"))
     across &= 100 * F.least("l.n", "r.n") >= percent * F.greatest("l.n", "r.n")
     across &= _may_link("l.g", "r.g", percent)
-    for m in range(SKETCHES - 1):  # a pair comes from the first of the tables in which it meets
-        across &= ~((F.col("l.t") >= SKETCHES * (m + 1)) & (F.col("l.a")[m] == F.col("r.a")[m]))
-        across &= ~((F.col("l.t") % SKETCHES > m) & (F.col("l.b")[m] == F.col("r.b")[m]))
+    for half, at in (("a", F.floor(F.col("l.t") / SKETCHES)), ("b", F.col("l.t") % SKETCHES)):  # a pair comes from the first of the tables in which it meets
+        equal = F.zip_with(f"l.{half}", f"r.{half}", lambda x, y: x == y)
+        across &= F.array_position(equal, True) == at + 1
     more = l.join(r, across).select(F.col("l.rep").alias("a"), F.col("r.rep").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
     more = cut(_links(more, docs, k, percent))
     if not more.isEmpty():
