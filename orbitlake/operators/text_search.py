@@ -42,7 +42,8 @@ def weight(tf: Column, dl: Column) -> Column:
 def bm25(queries: DataFrame, indexed: DataFrame) -> DataFrame:
     """(query, doc, score) of (query, text) against an index; pairs without a common term are left out (score 0)."""
     terms = queries.select("query", F.explode(tokenize(F.col("text"))).alias("term")).groupBy("query", "term").agg(F.count("*").alias("qtf"))
-    return terms.join(indexed, "term").groupBy("query", "doc").agg(F.round(F.sum(F.col("qtf") * weight(F.col("tf"), F.col("dl"))), 9).alias("score"))
+    weighted = indexed.select("term", "doc", weight(F.col("tf"), F.col("dl")).alias("w"))
+    return terms.join(weighted, "term").groupBy("query", "doc").agg(F.round(F.sum(F.col("qtf") * F.col("w")), 9).alias("score"))
 
 
 def image_docs(caps: DataFrame) -> DataFrame:
