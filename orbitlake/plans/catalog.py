@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from orbitlake.operators import evaluation, raster, reports, splits, text_search, vectors
+from orbitlake.operators import evaluation, raster, reports, scenes, splits, text_search, vectors
 
-MODULES = [text_search, evaluation, raster, vectors, splits, reports]
+MODULES = [text_search, evaluation, raster, vectors, splits, reports, scenes]
 
 
 def queries() -> dict[str, Callable]:

@@ -26,13 +26,25 @@ def test_leave_one_out(spark):
     assert found["1_cap0"] == (0.0, 1) and found["2_cap0"][0] > 0
 
 
-@pytest.mark.parametrize("name", ["h6_bm25_leave_one_out_metrics", "d8_calibrated", "d17_wilcoxon", "l1_morphology", "j18_quality_gate"])
+@pytest.mark.parametrize("name", ["h6_bm25_leave_one_out_metrics", "d8_calibrated", "d17_wilcoxon", "l1_morphology", "j18_quality_gate", "b2_categories", "c2_pair_completeness", "d9_otsu", "d28_gamma_sweep", "j9_shift", "k2_padded_patches", "m3_estimate_shift"])
 def test_same_as_sql(spark, name):
     con = duckdb.connect()
-    for t in ("conversations", "lineitem", "part", "documents"):
+    for t in ("conversations", "lineitem", "part", "documents", "labels", "embeddings"):
         con.sql(f"CREATE VIEW {t} AS FROM '{SF}/{t}.parquet'")
     df = entry.queries()[name](spark, SF)
     cols = sorted(df.columns)
     rows = con.sql(f"SELECT {', '.join(cols)} FROM ({entry.oracle_sql()[name]})").fetchall()
     key = lambda r: str([float(x) if isinstance(x, (int, float)) else x for x in r])
     assert sorted(map(key, rows)) == sorted(key(r) for r in df.select(*cols).collect())
+
+
+def test_shifts_are_found(spark):
+    found = entry.queries()["m3_estimate_shift"](spark, SF).collect()
+    assert found and all((r["dy"], r["dx"], r["err"]) == (r["scene_id"] % 3 - 1, r["scene_id"] % 2, 0.0) for r in found)
+
+
+def test_border_weights():
+    from orbitlake.operators.scenes import gaussian
+
+    w = gaussian(2)
+    assert len(w) == 9 and abs(w[0] + 2 * sum(w[1:]) - 1) < 1e-12
