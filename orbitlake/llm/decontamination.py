@@ -10,8 +10,9 @@ benchmark's slots is replaced by the same value throughout. Windows are hashed t
 they hold a name, with it and with the placeholder, as upper-case and lower-case copies
 have no names to find.
 
-A document is contaminated by an item if a consistent diagonal covers 13 of the
-item's tokens or half of them. Items shorter than WINDOW tokens cannot be found.
+A document is contaminated by an item if, on one diagonal, 13 of the item's tokens or
+half of them are covered by windows that are literally equal, or by a run of successive
+windows whose filling is consistent; what else the diagonal holds does not matter. Items shorter than WINDOW tokens cannot be found.
 """
 
 from __future__ import annotations
@@ -86,6 +87,36 @@ def _items(benchmark: DataFrame) -> DataFrame:
     return fixed(benchmark.where("item_id is not null").select("item_id", "text"), tok=tokens(F.col("text"))).drop("text")
 
 
+def _covered(at: Column) -> Column:
+    """Number of tokens that windows at the sorted places ``at`` cover."""
+    first = F.struct(F.lit(-WINDOW).alias("last"), F.lit(0).alias("n"))
+    return F.aggregate(at, first, lambda a, x: F.struct(x.alias("last"), (a["n"] + F.least(F.lit(WINDOW), x - a["last"])).alias("n")))["n"]
+
+
+def _holds(slots: Column, j: Column) -> Column:
+    """Whether the window at ``j`` holds one of ``slots``."""
+    return F.exists(slots, lambda s: s["j"].between(j, j + WINDOW - 1))
+
+
+def _clashes(slots: Column) -> Column:
+    """(p, q) for each slot q whose value has another filling at an earlier slot; p is the last such slot."""
+
+    def last(q: Column) -> Column:
+        return F.array_max(F.transform(F.filter(slots, lambda p: (p["j"] < q["j"]) & (p["was"] == q["was"]) & ~p["is"].eqNullSafe(q["is"])), lambda p: p["j"]))
+
+    return F.filter(F.transform(slots, lambda q: F.struct(last(q).alias("p"), q["j"].alias("q"))), lambda c: c["p"].isNotNull())
+
+
+def _consistent_runs(at: Column, clashes: Column) -> Column:
+    """The longest runs of successive windows that hold no clash; all of ``at`` if there is none.
+
+    A run begins behind the earlier slot of a clash, and ends before the first window that
+    completes a clash within the run.
+    """
+    begins = F.array_distinct(F.concat(F.array(F.lit(0)), F.transform(clashes, lambda c: c["p"] + 1)))
+    return F.transform(begins, lambda b: F.filter(at, lambda j: (j >= b) & ~F.exists(clashes, lambda c: (c["p"] >= b) & (c["q"] < j + WINDOW))))
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, item_id, start, covered, item_tokens, refilled) for every contaminated document and item.
 
@@ -101,11 +132,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     rows = fixed(docs.select("doc_id", "text"), tok=tokens(F.col("text"))).drop("text")
     hits = windows(rows, "doc_id", starts).join(if_small(asked.drop("p"), 2_000_000), "h").select("doc_id", "item_id", (F.col("i") - F.col("j")).alias("start"), "j")
     runs = hits.groupBy("doc_id", "item_id", "start").agg(F.sort_array(F.collect_set("j")).alias("at"))  # at most an item's tokens
-    first = F.struct(F.lit(-WINDOW).alias("last"), F.lit(0).alias("n"))
-    covered = F.aggregate("at", first, lambda a, x: F.struct(x.alias("last"), (a["n"] + F.least(F.lit(WINDOW), x - a["last"])).alias("n")))["n"]
     sizes = items.select("item_id", F.size("tok").alias("item_tokens"))
     enough = F.col("covered") >= F.least(F.lit(ENOUGH), F.ceil(F.col("item_tokens") / 2))
-    runs = cut(runs.withColumn("covered", covered).join(if_small(sizes), "item_id").where(enough))
+    runs = cut(runs.withColumn("covered", _covered(F.col("at"))).join(if_small(sizes), "item_id").where(enough))
 
     # what the slots hold, in the documents that are still in question
     ids = runs.select("doc_id").distinct()
@@ -114,13 +143,16 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     items = items.select("item_id", F.col("tok").alias("item_tok"))
     both = runs.join(if_small(items, 20_000), "item_id").join(texts, "doc_id")
     seen = F.array_distinct(F.flatten(F.transform("at", lambda j: F.sequence(j, j + WINDOW - 1))))
-    pair = F.transform(seen, lambda j: F.struct(F.get("item_tok", j).alias("was"), F.get("tok", F.col("start") + j).alias("is")))
+    pair = F.transform(seen, lambda j: F.struct(j.alias("j"), F.get("item_tok", j).alias("was"), F.get("tok", F.col("start") + j).alias("is")))
     slots = F.filter(pair, lambda p: (p["was"] < "\u0002") | _number(p["was"]) | p["was"].isin(UNITS))
-    same = F.transform(slots, lambda p: F.struct(F.ltrim(p["was"], F.lit(NAME)).alias("was"), F.ltrim(p["is"], F.lit(NAME)).alias("is")))
-    both = both.withColumn("slots", F.array_distinct(same))
-    consistent = F.size("slots") == F.size(F.array_distinct(F.transform("slots", lambda p: p["was"])))
-    refilled = F.exists("slots", lambda p: p["was"] != p["is"])
-    found = both.where(consistent).withColumn("refilled", refilled)
+    same = F.transform(slots, lambda p: F.struct(p["j"].alias("j"), F.ltrim(p["was"], F.lit(NAME)).alias("was"), F.ltrim(p["is"], F.lit(NAME)).alias("is")))
+    both = fixed(both, slots=same).drop("item_tok", "tok")
+    both = fixed(both, clashes=_clashes(F.col("slots")), other=F.filter("slots", lambda p: ~p["was"].eqNullSafe(p["is"])))
+    both = fixed(both, runs=_consistent_runs(F.col("at"), F.col("clashes")), verbatim=F.filter("at", lambda j: ~_holds(F.col("other"), j)))
+    judged = F.transform("runs", lambda run: F.struct(_covered(run).alias("covered"), (~F.exists(run, lambda j: _holds(F.col("other"), j))).alias("exact")))
+    judged = F.concat(judged, F.array(F.struct(_covered(F.col("verbatim")).alias("covered"), F.lit(True).alias("exact"))))
+    both = fixed(both, judged=F.array_max(judged)).withColumns({"covered": F.col("judged.covered"), "refilled": ~F.col("judged.exact")})
+    found = both.where(enough)
     best = F.min(F.struct(-F.col("covered"), "refilled", "start", "item_tokens")).alias("best")
     found = found.groupBy("doc_id", "item_id").agg(F.max("covered").alias("covered"), best)
     return found.select("doc_id", "item_id", F.col("best.start").alias("start"), "covered", F.col("best.item_tokens").alias("item_tokens"), F.col("best.refilled").alias("refilled"))
