@@ -8,11 +8,13 @@ hashes are joined with those of the benchmark; windows that meet on one diagonal
 placeholders stand for is compared: a filling is consistent if each value of the
 benchmark's slots is replaced by the same value throughout. Windows are hashed twice if
 they hold a name, with it and with the placeholder, as upper-case and lower-case copies
-have no names to find.
+have no names to find. A window with fewer than LITERALS tokens besides placeholders would
+meet far too much; it is hashed as it stands, numbers and names included, and so are items
+shorter than WINDOW tokens, as a whole.
 
 A document is contaminated by an item if, on one diagonal, 13 of the item's tokens or
 half of them are covered by windows that are literally equal, or by a run of successive
-windows whose filling is consistent; what else the diagonal holds does not matter. Items shorter than WINDOW tokens cannot be found.
+windows whose filling is consistent; what else the diagonal holds does not matter.
 """
 
 from __future__ import annotations
@@ -65,14 +67,18 @@ def _hashes(canon: Column, at: Column) -> Column:
     return F.transform(at, lambda i: F.struct(F.xxhash64(F.slice(canon, i + 1, WINDOW)).alias("h"), i.alias("i"), _pair(canon, i).alias("p")))
 
 
-def windows(rows: DataFrame, key: str, starts: list[int] | None = None) -> DataFrame:
+def windows(rows: DataFrame, key: str, starts: list[int] | None = None, exact: dict[int, list[int] | None] | None = None) -> DataFrame:
     """(key, h, i, p) of every window of ``rows`` (key, tok), in both forms; p is the hash of its first two tokens.
 
-    With ``starts``, of those windows only whose p is among them.
+    With ``starts``, of those windows only whose p is among them. ``exact`` adds windows of
+    tokens as they stand: it gives their lengths, and for each the p that they begin with, or
+    None for any.
     """
-    rows = fixed(rows.where(F.size("tok") >= WINDOW), plain=typed(F.col("tok"), False), named=F.exists("tok", lambda x: x < "\u0002"))
+    exact = exact or {}
+    rows = rows.where(F.size("tok") >= min([WINDOW, *exact]))
+    rows = fixed(rows, plain=typed(F.col("tok"), False), named=F.exists("tok", lambda x: x < "\u0002"))
     rows = fixed(rows, filled=F.when(F.col("named"), typed(F.col("tok"), True)))
-    at = F.sequence(F.lit(0), F.size("tok") - WINDOW)
+    at = _places(WINDOW)
 
     def begun(canon: Column) -> Column:
         return at if starts is None else F.filter(at, lambda i: _pair(canon, i).isin(starts))
@@ -80,7 +86,48 @@ def windows(rows: DataFrame, key: str, starts: list[int] | None = None) -> DataF
     with_name = F.filter(begun(F.col("filled")), lambda i: F.exists(F.slice(F.col("tok"), i + 1, WINDOW), lambda x: x < "\u0002"))
     rows = fixed(rows, at=begun(F.col("plain")), at2=F.when(F.col("named"), with_name))
     second = F.when(F.col("named"), _hashes(F.col("filled"), F.col("at2"))).otherwise(F.array())
-    return rows.select(key, F.explode(F.concat(_hashes(F.col("plain"), F.col("at")), second)).alias("w")).select(key, "w.h", "w.i", "w.p")
+    forms = [_hashes(F.col("plain"), F.col("at")), second]
+    if exact:
+        rows = fixed(rows, bare=bare(F.col("tok")))
+        rows = fixed(rows, **{f"at_{n}": _begun_exactly(F.col("bare"), n, begins) for n, begins in exact.items()})
+        forms += [_exact(F.col("bare"), F.col(f"at_{n}"), n) for n in exact]
+    return rows.select(key, F.explode(F.concat(*forms)).alias("w")).select(key, "w.h", "w.i", "w.p")
+
+
+def _places(n: int) -> Column:
+    """Places of the windows of ``n`` tokens in tok."""
+    return F.when(F.size("tok") >= n, F.sequence(F.lit(0), F.size("tok") - n)).otherwise(F.array().cast("array<int>"))
+
+
+def bare(tok: Column) -> Column:
+    """``tok`` as it stands in the text, in lower case."""
+    return F.transform(tok, lambda x: F.ltrim(x, F.lit(NAME)))
+
+
+def _start(tok: Column, i: Column, n: int) -> Column:
+    return F.xxhash64(F.get(tok, i)) if n == 1 else _pair(tok, i)
+
+
+def _begun_exactly(tok: Column, n: int, begins: list[int] | None) -> Column:
+    return _places(n) if begins is None else F.filter(_places(n), lambda i: _start(tok, i, n).isin(begins))
+
+
+def _exact(tok: Column, at: Column, n: int) -> Column:
+    return F.transform(at, lambda i: F.struct(F.xxhash64(F.slice(tok, i + 1, n)).alias("h"), i.alias("i"), _start(tok, i, n).alias("p")))
+
+
+def _asked_exactly(items: DataFrame, literal: Column) -> DataFrame:
+    """(n, h, item_id, j, p) of what placeholders cannot find: windows of ``items`` with too few literal tokens, and whole short items."""
+    rows = fixed(items.where("size(tok) > 0"), bare=bare(F.col("tok")), n=F.least(F.lit(WINDOW), F.size("tok")))
+    rows = rows.select("item_id", "tok", "bare", "n", F.explode(F.sequence(F.lit(0), F.size("tok") - F.col("n"))).alias("i"))
+    rows = rows.where((F.col("n") < WINDOW) | ~literal)
+    p = F.when(F.col("n") == 1, _start(F.col("bare"), F.col("i"), 1)).otherwise(_start(F.col("bare"), F.col("i"), 2))
+    return rows.select("n", F.xxhash64(F.slice("bare", F.col("i") + 1, F.col("n"))).alias("h"), "item_id", F.col("i").alias("j"), p.alias("p"))
+
+
+def _begins(asked: DataFrame) -> list[int] | None:
+    found = asked.select("p").distinct().limit(STARTS + 1).collect()
+    return [r["p"] for r in found] if len(found) <= STARTS else None
 
 
 def _items(benchmark: DataFrame) -> DataFrame:
@@ -88,9 +135,10 @@ def _items(benchmark: DataFrame) -> DataFrame:
 
 
 def _covered(at: Column) -> Column:
-    """Number of tokens that windows at the sorted places ``at`` cover."""
+    """Number of item_tokens that windows at the sorted places ``at`` cover; a shorter item is one window."""
     first = F.struct(F.lit(-WINDOW).alias("last"), F.lit(0).alias("n"))
-    return F.aggregate(at, first, lambda a, x: F.struct(x.alias("last"), (a["n"] + F.least(F.lit(WINDOW), x - a["last"])).alias("n")))["n"]
+    n = F.aggregate(at, first, lambda a, x: F.struct(x.alias("last"), (a["n"] + F.least(F.lit(WINDOW), x - a["last"])).alias("n")))["n"]
+    return F.least(n, F.col("item_tokens"))
 
 
 def _holds(slots: Column, j: Column) -> Column:
@@ -127,14 +175,16 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     items = cut(_items(benchmark))
     literal = F.size(F.filter(F.slice(typed(F.col("tok"), True), F.col("i") + 1, WINDOW), lambda x: ~x.startswith("<"))) >= LITERALS
     asked = cut(windows(items, "item_id").join(items, "item_id").where(literal).select("h", "item_id", F.col("i").alias("j"), "p").distinct())
-    pairs = asked.select("p").distinct().limit(STARTS + 1).collect()
-    starts = [r["p"] for r in pairs] if len(pairs) <= STARTS else None
+    starts = _begins(asked)
+    bare_asked = cut(_asked_exactly(items, literal))
+    exact = {n: _begins(bare_asked.where(F.col("n") == n)) for n in sorted(r["n"] for r in bare_asked.select("n").distinct().collect())}
+    asked = asked.select("h", "item_id", "j").union(bare_asked.select("h", "item_id", "j")).distinct()
     rows = fixed(docs.select("doc_id", "text"), tok=tokens(F.col("text"))).drop("text")
-    hits = windows(rows, "doc_id", starts).join(if_small(asked.drop("p"), 2_000_000), "h").select("doc_id", "item_id", (F.col("i") - F.col("j")).alias("start"), "j")
+    hits = windows(rows, "doc_id", starts, exact).join(if_small(asked, 2_000_000), "h").select("doc_id", "item_id", (F.col("i") - F.col("j")).alias("start"), "j")
     runs = hits.groupBy("doc_id", "item_id", "start").agg(F.sort_array(F.collect_set("j")).alias("at"))  # at most an item's tokens
     sizes = items.select("item_id", F.size("tok").alias("item_tokens"))
     enough = F.col("covered") >= F.least(F.lit(ENOUGH), F.ceil(F.col("item_tokens") / 2))
-    runs = cut(runs.withColumn("covered", _covered(F.col("at"))).join(if_small(sizes), "item_id").where(enough))
+    runs = cut(runs.join(if_small(sizes), "item_id").withColumn("covered", _covered(F.col("at"))).where(enough))
 
     # what the slots hold, in the documents that are still in question
     ids = runs.select("doc_id").distinct()
@@ -142,7 +192,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     texts = fixed(texts, tok=tokens(F.col("text"))).drop("text")
     items = items.select("item_id", F.col("tok").alias("item_tok"))
     both = runs.join(if_small(items, 20_000), "item_id").join(texts, "doc_id")
-    seen = F.array_distinct(F.flatten(F.transform("at", lambda j: F.sequence(j, j + WINDOW - 1))))
+    seen = F.array_distinct(F.flatten(F.transform("at", lambda j: F.sequence(j, F.least(j + WINDOW, F.col("item_tokens")) - 1))))
     pair = F.transform(seen, lambda j: F.struct(j.alias("j"), F.get("item_tok", j).alias("was"), F.get("tok", F.col("start") + j).alias("is")))
     slots = F.filter(pair, lambda p: (p["was"] < "\u0002") | _number(p["was"]) | p["was"].isin(UNITS))
     same = F.transform(slots, lambda p: F.struct(p["j"].alias("j"), F.ltrim(p["was"], F.lit(NAME)).alias("was"), F.ltrim(p["is"], F.lit(NAME)).alias("is")))

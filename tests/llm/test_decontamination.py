@@ -21,3 +21,14 @@ def test_a_clash_voids_its_own_windows_only(spark):
     scattered = long.replace("pens to the boy near door 12", "pens to the boy near door 13").replace("then 12", "then 14").replace("gate 12", "gate 15")
     hits = found(spark, [f"before {verbatim} after", f"before {refilled} after", scattered], [ITEM, long])
     assert hits == {(0, 0): (19, False), (1, 0): (21, True)}
+
+
+def test_items_without_literal_windows(spark):
+    sums = "12 + 30 = 42 km, 15 + 18 = 33 km, 70 - 21 = 49 kg and 9 x 9 = 81"
+    people = "present were Anna Berg, Carl Dahl, Emma Falk, Gus Holm, Ida Jung, Kai Lund and Mia Nord"
+    short = ["Who wrote Faust?", "Zwölf"]
+    docs = [f"see {sums} there", f"so {people} too", people.upper(), "then who wrote faust and why", "who wrote the Faust", "zwölf", sums.replace("42", "43").replace("33", "34").replace("49", "50").replace("81", "82")]
+    hits = found(spark, docs, [sums, people, *short])
+    assert set(hits) == {(0, 0), (1, 1), (2, 1), (3, 2), (5, 3)}
+    assert not any(refilled for _, refilled in hits.values()) and hits[3, 2] == (3, False) and hits[5, 3] == (1, False)
+    assert hits[0, 0][0] == 17 and hits[2, 1][0] == 17
