@@ -154,11 +154,12 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     Documents are linked if ``100 * |both| >= percent * |either|`` over their sets of k-word
     shingles in lower case (A-Z); component_id is the smallest doc_id reachable. A null or
     blank text has an empty set and is linked with nothing. Rows that repeat a doc_id are
-    one document, whose smallest text counts where links are confirmed.
+    one document, whose smallest text counts where links are confirmed. A row without a
+    doc_id links nothing: its component_id is that of rows with the same set that have one, else null.
     """
     arrow_in_small_batches(docs.sparkSession)
     found = cut(docs.select("doc_id", "text").mapInArrow(_sketch(k), "doc_id long, n long, s1 long, s2 long, a array<long>, b array<long>, g array<long>"))
-    kinds = found.where("n > 0").groupBy("n", "s1", "s2").agg(F.min(F.struct("doc_id", "a", "b", "g")).alias("first"))
+    kinds = found.where("n > 0 and doc_id is not null").groupBy("n", "s1", "s2").agg(F.min(F.struct("doc_id", "a", "b", "g")).alias("first"))
     kinds = cut(kinds.select("n", "s1", "s2", F.col("first.doc_id").alias("rep"), F.col("first.a").alias("a"), F.col("first.b").alias("b"), F.col("first.g").alias("g")))
     glances = kinds.select("rep", "g")
     halves = kinds.select("rep", "n", "b", F.posexplode("a").alias("i", "x"))
