@@ -2,8 +2,9 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written and read
 again as the next stage's ``docs``. Near-duplicates are judged by 5-word shingles at 0.8.
-SQL cannot express the stages (EM, Newton steps, minhash tables), so ORACLE_SQL is None;
-tests/llm holds brute-force versions.
+SQL cannot express the stages (EM, Newton steps, minhash tables), so ORACLE_SQL is None.
+tests/llm holds near-duplicates and the quality rules' statistics against brute force, and
+cases or laws of the other stages; nothing there computes the pipeline as a whole.
 """
 
 from __future__ import annotations
