@@ -25,11 +25,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from orbitlake.llm.common import arrow_in_small_batches, cut, if_small, mix64, table
+from orbitlake.llm.common import WordHashes, arrow_in_small_batches, cut, if_small, mix64, table
 from orbitlake.operators.graph import connected_components
 
 HALF, SKETCHES = 3, 12
@@ -37,48 +36,73 @@ HALF, SKETCHES = 3, 12
 LONGS = 4
 
 
-def shingles(text: str | None, k: int) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the k-word shingles; of all words if there are fewer; none without words."""
-    w = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not w:
-        return np.zeros(0, np.uint64)
-    h = np.fromiter(map(xxhash.xxh3_64_intdigest, w), np.uint64, len(w))
-    k = min(k, len(w))
-    s = np.zeros(len(h) - k + 1, np.uint64)
+def shingle_sets(texts: pa.Array, k: int, read: WordHashes) -> list[np.ndarray]:
+    """For each text the sorted distinct hashes of its k-word shingles; of all words if there are fewer; none without words."""
+    h, at = read(texts)
+    n = np.diff(at)
+    s = np.zeros(len(h), np.uint64)
     for i in range(k):
-        s = mix64(s + h[i : i + len(s)] * np.uint64(2 * i + 0x9E3779B97F4A7C15))
-    return np.unique(s + np.uint64(k))
-
-
-def sketches(sets: np.ndarray) -> np.ndarray:
-    """2 * SKETCHES hashes, each of HALF minhashes of a set."""
+        s[: len(h) - i] = mix64(s[: len(h) - i] + h[i:] * np.uint64(2 * i + 0x9E3779B97F4A7C15))
+    s += np.uint64(k)
+    sets = []
+    for a, m in zip(at.tolist(), n.tolist()):
+        if m >= k:
+            x = s[a : a + m - k + 1]
+        else:
+            x = mix64(np.array([int((h[a : a + m] * np.arange(1, 2 * m, 2, dtype=np.uint64)).sum()) + m & (1 << 64) - 1] * (m > 0), np.uint64))
+        x = np.sort(x)
+        sets.append(x[np.append(True, x[1:] != x[:-1])] if len(x) else x)
+    return sets
+
+
+def _multipliers() -> np.ndarray:
+    """Two odd 32-bit multipliers for each minhash."""
     n = 2 * SKETCHES * HALF
-    rng = np.random.default_rng(20240229)
-    a = rng.integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-    low = np.full(n, np.iinfo(np.uint64).max, np.uint64)
-    for i in range(0, len(sets), 4096):
-        x = sets[i : i + 4096]
-        for j in range(n):
-            y = x * a[j]
-            y ^= y >> np.uint64(29)
-            low[j] = min(low[j], (y * a[n - 1 - j]).min())
-    low = low.reshape(-1, HALF)
-    out = np.zeros(len(low), np.uint64)
+    return np.random.default_rng(20240229).integers(0, 1 << 31, (2, n), dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+
+
+def sketches(flat: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """For sets laid end to end, none empty: 2 * SKETCHES hashes a set, each of HALF minhashes."""
+    a, b = _multipliers()
+    x = (flat ^ (flat >> np.uint64(32))).astype(np.uint32)
+    y, z = np.empty_like(x), np.empty_like(x)
+    low = np.empty((len(a), len(starts)), np.uint32)
+    for j in range(len(a)):
+        np.multiply(x, a[j], out=y)
+        np.right_shift(y, np.uint32(15), out=z)
+        np.bitwise_xor(y, z, out=y)
+        np.multiply(y, b[j], out=y)
+        low[j] = np.minimum.reduceat(y, starts)
+    low = low.T.reshape(len(starts), -1, HALF).astype(np.uint64)
+    out = np.zeros(low.shape[:2], np.uint64)
     for i in range(HALF):
-        out = mix64(out * np.uint64(31) + low[:, i])
+        out = mix64(out * np.uint64(31) + low[:, :, i])
     return out
 
 
+def _runs(sizes: list[int], most: int = 24_576) -> Iterator[tuple[int, int]]:
+    """(first, end) of neighbouring sets, ``most`` hashes or one set at a time, which keeps arrays in the cache."""
+    first, held = 0, 0
+    for i, n in enumerate(sizes):
+        if held and held + n > most:
+            yield first, i
+            first, held = i, 0
+        held += n
+    if sizes:
+        yield first, len(sizes)
+
+
 def glance(sets: np.ndarray) -> np.ndarray:
     """LONGS longs with a bit of the smallest hash of each bin, LONGS that mark bins with a hash, LONGS with the parity of other bins, and the set's size."""
     y = np.sort(mix64(sets ^ np.uint64(0x5851F42D4C957F2D)))
-    bins, at = np.unique((y >> np.uint64(56)).astype(np.int64), return_index=True)
+    top = (y >> np.uint64(56)).astype(np.uint8)
+    at = np.flatnonzero(np.append(True, top[1:] != top[:-1]))
     bits = np.zeros((3, 64 * LONGS), bool)
-    bits[0, bins] = (y[at] & np.uint64(1)).astype(bool)
-    bits[1, bins] = True
+    bits[0, top[at]] = (y[at] & np.uint64(1)).astype(bool)
+    bits[1, top[at]] = True
     other = ((y >> np.uint64(8)) & np.uint64(64 * LONGS - 1)).astype(np.int64)
-    bits[2] = np.bincount(other, minlength=64 * LONGS) % 2
-    return np.append(np.packbits(bits, axis=1, bitorder="little").view(np.int64).ravel(), len(sets))
+    bits[2] = np.bincount(other, minlength=64 * LONGS) & 1
+    return np.concatenate((np.packbits(bits, axis=1, bitorder="little").view(np.int64).ravel(), [len(sets)]))
 
 
 def _may_link(x: str, y: str, percent: int) -> Column:
@@ -102,16 +126,23 @@ def _may_link(x: str, y: str, percent: int) -> Column:
 
 def _sketch(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        longs, read = pa.list_(pa.int64()), WordHashes(lower=True)
         for batch in batches:
-            out = []
-            for text in batch.column(1):
-                x = shingles(text.as_py(), k)
-                both = sketches(x).view(np.int64) if len(x) else np.zeros(0, np.int64)
-                out.append((len(x), int(mix64(x).sum(dtype=np.uint64).astype(np.int64)), int(np.bitwise_xor.reduce(mix64(x + np.uint64(77))).astype(np.int64)), both[:SKETCHES], both[SKETCHES:], glance(x) if len(x) else both))
-            n, s1, s2, a, b, g = zip(*out, strict=True) if out else ([], [], [], [], [], [])
-            longs = pa.list_(pa.int64())
+            sets = shingle_sets(batch.column(1), k, read)
+            full = [i for i, x in enumerate(sets) if len(x)]
+            s1, s2 = np.zeros(len(sets), np.uint64), np.zeros(len(sets), np.uint64)
+            none: np.ndarray = np.zeros(0, np.int64)
+            a, b, g = ([none] * len(sets) for _ in range(3))
+            for first, end in _runs([len(sets[i]) for i in full]):
+                at = full[first:end]
+                flat = np.concatenate([sets[i] for i in at])
+                starts = np.cumsum([0, *[len(sets[i]) for i in at[:-1]]])
+                s1[at] = np.add.reduceat(mix64(flat), starts)
+                s2[at] = np.bitwise_xor.reduceat(mix64(flat + np.uint64(77)), starts)
+                for i, both in zip(at, sketches(flat, starts).view(np.int64), strict=True):
+                    a[i], b[i], g[i] = both[:SKETCHES], both[SKETCHES:], glance(sets[i])
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n, pa.int64()), pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), pa.array(list(a), longs), pa.array(list(b), longs), pa.array(list(g), longs)],
+                [batch.column(0), pa.array([len(x) for x in sets], pa.int64()), pa.array(s1.view(np.int64)), pa.array(s2.view(np.int64)), pa.array(a, longs), pa.array(b, longs), pa.array(g, longs)],
                 names=["doc_id", "n", "s1", "s2", "a", "b", "g"],
             )
 
@@ -120,14 +151,11 @@ def _sketch(k: int):
 
 def _confirm(k: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, left = None, None
+        read = WordHashes(lower=True)
         for batch in batches:
             yes = []
-            for a, x, y in zip(batch.column(0).to_pylist(), batch.column(2), batch.column(3), strict=True):
-                if a != last:
-                    last, left = a, shingles(x.as_py(), k)
-                right = shingles(y.as_py(), k)
-                both = len(np.intersect1d(left, right, assume_unique=True))
+            for left, right in zip(shingle_sets(batch.column(2), k, read), shingle_sets(batch.column(3), k, read), strict=True):
+                both = len(left) + len(right) - len(np.union1d(left, right))
                 yes.append(100 * both >= percent * (len(left) + len(right) - both))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(yes, pa.bool_()))
 
@@ -216,6 +244,6 @@ def keep_one(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
 
 
 def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Near-duplicates of all documents by 2-word shingles at 0.8."""
+    """Near-duplicates of all documents by 2-word shingles at 0.8; a row without a doc_id is kept if no row with one has its set."""
     out = near_duplicates(table(spark, sf_dir, "documents"), k=2, percent=80)
-    return out.withColumn("kept", F.col("doc_id") == F.col("component_id"))
+    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()))
