@@ -1,176 +1,274 @@
 """Language-model scores by logistic context mixing.
 
 A token (a word, or the end of a text) is coded as a run of binary decisions: a Huffman
-code over the HEAD most frequent training words, the end, and one class for all other
-words. Each decision is predicted from hashed contexts - none, the word before, the word
-before that, and both - by counts gathered from all training texts. Predictions are
-combined in the logistic domain (Mahoney, "Adaptive weighing of context models", 2005)
-with a set of weights that a gate picks by depth in the code and by how much the longest
-context has been seen; a table of outcomes by gate and prediction then refines the result.
-A word outside the head costs its share of its class by unigram counts on top, smoothed as
-in the base score.
-
-Counts are Spark aggregates over all training texts: of contexts in blocks of slots, of
-rare words by a shuffle on their hashes. Only bounded tables (the code book and 3 * 2**20
-context slots) reach the driver. Weights and refinement are fitted online, batch by batch
-in every task over one training text in MIX_EVERY, each left out of the counts it is
-predicted from, and averaged over tasks.
+code over at most HEAD most frequent training words, the end, and one class for all other
+words. Each decision is predicted from the code's own shares and from two hashed contexts,
+the token before and the two tokens before. Predictions are combined in the logistic domain (Mahoney, "Adaptive
+weighing of context models", 2005) with weights that a gate picks by depth in the code and
+by how often the longer context has been seen; a table of outcomes by gate and prediction
+then refines the result. A word outside the head is spelled: its length, then its bytes, each
+from counts of what follows the two bytes before it.
+
+On top of the tokens stands a memory that grows with the corpus: texts are cut into passages
+where the hash of the last GRAM tokens says so, and passages are counted over all training texts.
+One bit a passage, predicted from whether the passages before it were known, says
+whether it is taken from the memory (at the cost of its share of all passages) or told
+token by token. A training text's own passage is left out of the counts it is judged by.
+
+Everything is learnt from all training texts. Words and passages are exact Spark aggregates
+by 64-bit hash. Decisions are learnt online: training texts are dealt into blocks by a hash
+of their text; a block goes through its texts in the order of that hash, predicts each batch from the counts so far,
+moves its weights, then counts. Blocks' counts add up, and their weights are averaged as
+sums of integers, so that scores do not depend on how the table is partitioned. The tables
+that reach the driver (code book, CONTEXTS * 2**SLOT_BITS slots, spelling) have a fixed size.
 """
 
 from __future__ import annotations
 
-import heapq
 import math
 import pickle
 import uuid
-from collections import Counter
+from collections import deque
 from collections.abc import Iterator
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 import zstandard
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from orbitlake.llm.common import arrow_in_small_batches, cut, shared_folder, table
+from orbitlake.llm.common import WORD_BYTES, WordHashes, arrow_in_small_batches, cut, mix64, ragged, shared_folder, table, text_bytes
 
-HEAD, MIX_EVERY = 65_534, 8
-SLOT_BITS, BLOCK = 20, 4096
+#: At most so many words have codes of their own; training tokens that one block learns from.
+HEAD, BLOCK_TOKENS = 65_000, 6_000_000
+SLOT_BITS, PIECE = 20, 4096
 SLOTS = 1 << SLOT_BITS
-END, REST = b"\n", 0
-DEPTHS, SEEN, INPUTS, STEPS = 16, 4, 5, 33
+END_HASH, REST, END = np.uint64(0xE7037ED1A0B428DB), 0, 1
+DEPTHS, SEEN, STEPS = 24, 4, 33
+CONTEXTS = 2
+INPUTS = CONTEXTS + 2
 GATES = DEPTHS * SEEN
-PRIOR = 0.4
-MOST = 60_000
-
-
-def tokens(text: str | None) -> list[bytes]:
-    """Words in lower case (A-Z), then the end."""
-    w = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    w.append(END)
-    return w
-
-
-def code_book(counts: list[tuple[bytes, int]], rest: int) -> dict:
-    """Huffman codes of the classes: REST is 0, words count from 1. Flat arrays of inner nodes and bits."""
-    weights = [max(1, rest)] + [max(1, n) for _, n in counts]
-    heap = [(n, i) for i, n in enumerate(weights)]
-    heapq.heapify(heap)
-    parent, size = {}, len(weights)
-    while len(heap) > 1:
-        (a, x), (b, y) = heapq.heappop(heap), heapq.heappop(heap)
-        parent[x], parent[y] = (size, 0), (size, 1)
-        heapq.heappush(heap, (a + b, size))
-        size += 1
-    leaves = len(weights)
-    starts, nodes, bits, depths = [0], [], [], []
-    for i in range(leaves):
-        path, at = [], i
-        while at in parent:
-            at, bit = parent[at]
-            path.append((at - leaves, bit))
-        path.reverse()
-        nodes += [x for x, _ in path]
-        bits += [b for _, b in path]
-        depths += range(len(path))
-        starts.append(len(nodes))
-    return {"words": [w for w, _ in counts], "starts": np.array(starts, np.int64), "nodes": np.array(nodes, np.int32), "bits": np.array(bits, np.int8), "depths": np.minimum(np.array(depths, np.int8), DEPTHS - 1)}
-
-
-class Coder:
-    """Turns texts into decisions and their contexts."""
-
-    def __init__(self, book: dict):
-        self.book, self.ids = book, {w: i + 1 for i, w in enumerate(book["words"])}
-        self.length = np.diff(book["starts"])
-
-    def classes(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.ids.get, words, repeat(REST)), np.int64, len(words))
-
-    def decisions(self, c: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, ...]:
-        """For classes of texts laid end to end, with the place of each token in its text: per decision bit, depth, slots."""
-        before = np.concatenate(([0], c[:-1])) + 1
-        before[first == 0] = 0
-        second = np.concatenate(([0, 0], c[:-2]))[: len(c)] + 1
-        second[first < 2] = 0
-        length = self.length[c]
-        ends = np.cumsum(length)
-        at = np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.book["starts"][c] - (ends - length), length)
-        node = self.book["nodes"][at]
-        n64 = (node.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
-        slots = [node]
-        for key in (before.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F), second.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93) + np.uint64(7), before.astype(np.uint64) * np.uint64(0xA0761D6478BD642F) + second.astype(np.uint64) * np.uint64(0xE7037ED1A0B428DB) + np.uint64(3)):
-            key = key ^ (key >> np.uint64(29))
-            x = (np.repeat(key, length) ^ n64) * np.uint64(0xBF58476D1CE4E5B9)
-            slots.append((x >> np.uint64(64 - SLOT_BITS)).astype(np.int32))
-        return self.book["bits"][at], self.book["depths"][at], slots, length
-
-    def batches(self, texts: list[list[bytes]], most: int = 120_000) -> Iterator[tuple[np.ndarray, np.ndarray, list[int]]]:
-        """(classes, places, texts' lengths) of some texts at a time."""
-        part: list[np.ndarray] = []
-        for w in [*texts, None]:
-            if part and (w is None or sum(map(len, part)) + len(w) > most):
-                yield np.concatenate(part), np.concatenate([np.arange(len(x)) for x in part]), [len(x) for x in part]
-                part = []
-            if w is not None:
-                part.append(self.classes(w))
-
-
-class Mixer:
-    """Predictions from counted contexts, weights and the refinement table."""
-
-    def __init__(self, counts: list[np.ndarray], weights: np.ndarray | None = None, refine: np.ndarray | None = None):
-        """counts: for no context, one, skip, two: arrays (2, slots) of how often 0 and 1 followed."""
-        self.zero, self.one, self.stretch, self.seen = [], [], [], []
-        for n in counts:
-            scale = np.minimum(1.0, MOST / np.maximum(1, n.sum(0)))
-            z, o = (np.round(n[i] * scale).astype(np.int32) for i in (0, 1))
-            self.zero.append(z)
-            self.one.append(o)
-            self.stretch.append((np.log(o + PRIOR) - np.log(z + PRIOR)).astype(np.float32))
-        total = self.zero[3] + self.one[3]
-        self.seen = np.digitize(total, [1, 4, 32]).astype(np.int8)
-        self.logs = np.log(np.arange(MOST + 2) + PRIOR).astype(np.float32)
-        self.w = np.tile(np.array([0.3, 0.3, 0.2, 0.3, 0.0], np.float32), (GATES, 1)) if weights is None else weights.astype(np.float32)
-        self.refine = refine
-
-    def inputs(self, depth, slots, bit=None):
-        """(gate, stretched predictions); with ``bit``, without the decision itself in the counts."""
-        out = np.empty((INPUTS, len(depth)), np.float32)
-        for i, s in enumerate(slots):
-            if bit is None or i == 0:
-                out[i] = self.stretch[i][s]
-            else:
-                out[i] = self.logs[np.maximum(self.one[i][s] - bit, 0)] - self.logs[np.maximum(self.zero[i][s] - (1 - bit), 0)]
-        out[INPUTS - 1] = 1.0
-        seen = self.seen[slots[3]] if bit is None else np.digitize(self.zero[3][slots[3]] + self.one[3][slots[3]] - 1, [1, 4, 32])
-        return depth.astype(np.int64) * SEEN + seen, out
-
-    def mix(self, gate, x):
-        y = np.zeros(len(gate), np.float32)
-        for i in range(INPUTS):
-            y += self.w[:, i][gate] * x[i]
-        return np.clip(y, -12, 12)
-
-    def learn(self, gate, x, y, bit, rate: float = 0.5):
-        """One online step: weights move by the mean gradient of their gate."""
-        error = bit - 1 / (1 + np.exp(-y))
-        n = np.maximum(np.bincount(gate, minlength=GATES), 200)
-        for i in range(INPUTS):
-            self.w[:, i] += (rate * 0.2 * np.bincount(gate, error * x[i], GATES) / n).astype(np.float32)
-
-    @staticmethod
-    def cell(gate, y):
-        return gate * STEPS + np.clip(np.round((y + 12) * (STEPS - 1) / 24), 0, STEPS - 1).astype(np.int64)
-
-    def log2(self, gate, y, bit):
-        """Bits' log2 probabilities: the mean of the mixed and the refined prediction."""
-        p = 1 / (1 + np.exp(-y.astype(np.float64)))
-        if self.refine is not None:
-            p = (p + self.refine[self.cell(gate, y)]) / 2
-        return np.log2(np.where(bit == 1, p, 1 - p))
+PRIOR, RATE = 0.4, 0.02
+#: Decisions are worked through so many tokens at a time, which keeps arrays in the cache.
+BATCH = 8192
+#: A passage ends where the hash of GRAM tokens is 0 modulo PASSAGE; one in HOT passages is frequent.
+GRAM, PASSAGE, HOT = 4, 16, 1000
+#: Bytes fall in CLASSES kinds, 0 for those outside words; lengths count up to LONG.
+CLASSES, LONG = 64, 64
+
+
+def _byte_classes() -> tuple[np.ndarray, np.ndarray]:
+    """(class of each byte, bits that tell it from others of its class): letters, digits and common marks stand alone."""
+    alone = b"abcdefghijklmnopqrstuvwxyz0123456789'-.,()\"@_/:;"
+    kind = np.zeros(256, np.int32)
+    rest = [b for b in range(256) if WORD_BYTES[b] and b not in alone and not 0x41 <= b <= 0x5A]
+    for i, b in enumerate(alone):
+        kind[b] = i + 1
+        kind[b - 32 if 0x61 <= b <= 0x7A else b] = i + 1
+    left = CLASSES - 1 - len(alone)
+    for i, b in enumerate(rest):  # the others in byte order, in groups of equal size
+        kind[b] = len(alone) + 1 + i * left // len(rest)
+    size = np.bincount(kind[rest], minlength=CLASSES)
+    return kind, np.where(np.isin(np.arange(256), rest), np.log2(np.maximum(1, size[kind])), 0.0)
+
+
+class Reader:
+    """Tokens of a batch of texts: hashes in lower case (A-Z), an end after each text, and what spelling needs."""
+
+    def __init__(self) -> None:
+        self.read, (self.kind, self.apart) = WordHashes(lower=True), _byte_classes()
+
+    def tokens(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(hashes, where each text's tokens begin among them, which tokens are words)"""
+        h, at = self.read(texts)
+        docs = np.arange(len(texts) + 1)
+        flat = np.full(len(h) + len(texts), END_HASH, np.uint64)
+        word = np.ones(len(flat), bool)
+        word[at[1:] + docs[:-1]] = False
+        flat[word] = h
+        return flat, at + docs, word
+
+    def letters(self, texts: pa.Array, most: int = 1 << 15) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """For a few texts at a time: the cell (two classes before, class) of each byte, its extra bits, starts and lengths of the words."""
+        offsets, data = text_bytes(texts)
+        for a, b in _spans_of(offsets, most):
+            part, breaks = data[offsets[a] : offsets[b]], offsets[a:b] - offsets[a]
+            breaks = breaks[breaks < len(part)]
+            c0 = self.kind[part]
+            c1 = np.append(np.int32(0), c0[:-1])
+            c1[breaks] = 0
+            c2 = np.append(np.int32(0), c1[:-1])
+            c2[breaks] = 0
+            c2[c1 == 0] = 0
+            begin, first = (c0 > 0) & (c1 == 0), c0 > 0
+            first[:-1] &= (c0[1:] == 0) | (c1[1:] == 0)
+            starts, ends = np.flatnonzero(begin), np.flatnonzero(first)
+            yield (c2 * CLASSES + c1) * CLASSES + c0, self.apart[part], starts, ends + 1 - starts
+
+
+def _spans_of(offsets: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    a, n = 0, len(offsets) - 1
+    while a < n:
+        b = min(n, max(a + 1, int(np.searchsorted(offsets, offsets[a] + most, "right")) - 1))
+        yield a, b
+        a = b
+
+
+def passages(h: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes of the passages, starts) of tokens ``h`` whose texts begin at ``at``; each text begins a passage."""
+    ends = np.zeros(len(h) + 1, bool)
+    ends[at] = True
+    g = np.zeros(max(0, len(h) - GRAM + 1), np.uint64)
+    for i in range(GRAM):
+        g = mix64(g + h[i : i + len(g)])
+    ends[GRAM : GRAM + len(g)] |= g % np.uint64(PASSAGE) == 0
+    within = np.arange(len(h)) - np.repeat(at[:-1], np.diff(at))
+    ends[:-1][(within > 0) & (within < GRAM)] = False  # a gram that reaches into the text before says nothing
+    starts = np.flatnonzero(ends[:-1])
+    place = np.arange(len(h)) - np.repeat(starts, np.diff(np.append(starts, len(h))))
+    x = mix64(h + place.astype(np.uint64) * np.uint64(0x9FB21C651E98DF25))
+    return (mix64(np.add.reduceat(x, starts)) if len(starts) else np.zeros(0, np.uint64)), starts
+
+
+def _lengths(weights: list[int]) -> np.ndarray:
+    """Lengths of a Huffman code for ``weights`` in falling order, by the method of two queues."""
+    leaves = deque((n, i) for i, n in reversed(list(enumerate(weights))))
+    inner: deque = deque()
+    parent = [0] * (2 * len(weights) - 1)
+    for node in range(len(weights), len(parent)):
+        total = 0
+        for _ in range(2):
+            n, i = leaves.popleft() if leaves and (not inner or leaves[0][0] <= inner[0][0]) else inner.popleft()
+            parent[i], total = node, total + n
+        inner.append((total, node))
+    depth = [0] * len(parent)
+    for i in range(len(parent) - 2, -1, -1):
+        depth[i] = depth[parent[i]] + 1
+    return np.array(depth[: len(weights)], np.int64)
+
+
+def code_book(hashes: np.ndarray, counts: np.ndarray, rest: int) -> dict:
+    """Canonical Huffman codes of the classes (REST, END, then words) and the tables that find a word's class by its hash.
+
+    ``hashes`` and ``counts`` hold the end first. A word that finds no place in three tables counts as a rare one.
+    """
+    slots = 1 << 18
+    tables, left = [], np.arange(1, len(hashes))
+    for shift in (46, 28, 10):
+        key, index = np.zeros(slots, np.uint64), np.zeros(slots, np.int64)
+        s = (hashes[left] >> np.uint64(shift)) & np.uint64(slots - 1)
+        _, first = np.unique(s, return_index=True)
+        key[s[first]], index[s[first]] = hashes[left[first]], left[first]
+        tables.append((key, index))
+        left = np.delete(left, first)
+    rest += int(counts[left].sum())
+    placed = np.delete(np.arange(len(hashes)), left)
+    classes = np.zeros(len(hashes), np.int64)
+    classes[placed] = np.arange(END, END + len(placed))
+    n = np.concatenate(([rest], counts[placed])).astype(np.int64)
+    weight = np.maximum(n, max(1, int(n.sum()) >> 20))
+    order = np.lexsort((np.arange(len(n)), -weight))
+    length = np.zeros(len(n), np.int64)
+    length[order] = _lengths(weight[order].tolist())
+    by = np.lexsort((np.arange(len(n)), length))
+    per = np.bincount(length, minlength=length.max() + 1)
+    code, value = np.zeros(len(n), np.int64), 0
+    first_inner, offset, inner = [], [], 0
+    taken = 0
+    for d in range(length.max() + 1):
+        value <<= 1
+        code[by[taken : taken + per[d]]] = value + np.arange(per[d])
+        taken += per[d]
+        value += int(per[d])
+        first_inner.append(value)
+        offset.append(inner)
+        inner += (1 << d) - value
+    nodes = np.zeros((inner, 2), np.int64)
+    for d in range(length.max()):
+        on = length > d
+        node = (code[on] >> (length[on] - d)) - first_inner[d] + offset[d]
+        np.add.at(nodes, (node, (code[on] >> (length[on] - d - 1)) & 1), n[on])
+    return {
+        "tables": [(key, classes[index].astype(np.uint16)) for key, index in tables],
+        "n": n,
+        "length": length.astype(np.uint8),
+        "code": code.astype(np.uint32),
+        "shift": np.array(offset) - np.array(first_inner),
+        "none": (np.log(nodes[:, 1] + PRIOR) - np.log(nodes[:, 0] + PRIOR)).astype(np.float32),
+    }
+
+
+def classes(book: dict, h: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """Class of each token; REST for words that have no code."""
+    found, left = np.zeros(len(h), np.uint16), np.arange(len(h))
+    for (key, index), shift in zip(book["tables"], (46, 28, 10), strict=True):
+        s = ((h[left] >> np.uint64(shift)) & np.uint64((1 << 18) - 1)).astype(np.int64)
+        hit = key[s] == h[left]
+        found[left[hit]] = index[s[hit]]
+        left = left[~hit]
+    found[~word] = END
+    return found
+
+
+class Decisions:
+    """The decisions of some tokens, by depth: tokens with long codes come first, so that each depth takes a slice."""
+
+    def __init__(self, book: dict, c: np.ndarray, place: np.ndarray):
+        """``c`` are classes of texts end to end, ``place`` tells where in its text a token stands."""
+        length = book["length"][c]
+        self.order = np.argsort(255 - length, kind="stable")
+        self.book, self.length, self.code = book, length[self.order].astype(np.uint32), book["code"][c[self.order]]
+        before = np.concatenate(([0], c[:-1])).astype(np.uint32) + np.uint32(1)
+        before[place == 0] = 0
+        second = np.concatenate(([0], before[:-1])).astype(np.uint32)
+        second[place < 2] = 0
+        one, two = before[self.order] * np.uint32(0x9E3779B1), second[self.order] * np.uint32(0x85EBCA77)
+        one ^= one >> np.uint32(15)
+        two ^= two >> np.uint32(13)
+        self.keys = [one, one * np.uint32(0xC2B2AE3D) + two * np.uint32(0x165667B1) + np.uint32(0x27D4EB2F)]
+        self.n = np.searchsorted(-self.length.astype(np.int64), -np.arange(self.length.max(initial=0)), "left")
+
+    def __iter__(self) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, list[np.ndarray]]]:
+        """(depth, tokens, bit, node, slots of the contexts)"""
+        for d, n in enumerate(self.n.tolist()):
+            left = self.length[:n] - np.uint32(d)
+            node = (self.code[:n] >> left).astype(np.int64) + self.book["shift"][d]
+            bit = (self.code[:n] >> (left - np.uint32(1))) & np.uint32(1)
+            step = node.astype(np.uint32) * np.uint32(0x2545F491) + np.uint32(0x6D2B79F5)
+            slots = []
+            for key in self.keys:
+                x = (key[:n] ^ step) * np.uint32(0xD3A2646D)
+                x ^= x >> np.uint32(15)
+                slots.append(((x * np.uint32(0x846CA68B)) >> np.uint32(32 - SLOT_BITS)).astype(np.int64))
+            yield d, n, bit, node, slots
+
+
+def _stretched(pairs: np.ndarray) -> np.ndarray:
+    x = np.log(pairs.astype(np.float32) + np.float32(PRIOR))
+    return x[:, 1] - x[:, 0]
+
+
+def _seen(n: np.ndarray) -> np.ndarray:
+    """How often something was seen, in SEEN steps."""
+    return ((n > 0).view(np.int8) + (n > 3).view(np.int8) + (n > 31).view(np.int8)).astype(np.int64)
+
+
+def _mixed(w: np.ndarray, gate: np.ndarray, x: list[np.ndarray]) -> np.ndarray:
+    """Weighted sum of predictions, with the weights of the gate; the last weight stands alone."""
+    w = np.ascontiguousarray(w.T)
+    y = w[INPUTS - 1][gate]
+    for i, v in enumerate(x):
+        y += w[i][gate] * v
+    return np.clip(y, -12, 12)
+
+
+def _cells(gate: np.ndarray, y: np.ndarray) -> np.ndarray:
+    return gate * STEPS + np.rint((y + np.float32(12)) * np.float32((STEPS - 1) / 24)).astype(np.int64)
+
+
+def _first_weights() -> np.ndarray:
+    return np.tile(np.array([0.6, 0.2, 0.2, 0.0], np.float32), (DEPTHS, SEEN, 1))
 
 
 def _load(packed: bytes):
@@ -181,184 +279,343 @@ def _dump(what) -> bytes:
     return zstandard.ZstdCompressor(level=3).compress(pickle.dumps(what))
 
 
-def _frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A task's most frequent words, each with its count; total in a row without a word."""
-    found: Counter = Counter()
-    total, floor = 0, 0
+def _squeeze(x: np.ndarray) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(x).tobytes())
+
+
+def _expand(x: pa.Scalar, kind: type) -> np.ndarray:
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(x.as_py()), kind)
+
+
+def _tally(batches: Iterator[pa.RecordBatch], most: int = 4_000_000) -> Iterator[pa.RecordBatch]:
+    """(h, n): how often tokens occur, each hash once for every ``most`` tokens."""
+    reader, held, size = Reader(), [], 0
+
+    def counted() -> pa.RecordBatch:
+        x = np.sort(np.concatenate([*held, np.zeros(0, np.uint64)]))
+        starts = np.flatnonzero(np.append(True, x[1:] != x[:-1])) if len(x) else np.zeros(0, np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(x[starts].view(np.int64)), pa.array(np.diff(np.append(starts, len(x))), pa.int64())], names=["h", "n"])
+
     for batch in batches:
-        for text in batch.column(1):
-            w = tokens(text.as_py())
-            total += len(w)
-            found.update(w)
-        if len(found) > 2_000_000:  # bounded memory: words rarest so far start again
-            floor += 1
-            found = Counter({k: n for k, n in found.items() if n > floor})
-    top = found.most_common(2 * HEAD)
-    yield pa.RecordBatch.from_arrays([pa.array([None, *[k for k, _ in top]], pa.binary()), pa.array([total, *[n for _, n in top]], pa.int64())], names=["word", "n"])
-
-
-def _count(book):
+        h, _, _ = reader.tokens(batch.column(0))
+        held.append(h)
+        size += len(h)
+        if size >= most:
+            yield counted()
+            held, size = [], 0
+    yield counted()
+
+
+KIND = "kind int, piece int, data binary"
+
+
+def _encode(book, blocks: int):
+    """Rows (block, h, packed): class numbers of a text; and, with a block below 0, counts for spelling."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = Coder(_load(book.value))
-        nodes = max(1, len(coder.book["words"]))
-        sizes = [nodes, SLOTS, SLOTS, SLOTS]
-        sums = [np.zeros((2, s), np.int64) for s in sizes]
-        words = np.zeros(nodes + 1, np.int64)
+        code, reader = _load(book.value), Reader()
+        cells, sizes = np.zeros(CLASSES**3, np.int64), np.zeros(LONG, np.int64)
         for batch in batches:
-            for c, first, _ in coder.batches([tokens(t.as_py()) for t in batch.column(1)]):
-                words += np.bincount(c, minlength=nodes + 1)
-                bit, _, slots, _ = coder.decisions(c, first)
-                for n, s, size in zip(sums, slots, sizes, strict=True):
-                    one = np.bincount(s, bit, size).astype(np.int64)
-                    n[1] += one
-                    n[0] += np.bincount(s, minlength=size) - one
-        pack = zstandard.ZstdCompressor(level=1)
-        rows = [(k, b, pack.compress(np.ascontiguousarray(n[:, b * BLOCK : (b + 1) * BLOCK]).tobytes())) for k, n in enumerate([*sums, words[None]]) for b in range(-(-n.shape[1] // BLOCK)) if n[:, b * BLOCK : (b + 1) * BLOCK].any()]
-        k, b, data = zip(*rows, strict=True) if rows else ([], [], [])
-        yield pa.RecordBatch.from_arrays([pa.array(k, pa.int32()), pa.array(b, pa.int32()), pa.array(data, pa.binary())], names=["kind", "block", "data"])
+            h, at, word = reader.tokens(batch.column(0))
+            c = classes(code, h, word)
+            rare, done = (c == REST)[word], 0
+            for cell, _, starts, lengths in reader.letters(batch.column(0)):
+                here = rare[done : done + len(starts)]
+                done += len(starts)
+                edges = np.zeros(len(cell) + 1, np.int8)
+                edges[starts[here]] = 1
+                edges[(starts + lengths)[here]] -= 1
+                cells += np.bincount(cell[np.cumsum(edges[:-1]) > 0], minlength=CLASSES**3)
+                sizes += np.bincount(np.minimum(lengths[here], LONG) - 1, minlength=LONG)
+            th = batch.column(1).to_numpy()
+            packed = [_squeeze(c[a:b]) for a, b in zip(at[:-1], at[1:])]
+            yield pa.RecordBatch.from_arrays([pa.array(th % blocks, pa.int64()), pa.array(th, pa.int64()), pa.array(packed, pa.binary())], names=["block", "h", "packed"])
+        at = -1 - TaskContext.get().partitionId() % 64
+        yield pa.RecordBatch.from_arrays([pa.array([at], pa.int64()), pa.array([0], pa.int64()), pa.array([_squeeze(np.concatenate([cells, sizes]))], pa.binary())], names=["block", "h", "packed"])
 
     return run
 
 
-def _add(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    unpack, total = zstandard.ZstdDecompressor(), None
-    for batch in batches:
-        for x in batch.column(2):
-            n = np.frombuffer(unpack.decompress(x.as_py()), np.int64)
-            total = n.copy() if total is None else total + n
-    kind, block = (x.as_py() for x in key)
-    yield pa.RecordBatch.from_arrays([pa.array([kind], pa.int32()), pa.array([block], pa.int32()), pa.array([zstandard.ZstdCompressor(level=3).compress(total.tobytes())], pa.binary())], names=["kind", "block", "data"])
-
+def _learn_block(book):
+    def rows(what: list[tuple[int, int, np.ndarray]]) -> pa.RecordBatch:
+        kind, piece, data = zip(*what, strict=True)
+        return pa.RecordBatch.from_arrays([pa.array(kind, pa.int32()), pa.array(piece, pa.int32()), pa.array([_squeeze(x.astype(np.int64)) for x in data], pa.binary())], names=["kind", "piece", "data"])
 
-def _fit(model):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = _load(model.value)
-        coder, mixer = Coder(m["book"]), Mixer(m["counts"])
-        n, cells = np.zeros(GATES), np.zeros((2, GATES * STEPS))
+    def run(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if key[0].as_py() < 0:
+            yield rows([(CONTEXTS + 1, 0, sum(_expand(x, np.int64) for batch in batches for x in batch.column(2)))])
+            return
+        code = _load(book.value)
+        hs, texts = [], []
         for batch in batches:
-            for c, first, _ in coder.batches([tokens(t.as_py()) for t in batch.column(1)], 8_000):
-                bit, depth, slots, _ = coder.decisions(c, first)
-                gate, x = mixer.inputs(depth, slots, bit)
-                y = mixer.mix(gate, x)
-                at = mixer.cell(gate, y)
-                cells[1] += np.bincount(at, bit, GATES * STEPS)
-                cells[0] += np.bincount(at, 1 - bit, GATES * STEPS)
-                n += np.bincount(gate, minlength=GATES)
-                mixer.learn(gate, x, y, bit)
-        flat = np.concatenate([(mixer.w * n[:, None]).ravel(), n, cells.ravel()])
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat)), pa.int32()), pa.array(flat, pa.float64())], names=["i", "v"])
+            hs += batch.column(1).to_pylist()
+            texts += [x.as_py() for x in batch.column(2)]
+        order = np.argsort(np.array(hs), kind="stable")
+        counts = [np.zeros(2 * SLOTS, np.int32) for _ in range(CONTEXTS)]
+        w, n, cells = _first_weights(), np.zeros((DEPTHS, SEEN), np.int64), np.zeros((2, DEPTHS, SEEN * STEPS), np.int64)
+        unpack, held, size = zstandard.ZstdDecompressor(), [], 0
+        for i, k in enumerate(order.tolist()):
+            held.append(np.frombuffer(unpack.decompress(texts[k]), np.uint16))
+            size += len(held[-1])
+            if size >= BATCH or i + 1 == len(order):
+                _learn_batch(code, held, counts, w, n, cells)
+                held, size = [], 0
+        for kind, x in enumerate(counts):
+            yield rows([(kind, p, x[2 * p * PIECE : 2 * (p + 1) * PIECE]) for p in range(SLOTS // PIECE)])
+        yield rows([(CONTEXTS, 0, np.concatenate([np.rint(w.astype(np.float64) * n[:, :, None] * 1024).astype(np.int64).ravel(), n.ravel(), cells.ravel()]))])
 
     return run
 
 
+def _learn_batch(book: dict, texts: list[np.ndarray], counts: list[np.ndarray], w: np.ndarray, n: np.ndarray, cells: np.ndarray) -> None:
+    """One online step: predict the decisions of ``texts`` from the counts so far, move the weights, then count."""
+    c, place = np.concatenate(texts), np.concatenate([np.arange(len(x)) for x in texts])
+    pairs = [x.view(np.int64) for x in counts]  # both counts of a slot in one look
+    seen: list[list[np.ndarray]] = [[] for _ in counts]
+    for d, _, bit, node, slots in Decisions(book, c, place):
+        met = [x[s].view(np.int32).reshape(-1, 2) for x, s in zip(pairs, slots, strict=True)]
+        at = min(d, DEPTHS - 1)
+        gate = _seen(met[-1][:, 0] + met[-1][:, 1])
+        x = [book["none"][node], *map(_stretched, met)]
+        y = _mixed(w[at], gate, x)
+        both = np.bincount(_cells(gate, y) * 2 + bit, minlength=2 * SEEN * STEPS)
+        cells[:, at] += both.reshape(-1, 2).T
+        error = bit - 1 / (1 + np.exp(-y))
+        size = np.bincount(gate, minlength=SEEN)
+        n[at] += size
+        rate = RATE * 10 / np.maximum(size, 64)
+        for i, v in enumerate([*x, None]):
+            w[at, :, i] += (rate * np.bincount(gate, error if v is None else error * v, SEEN)).astype(np.float32)
+        for store, s in zip(seen, slots, strict=True):
+            store.append(s * 2 + bit)
+    for x, s in zip(counts, seen, strict=True):
+        if s:
+            s = np.concatenate(s)
+            np.add.at(x, s, np.ones(len(s), np.int32))
+
+
+def _add(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total = sum(_expand(x, np.int64) for batch in batches for x in batch.column(2))
+    yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([key[1].as_py()], pa.int32()), pa.array([_squeeze(total)], pa.binary())], names=["kind", "piece", "data"])
+
+
+def _head(words: DataFrame) -> list:
+    """(h, n) of the most frequent words, at most HEAD: those above the lowest count step that has room."""
+    step = F.floor(F.log2("n") * 64).cast("int").alias("step")
+    room, least = HEAD, 1 << 30
+    for r in sorted(words.groupBy(step).count().collect(), key=lambda r: -r["step"]):  # at most 64 * 64 steps
+        if room < r["count"]:
+            break
+        room, least = room - r["count"], r["step"]
+    return words.where(step >= least).orderBy(F.desc("n"), "h").collect()
+
+
+def learn(texts: DataFrame) -> dict:
+    """The model of the training ``texts`` (a column text; null is empty)."""
+    spark = texts.sparkSession
+    arrow_in_small_batches(spark)
+    words = texts.select("text").mapInArrow(_tally, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
+    folder = f"{shared_folder(spark)}/words-{uuid.uuid4().hex}"
+    words.write.parquet(folder)
+    total = spark.read.parquet(folder).agg(F.sum("n")).first()[0] or 0
+    found = [(np.uint64(r["h"] % (1 << 64)), r["n"]) for r in _head(spark.read.parquet(folder).where("n > 1"))]
+    ends = next((n for h, n in found if h == END_HASH), 1 if total else 0)
+    found = [x for x in found if x[0] != END_HASH]
+    hashes = np.array([END_HASH, *[h for h, _ in found]], np.uint64)
+    counts = np.array([ends, *[n for _, n in found]], np.int64)
+    book = code_book(hashes, counts, total - int(counts.sum()))
+    sent = spark.sparkContext.broadcast(_dump(book))
+    blocks = max(1, -(-total // BLOCK_TOKENS))
+    th = F.xxhash64(F.coalesce("text", F.lit("")))
+    coded = texts.select("text", th.alias("h")).mapInArrow(_encode(sent, blocks), "block long, h long, packed binary")
+    parts = coded.groupBy("block").applyInArrow(_learn_block(sent), KIND).groupBy("kind", "piece").applyInArrow(_add, KIND)
+    sums = {(r["kind"], r["piece"]): np.frombuffer(zstandard.ZstdDecompressor().decompress(bytes(r["data"])), np.int64) for r in parts.collect()}  # CONTEXTS * 256 pieces and two more, whatever the corpus
+    pairs = [np.concatenate([sums.get((k, p), np.zeros(2 * PIECE, np.int64)) for p in range(SLOTS // PIECE)]).reshape(-1, 2) for k in range(CONTEXTS)]
+    flat = sums.get((CONTEXTS, 0), np.zeros(DEPTHS * SEEN * (INPUTS + 1 + 2 * STEPS), np.int64))
+    w, n, cells = np.split(flat, [GATES * INPUTS, GATES * (INPUTS + 1)])
+    n = n.reshape(DEPTHS, SEEN, 1)
+    weights = np.where(n > 0, w.reshape(DEPTHS, SEEN, INPUTS) / 1024 / np.maximum(n, 1), _first_weights()).astype(np.float32)
+    cells = cells.reshape(2, DEPTHS, SEEN * STEPS)
+    level = 1 / (1 + np.exp(-np.tile(np.linspace(-12, 12, STEPS), SEEN)))
+    spelled = sums.get((CONTEXTS + 1, 0), np.zeros(CLASSES**3 + LONG, np.int64))
+    return {
+        "book": book,
+        "tokens": total,
+        "stretch": [_stretched(x) for x in pairs],
+        "seen": _seen(pairs[-1].sum(1)).astype(np.uint8),
+        "weights": weights,
+        "refine": ((cells[1] + 20 * level) / (cells.sum(0) + 20)).astype(np.float32),
+        "letters": _letter_bits(spelled[: CLASSES**3].reshape(CLASSES, CLASSES, CLASSES)),
+        "lengths": -np.log2((spelled[CLASSES**3 :] + 0.5) / (spelled[CLASSES**3 :].sum() + 0.5 * LONG)),
+    }
+
+
+def _letter_bits(n: np.ndarray) -> np.ndarray:
+    """Bits of each class of byte after any two: order two falls back on order one, that on none."""
+    p = (n.sum((0, 1)) + 0.5) / (n.sum() + 0.5 * CLASSES)
+    one = (n.sum(0) + 4 * p) / (n.sum((0, 2)) + 4)[:, None]
+    return -np.log2((n + 8 * one[None]) / (n.sum(2) + 8)[:, :, None]).astype(np.float64).ravel()
+
+
+def _token_bits(m: dict, c: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """Bits of each token's decisions."""
+    all_ = Decisions(m["book"], c, place)
+    bits = np.zeros(len(c))
+    for d, n, bit, node, slots in all_:
+        at = min(d, DEPTHS - 1)
+        gate = m["seen"][slots[-1]].astype(np.int64)
+        y = _mixed(m["weights"][at], gate, [m["book"]["none"][node], *[x[s] for x, s in zip(m["stretch"], slots, strict=True)]])
+        one = (1 / (1 + np.exp(-y)) + m["refine"][at][_cells(gate, y)]) * np.float32(0.5)
+        bit = bit.astype(np.float32)
+        bits[:n] -= np.log2((1 - bit) + (2 * bit - 1) * one)
+    out = np.empty_like(bits)
+    out[all_.order] = bits
+    return out
+
+
+def _spelling_bits(m: dict, reader: Reader, texts: pa.Array) -> np.ndarray:
+    """Bits of each word, spelled."""
+    out = [np.zeros(0)]
+    for cell, apart, starts, lengths in reader.letters(texts):
+        cost = m["letters"][cell] + apart
+        if len(starts):
+            cost[cell % CLASSES == 0] = 0.0
+            each = np.add.reduceat(cost, starts)
+            over = lengths >= LONG
+            out.append(each + m["lengths"][np.minimum(lengths, LONG) - 1] + np.where(over, 2 * np.log2(np.maximum(1, lengths - LONG + 1)) + 1, 0))
+    return np.concatenate(out)
+
+
 def _score(model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = _load(model.value)
-        coder, mixer = Coder(m["book"]), Mixer(m["counts"], m["weights"], m["refine"])
-        log_c = np.log10(m["words"] + 0.5)
+        m, reader = _load(model.value), Reader()
+        log_c = np.log10(m["book"]["n"] + 0.5)
         log_c[REST] = 0.0
         for batch in batches:
-            texts = [tokens(t.as_py()) for t in batch.column(1)]
-            n, known, head, model_bits, rare, rare_n = [], [], [], [], [], []
-            for w in texts:
-                c = coder.classes(w)
-                n.append(len(w))
-                known.append(int(((c != REST) & (m["words"][c] > 0)).sum()))
-                head.append(float(log_c[c].sum()))
-                tail = Counter(x for x, k in zip(w, c.tolist(), strict=True) if k == REST)
-                rare.append([xxhash.xxh3_64_intdigest(x) - (1 << 63) for x in tail])
-                rare_n.append(list(tail.values()))
-            for c, first, lengths in coder.batches(texts):
-                bit, depth, slots, length = coder.decisions(c, first)
-                gate, x = mixer.inputs(depth, slots)
-                each = mixer.log2(gate, mixer.mix(gate, x), bit)
-                ends = np.cumsum(length)[np.cumsum(lengths) - 1]
-                total = np.concatenate(([0.0], np.cumsum(each)))
-                model_bits += np.diff(np.concatenate(([0.0], total[ends]))).tolist()
-            longs = pa.list_(pa.int64())
+            texts = batch.column(1)
+            h, at, word = reader.tokens(texts)
+            c = classes(m["book"], h, word)
+            n = np.diff(at)
+            place = np.arange(len(h)) - np.repeat(at[:-1], n)
+            bits = np.concatenate([np.zeros(0), *[_token_bits(m, c[at[a] : at[b]], place[at[a] : at[b]]) for a, b in _spans_of(at, BATCH)]])
+            rare = c == REST
+            bits[rare] += _spelling_bits(m, reader, texts)[rare[word]]
+            chunk, starts = passages(h, at)
+            lists = np.searchsorted(starts, at)
+            told = np.add.reduceat(bits, starts) if len(starts) else bits
+            docs = np.repeat(np.arange(len(n)), n)[rare]
+            order = np.lexsort((h[rare], docs))
+            docs, words = docs[order], h[rare][order]
+            new = np.flatnonzero(np.append(True, (words[1:] != words[:-1]) | (docs[1:] != docs[:-1]))) if len(words) else np.zeros(0, np.int64)
+            times = np.diff(np.append(new, len(words)))
+            rare_at = np.searchsorted(docs[new], np.arange(len(n) + 1))
+            offsets, _ = text_bytes(texts)
+            head = np.add.reduceat(log_c[c], at[:-1]) if len(n) else np.zeros(0)
+            known = n - np.add.reduceat(rare.astype(np.int64), at[:-1]) if len(n) else n
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(2), pa.array([len((t.as_py() or "").encode("utf-8", "surrogatepass")) for t in batch.column(1)], pa.int64()), pa.array(n, pa.int64()), pa.array(known, pa.int64()), pa.array(head, pa.float64()), pa.array(model_bits, pa.float64()), pa.array(rare, longs), pa.array(rare_n, longs)],
-                names=["doc_id", "train", "n_bytes", "n_tokens", "known", "head", "bits", "rare", "rare_n"],
+                [batch.column(0), batch.column(2), pa.array(np.diff(offsets), pa.int64()), pa.array(n, pa.int64()), pa.array(known, pa.int64()), pa.array(head, pa.float64()), ragged(words[new].view(np.int64), rare_at), ragged(times.astype(np.int32), rare_at), ragged(chunk.view(np.int64), lists), ragged(told, lists)],
+                names=["doc_id", "train", "n_bytes", "n_tokens", "known", "head", "rare", "rare_n", "passages", "told"],
             )
 
     return run
 
 
-def learn(texts: DataFrame) -> dict:
-    """The model of the training ``texts`` (doc_id, text)."""
-    spark = texts.sparkSession
-    arrow_in_small_batches(spark)
-    words = texts.mapInArrow(_frequent, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    words = cut(words)
-    total = words.where("word is null").agg(F.sum("n")).first()[0] or 0
-    top = words.where("word is not null").orderBy(F.desc("n"), "word").limit(HEAD).collect()
-    head = [(bytes(r["word"]), r["n"]) for r in top] or [(END, 1)]
-    book = code_book(head, total - sum(n for _, n in head))
-    sent = spark.sparkContext.broadcast(_dump(book))
-    blocks = texts.mapInArrow(_count(sent), "kind int, block int, data binary").groupBy("kind", "block").applyInArrow(_add, "kind int, block int, data binary")
-    sizes = [max(1, len(head)), SLOTS, SLOTS, SLOTS]
-    counts = [np.zeros((2, s), np.int64) for s in sizes] + [np.zeros((1, len(head) + 1), np.int64)]
-    for r in blocks.collect():  # at most 3 * 256 blocks of contexts and 32 of the head, whatever the corpus
-        n = np.frombuffer(zstandard.ZstdDecompressor().decompress(bytes(r["data"])), np.int64).reshape(len(counts[r["kind"]]), -1)
-        counts[r["kind"]][:, r["block"] * BLOCK : r["block"] * BLOCK + n.shape[1]] = n
-    model = {"book": book, "counts": counts[:4], "words": counts[4][0]}
-    sent = spark.sparkContext.broadcast(_dump(model))
-    some = texts.where(F.pmod(F.xxhash64("doc_id"), F.lit(MIX_EVERY)) == 0)
-    sums = {r["i"]: r["v"] for r in some.mapInArrow(_fit(sent), "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).collect()}
-    flat = np.array([sums.get(i, 0.0) for i in range(GATES * INPUTS + GATES + 2 * GATES * STEPS)])
-    w, n, cells = np.split(flat, [GATES * INPUTS, GATES * INPUTS + GATES])
-    w, cells = w.reshape(GATES, INPUTS), cells.reshape(2, -1)
-    weights = np.where(n[:, None] > 0, w / np.maximum(n, 1)[:, None], Mixer([np.zeros((2, 1))] * 4).w)
-    level = 1 / (1 + np.exp(-np.tile(np.linspace(-12, 12, STEPS), GATES)))
-    refine = (cells[1] + 20 * level) / (cells.sum(0) + 20)
-    return model | {"weights": weights, "refine": refine}
+def _counted(looked: DataFrame, frequent: DataFrame) -> DataFrame:
+    """``looked`` (h, row, n, train and others) with c, how often ``h`` occurs in training texts, and lo, the first such row.
+
+    Passages that are frequent, which are at most HOT, are aggregated before they are shuffled.
+    """
+    at = Window.partitionBy("h")
+    c, lo = F.sum(F.when(F.col("train"), F.col("n"))), F.min(F.when(F.col("train"), F.col("row")))
+    rare = looked.join(F.broadcast(frequent), "h", "left_anti").withColumns({"c": c.over(at), "lo": lo.over(at)})
+    often = looked.join(F.broadcast(frequent), "h", "left_semi")
+    return rare.unionByName(often.join(F.broadcast(often.groupBy("h").agg(c.alias("c"), lo.alias("lo"))), "h"))
+
+
+def _flags(known: list, told: np.ndarray, log_all: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(taken from memory, bits, state of each passage); the state is what the two passages before were and how many bits are told."""
+    cost = np.full(len(told), np.inf)
+    for x in known:
+        cost[x["k"]] = log_all - math.log2(x["c"])
+    taken = cost < told
+    before = np.concatenate(([0], taken[:-1])).astype(np.int64)
+    second = np.concatenate(([0], before[:-1]))
+    return taken, np.where(taken, cost, told), (2 * before + second) * 4 + np.minimum(3, told.astype(np.int64) // 64)
+
+
+def _flag_counts(log_all: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(32, np.int64)
+        for batch in batches:
+            for known, told in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                taken, _, state = _flags(known or [], np.asarray(told.values), log_all)
+                n += np.bincount(2 * state + taken, minlength=32)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(32), pa.int32()), pa.array(n, pa.int64())], names=["i", "n"])
+
+    return run
+
+
+def _totals(log_all: float, flag_bits: np.ndarray):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bits = []
+            for known, told in zip(batch.column(1).to_pylist(), batch.column(2), strict=True):
+                taken, cost, state = _flags(known or [], np.asarray(told.values), log_all)
+                bits.append(float(cost.sum() + flag_bits[2 * state + taken].sum()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(bits, pa.float64())], names=["row", "bits"])
+
+    return run
 
 
 def score(docs: DataFrame, model: dict) -> DataFrame:
     """(doc_id, train, n_bytes, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte) of every row of ``docs`` (doc_id, text, train).
 
-    Rows with train are those the model was learnt from: the counts of rare words come from
-    them here. A null text is empty: its one token is the end. Repeated rows count as often
-    as they occur. Without training texts every token is unknown.
+    Rows with train are those the model was learnt from: the counts of rare words and passages
+    come from them here. A null text is empty: its one token is the end. Repeated rows count as
+    often as they occur. Without training texts every token is unknown.
     """
     spark = docs.sparkSession
     arrow_in_small_batches(spark)
     sent = spark.sparkContext.broadcast(_dump(model))
-    schema = "doc_id long, train boolean, n_bytes long, n_tokens long, known long, head double, bits double, rare array<long>, rare_n array<long>"
+    schema = "doc_id long, train boolean, n_bytes long, n_tokens long, known long, head double, rare array<long>, rare_n array<int>, passages array<long>, told array<double>"
     folder = f"{shared_folder(spark)}/lm-{uuid.uuid4().hex}"
     docs.select("doc_id", "text", "train").mapInArrow(_score(sent), schema).withColumn("row", F.monotonically_increasing_id()).write.parquet(folder)
     rows = spark.read.parquet(folder)
-    rare = rows.select("row", "train", F.explode(F.arrays_zip("rare", "rare_n")).alias("w")).select("row", F.col("w.rare").alias("h"), F.col("w.rare_n").cast("int").alias("n"), "train")
-    c = F.coalesce(F.sum(F.when(F.col("train"), F.col("n"))).over(Window.partitionBy("h")), F.lit(0))
-    counted = rare.withColumn("c", c)
-    first = F.row_number().over(Window.partitionBy("h").orderBy("row")) == 1
-    counted = counted.withColumn("new", (first & (F.col("c") > 0)).cast("long"))
-    sums = counted.groupBy("row").agg(F.sum(F.col("n") * F.log10(F.col("c") + 0.5)).alias("rare_log"), F.sum(F.when(F.col("c") > 0, F.col("n")).otherwise(0)).alias("rare_known"), F.sum("new").alias("new"), F.sum("n").alias("rare_n"))
-    sums = cut(sums)
-    known_head = int((model["words"][1:] > 0).sum())
-    total, rest = int(model["words"].sum()), int(model["words"][REST])
-    v_rest = sums.agg(F.sum("new")).first()[0] or 0
-    v = known_head + v_rest
-    base_log, rest_log = math.log10(total + 0.5 * (v + 1)), math.log10(rest + 0.5 * (v_rest + 1))
-    out = rows.drop("rare", "rare_n").join(sums, "row", "left")
-    rare_log, rare_n = F.coalesce("rare_log", F.lit(0.0)), F.coalesce("rare_n", F.lit(0))
-    score_ = F.col("bits") * math.log10(2) + rare_log - rare_n * rest_log
-    return out.select(
-        "doc_id",
-        "train",
-        "n_bytes",
-        "n_tokens",
-        (F.col("known") + F.coalesce("rare_known", F.lit(0))).alias("n_known"),
-        F.lit(total).cast("long").alias("train_tokens"),
-        (F.col("head") + rare_log - F.col("n_tokens") * base_log).alias("base_score"),
-        score_.alias("score"),
-        (-score_ / math.log10(2) / F.greatest("n_bytes", F.lit(1))).alias("bits_per_byte"),
-    )
+    rare = rows.select("row", "train", F.explode(F.arrays_zip("rare", "rare_n")).alias("w")).select("w.rare", "row", F.col("w.rare_n"), "train", F.lit(-1)).toDF("h", "row", "n", "train", "k")
+    told = rows.select("row", "train", F.posexplode("passages").alias("k", "h")).select("h", "row", F.lit(1).alias("n"), "train", "k")
+    top = told.agg(F.count("*").alias("n"), F.expr(f"approx_top_k(h, {HOT}, {10 * HOT})").alias("top"))  # results don't hang on it
+    frequent = cut(top.select("n", F.explode("top").alias("t")).where(F.col("t.count") * HOT >= F.col("n")).select(F.col("t.item").alias("h")))
+    word = F.col("k") < 0
+    counted = _counted(rare.union(told), frequent)
+    others: Column = F.col("c") - F.when(word | ~F.col("train"), 0).otherwise(1)
+    counted = counted.select("row", "k", "n", others.alias("c"), (word & F.col("train") & (F.col("row") == F.col("lo"))).alias("new")).where("c > 0")
+    one = F.struct("k", "n", "c")
+    found = counted.groupBy("row").agg(F.sort_array(F.collect_list(one)).alias("found"), F.count_if("new").alias("new"))  # at most a text's own words and passages
+    every = cut(rows.drop("rare", "rare_n", "passages").join(found, "row", "left").withColumn("found", F.coalesce("found", F.array().cast("array<struct<k:int,n:int,c:bigint>>"))))
+    sums = every.agg(F.sum("new"), F.sum(F.when(F.col("train"), F.size("told")))).first()
+    book, total = model["book"], model["tokens"]
+    v = int((book["n"][1:] > 0).sum()) + (sums[0] or 0)
+    log_all = math.log2(max(1, sums[1] or 0))
+    words = F.filter("found", lambda x: x["k"] < 0)
+    every = every.withColumns({"words": words, "known_passages": F.filter("found", lambda x: x["k"] >= 0)})
+    n = np.zeros(32)
+    for r in every.where("train").select("known_passages", "told").mapInArrow(_flag_counts(log_all), "i int, n long").groupBy("i").agg(F.sum("n").alias("n")).collect():
+        n[r["i"]] = r["n"]
+    n = n.reshape(16, 2) + 0.5
+    flag_bits = -np.log2(n / n.sum(1, keepdims=True)).ravel()
+    bits = every.select("row", "known_passages", "told").mapInArrow(_totals(log_all, flag_bits), "row long, bits double")
+    rare_log = F.aggregate("words", F.lit(0.0), lambda a, x: a + x["n"] * F.log10(x["c"] + 0.5))
+    rare_known = F.aggregate("words", F.lit(0).cast("long"), lambda a, x: a + x["n"])
+    unknown = F.col("n_tokens") - F.col("known") - rare_known
+    base = F.col("head") + rare_log + unknown * math.log10(0.5) - F.col("n_tokens") * math.log10(total + 0.5 * (v + 1))
+    out = every.select("row", "doc_id", "train", "n_bytes", "n_tokens", (F.col("known") + rare_known - int(book["n"][END] == 0)).alias("n_known"), F.lit(total).cast("long").alias("train_tokens"), base.alias("base_score"))
+    score_ = -F.col("bits") * math.log10(2)
+    return out.join(bits, "row").select("doc_id", "train", "n_bytes", "n_tokens", "n_known", "train_tokens", "base_score", score_.alias("score"), (F.col("bits") / F.greatest("n_bytes", F.lit(1))).alias("bits_per_byte"))
 
 
 def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores of all documents by a model of those that are not held out."""
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 1, F.lit(False))
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", (~held).alias("train"))
-    out = score(docs, learn(docs.where("train").select("doc_id", "text")))
+    out = score(docs, learn(docs.where("train")))
     return out.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte")

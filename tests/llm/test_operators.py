@@ -6,7 +6,7 @@ from collections import Counter
 
 import pytest
 
-from orbitlake.llm import decontamination, html_text, licenses, lm_scoring, mixing, near_dedup, quality_model, quality_rules, sharding, substring_dedup
+from orbitlake.llm import decontamination, html_text, licenses, mixing, near_dedup, quality_model, quality_rules, sharding, substring_dedup
 
 
 def texts():
@@ -131,16 +131,6 @@ def test_licenses(docs, empty):
     assert sum(r["n_base"] for r in rows.values()) == 2 and licenses.scan(empty).count() == 0
 
 
-def test_language_model(docs, empty):
-    train = docs.selectExpr("doc_id", "text", "doc_id % 2 = 0 AS train")
-    rows = lm_scoring.score(train, lm_scoring.learn(train.where("train"))).collect()
-    counts = Counter(x for i, t in enumerate(texts()) if i % 2 == 0 for x in lm_scoring.tokens(t))
-    for r in rows:
-        w = lm_scoring.tokens(texts()[r["doc_id"]])
-        assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == (len(w), sum(counts[x] > 0 for x in w), counts.total())
-        assert r["score"] < 0
-
-
 def test_quality_model():
     import numpy as np
 
