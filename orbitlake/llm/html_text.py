@@ -1,11 +1,11 @@
 """Main text of web pages by site template removal.
 
 Every element's subtree is hashed (tags and text). Spark counts on how many pages of a
-host each hash occurs; subtrees that recur across many pages of their host are its
+host, and of a section of it (the first part of the path), each hash occurs; subtrees that recur across many pages are
 template and are deleted. Beyond that, elements whose tag, role or class says menu,
 header, footer, sidebar, notice, advert, form or comments go, and an article or main
-element, where there is one, is all that is read. Paragraphs inside an article are never
-taken for template.
+element, where there is one, is all that is read. Headings and paragraphs inside an article go
+only if their class says advert or comments, or if it says any of the other things and they recur as well.
 """
 
 from __future__ import annotations
@@ -35,61 +35,82 @@ CLASS_WORDS = set(
     "disqus respond reply replies widget toolbar pagination pager skip".split()
 )
 PROSE = set("p h1 h2 h3 h4 h5 h6 blockquote pre".split())
+# Of these, what takes a heading or paragraph out of an article, and what doesn't take other elements out of it.
+ALWAYS = set("ad ads adv advert adverts advertisement advertising sponsor sponsored comment comments disqus".split())
+IN_ARTICLE = CLASS_WORDS - {"header", "masthead"}
 
+# Quantifiers give nothing back, and a quoted value has a longest length, so that no page takes more than about linear time.
+_VALUE = r"(?:[^>\"']++|\"[^\"]{0,65536}+\"|'[^']{0,65536}+')*+"
 TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<({RAW})\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)"
-    r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*'|[\"'])*?)>|<[!?/][^>]*(?:>|\Z)|<[a-zA-Z][^<>]*\Z|[^<]+|<",
+    rf"<!--.*?(?:-->|\Z)|<({RAW})\b{_VALUE}>.*?(?:</\1\s*+>|\Z)"
+    rf"|<(/?)([a-zA-Z][^\s/>]*+)({_VALUE})>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>|<[!?/][^>]*+(?:>|\Z)|[^<]++|<",
     re.S | re.I,
 )
-ATTRIBUTE = re.compile(r"([^\s=\"'>/]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+ATTRIBUTE = re.compile(r"([^\s=\"'>/]++)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s\"'>]++)))?")
 SPACE = re.compile(r"\s+")
 
-#: A subtree is template if it is on so many pages of its host, and on this share of them.
-PAGES, SHARE = 5, 0.2
+#: A subtree is template if it is on PAGES pages of its host or section and on SHARE of them; outside articles MANY pages do.
+PAGES, SHARE, MANY = 5, 0.2, 50
 
 
 class Node:
-    __slots__ = ("hash", "inside", "parts", "tag", "unwanted")
+    __slots__ = ("hash", "inside", "parts", "suspect", "tag", "unwanted")
 
-    def __init__(self, tag: str, unwanted: bool, inside: bool):
-        self.tag, self.unwanted, self.inside, self.parts, self.hash = tag, unwanted, inside, [], 0
+    def __init__(self, tag: str, unwanted: bool, inside: bool, suspect: bool = False):
+        self.tag, self.unwanted, self.inside, self.suspect, self.parts, self.hash = tag, unwanted, inside, suspect, [], 0
 
+    @property
+    def kept_prose(self) -> bool:
+        return self.inside and self.tag in PROSE and not self.suspect
 
-def _unwanted(tag: str, attributes: str, inside: bool) -> bool:
+
+def _judge(tag: str, attributes: str, inside: bool) -> tuple[bool, bool]:
+    """(unwanted, suspect: unwanted if it recurs) by tag and attributes."""
     if tag in DROPPED or tag == "header" and not inside:
-        return True
+        return True, False
+    suspect = False
     if not attributes.strip(" /"):
-        return False
+        return False, False
     for m in ATTRIBUTE.finditer(attributes):
         name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
         if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and "display:none" in value.replace(" ", ""):
-            return True
+            return True, False
         if name == "role" and value.strip() in ROLES:
-            return True
-        if name in ("class", "id") and tag not in ("html", "body", "article", "main") and CLASS_WORDS & set(re.split(r"[\s_-]+", value)):
-            return True
-    return False
+            return True, False
+        if name in ("class", "id") and tag not in ("html", "body", "article", "main"):
+            said = set(re.split(r"[\s_-]+", value))
+            if not inside:
+                if CLASS_WORDS & said:
+                    return True, False
+            elif tag not in PROSE:
+                if IN_ARTICLE & said:
+                    return True, False
+            elif ALWAYS & set(value.split()):
+                return True, False
+            else:
+                suspect |= bool(IN_ARTICLE & said)
+    return False, suspect
 
 
 def parse(source: str) -> Node:
-    """Tree of a page; what follows an element that is never closed belongs to it."""
+    """Tree of a page; what follows an element that is never closed belongs to it, and a tag that never ends is left out."""
     root = Node("", False, False)
     stack = [root]
-
-    def close(to: int) -> None:
-        del stack[to:]
+    end = source.rfind(">") + 1
+    begun = re.search(r"<[a-zA-Z/!?]", source[end:])
+    source = source[: end + begun.start()] if begun else source
 
     for m in TOKEN.finditer(source):
-        tag = m[3]
+        tag = m[3] or m[6]
         if tag is None:
             if m[1] is None and not m[0].startswith("<") or m[0] == "<":
                 stack[-1].parts.append(html.unescape(m[0]))
             continue
         tag = tag.lower()
-        if m[2]:
+        if m[2] or m[5]:
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i].tag == tag:
-                    close(i)
+                    del stack[i:]
                     break
                 if stack[i].tag in ("article", "main", "td", "th", "table") and tag in INLINE | {"p", "li"}:
                     break
@@ -98,12 +119,13 @@ def parse(source: str) -> Node:
         if ends:
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i].tag in ends:
-                    close(i)
+                    del stack[i:]
                     break
                 if stack[i].tag not in INLINE and stack[i].tag != "p":
                     break
         inside = stack[-1].inside or tag in ("article", "main")
-        node = Node(tag, _unwanted(tag, m[4] or "", inside), inside)
+        unwanted, suspect = _judge(tag, m[4] or m[7] or "", inside)
+        node = Node(tag, unwanted, inside, suspect)
         stack[-1].parts.append(node)
         if tag not in VOID:
             stack.append(node)
@@ -132,16 +154,16 @@ def _has_text(node: Node) -> bool:
     return any(isinstance(x, str) and not x.isspace() for n, left in _walk(node) if not left for x in n.parts)
 
 
-def candidates(root: Node) -> set[int]:
-    """Hashes of the subtrees that may be template: not the page's frame, nor prose inside an article."""
-    found, skip = set(), None
+def candidates(root: Node) -> dict[int, bool]:
+    """Hashes of the subtrees that may be template, and whether they stand inside an article: not the page's frame, nor plain prose inside an article."""
+    found, skip = {}, None
     for node, left in _walk(root):
         if skip is not None:
             skip = None if node is skip and left else skip
         elif not left and node.unwanted:
             skip = node
-        elif left and node.tag not in ("", "html", "body", "article", "main") and node.tag not in INLINE and not (node.inside and node.tag in PROSE) and _has_text(node):
-            found.add(node.hash)
+        elif left and node.tag not in ("", "html", "body", "article", "main") and node.tag not in INLINE and not node.kept_prose and _has_text(node):
+            found[node.hash] = found.get(node.hash, False) or node.inside
     return found
 
 
@@ -167,7 +189,7 @@ def text_of(root: Node, template: set[int] = frozenset()) -> str:
                 line.append(x[0])
         elif x.tag in ("br", "wbr", "img", "hr"):
             line.append("" if x.tag == "wbr" else "\n") if x.tag != "hr" else flush()
-        elif not x.unwanted and (x.hash not in template or x.tag in ("", "html", "body", "article", "main") or x.inside and x.tag in PROSE):
+        elif not x.unwanted and (x.hash not in template or x.tag in ("", "html", "body", "article", "main") or x.kept_prose):
             if x.tag not in INLINE:
                 flush()
                 stack.append(None)
@@ -176,20 +198,27 @@ def text_of(root: Node, template: set[int] = frozenset()) -> str:
     return "\n\n".join(blocks)
 
 
-def _host(url: str | None) -> str:
-    m = re.match(r"(?:[a-z][a-z0-9+.-]*:)?//([^/?#]*)", url or "", re.I)
-    return m[1].rpartition("@")[2].lower() if m else ""
+def _site(url: str | None) -> tuple[str, str]:
+    """Host and section (the first part of the path, if another follows)."""
+    m = re.match(r"(?:[a-z][a-z0-9+.-]*:)?//([^/?#]*)/*([^/?#]*)(/)?", url or "", re.I)
+    return (m[1].rpartition("@")[2].lower(), m[2] if m[3] else "") if m else ("", "")
+
+
+FOUND = "key long, host string, section string, subtrees array<struct<hash:long,inside:boolean>>"
 
 
 def _subtrees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    kind = pa.list_(pa.struct([("hash", pa.int64()), ("inside", pa.bool_())]))
     for batch in batches:
-        hosts, hashes = [], []
-        for url, page in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+        hosts, sections, subtrees = [], [], []
+        for url, page in zip(batch.column(1).to_pylist(), batch.column(2), strict=True):
             root = parse(page.as_py() or "")
             set_hashes(root)
-            hosts.append(_host(url))
-            hashes.append(sorted(candidates(root)))
-        yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(hashes, pa.list_(pa.int64()))], names=["host", "hashes"])
+            host, section = _site(url)
+            hosts.append(host)
+            sections.append(section)
+            subtrees.append([{"hash": h, "inside": inside} for h, inside in sorted(candidates(root).items())])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(hosts, pa.string()), pa.array(sections, pa.string()), pa.array(subtrees, kind)], names=["key", "host", "section", "subtrees"])
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -197,27 +226,39 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts = []
         for page, template in zip(batch.column(2), batch.column(3).to_pylist(), strict=True):
             root = parse(page.as_py() or "")
-            set_hashes(root)
+            if template:
+                set_hashes(root)
             texts.append(text_of(root, set(template or ())))
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
 
 
+def _template(found: DataFrame) -> DataFrame:
+    """(host, hash, section) of the template's subtrees; section is null for those of the whole host."""
+    each = found.select("key", "host", "section", F.explode("subtrees").alias("s")).select("host", "section", "s.hash", "s.inside")
+    by_section = each.groupBy("host", "section", "hash").agg(F.count("*").alias("n"), F.max("inside").alias("inside"))
+    by_host = by_section.groupBy("host", "hash").agg(F.sum("n").alias("n"), F.max("inside").alias("inside"))
+    sections = found.groupBy("host", "section").agg(F.count("*").alias("pages"))
+    hosts = sections.groupBy("host").agg(F.sum("pages").alias("pages"))
+    often = (F.col("n") >= PAGES) & ((F.col("n") >= SHARE * F.col("pages")) | ~F.col("inside") & (F.col("n") >= MANY))
+    whole = by_host.where(F.col("n") >= PAGES).join(hosts, "host").where(often).select("host", "hash", F.lit(None).cast("string").alias("section"))
+    return whole.union(by_section.where(F.col("n") >= PAGES).join(sections, ["host", "section"]).where(often).select("host", "hash", "section"))
+
+
 def main_text(pages: DataFrame) -> DataFrame:
     """(page_id, url, text) for every row of ``pages`` (page_id, url, html).
 
     Null html is empty, and an empty page has empty text. Pages without a host in their url
-    count as one host. Counts are of rows, so a repeated row counts again.
+    count as one host. A row that is repeated in all three columns counts once. Other columns are ignored.
     """
-    arrow_in_small_batches(pages.sparkSession)
-    found = pages.select("url", "html").mapInArrow(_subtrees, "host string, hashes array<long>")
-    found = cut(found)
-    counts = found.select("host", F.explode("hashes").alias("hash")).groupBy("host", "hash").agg(F.count("*").alias("n")).where(F.col("n") >= PAGES)
-    hosts = found.groupBy("host").agg(F.count("*").alias("pages"))
-    template = counts.join(hosts, "host").where(F.col("n") >= SHARE * F.col("pages"))
-    # a host has at most pages * subtrees / (SHARE * pages) template subtrees: as many as a few pages hold
-    lists = cut(template.groupBy("host").agg(F.sort_array(F.collect_set("hash")).alias("template")))
-    own = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"(?i)^(?:[a-z][a-z0-9+.-]*:)?//(?:[^/?#]*@)?([^/?#]*)", 1))
-    rows = pages.select("page_id", "url", "html", own.alias("host")).join(if_small(lists, 20_000), "host", "left")
+    spark = pages.sparkSession
+    arrow_in_small_batches(spark)
+    pages = pages.select("page_id", "url", "html", F.xxhash64("page_id", "url", "html").alias("key"))
+    found = cut(pages.select("key", "url", "html").mapInArrow(_subtrees, FOUND).dropDuplicates(["key"]))
+    template = cut(_template(found))
+    met = found.select("key", "host", "section", F.explode("subtrees").alias("s")).select("key", "host", "section", "s.hash")
+    same = met.join(if_small(template.withColumnRenamed("section", "of"), 500_000), ["host", "hash"]).where("of is null or of = section")
+    lists = cut(same.groupBy("key").agg(F.sort_array(F.collect_set("hash")).alias("template")))  # at most a page's own subtrees
+    rows = pages.join(if_small(lists, 20_000), "key", "left")
     return rows.select("page_id", "url", "html", "template").mapInArrow(_extract, "page_id long, url string, text string")
 
 
