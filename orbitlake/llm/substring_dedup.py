@@ -84,7 +84,7 @@ def _first_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Windows that chose one of the document's given anchors: hashes and starts."""
+    """Windows that chose one of the document's given anchors: hashes and, for each, its first start."""
     unpack, read = zstandard.ZstdDecompressor(), WordHashes(lower=False)
     for batch in batches:
         h, at = read(pa.array([unpack.decompress(x.as_py()) for x in batch.column(2)], pa.binary()))
@@ -95,9 +95,13 @@ def _extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             here = slice(cuts[i], cuts[i + 1])
             asked[here] = np.isin(g[chosen[here]], np.asarray(seeds.values).astype(np.int64).view(np.uint64))
         found = starts[asked]
-        sizes = np.searchsorted(found, at)
-        texts = np.repeat(np.arange(len(at) - 1), np.diff(sizes))
-        windows = _rolling(h, SPAN)[found].view(np.int64)
+        texts = np.repeat(np.arange(len(at) - 1), np.diff(np.searchsorted(found, at)))
+        windows = _rolling(h, SPAN)[found]
+        order = np.lexsort((found, windows, texts))
+        found, texts, windows = found[order], texts[order], windows[order].view(np.int64)
+        first = np.append(True, (windows[1:] != windows[:-1]) | (texts[1:] != texts[:-1]))[: len(found)]
+        found, texts, windows = found[first], texts[first], windows[first]
+        sizes = np.searchsorted(texts, np.arange(len(at)))
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), ragged(windows, sizes), ragged((found - at[texts]).astype(np.int32), sizes)], names=["doc_id", "key", "h", "at"])
 
 
@@ -110,12 +114,15 @@ def repeats(starts: np.ndarray, n: int) -> np.ndarray:
 
 
 def _delete(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    unpack = zstandard.ZstdDecompressor()
+    """The texts without the words of all windows that are equal to those at the given starts."""
+    unpack, read = zstandard.ZstdDecompressor(), WordHashes(lower=False)
     for batch in batches:
-        removed, kept = [], []
-        for packed, starts in zip(batch.column(2), batch.column(3), strict=True):
-            w = unpack.decompress(packed.as_py()).split()
-            gone = repeats(np.asarray(starts.values).astype(np.int64), len(w))
+        texts, removed, kept = [unpack.decompress(x.as_py()) for x in batch.column(2)], [], []
+        h, at = read(pa.array(texts, pa.binary()))
+        for i, starts in enumerate(batch.column(3)):
+            w = texts[i].split()
+            windows = _rolling(h[at[i] : at[i + 1]], SPAN)
+            gone = repeats(np.flatnonzero(np.isin(windows, windows[np.asarray(starts.values).astype(np.int64)])), len(w))
             removed.append(int(gone.sum()))
             kept.append(b" ".join(x for x, d in zip(w, gone.tolist(), strict=True) if not d).decode("utf-8", "surrogatepass"))
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(removed, pa.int64()), pa.array(kept, pa.string())], names=["doc_id", "key", "n_removed", "kept"])
