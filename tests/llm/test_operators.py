@@ -6,7 +6,7 @@ from collections import Counter
 
 import pytest
 
-from orbitlake.llm import decontamination, html_text, licenses, mixing, near_dedup, quality_model, quality_rules, sharding, substring_dedup
+from orbitlake.llm import decontamination, mixing, near_dedup, quality_model, quality_rules, substring_dedup
 
 
 def texts():
@@ -101,16 +101,6 @@ def test_mixing(spark, docs, empty):
     assert mixing.mix(empty).count() == 0
 
 
-def test_sharding(spark, docs, empty):
-    many = docs.union(docs.where("doc_id = 2"))
-    rows = sharding.shard(many, 4).collect()
-    assert len(rows) == many.count()
-    for s in range(4):
-        slots = sorted(r["slot"] for r in rows if r["shard"] == s)
-        assert slots == list(range(len(slots))) and len(rows) // 4 <= len(slots) <= -(-len(rows) // 4)
-    assert sharding.shard(empty, 4).count() == 0
-
-
 def test_decontamination(spark, docs, empty):
     item = "A train leaves at 7 with 12 boxes for Maria and drives 40 km to the old harbour, where Maria unloads 12 boxes"
     other = item.replace("12", "15").replace("Maria", "Peter").replace("40", "52")
@@ -124,13 +114,6 @@ def test_decontamination(spark, docs, empty):
     assert decontamination.contaminated(docs.limit(0), bench).count() == 0 and decontamination.contaminated(rows, bench.limit(0)).count() == 0
 
 
-def test_licenses(docs, empty):
-    rows = {r["doc_id"]: r for r in licenses.scan(docs).collect()}
-    hit = next(i for i, t in enumerate(texts()) if t and "License" in t)
-    assert (rows[hit]["n_base"], rows[hit]["first_word"], rows[hit]["last_word"], rows[hit]["base_labels"]) == (2, 0, 3, "cc-by,mit")
-    assert sum(r["n_base"] for r in rows.values()) == 2 and licenses.scan(empty).count() == 0
-
-
 def test_quality_model():
     import numpy as np
 
@@ -141,10 +124,3 @@ def test_quality_model():
     assert ((p > 0.5) == y[400:]).mean() > 0.85
     assert quality_model.fit(x[:0], y[:0]).predict(x[:3]).tolist() == [0.5] * 3
     assert quality_model.statistics(None) == quality_model.statistics(" ")
-
-
-def test_page_text(spark):
-    page = "<html><body><nav><a>Menu</a></nav><div class='box'>Site words</div><article><h1>T &amp; t</h1><p>First <b>bold</b>\n text<p>Second</article><footer>f</footer>"
-    rows = spark.createDataFrame([(i, f"http://a.example/{i}", page.replace("Second", f"Second {i}")) for i in range(6)] + [(9, None, None), (10, "x", "plain")], "page_id long, url string, html string")
-    found = {r["page_id"]: r["text"] for r in html_text.main_text(rows).collect()}
-    assert found[3] == "T & t\n\nFirst bold text\n\nSecond 3" and found[9] == "" and found[10] == "plain"
