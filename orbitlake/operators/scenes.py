@@ -192,7 +192,7 @@ TEXTS = {
     "b2_categories": (["documents"], "d AS (SELECT doc_id, source || '_' || lang || '_' || doc_id AS name FROM {documents}), c AS (SELECT doc_id, coalesce(nullif(regexp_extract(lower(name), '^([a-z]+)[_0-9]', 1), ''), 'unclassified') AS letters, coalesce(nullif(regexp_extract(lower(name), '^([^_]*)_', 1), ''), 'unclassified') AS first_part, coalesce(nullif(regexp_extract(name, '^(.*)_', 1), ''), 'unknown') AS all_but_last FROM d) SELECT letters, first_part, all_but_last, count(*) AS n FROM c GROUP BY letters, first_part, all_but_last"),
     "c2_pair_completeness": (["documents", "labels", "embeddings"], "a AS (SELECT doc_id AS id, 1 AS side FROM {documents} UNION ALL SELECT doc_id, 2 FROM {labels} UNION ALL SELECT vec_id, 4 FROM {embeddings}), s AS (SELECT id, CAST(sum(DISTINCT side) AS INT) AS sides FROM a GROUP BY id) SELECT CASE WHEN sides % 2 = 0 THEN 'missing in A' WHEN sides % 4 < 2 THEN 'missing in B' WHEN sides < 4 THEN 'missing label' ELSE 'complete' END AS outcome, count(*) AS n FROM s GROUP BY CASE WHEN sides % 2 = 0 THEN 'missing in A' WHEN sides % 4 < 2 THEN 'missing in B' WHEN sides < 4 THEN 'missing label' ELSE 'complete' END"),
     "c3_attach_captions": (["documents", "captions"], "c AS (SELECT image_id, count(text) AS n FROM {captions} GROUP BY image_id) SELECT doc_id, coalesce(n, 0) AS caption_count FROM {documents} LEFT JOIN c ON doc_id = image_id"),
-    "h12_fallback_captions": (["captions"], "k AS (SELECT DISTINCT image_id, category FROM {captions}), f AS (SELECT * FROM (VALUES (0, 'an aerial image of '), (1, 'a scene with '), (2, 'a view from above of ')) t(caption_idx, lead_in)) SELECT image_id, caption_idx, lead_in || replace(category, '_', ' ') AS caption FROM k CROSS JOIN f"),
+    "h12_fallback_captions": (["captions"], "k AS (SELECT DISTINCT image_id, category FROM {captions}), f AS (SELECT * FROM (VALUES (0, 'an aerial photograph of '), (1, 'a remote sensing image showing '), (2, 'satellite view of ')) t(caption_idx, lead_in)) SELECT image_id, caption_idx, lead_in || replace(category, '_', ' ') AS caption FROM k CROSS JOIN f"),
 }
 CTES = {"pixels": fixtures.SQL_PIXELS, "scores": fixtures.SQL_SCORES, "captions": fixtures.SQL_CAPTIONS}
 

@@ -156,9 +156,13 @@ def d1_corpus(spark: SparkSession, d: str) -> DataFrame:
     return captions(spark, d).rollup("category").agg(F.count_distinct("image_id").alias("images"), F.count("*").alias("captions"), F.round(F.avg(w), 6).alias("mean_words"))
 
 
+# fixed values: templates of prompts
+PROMPTS = ("%s", "a satellite image of %s", "a remote sensing image of %s", "an overhead image showing %s", "an aerial photograph of %s")
+
+
 def h10_prompts(spark: SparkSession, d: str) -> DataFrame:
     """Queries without end marks, in each of five templates."""
-    forms = F.array(*map(F.lit, ("%s", "a photo of %s", "an aerial view of %s", "a satellite picture of %s", "%s seen from above")))
+    forms = F.array(*map(F.lit, PROMPTS))
     q = F.regexp_replace(F.trim("text"), "[.!?]+$", "")
     return captions(spark, d).select(query_id().alias("query"), F.posexplode(F.transform(forms, lambda f: F.replace(f, F.lit("%s"), q))).alias("form", "prompt"))
 
@@ -207,6 +211,6 @@ SQL = {
     "h6_bm25_leave_one_out_metrics": LOO + "SELECT category, count(*) AS queries, round(avg((rank <= 1)::INT), 6) AS r1, round(avg((rank <= 5)::INT), 6) AS r5, round(avg((rank <= 10)::INT), 6) AS r10, round(avg(1 / rank), 6) AS mrr FROM ranks GROUP BY ROLLUP (category)",
     "d14_failures": LOO + f"SELECT CASE WHEN w <= 4 THEN 'short' ELSE 'broad' END AS kind, count(*) AS n FROM ranks JOIN (SELECT {QID} AS query, {SPACES} AS w FROM captions) USING (query) WHERE rank > 10 GROUP BY ALL",
     "d1_corpus": f"WITH {SQL_CAPTIONS} SELECT category, count(DISTINCT image_id) AS images, count(*) AS captions, round(avg({SPACES}), 6) AS mean_words FROM captions GROUP BY ROLLUP (category)",
-    "h10_prompts": f"WITH {SQL_CAPTIONS}, forms AS (SELECT unnest(range(5))::INT AS form, unnest(['%s', 'a photo of %s', 'an aerial view of %s', 'a satellite picture of %s', '%s seen from above']) AS f) SELECT {QID} AS query, form, replace(f, '%s', regexp_replace(trim(text), '[.!?]+$', '')) AS prompt FROM captions, forms",
+    "h10_prompts": f"WITH {SQL_CAPTIONS}, forms AS (SELECT unnest(range(5))::INT AS form, unnest({list(PROMPTS)}) AS f) SELECT {QID} AS query, form, replace(f, '%s', regexp_replace(trim(text), '[.!?]+$', '')) AS prompt FROM captions, forms",
     "h11_leakage": f"WITH {SQL_CAPTIONS} SELECT lower(trim(text)) AS text, count(DISTINCT image_id) AS images FROM captions GROUP BY ALL HAVING images > 1",
 }
