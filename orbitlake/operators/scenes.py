@@ -26,8 +26,8 @@ GAMMAS = ["0e0", "1e-1", "2e-1", "3e-1", "4e-1", "5e-1", "6e-1"]
 TAUS = ["3e-1", "3.5e-1", "4e-1", "4.5e-1", "5e-1", "5.5e-1", "6e-1"]
 
 
-def luma(i: int) -> str:
-    r, g, b = LUMA
+def luma(i: int, weights: tuple[str, str, str] = LUMA) -> str:
+    r, g, b = weights
     return f"({r} * r{i} + {g} * g{i} + {b} * b{i}) / 2.55e2"
 
 
@@ -68,9 +68,9 @@ def separable(source: str, out: str, values: list[str], kept: list[str], radius:
     return ", ".join(steps)
 
 
-def gaussian(sigma: float) -> list[float]:
-    """Weights at distances 0 to 4 sigma; with both sides they add up to 1."""
-    w = [math.exp(-k * k / (2 * sigma * sigma)) for k in range(int(4 * sigma + 0.5) + 1)]
+def gaussian(sigma: float, radius: int | None = None) -> list[float]:
+    """Weights at distances 0 to ``radius`` (4 sigma); with both sides they add up to 1."""
+    w = [math.exp(-k * k / (2 * sigma * sigma)) for k in range((int(4 * sigma + 0.5) if radius is None else radius) + 1)]
     return [x / (w[0] + 2 * sum(w[1:])) for x in w]
 
 
@@ -112,6 +112,21 @@ def counted(by: str, pred: str, source: str) -> str:
     return f"cm AS (SELECT {by}, {sums} FROM {source} GROUP BY {by}) SELECT {by}, tp, fp, fn, tn, {METRICS} FROM cm"
 
 
+# fixed values: luma weights of the structural similarity, and its stabilisers for values in [0, 1]
+SSIM_LUMA, SSIM_C = ("2.99e-1", "5.87e-1", "1.14e-1"), ("1e-4", "9e-4")
+
+
+def ssim_dissimilarity() -> str:
+    """CTEs that end in ssim (scene_id, y, x, gt, p): 1 - SSIM of the lumas within 11 gaussian taps of sigma 1.5, clipped to [0, 1]."""
+    c1, c2 = SSIM_C
+    top = f"(2 * u * v + {c1}) * (2 * (uv - u * v) + {c2})"
+    bottom = f"(u * u + v * v + {c1}) * (uu - u * u + vv - v * v + {c2})"
+    return f"""lumas AS (SELECT scene_id, y, x, gt, {luma(1, SSIM_LUMA)} AS u, {luma(2, SSIM_LUMA)} AS v FROM {PIX}),
+products AS (SELECT scene_id, y, x, gt, u, v, u * u AS uu, v * v AS vv, u * v AS uv FROM lumas),
+{separable("products", "smooth", ["u", "v", "uu", "vv", "uv"], ["gt"], 5, gaussian(1.5, 5))},
+ssim AS (SELECT scene_id, y, x, gt, least(1e0, greatest(0e0, 1 - {top} / ({bottom}))) AS p FROM smooth)"""
+
+
 FULL = defect(*WEIGHTS)
 ABLATION = {
     "full": gated(GAMMA, FULL),
@@ -168,6 +183,7 @@ def _moved(axis: str, k: int) -> str:
 OFFSETS = ", ".join(f"({dy}, {dx})" for dy in (-1, 0, 1) for dx in (-1, 0, 1))
 #: Name: (inputs, SQL after WITH).
 TEXTS = {
+    "j4_ssim_dissimilarity": (["pixels"], f"{ssim_dissimilarity()} {means('ssim', 'p')}"),
     "j8_blur": (["pixels"], f"bl0 AS (SELECT scene_id, y, x, {luma(2)} AS v, {luma(2)} AS u FROM {PIX}), " + ", ".join(_blurred(s) for s in (1, 2, 4)) + ", every AS (" + " UNION ALL ".join(f"SELECT {s} AS sigma, scene_id, abs(u - v) AS e FROM bl{s}" for s in (1, 2, 4)) + ") SELECT scene_id, sigma, round(avg(e), 6) AS mean, round(max(e), 6) AS most FROM every GROUP BY scene_id, sigma"),
     "j9_shift": (["pixels"], "mv AS (" + " UNION ALL ".join(f"SELECT {k} AS shift, a.scene_id, a.gt, abs({luma(1).replace('r1', 'a.r1').replace('g1', 'a.g1').replace('b1', 'a.b1')} - {luma(2).replace('r2', 'b.r2').replace('g2', 'b.g2').replace('b2', 'b.b2')}) AS e FROM {PIX} a JOIN {PIX} b ON a.scene_id = b.scene_id AND b.y = {_moved('y', k)} AND b.x = {_moved('x', k)}" for k in (1, 3, 5)) + ") SELECT scene_id, shift, count(*) AS n, round(avg(e), 6) AS mean FROM mv GROUP BY scene_id, shift"),
     "j10_shadow": (["pixels"], f"c AS ({CONDITIONS}) SELECT scene_id, cond, round(avg({DIFF}), 6) AS mean FROM c WHERE cond LIKE 'shadow%' GROUP BY scene_id, cond"),
