@@ -126,9 +126,9 @@ def d2_class_pixels(spark: SparkSession, d: str) -> DataFrame:
 
 
 def d24_patches(spark: SparkSession, d: str) -> DataFrame:
-    """Changed pixels of 16x16 patches, numbered by rows."""
-    patch = (F.floor(F.col("y") / 16) * 4 + F.floor(F.col("x") / 16)).cast("int")
-    return pixels(spark, d).groupBy("scene_id", patch.alias("patch")).agg(F.sum("gt").alias("changed"), F.round(F.sum("gt") / 256, 6).alias("share"), F.max("gt").alias("positive"))
+    """Changed pixels of 4x4 patches (less at the far borders), numbered by rows."""
+    patch = (F.floor(F.col("y") / 4) * 5 + F.floor(F.col("x") / 4)).cast("int")
+    return pixels(spark, d).groupBy("scene_id", patch.alias("patch")).agg(F.sum("gt").alias("changed"), F.round(F.sum("gt") / 16, 6).alias("share"), F.max("gt").alias("positive"))
 
 
 def _mask(spark: SparkSession, d: str) -> DataFrame:
@@ -177,6 +177,6 @@ SQL = {
     "j18_quality_gate": f"WITH {SQL_PIXELS}, p AS (SELECT scene_id, {D} AS p, abs({_luma(1)} - {_luma(2)}) AS q, gamma FROM pixels, (SELECT unnest([0.0::DOUBLE, 0.3, 0.6]) AS gamma)) SELECT scene_id, gamma, round(avg(p * (1 - gamma * 4 * p * (1 - p) * q)), 6) AS mean FROM p GROUP BY ALL",
     "j19_vari": f"WITH {SQL_PIXELS} SELECT scene_id, gt, round(avg({_vari(1)}), 6) AS before, round(avg({_vari(2)}), 6) AS after FROM pixels GROUP BY ALL",
     "d2_class_pixels": f"WITH {SQL_PIXELS} SELECT count(*) AS pixels, sum(gt)::BIGINT AS changed, round(avg(gt), 6) AS share FROM pixels",
-    "d24_patches": f"WITH {SQL_PIXELS} SELECT scene_id, ((y // 16) * 4 + x // 16)::INT AS patch, sum(gt)::BIGINT AS changed, round(sum(gt) / 256, 6) AS share, max(gt) AS positive FROM pixels GROUP BY ALL",
+    "d24_patches": f"WITH {SQL_PIXELS} SELECT scene_id, ((y // 4) * 5 + x // 4)::INT AS patch, sum(gt)::BIGINT AS changed, round(sum(gt) / 16, 6) AS share, max(gt) AS positive FROM pixels GROUP BY ALL",
     "l1_morphology": MORPH + " SELECT scene_id, sum(m)::BIGINT AS set_pixels FROM m8 GROUP BY ALL",
 }

@@ -14,8 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from orbitlake.operators.evaluation import METRICS
 from orbitlake.sources import fixtures
+from orbitlake.sources.fixtures import SIDE
 
-SIDE = 64
 PIX = "{pixels}"
 DIFF = "(abs(r1 - r2) + abs(g1 - g2) + abs(b1 - b2)) / 7.65e2"
 # fixed values: luma weights, signal weights, frozen thresholds, gate grid
@@ -200,9 +200,9 @@ TEXTS = {
     "d9_otsu": (["scores"], "h AS (SELECT model, CAST(least(floor(score * 256), 255) AS INT) AS b, count(*) * 1e0 AS n FROM {scores} GROUP BY model, CAST(least(floor(score * 256), 255) AS INT)), c AS (SELECT model, b, sum(n) OVER (PARTITION BY model ORDER BY b) AS w0, sum(n * (b + 5e-1) / 256) OVER (PARTITION BY model ORDER BY b) AS m0, sum(n) OVER (PARTITION BY model) AS w, sum(n * (b + 5e-1) / 256) OVER (PARTITION BY model) AS m FROM h), v AS (SELECT model, b, CASE WHEN w > w0 THEN round(w0 / w * (1 - w0 / w) * pow(m0 / w0 - (m - m0) / (w - w0), 2), 9) ELSE 0e0 END AS between_var FROM c) SELECT model, round((b + 5e-1) / 256, 6) AS tau, between_var FROM (SELECT *, row_number() OVER (PARTITION BY model ORDER BY between_var DESC, b) AS rn FROM v) t WHERE rn = 1"),
     "j20_regional_vari": (["pixels"], f"box AS (SELECT scene_id, min(y) AS y0, max(y) AS y1, min(x) AS x0, max(x) AS x1 FROM {PIX} WHERE gt = 1 GROUP BY scene_id), r AS (SELECT p.scene_id, avg({_vari(1)}) AS v1, avg({_vari(2)}) AS v2 FROM {PIX} p JOIN box b ON p.scene_id = b.scene_id AND y BETWEEN y0 AND y1 AND x BETWEEN x0 AND x1 GROUP BY p.scene_id), d AS (SELECT scene_id, round(v1, 6) AS v_before, round(v2, 6) AS v_after, round(v2 - v1, 6) AS delta FROM r) SELECT *, CASE WHEN delta >= 1.5e-1 THEN 'up' WHEN delta <= -1.5e-1 THEN 'down' ELSE 'stable' END AS trend, CASE WHEN delta >= 2e-1 THEN 'vegetation_increase' WHEN delta <= -2e-1 THEN 'vegetation_decrease' ELSE 'uncertain' END AS category FROM d"),
     "j22_vari_exposure": (["pixels"], f"e AS (SELECT * FROM (VALUES (1e0), (1.6e0), (4e-1)) t(exposure)), p AS (SELECT exposure, gt, least(2.55e2, r1 * exposure) AS r1, least(2.55e2, g1 * exposure) AS g1, least(2.55e2, b1 * exposure) AS b1 FROM {PIX} CROSS JOIN e), v AS (SELECT exposure, gt, {_vari(1)} AS v FROM p) SELECT exposure, gt, round(avg(v), 5) AS mean, round(min(v), 5) AS lo, round(max(v), 5) AS hi FROM v GROUP BY exposure, gt"),
-    "k2_padded_patches": (["pixels"], f"p AS (SELECT scene_id, CAST(floor(y / 24) * 3 + floor(x / 24) AS INT) AS patch, gt FROM {PIX}) SELECT scene_id, patch, count(*) AS pixels, CAST(sum(gt) AS BIGINT) AS changed, round(sum(gt) / 5.76e2, 6) AS share, count(*) < 576 AS is_padded FROM p GROUP BY scene_id, patch"),
-    "k3_reconstruct": (["pixels"], f"o AS (SELECT * FROM (VALUES (0), (1)) t(o)), p AS (SELECT scene_id, y, x, {luma(2)} AS v, CAST(floor(y / 8) AS INT) - a.o AS py, CAST(floor(x / 8) AS INT) - b.o AS px FROM {PIX} CROSS JOIN o a CROSS JOIN o b), q AS (SELECT * FROM p WHERE py BETWEEN 0 AND 6 AND px BETWEEN 0 AND 6), r AS (SELECT scene_id, y, x, avg(v) AS v, count(*) AS n FROM q GROUP BY scene_id, y, x) SELECT scene_id, count(*) AS pixels, max(n) AS most_patches, round(avg(v), 6) AS mean FROM r GROUP BY scene_id"),
-    "k6_tile_statistics": (["pixels"], f"t AS (SELECT scene_id, CAST(floor(y / 16) * 4 + floor(x / 16) AS INT) AS tile FROM {PIX}), n AS (SELECT scene_id, count(DISTINCT tile) AS tiles FROM t GROUP BY scene_id) SELECT tiles, count(*) AS scenes, tiles = 16 AS expected FROM n GROUP BY tiles"),
+    "k2_padded_patches": (["pixels"], f"p AS (SELECT scene_id, CAST(floor(y / 6) * 3 + floor(x / 6) AS INT) AS patch, gt FROM {PIX}) SELECT scene_id, patch, count(*) AS pixels, CAST(sum(gt) AS BIGINT) AS changed, round(sum(gt) / 3.6e1, 6) AS share, count(*) < 36 AS is_padded FROM p GROUP BY scene_id, patch"),
+    "k3_reconstruct": (["pixels"], f"o AS (SELECT * FROM (VALUES (0), (1)) t(o)), p AS (SELECT scene_id, y, x, {luma(2)} AS v, CAST(floor(y / 2) AS INT) - a.o AS py, CAST(floor(x / 2) AS INT) - b.o AS px FROM {PIX} CROSS JOIN o a CROSS JOIN o b), q AS (SELECT * FROM p WHERE py BETWEEN 0 AND 7 AND px BETWEEN 0 AND 7), r AS (SELECT scene_id, y, x, avg(v) AS v, count(*) AS n FROM q GROUP BY scene_id, y, x) SELECT scene_id, count(*) AS pixels, max(n) AS most_patches, round(avg(v), 6) AS mean FROM r GROUP BY scene_id"),
+    "k6_tile_statistics": (["pixels"], f"t AS (SELECT scene_id, CAST(floor(y / 4) * 5 + floor(x / 4) AS INT) AS tile FROM {PIX}), n AS (SELECT scene_id, count(DISTINCT tile) AS tiles FROM t GROUP BY scene_id) SELECT tiles, count(*) AS scenes, tiles = 25 AS expected FROM n GROUP BY tiles"),
     "m3_estimate_shift": (["pixels"], f"a AS (SELECT scene_id, y, x, {luma(1)} AS u FROM {PIX}), b AS (SELECT scene_id, y + scene_id % 3 - 1 AS y, x + scene_id % 2 AS x, u FROM a), o AS (SELECT * FROM (VALUES {OFFSETS}) t(dy, dx)), w AS (SELECT scene_id, y + dy AS y, x + dx AS x, dy, dx, u FROM a CROSS JOIN o), e AS (SELECT w.scene_id, dy, dx, round(avg(abs(w.u - b.u)), 9) AS err FROM w JOIN b ON w.scene_id = b.scene_id AND w.y = b.y AND w.x = b.x GROUP BY w.scene_id, dy, dx) SELECT scene_id, dy, dx, err FROM (SELECT *, row_number() OVER (PARTITION BY scene_id ORDER BY err, abs(dy) + abs(dx), dy, dx) AS rn FROM e) t WHERE rn = 1"),
     "b6_image_gate": (["pixels"], f"s AS (SELECT scene_id, count(*) AS n, stddev_pop({luma(1)}) AS sd, avg({luma(1)}) AS mean FROM {PIX} GROUP BY scene_id) SELECT scene_id, CASE WHEN n < 256 THEN 'too small' WHEN n > 16777216 THEN 'too large' WHEN sd < 1e-4 THEN 'blank' WHEN mean < 1.2e-1 THEN 'dark' WHEN mean > 8.8e-1 THEN 'bright' ELSE 'valid' END AS reason, round(sd, 6) AS sd FROM s"),
     "b2_categories": (["documents"], "d AS (SELECT doc_id, source || '_' || lang || '_' || doc_id AS name FROM {documents}), c AS (SELECT doc_id, coalesce(nullif(regexp_extract(lower(name), '^([a-z]+)[_0-9]', 1), ''), 'unclassified') AS letters, coalesce(nullif(regexp_extract(lower(name), '^([^_]*)_', 1), ''), 'unclassified') AS first_part, coalesce(nullif(regexp_extract(name, '^(.*)_', 1), ''), 'unknown') AS all_but_last FROM d) SELECT letters, first_part, all_but_last, count(*) AS n FROM c GROUP BY letters, first_part, all_but_last"),

@@ -19,17 +19,20 @@ def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.selectExpr("scene_id", "gt", "stack(2, 'a', a, 'b', b) AS (model, score)")
 
 
+#: Pixels along each side of a scene; odd, so that no mean over a scene falls halfway between two decimals.
+SIDE = 17
 PIXELS = """
 SELECT s AS scene_id, y, x, (31*s+13*x+17*y) % 256 AS r1, (17*s+29*x+7*y) % 256 AS g1, (11*s+5*x+23*y) % 256 AS b1,
-       (x >= s % 40 AND x < s % 40 + 8 + s % 12 AND y >= s*7 % 40 AND y < s*7 % 40 + 8 + {third} % 12) AS hit
+       (x >= s % 10 AND x < s % 10 + 3 + s % 4 AND y >= s*7 % 10 AND y < s*7 % 10 + 3 + {third} % 4) AS hit
 FROM {grid}
 """
 
 
 def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs of 64x64 scenes: outside a box the second differs by 0 to 4, inside it is inverted."""
-    parts = table(spark, sf_dir, "part").where("p_partkey % 20 = 0").selectExpr("p_partkey AS s")
-    grid = parts.selectExpr("s", "explode(sequence(0, 63)) AS y").selectExpr("s", "y", "explode(sequence(0, 63)) AS x")
+    """A pair of small scenes for every part: outside a box the second differs by 0 to 4, inside it is inverted."""
+    parts = table(spark, sf_dir, "part").selectExpr("p_partkey AS s")
+    line = f"explode(sequence(0, {SIDE - 1}))"
+    grid = parts.selectExpr("s", f"{line} AS y").selectExpr("s", "y", f"{line} AS x")
     rows = spark.sql(PIXELS.format(third="cast(floor(s / 3) AS bigint)", grid="{grid}"), grid=grid)
     second = [f"CASE WHEN hit THEN 255 - {c}1 ELSE least(255, {c}1 + (scene_id + x + y) % 5) END AS {c}2" for c in "rgb"]
     return rows.selectExpr("scene_id", "y", "x", "r1", "g1", "b1", *second, "cast(hit AS int) AS gt")
@@ -40,6 +43,6 @@ SQL_CAPTIONS = "captions AS (SELECT conv_id AS image_id, turn AS caption_idx, te
 SQL_SCORES = """raw AS (SELECT l_orderkey % 128 AS scene_id, (l_quantity - 1) / 49 AS a, round(l_discount * 10, 2) AS b, (l_returnflag = 'R')::INT AS gt FROM lineitem),
 scores AS (SELECT scene_id, gt, 'a' AS model, a AS score FROM raw UNION ALL SELECT scene_id, gt, 'b', b FROM raw)"""
 SQL_PIXELS = (
-    "px AS (" + PIXELS.format(third="(s // 3)", grid="(SELECT p_partkey AS s, y, x FROM part, range(64) t(y), range(64) u(x) WHERE p_partkey % 20 = 0)") + "),\n"
+    "px AS (" + PIXELS.format(third="(s // 3)", grid=f"(SELECT p_partkey AS s, y, x FROM part, range({SIDE}) t(y), range({SIDE}) u(x))") + "),\n"
     "pixels AS (SELECT scene_id, y, x, r1, g1, b1, " + ", ".join(f"CASE WHEN hit THEN 255 - {c}1 ELSE least(255, {c}1 + (scene_id + x + y) % 5) END AS {c}2" for c in "rgb") + ", hit::INT AS gt FROM px)"
 )

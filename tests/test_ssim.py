@@ -28,6 +28,6 @@ def test_against_arrays(spark):
     pixels = fixtures.pixels(spark, DATA).toPandas().sort_values(["scene_id", "y", "x"])
     assert set(found) == set(pixels["scene_id"])
     for scene, rows in pixels.groupby("scene_id"):
-        u, v = (((0.299 * rows[f"r{i}"] + 0.587 * rows[f"g{i}"] + 0.114 * rows[f"b{i}"]) / 255).to_numpy().reshape(64, 64) for i in (1, 2))
+        u, v = (((0.299 * rows[f"r{i}"] + 0.587 * rows[f"g{i}"] + 0.114 * rows[f"b{i}"]) / 255).to_numpy().reshape(fixtures.SIDE, fixtures.SIDE) for i in (1, 2))
         d = direct(u, v)
         assert np.allclose(found[scene], (d.mean(), d.max()), atol=2e-6)
