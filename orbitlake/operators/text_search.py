@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -10,6 +15,8 @@ from orbitlake.sources.fixtures import SQL_CAPTIONS, captions, table
 K1, B = 1.5, 0.75
 #: Ranges of image ids that are ranked apart.
 RANGES = 256
+#: Queries and documents of a block of scores.
+QUERIES_A_BLOCK, DOCS_A_BLOCK = 256, 2000
 
 
 def tokenize(text: Column) -> Column:
@@ -41,6 +48,51 @@ def weight(tf: Column, dl: Column) -> Column:
     return F.col("idf") * tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / (F.col("avgdl") + 1e-9)) + 1e-9)
 
 
+def in_blocks(terms: DataFrame, indexed: DataFrame, block: Callable[[pa.Table, pa.Table], pa.Table], schema: str) -> DataFrame:
+    """``block`` over each block of queries with each block of documents.
+
+    It gets (query, term, qtf and what else ``terms`` has) and (term, docs, weights), the latter a list of
+    at most a block's documents, so that no pair of query and document is ever a row: the shuffle holds the
+    terms once a block of the other side, and tasks emit what ``block`` keeps of the scores.
+    """
+    sizes = terms.agg(F.approx_count_distinct("query")).first()[0], indexed.agg(F.approx_count_distinct("doc")).first()[0]
+    n_q, n_d = (-(-max(n, 1) // size) for n, size in zip(sizes, (QUERIES_A_BLOCK, DOCS_A_BLOCK)))
+    weighted = indexed.select("term", "doc", weight(F.col("tf"), F.col("dl")).alias("w"), F.pmod(F.xxhash64("doc"), F.lit(n_d)).cast("int").alias("_d"))
+    lists = weighted.groupBy("_d", "term").agg(F.collect_list(F.struct("doc", "w")).alias("_l")).select("_d", "term", F.col("_l.doc").alias("docs"), F.col("_l.w").alias("weights"))
+    left = terms.withColumn("_q", F.pmod(F.xxhash64("query"), F.lit(n_q)).cast("int")).withColumn("_d", F.explode(F.sequence(F.lit(0), F.lit(n_d - 1))))
+    right = lists.withColumn("_q", F.explode(F.sequence(F.lit(0), F.lit(n_q - 1))))
+    return left.groupBy("_q", "_d").cogroup(right.groupBy("_q", "_d")).applyInArrow(block, schema)
+
+
+def block_scores(queries: pa.Table, lists: pa.Table) -> tuple[pa.Table, pa.Array, Iterator[tuple[int, np.ndarray, np.ndarray]]]:
+    """Queries in order, documents in order, and per query its first row, the documents it meets and their scores."""
+    queries = queries.sort_by("query").combine_chunks()
+    of = lists["docs"].combine_chunks()
+    flat, weights = of.flatten(), lists["weights"].combine_chunks().flatten().to_numpy()
+    docs = pc.unique(flat)
+    docs = docs.take(pc.sort_indices(docs))
+    place = pc.index_in(flat, value_set=docs).to_numpy()
+    ends = np.cumsum(pc.list_value_length(of).to_numpy())
+    sizes = np.diff(ends, prepend=0)
+    at = pc.fill_null(pc.index_in(queries["term"], value_set=lists["term"].combine_chunks()), -1).to_numpy()
+    qtf = queries["qtf"].to_numpy()
+
+    def scored():
+        runs = pc.run_end_encode(queries["query"].combine_chunks()).run_ends.to_numpy() if len(queries) else []
+        first = 0
+        for end in runs:
+            rows = np.arange(first, end)[at[first:end] >= 0]
+            n = sizes[at[rows]]
+            if n.sum():
+                every = np.repeat(ends[at[rows]] - np.cumsum(n), n) + np.arange(n.sum())
+                score = np.bincount(place[every], np.repeat(qtf[rows], n) * weights[every], len(docs))
+                met = np.bincount(place[every], minlength=len(docs)).nonzero()[0]
+                yield first, met, np.round(score[met], 9)
+            first = end
+
+    return queries, docs, scored()
+
+
 def bm25(queries: DataFrame, indexed: DataFrame) -> DataFrame:
     """(query, doc, score) of (query, text) against an index; pairs without a common term are left out (score 0)."""
     terms = queries.select("query", F.explode(tokenize(F.col("text"))).alias("term")).groupBy("query", "term").agg(F.count("*").alias("qtf"))
@@ -56,6 +108,17 @@ def query_id() -> Column:
     return F.concat(F.col("image_id"), F.lit("_cap"), F.col("caption_idx"))
 
 
+def _beaten(queries: pa.Table, lists: pa.Table) -> pa.Table:
+    """Per query the images other than its own that come before it, and those with a score and a smaller id."""
+    queries, docs, scored = block_scores(queries, lists)
+    own, own_score, ids, rows = queries["image_id"].to_numpy(), queries["s"].to_numpy(), docs.to_numpy(), []
+    for first, met, score in scored:
+        image, s, doc = own[first], own_score[first], ids[met]
+        rows.append((first, int(((doc != image) & ((score > s) | ((score == s) & (doc < image)))).sum()), int((doc < image).sum())))
+    first, above, before = zip(*rows) if rows else ((), (), ())
+    return pa.table({"query": queries["query"].take(pa.array(first, pa.int64())), "above": pa.array(above, pa.int64()), "scored_before": pa.array(before, pa.int64())})
+
+
 def loo_ranks(caps: DataFrame) -> DataFrame:
     """(query, image_id, category, score, rank): each caption searches for its image, which is scored without it.
 
@@ -77,11 +140,8 @@ def loo_ranks(caps: DataFrame) -> DataFrame:
     tf = F.col("tf") - F.coalesce("gone_tf", F.lit(0))
     s = F.when(tf > 0, F.col("qtf") * weight(tf, F.col("dl") - F.coalesce("gone_dl", F.lit(0)))).otherwise(0.0)
     target = queries.select("query", "image_id", "category").join(target.groupBy("query").agg(F.round(F.sum(s), 9).alias("s")), "query", "left").fillna(0.0, ["s"])
-    others = bm25(queries.select("query", "text"), idx).join(target, "query").where("doc <> image_id")
-    beaten = others.groupBy("query").agg(
-        F.count_if((F.col("score") > F.col("s")) | ((F.col("score") == F.col("s")) & (F.col("doc") < F.col("image_id")))).alias("above"),
-        F.count_if(F.col("doc") < F.col("image_id")).alias("scored_before"),
-    )
+    wanted = terms.where("image_id IS NOT NULL").join(target.select("query", "s"), "query")
+    beaten = in_blocks(wanted, idx, _beaten, f"query {queries.schema['query'].dataType.simpleString()}, above long, scored_before long").groupBy("query").agg(F.sum("above").alias("above"), F.sum("scored_before").alias("scored_before"))
     order = earlier(caps.select("image_id").distinct(), "image_id")
     out = target.join(beaten, "query", "left").fillna(0, ["above", "scored_before"]).join(order, "image_id")
     zero = F.when(F.col("s") == 0, F.col("before") - F.col("scored_before")).otherwise(0)
@@ -110,8 +170,19 @@ def retrieval_metrics(ranks: DataFrame) -> DataFrame:
 
 
 def search(queries: DataFrame, docs: DataFrame, k: int = 10) -> DataFrame:
+    """(query, doc, score, rank): the best ``k`` documents of each query (query, text), ties to the smaller document."""
+
+    def best(of: pa.Table, lists: pa.Table) -> pa.Table:
+        of, names, scored = block_scores(of, lists)
+        kept = [(first, met[top], score[top]) for first, met, score in scored for top in [np.lexsort((met, -score))[:k]]]
+        first = np.repeat([f for f, _, _ in kept], [len(m) for _, m, _ in kept]).astype("int64")
+        met, score = (np.concatenate([np.zeros(0, t), *(row[i] for row in kept)]) for i, t in ((1, "int64"), (2, "float64")))
+        return pa.table({"query": of["query"].take(pa.array(first)), "doc": names.take(pa.array(met)), "score": pa.array(score)})
+
+    terms = queries.select("query", F.explode(tokenize(F.col("text"))).alias("term")).groupBy("query", "term").agg(F.count("*").alias("qtf"))
+    schema = f"query {queries.schema['query'].dataType.simpleString()}, doc {docs.schema['doc'].dataType.simpleString()}, score double"
     top = Window.partitionBy("query").orderBy(F.desc("score"), "doc")
-    return bm25(queries, index(docs)).withColumn("rank", F.row_number().over(top)).where(F.col("rank") <= k)
+    return in_blocks(terms, index(docs), best, schema).withColumn("rank", F.row_number().over(top)).where(F.col("rank") <= k)
 
 
 def h1_tokens(spark: SparkSession, d: str) -> DataFrame:
