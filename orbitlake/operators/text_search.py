@@ -213,13 +213,22 @@ def h6_bm25_leave_one_out_metrics(spark: SparkSession, d: str) -> DataFrame:
     return retrieval_metrics(loo_ranks(captions(spark, d)))
 
 
+# fixed values: what a missed query is taken for, by parts of its text, before and after the length is looked at
+SPATIAL = ("near", "next to", "beside", "between", "surrounded")
+DENSE = ("many", "several", "dense", "rows", "lines")
+ATTRIBUTES = ("green", "white", "yellow", "rectangular", "circular")
+
+
 def d14_failures(spark: SparkSession, d: str) -> DataFrame:
-    """How many queries miss the first ten, by the length of the query."""
+    """Queries that miss the first ten by the first class that their text meets, with shares in percent."""
     caps = captions(spark, d)
-    words = F.size(F.split(F.trim("text"), r"\s+"))
-    missed = loo_ranks(caps).where("rank > 10").join(caps.select(query_id().alias("query"), words.alias("w")), "query")
-    kind = F.when(F.col("w") <= 4, "short").otherwise("broad").alias("kind")
-    return missed.groupBy(kind).agg(F.count("*").alias("n"))
+    low, words = F.lower("text"), F.size(F.split(F.trim("text"), r"\s+"))
+    any_of = lambda parts: F.exists(F.array(*map(F.lit, parts)), lambda p: F.contains(low, p))
+    kind = F.when(any_of(SPATIAL), "spatial_relational_confusion").when(any_of(DENSE), "dense_small_objects").when(words <= 4, "generic_repetitive_caption")
+    kind = kind.when(any_of(ATTRIBUTES), "fine_grained_attribute_mismatch").otherwise("broad_geographic_context")
+    missed = loo_ranks(caps).where("rank > 10").join(caps.select(query_id().alias("query"), kind.alias("kind")), "query")
+    share = F.col("n") / F.sum("n").over(Window.partitionBy())  # five rows at most
+    return missed.groupBy("kind").agg(F.count("*").alias("n")).withColumn("pct", F.round(share * 100, 3))
 
 
 def d1_corpus(spark: SparkSession, d: str) -> DataFrame:
@@ -272,6 +281,12 @@ od AS (SELECT image_id, row_number() OVER (ORDER BY image_id) - 1 AS bf FROM (SE
 ranks AS (SELECT query, category, s AS score, 1 + coalesce(above, 0) + CASE WHEN s = 0 THEN bf - coalesce(sb, 0) ELSE 0 END AS rank FROM tg LEFT JOIN bt USING (query) JOIN od USING (image_id))
 """
 SPACES = r"len(string_split_regex(trim(text), '\s+'))"
+
+
+def _any(parts: tuple[str, ...]) -> str:
+    return "(" + " OR ".join(f"contains(low, '{p}')" for p in parts) + ")"
+
+
 QUERIES = {f.__name__: f for f in (h1_tokens, h2_index, e3_search, h5_max_caption, h6_bm25_leave_one_out_ranks, h6_bm25_leave_one_out_metrics, d14_failures, d1_corpus, h10_prompts, h11_leakage)}
 SQL = {
     "h1_tokens": f"SELECT doc_id, len({TOK}) AS tokens FROM documents",
@@ -280,7 +295,7 @@ SQL = {
     "h5_max_caption": f"WITH {SQL_CAPTIONS}, {_index(f'SELECT {QID} AS doc, text FROM captions')}, {QTERMS}, {SCORED} SELECT query, image_id, round(max(score), 4) AS score FROM scored JOIN (SELECT {QID} AS doc, image_id FROM captions) USING (doc) GROUP BY ALL",
     "h6_bm25_leave_one_out_ranks": LOO + "SELECT query, category, round(score, 6) AS score, rank FROM ranks",
     "h6_bm25_leave_one_out_metrics": LOO + "SELECT category, count(*) AS queries, round(avg((rank <= 1)::INT), 6) AS r1, round(avg((rank <= 5)::INT), 6) AS r5, round(avg((rank <= 10)::INT), 6) AS r10, round(avg(1 / rank), 6) AS mrr FROM ranks GROUP BY ROLLUP (category)",
-    "d14_failures": LOO + f"SELECT CASE WHEN w <= 4 THEN 'short' ELSE 'broad' END AS kind, count(*) AS n FROM ranks JOIN (SELECT {QID} AS query, {SPACES} AS w FROM captions) USING (query) WHERE rank > 10 GROUP BY ALL",
+    "d14_failures": LOO + ", k AS (SELECT CASE " + " ".join(f"WHEN {c} THEN '{k}'" for k, c in (("spatial_relational_confusion", _any(SPATIAL)), ("dense_small_objects", _any(DENSE)), ("generic_repetitive_caption", "w <= 4"), ("fine_grained_attribute_mismatch", _any(ATTRIBUTES)))) + f" ELSE 'broad_geographic_context' END AS kind FROM ranks JOIN (SELECT {QID} AS query, lower(text) AS low, {SPACES} AS w FROM captions) USING (query) WHERE rank > 10) SELECT kind, count(*) AS n, round(count(*) / sum(count(*)) OVER () * 100, 3) AS pct FROM k GROUP BY kind",
     "d1_corpus": f"WITH {SQL_CAPTIONS} SELECT category, count(DISTINCT image_id) AS images, count(*) AS captions, round(avg({SPACES}), 6) AS mean_words FROM captions GROUP BY ROLLUP (category)",
     "h10_prompts": f"WITH {SQL_CAPTIONS}, forms AS (SELECT unnest(range(5))::INT AS form, unnest({list(PROMPTS)}) AS f) SELECT {QID} AS query, form, replace(f, '%s', regexp_replace(trim(text), '[.!?]+$', '')) AS prompt FROM captions, forms",
     "h11_leakage": f"WITH {SQL_CAPTIONS} SELECT lower(trim(text)) AS text, count(DISTINCT image_id) AS images FROM captions GROUP BY ALL HAVING images > 1",

@@ -26,10 +26,10 @@ def test_leave_one_out(spark):
     assert found["1_cap0"] == (0.0, 1) and found["2_cap0"][0] > 0
 
 
-@pytest.mark.parametrize("name", ["h6_bm25_leave_one_out_metrics", "d8_calibrated", "d17_wilcoxon", "l1_morphology", "j18_quality_gate", "b2_categories", "c2_pair_completeness", "d9_otsu", "d28_gamma_sweep", "j9_shift", "k2_padded_patches", "m3_estimate_shift"])
+@pytest.mark.parametrize("name", ["h6_bm25_leave_one_out_metrics", "d8_calibrated", "d17_wilcoxon", "l1_morphology", "j18_quality_gate", "b2_categories", "c2_pair_completeness", "d9_otsu", "d28_gamma_sweep", "j9_shift", "k2_padded_patches", "m3_estimate_shift", "d14_failures", "d16_bootstrap", "e4_top_lists", "n1_parse_responses", "l3_region_details", "l7_region_totals", "k1_patch_grid", "m4_apply_shift"])
 def test_same_as_sql(spark, name):
     con = duckdb.connect()
-    for t in ("conversations", "lineitem", "part", "documents", "labels", "embeddings"):
+    for t in ("conversations", "lineitem", "part", "documents", "labels", "embeddings", "events"):
         con.sql(f"CREATE VIEW {t} AS FROM '{SF}/{t}.parquet'")
     df = entry.queries()[name](spark, SF)
     cols = sorted(df.columns)
