@@ -15,8 +15,8 @@ from orbitlake.sources.fixtures import SQL_CAPTIONS, captions, table
 K1, B = 1.5, 0.75
 #: Ranges of image ids that are ranked apart.
 RANGES = 256
-#: Queries and documents of a block of scores.
-QUERIES_A_BLOCK, DOCS_A_BLOCK = 256, 2000
+#: Queries and documents of a block of scores; blocks of queries are cut down to the smaller size while cores would idle.
+QUERIES_A_BLOCK, FEWEST_QUERIES, DOCS_A_BLOCK = 4096, 256, 2000
 
 
 def tokenize(text: Column) -> Column:
@@ -48,15 +48,16 @@ def weight(tf: Column, dl: Column) -> Column:
     return F.col("idf") * tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / (F.col("avgdl") + 1e-9)) + 1e-9)
 
 
-def in_blocks(terms: DataFrame, indexed: DataFrame, block: Callable[[pa.Table, pa.Table], pa.Table], schema: str) -> DataFrame:
+def in_blocks(terms: DataFrame, indexed: DataFrame, sizes: tuple[int, int], block: Callable[[pa.Table, pa.Table], pa.Table], schema: str) -> DataFrame:
     """``block`` over each block of queries with each block of documents.
 
-    It gets (query, term, qtf and what else ``terms`` has) and (term, docs, weights), the latter a list of
+    ``sizes`` are about the numbers of queries and documents. It gets (query, term, qtf and what else ``terms`` has) and (term, docs, weights), the latter a list of
     at most a block's documents, so that no pair of query and document is ever a row: the shuffle holds the
     terms once a block of the other side, and tasks emit what ``block`` keeps of the scores.
     """
-    sizes = terms.agg(F.approx_count_distinct("query")).first()[0], indexed.agg(F.approx_count_distinct("doc")).first()[0]
-    n_q, n_d = (-(-max(n, 1) // size) for n, size in zip(sizes, (QUERIES_A_BLOCK, DOCS_A_BLOCK)))
+    parts = lambda n, size: max(1, -(-n // size))
+    n_d, idle = parts(sizes[1], DOCS_A_BLOCK), terms.sparkSession.sparkContext.defaultParallelism
+    n_q = max(parts(sizes[0], QUERIES_A_BLOCK), min(parts(sizes[0], FEWEST_QUERIES), parts(idle, n_d)))
     weighted = indexed.select("term", "doc", weight(F.col("tf"), F.col("dl")).alias("w"), F.pmod(F.xxhash64("doc"), F.lit(n_d)).cast("int").alias("_d"))
     lists = weighted.groupBy("_d", "term").agg(F.collect_list(F.struct("doc", "w")).alias("_l")).select("_d", "term", F.col("_l.doc").alias("docs"), F.col("_l.w").alias("weights"))
     left = terms.withColumn("_q", F.pmod(F.xxhash64("query"), F.lit(n_q)).cast("int")).withColumn("_d", F.explode(F.sequence(F.lit(0), F.lit(n_d - 1))))
@@ -64,6 +65,10 @@ def in_blocks(terms: DataFrame, indexed: DataFrame, block: Callable[[pa.Table, p
     return left.groupBy("_q", "_d").cogroup(right.groupBy("_q", "_d")).applyInArrow(block, schema)
 
 
+def rough_sizes(queries: DataFrame, query: Column, docs: DataFrame, doc: str) -> tuple[int, int]:
+    return queries.agg(F.approx_count_distinct(query)).first()[0], docs.agg(F.approx_count_distinct(doc)).first()[0]
+
+
 def block_scores(queries: pa.Table, lists: pa.Table) -> tuple[pa.Table, pa.Array, Iterator[tuple[int, np.ndarray, np.ndarray]]]:
     """Queries in order, documents in order, and per query its first row, the documents it meets and their scores."""
     queries = queries.sort_by("query").combine_chunks()
@@ -141,7 +146,7 @@ def loo_ranks(caps: DataFrame) -> DataFrame:
     s = F.when(tf > 0, F.col("qtf") * weight(tf, F.col("dl") - F.coalesce("gone_dl", F.lit(0)))).otherwise(0.0)
     target = queries.select("query", "image_id", "category").join(target.groupBy("query").agg(F.round(F.sum(s), 9).alias("s")), "query", "left").fillna(0.0, ["s"])
     wanted = terms.where("image_id IS NOT NULL").join(target.select("query", "s"), "query")
-    beaten = in_blocks(wanted, idx, _beaten, f"query {queries.schema['query'].dataType.simpleString()}, above long, scored_before long").groupBy("query").agg(F.sum("above").alias("above"), F.sum("scored_before").alias("scored_before"))
+    beaten = in_blocks(wanted, idx, rough_sizes(caps, query_id(), caps, "image_id"), _beaten, f"query {queries.schema['query'].dataType.simpleString()}, above long, scored_before long").groupBy("query").agg(F.sum("above").alias("above"), F.sum("scored_before").alias("scored_before"))
     order = earlier(caps.select("image_id").distinct(), "image_id")
     out = target.join(beaten, "query", "left").fillna(0, ["above", "scored_before"]).join(order, "image_id")
     zero = F.when(F.col("s") == 0, F.col("before") - F.col("scored_before")).otherwise(0)
@@ -182,7 +187,7 @@ def search(queries: DataFrame, docs: DataFrame, k: int = 10) -> DataFrame:
     terms = queries.select("query", F.explode(tokenize(F.col("text"))).alias("term")).groupBy("query", "term").agg(F.count("*").alias("qtf"))
     schema = f"query {queries.schema['query'].dataType.simpleString()}, doc {docs.schema['doc'].dataType.simpleString()}, score double"
     top = Window.partitionBy("query").orderBy(F.desc("score"), "doc")
-    return in_blocks(terms, index(docs), best, schema).withColumn("rank", F.row_number().over(top)).where(F.col("rank") <= k)
+    return in_blocks(terms, index(docs), rough_sizes(queries, F.col("query"), docs, "doc"), best, schema).withColumn("rank", F.row_number().over(top)).where(F.col("rank") <= k)
 
 
 def h1_tokens(spark: SparkSession, d: str) -> DataFrame:
