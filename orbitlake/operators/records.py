@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from orbitlake.operators import raster, text_search
@@ -259,10 +259,23 @@ def l7_region_totals(spark: SparkSession, d: str) -> DataFrame:
     return out.withColumn("dropped", F.col("found") - F.col("kept"))
 
 
+def l8_region_checks(spark: SparkSession, d: str) -> DataFrame:
+    """Whether all regions of a scene keep to their bounds, context, order by area and area on the ground."""
+    rows = region_details(pixels(spark, d))
+    rows = rows.withColumn("larger", F.lag("area").over(Window.partitionBy("scene_id").orderBy("rank")))
+    checks = {
+        "in_bounds": f"x0 >= 0 AND y0 >= 0 AND x0 < x1 AND y0 < y1 AND x1 <= {SIDE} AND y1 <= {SIDE}",
+        "in_context": f"cx0 BETWEEN 0 AND x0 AND cy0 BETWEEN 0 AND y0 AND cx1 BETWEEN x1 AND {SIDE} AND cy1 BETWEEN y1 AND {SIDE}",
+        "in_order": "larger IS NULL OR area <= larger",
+        "area_holds": "abs(square_m - area * 0.25D) < 1e-3",
+    }
+    return rows.groupBy("scene_id").agg(F.count("*").alias("regions"), *[F.bool_and(F.expr(c)).alias(n) for n, c in checks.items()])
+
+
 FUNCTIONS = (
     n1_parse_responses, n3_ablation_listing, c1_pair_scenes, c6_missing_targets, c7_compare_to_control, c10_attach_findings, c12_retained, d27_reliability,
     s2_union_scene_metrics, s6_ordered_dedupe, e4_top_lists, e8_stride_sample, e9_natural_sort, b4_unit_float, b5_binarize, b7_method_attrs, b9_round_rules,
-    j11_perturb_pair, k1_patch_grid, m4_apply_shift, l3_region_details, l7_region_totals,
+    j11_perturb_pair, k1_patch_grid, m4_apply_shift, l3_region_details, l7_region_totals, l8_region_checks,
 )
 QUERIES = {f.__name__: f for f in FUNCTIONS}
 
@@ -313,5 +326,6 @@ SELECT event_id, j IS NOT NULL AS parsed, CASE WHEN c IN {CATEGORIES} THEN c ELS
     "m4_apply_shift": f"WITH {SQL_PIXELS} SELECT a.scene_id, sum(coalesce(b.r2, 0))::BIGINT AS total, sum(coalesce(b.r2, 0) * (a.y * {SIDE} + a.x))::BIGINT AS weighed FROM pixels a LEFT JOIN pixels b ON b.scene_id = a.scene_id AND b.y = a.y - (a.scene_id % 3 - 1) AND b.x = a.x - a.scene_id % 2 GROUP BY a.scene_id",
     "l3_region_details": _REGIONS + "SELECT * EXCLUDE (label) FROM det",
     "l7_region_totals": _REGIONS + "SELECT s.scene_id, s.raw, coalesce(clean, 0)::BIGINT AS clean, coalesce(found, 0) AS found, coalesce(kept, 0) AS kept, coalesce(found - kept, 0) AS dropped FROM (SELECT scene_id, sum(m)::BIGINT AS raw FROM sc GROUP BY ALL) s LEFT JOIN (SELECT scene_id, sum(area) AS clean, count(*) AS found, count(*) FILTER (kept) AS kept FROM det GROUP BY ALL) r USING (scene_id)",
+    "l8_region_checks": _REGIONS + f"SELECT scene_id, count(*) AS regions, bool_and(least(x0, y0) >= 0 AND greatest(x1, y1) <= {SIDE} AND x1 > x0 AND y1 > y0) AS in_bounds, bool_and(cx0 <= x0 AND cy0 <= y0 AND cx1 >= x1 AND cy1 >= y1 AND least(cx0, cy0) >= 0 AND greatest(cx1, cy1) <= {SIDE}) AS in_context, bool_and(area <= coalesce(before, area)) AS in_order, bool_and(abs(square_m - area / 4) < 1e-3) AS area_holds FROM (SELECT *, lag(area) OVER (PARTITION BY scene_id ORDER BY rank) AS before FROM det) GROUP BY scene_id",
     "l7_regions": _REGIONS + "SELECT scene_id, x0, y0, x1, y1, area, cx, cy, rank FROM det",
 }
