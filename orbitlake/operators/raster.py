@@ -46,8 +46,8 @@ def morphology(mask: DataFrame, radius: int = 1) -> DataFrame:
     return mask
 
 
-def components(mask: DataFrame) -> DataFrame:
-    """(scene_id, y, x, label) of set pixels, 8-connected; label is the first pixel in row-major order.
+def components(mask: DataFrame, diagonal: bool = True) -> DataFrame:
+    """(scene_id, y, x, label) of set pixels, 8-connected, or 4-connected without ``diagonal``; label is the first pixel in row-major order.
 
     Runs of pixels within a row are labelled, not pixels, which cuts the links many times.
     """
@@ -57,7 +57,7 @@ def components(mask: DataFrame) -> DataFrame:
     on = on.withColumn("run", F.min(code).over(Window.partitionBy("scene_id", "y", "island")))
     runs = cut(on.groupBy("scene_id", "y", "run").agg(F.min("x").alias("x0"), F.max("x").alias("x1")))
     below = runs.select("scene_id", (F.col("y") - 1).alias("y"), F.col("run").alias("run2"), F.col("x0").alias("u0"), F.col("x1").alias("u1"))
-    links = runs.join(below, ["scene_id", "y"]).where("u0 <= x1 + 1 AND u1 >= x0 - 1").select(F.col("run").alias("a"), F.col("run2").alias("b"))
+    links = runs.join(below, ["scene_id", "y"]).where(f"u0 <= x1 + {int(diagonal)} AND u1 >= x0 - {int(diagonal)}").select(F.col("run").alias("a"), F.col("run2").alias("b"))
     labels = connected_components(links).withColumnRenamed("node", "run")
     return on.join(labels, "run", "left").select("scene_id", "y", "x", F.coalesce("component", "run").alias("label"))
 

@@ -245,6 +245,13 @@ def m4_apply_shift(spark: SparkSession, d: str) -> DataFrame:
     return apply_shift(rows, shifts).groupBy("scene_id").agg(F.sum("v").alias("total"), F.sum(F.col("v") * (F.col("y") * SIDE + F.col("x"))).alias("weighed"))
 
 
+def l2_regions_four(spark: SparkSession, d: str) -> DataFrame:
+    """Regions of the bright pixels where those that only touch at a corner are apart, and how many more they are than with corners."""
+    rows = pixels(spark, d).select("scene_id", "y", "x", (F.col("r1") >= 200).cast("int").alias("m"))
+    four, eight = (raster.components(rows, diagonal).groupBy("scene_id").agg(F.count_distinct("label").alias(n)) for diagonal, n in ((False, "four"), (True, "eight")))
+    return four.join(eight, "scene_id").withColumn("more", F.col("four") - F.col("eight"))
+
+
 def l3_region_details(spark: SparkSession, d: str) -> DataFrame:
     return region_details(pixels(spark, d)).drop("label")
 
@@ -275,7 +282,7 @@ def l8_region_checks(spark: SparkSession, d: str) -> DataFrame:
 FUNCTIONS = (
     n1_parse_responses, n3_ablation_listing, c1_pair_scenes, c6_missing_targets, c7_compare_to_control, c10_attach_findings, c12_retained, d27_reliability,
     s2_union_scene_metrics, s6_ordered_dedupe, e4_top_lists, e8_stride_sample, e9_natural_sort, b4_unit_float, b5_binarize, b7_method_attrs, b9_round_rules,
-    j11_perturb_pair, k1_patch_grid, m4_apply_shift, l3_region_details, l7_region_totals, l8_region_checks,
+    j11_perturb_pair, k1_patch_grid, m4_apply_shift, l2_regions_four, l3_region_details, l7_region_totals, l8_region_checks,
 )
 QUERIES = {f.__name__: f for f in FUNCTIONS}
 
@@ -298,6 +305,14 @@ def _grid(mode: str) -> str:
     return f"SELECT image_id, w, h, j * ({last('w')} + 1) + i AS patch, j * 24 AS y, i * 24 AS x, '{mode}' AS mode FROM im, range(10) a(j), range(10) b(i) WHERE j <= {last('h')} AND i <= {last('w')}"
 
 
+def _bare(name: str, near: str, other: str) -> str:
+    """Regions a scene of the bright pixels; with ``other``, joined to its figures."""
+    own = f"""SELECT scene_id, count(DISTINCT l) AS {name} FROM (WITH RECURSIVE {SQL_PIXELS}, onp AS MATERIALIZED (SELECT scene_id, y, x FROM pixels WHERE r1 >= 200),
+reach AS (SELECT scene_id, y, x, y * {SIDE} + x AS l FROM onp UNION SELECT r.scene_id, o.y, o.x, r.l FROM reach r JOIN onp o ON o.scene_id = r.scene_id AND abs(o.y - r.y) <= 1 AND abs(o.x - r.x) <= 1{near})
+SELECT scene_id, y, x, min(l) AS l FROM reach GROUP BY ALL) GROUP BY scene_id"""
+    return f"SELECT scene_id, four, eight, four - eight AS more FROM ({own}) JOIN ({other}) USING (scene_id)" if other else own
+
+
 _SHARED = ", ".join(f"least(255, {c}{{i}} + 38) AS {c}{{i}}, {c}{{o}}" for c in "rgb")
 SQL = {
     "n1_parse_responses": f"""WITH t AS (SELECT event_id, event_type, CASE event_id % 5 WHEN 0 THEN '```json ' || {_BODY} || ' ```' WHEN 1 THEN {_BODY} WHEN 2 THEN 'Answer: ' || {_BODY} || ' end' WHEN 3 THEN props ELSE 'no answer to ' || event_type END AS raw FROM events),
@@ -324,6 +339,7 @@ SELECT event_id, j IS NOT NULL AS parsed, CASE WHEN c IN {CATEGORIES} THEN c ELS
     "j11_perturb_pair": f"WITH {SQL_PIXELS} " + " UNION ALL ".join(f"SELECT scene_id, round(avg({raster.D}), 6) AS mean, 't{i}' AS target FROM (SELECT scene_id, {_SHARED.format(i=i, o=3 - i)} FROM pixels) GROUP BY scene_id" for i in (1, 2)),
     "k1_patch_grid": f"WITH im AS (SELECT p_partkey AS image_id, p_partkey % 97 + 20 AS w, p_partkey % 61 + 20 AS h FROM part) {_grid('pad')} UNION ALL {_grid('drop')}",
     "m4_apply_shift": f"WITH {SQL_PIXELS} SELECT a.scene_id, sum(coalesce(b.r2, 0))::BIGINT AS total, sum(coalesce(b.r2, 0) * (a.y * {SIDE} + a.x))::BIGINT AS weighed FROM pixels a LEFT JOIN pixels b ON b.scene_id = a.scene_id AND b.y = a.y - (a.scene_id % 3 - 1) AND b.x = a.x - a.scene_id % 2 GROUP BY a.scene_id",
+    "l2_regions_four": _bare("four", " AND abs(o.y - r.y) + abs(o.x - r.x) <= 1", _bare("eight", "", "")),
     "l3_region_details": _REGIONS + "SELECT * EXCLUDE (label) FROM det",
     "l7_region_totals": _REGIONS + "SELECT s.scene_id, s.raw, coalesce(clean, 0)::BIGINT AS clean, coalesce(found, 0) AS found, coalesce(kept, 0) AS kept, coalesce(found - kept, 0) AS dropped FROM (SELECT scene_id, sum(m)::BIGINT AS raw FROM sc GROUP BY ALL) s LEFT JOIN (SELECT scene_id, sum(area) AS clean, count(*) AS found, count(*) FILTER (kept) AS kept FROM det GROUP BY ALL) r USING (scene_id)",
     "l8_region_checks": _REGIONS + f"SELECT scene_id, count(*) AS regions, bool_and(least(x0, y0) >= 0 AND greatest(x1, y1) <= {SIDE} AND x1 > x0 AND y1 > y0) AS in_bounds, bool_and(cx0 <= x0 AND cy0 <= y0 AND cx1 >= x1 AND cy1 >= y1 AND least(cx0, cy0) >= 0 AND greatest(cx1, cy1) <= {SIDE}) AS in_context, bool_and(area <= coalesce(before, area)) AS in_order, bool_and(abs(square_m - area / 4) < 1e-3) AS area_holds FROM (SELECT *, lag(area) OVER (PARTITION BY scene_id ORDER BY rank) AS before FROM det) GROUP BY scene_id",

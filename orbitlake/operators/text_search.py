@@ -124,14 +124,39 @@ def _beaten(queries: pa.Table, lists: pa.Table) -> pa.Table:
     return pa.table({"query": queries["query"].take(pa.array(first, pa.int64())), "above": pa.array(above, pa.int64()), "scored_before": pa.array(before, pa.int64())})
 
 
-def loo_ranks(caps: DataFrame) -> DataFrame:
-    """(query, image_id, category, score, rank): each caption searches for its image, which is scored without it.
+def query_terms(asked: DataFrame) -> DataFrame:
+    return asked.select(query_id().alias("query"), "image_id", F.explode(tokenize(F.col("text"))).alias("term")).groupBy("query", "image_id", "term").agg(F.count("*").alias("qtf"))
+
+
+def _places(caps: DataFrame, terms: DataFrame, idx: DataFrame, target: DataFrame) -> DataFrame:
+    """(query, image_id, category, score, rank) of ``target`` (query, image_id, category, s) among all images of ``caps`` by ``idx``, those without a score included; ties go to the smaller image."""
+    wanted = terms.where("image_id IS NOT NULL").join(target.select("query", "s"), "query")
+    beaten = in_blocks(wanted, idx, rough_sizes(terms, F.col("query"), caps, "image_id"), _beaten, f"query {terms.schema['query'].dataType.simpleString()}, above long, scored_before long")
+    beaten = beaten.groupBy("query").agg(F.sum("above").alias("above"), F.sum("scored_before").alias("scored_before"))
+    order = earlier(caps.select("image_id").distinct(), "image_id")
+    out = target.join(beaten, "query", "left").fillna(0, ["above", "scored_before"]).join(order, "image_id")
+    zero = F.when(F.col("s") == 0, F.col("before") - F.col("scored_before")).otherwise(0)
+    return out.select("query", "image_id", "category", F.col("s").alias("score"), (1 + F.col("above") + zero).cast("long").alias("rank"))
+
+
+def target_ranks(caps: DataFrame, docs: DataFrame, asked: DataFrame | None = None) -> DataFrame:
+    """(query, image_id, category, score, rank) of the image of each caption in ``asked`` (all by default), searched in ``docs`` (doc, text), a text or more an image."""
+    asked = caps if asked is None else asked
+    idx, terms = index(docs), query_terms(asked)
+    own = terms.join(idx.withColumnRenamed("doc", "image_id"), ["image_id", "term"]).groupBy("query").agg(F.round(F.sum(F.col("qtf") * weight(F.col("tf"), F.col("dl"))), 9).alias("s"))
+    target = asked.select(query_id().alias("query"), "image_id", "category").join(own, "query", "left").fillna(0.0, ["s"])
+    return _places(caps, terms, idx, target)
+
+
+def loo_ranks(caps: DataFrame, asked: DataFrame | None = None) -> DataFrame:
+    """(query, image_id, category, score, rank): each caption in ``asked`` (all by default) searches for its image, which is scored without it.
 
     Captions equal to the query after trimming and lower-casing go from the target too, unless none would be
     left. idf and average length stay those of the whole corpus; ties go to the smaller image.
     """
+    asked = caps if asked is None else asked
     idx = index(image_docs(caps))
-    queries = caps.select(query_id().alias("query"), "image_id", "caption_idx", "text", "category")
+    queries = asked.select(query_id().alias("query"), "image_id", "caption_idx", "text", "category")
     own = caps.select("image_id", F.col("caption_idx").alias("other"), F.col("text").alias("other_text"))
     same = F.lower(F.trim("text")) == F.lower(F.trim("other_text"))
     pairs = queries.join(own, "image_id").withColumn("equal", same | (F.col("caption_idx") == F.col("other")))
@@ -140,17 +165,12 @@ def loo_ranks(caps: DataFrame) -> DataFrame:
     gone = pairs.where("gone").select("query", "image_id", F.explode(tokenize(F.col("other_text"))).alias("term"))
     gone_tf = gone.groupBy("query", "term").agg(F.count("*").alias("gone_tf"))
     gone_dl = gone.groupBy("query").agg(F.count("*").alias("gone_dl"))
-    terms = queries.select("query", "image_id", F.explode(tokenize(F.col("text"))).alias("term")).groupBy("query", "image_id", "term").agg(F.count("*").alias("qtf"))
+    terms = query_terms(asked)
     target = terms.join(idx.withColumnRenamed("doc", "image_id"), ["image_id", "term"]).join(gone_tf, ["query", "term"], "left").join(gone_dl, "query", "left")
     tf = F.col("tf") - F.coalesce("gone_tf", F.lit(0))
     s = F.when(tf > 0, F.col("qtf") * weight(tf, F.col("dl") - F.coalesce("gone_dl", F.lit(0)))).otherwise(0.0)
     target = queries.select("query", "image_id", "category").join(target.groupBy("query").agg(F.round(F.sum(s), 9).alias("s")), "query", "left").fillna(0.0, ["s"])
-    wanted = terms.where("image_id IS NOT NULL").join(target.select("query", "s"), "query")
-    beaten = in_blocks(wanted, idx, rough_sizes(caps, query_id(), caps, "image_id"), _beaten, f"query {queries.schema['query'].dataType.simpleString()}, above long, scored_before long").groupBy("query").agg(F.sum("above").alias("above"), F.sum("scored_before").alias("scored_before"))
-    order = earlier(caps.select("image_id").distinct(), "image_id")
-    out = target.join(beaten, "query", "left").fillna(0, ["above", "scored_before"]).join(order, "image_id")
-    zero = F.when(F.col("s") == 0, F.col("before") - F.col("scored_before")).otherwise(0)
-    return out.select("query", "image_id", "category", F.col("s").alias("score"), (1 + F.col("above") + zero).cast("long").alias("rank"))
+    return _places(caps, terms, idx, target)
 
 
 def earlier(ids: DataFrame, key: str) -> DataFrame:
@@ -218,6 +238,30 @@ def h6_bm25_leave_one_out_metrics(spark: SparkSession, d: str) -> DataFrame:
     return retrieval_metrics(loo_ranks(captions(spark, d)))
 
 
+def category_docs(caps: DataFrame) -> DataFrame:
+    """(doc, text): for each image a label only, here the first three words of its first caption."""
+    label = F.array_join(F.slice(F.split(F.min_by("text", "caption_idx"), " "), 1, 3), " ")
+    return caps.groupBy(F.col("image_id").alias("doc")).agg(label.alias("text"))
+
+
+def h7_category_ranks(spark: SparkSession, d: str) -> DataFrame:
+    """Ranks of the captions' images where images are known by their labels alone."""
+    caps = captions(spark, d)
+    return target_ranks(caps, category_docs(caps)).select("query", "category", F.round("score", 6).alias("score"), "rank")
+
+
+def c11_qualitative_matrix(spark: SparkSession, d: str) -> DataFrame:
+    """Ranks by three protocols, side by side, and the best five images, for the first caption of every image whose id is divisible by 20."""
+    caps = captions(spark, d)
+    asked = caps.where("image_id % 20 = 0 AND caption_idx = 0")
+    ranks = {"loo_rank": loo_ranks(caps, asked), "label_rank": target_ranks(caps, category_docs(caps), asked), "whole_rank": target_ranks(caps, image_docs(caps), asked)}
+    best = search(asked.select(query_id().alias("query"), "text"), image_docs(caps), 5).groupBy("query")
+    out = best.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "doc"))), lambda x: x["doc"].cast("string")), ",").alias("top_5"))
+    for name, found in ranks.items():
+        out = found.select("query", F.col("rank").alias(name)).join(out, "query", "left")
+    return out
+
+
 # fixed values: what a missed query is taken for, by parts of its text, before and after the length is looked at
 SPATIAL = ("near", "next to", "beside", "between", "surrounded")
 DENSE = ("many", "several", "dense", "rows", "lines")
@@ -285,14 +329,26 @@ bt AS (SELECT query, count(*) FILTER (score > s OR score = s AND doc < image_id)
 od AS (SELECT image_id, row_number() OVER (ORDER BY image_id) - 1 AS bf FROM (SELECT DISTINCT image_id FROM captions)),
 ranks AS (SELECT query, category, s AS score, 1 + coalesce(above, 0) + CASE WHEN s = 0 THEN bf - coalesce(sb, 0) ELSE 0 END AS rank FROM tg LEFT JOIN bt USING (query) JOIN od USING (image_id))
 """
+LABELS = "SELECT image_id AS doc, array_to_string(string_split(arg_min(text, caption_idx), ' ')[1:3], ' ') AS text FROM captions GROUP BY image_id"
+#: Target ranks with and without a score, apart from the code above: plain counts of the images before the target.
+RANKED = "ranks AS (SELECT q.query, q.image_id, q.category, q.s AS score, 1 + count(*) FILTER (o.image_id <> q.image_id AND (coalesce(c.score, 0) > q.s OR coalesce(c.score, 0) = q.s AND o.image_id < q.image_id)) AS rank FROM (SELECT k.*, coalesce(score, 0) AS s FROM (SELECT image_id || '_cap' || caption_idx AS query, image_id, caption_idx, category FROM captions) k LEFT JOIN scored ON scored.query = k.query AND scored.doc = k.image_id {where}) q, (SELECT DISTINCT image_id FROM captions) o LEFT JOIN scored c ON c.query = q.query AND c.doc = o.image_id GROUP BY ALL)"
+
+
+def _target(docs: str, where: str = "") -> str:
+    return f"WITH {SQL_CAPTIONS}, {_index(docs)}, {QTERMS}, {SCORED}, {RANKED.format(where=where)} "
+
+
 SPACES = r"len(string_split_regex(trim(text), '\s+'))"
 
 
+EVERY_20TH = "WHERE k.image_id % 20 = 0 AND k.caption_idx = 0"
+
+
 def _any(parts: tuple[str, ...]) -> str:
     return "(" + " OR ".join(f"contains(low, '{p}')" for p in parts) + ")"
 
 
-QUERIES = {f.__name__: f for f in (h1_tokens, h2_index, e3_search, h5_max_caption, h6_bm25_leave_one_out_ranks, h6_bm25_leave_one_out_metrics, d14_failures, d1_corpus, h10_prompts, h11_leakage)}
+QUERIES = {f.__name__: f for f in (h1_tokens, h2_index, e3_search, h5_max_caption, h6_bm25_leave_one_out_ranks, h6_bm25_leave_one_out_metrics, h7_category_ranks, c11_qualitative_matrix, d14_failures, d1_corpus, h10_prompts, h11_leakage)}
 SQL = {
     "h1_tokens": f"SELECT doc_id, len({TOK}) AS tokens FROM documents",
     "h2_index": f"WITH {SQL_CAPTIONS}, {_index(IMAGES)} SELECT doc, term, tf, dl, round(idf, 6) AS idf FROM idx",
@@ -300,6 +356,8 @@ SQL = {
     "h5_max_caption": f"WITH {SQL_CAPTIONS}, {_index(f'SELECT {QID} AS doc, text FROM captions')}, {QTERMS}, {SCORED} SELECT query, image_id, round(max(score), 4) AS score FROM scored JOIN (SELECT {QID} AS doc, image_id FROM captions) USING (doc) GROUP BY ALL",
     "h6_bm25_leave_one_out_ranks": LOO + "SELECT query, category, round(score, 6) AS score, rank FROM ranks",
     "h6_bm25_leave_one_out_metrics": LOO + "SELECT category, count(*) AS queries, round(avg((rank <= 1)::INT), 6) AS r1, round(avg((rank <= 5)::INT), 6) AS r5, round(avg((rank <= 10)::INT), 6) AS r10, round(avg(1 / rank), 6) AS mrr FROM ranks GROUP BY ROLLUP (category)",
+    "h7_category_ranks": _target(LABELS) + "SELECT query, category, round(score, 6) AS score, rank FROM ranks",
+    "c11_qualitative_matrix": f"SELECT l.query, l.rank AS loo_rank, g.rank AS label_rank, w.rank AS whole_rank, t.top_5 FROM ({_target(LABELS, EVERY_20TH)} SELECT query, rank FROM ranks) g JOIN ({_target(IMAGES, EVERY_20TH)} SELECT query, rank FROM ranks) w USING (query) JOIN ({LOO} SELECT query, rank FROM ranks) l USING (query) LEFT JOIN (WITH {SQL_CAPTIONS}, {_index(IMAGES)}, {QTERMS}, {SCORED} SELECT query, string_agg(doc, ',' ORDER BY score DESC, doc) AS top_5 FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc) AS n FROM scored) WHERE n <= 5 GROUP BY query) t USING (query)",
     "d14_failures": LOO + ", k AS (SELECT CASE " + " ".join(f"WHEN {c} THEN '{k}'" for k, c in (("spatial_relational_confusion", _any(SPATIAL)), ("dense_small_objects", _any(DENSE)), ("generic_repetitive_caption", "w <= 4"), ("fine_grained_attribute_mismatch", _any(ATTRIBUTES)))) + f" ELSE 'broad_geographic_context' END AS kind FROM ranks JOIN (SELECT {QID} AS query, lower(text) AS low, {SPACES} AS w FROM captions) USING (query) WHERE rank > 10) SELECT kind, count(*) AS n, round(count(*) / sum(count(*)) OVER () * 100, 3) AS pct FROM k GROUP BY kind",
     "d1_corpus": f"WITH {SQL_CAPTIONS} SELECT category, count(DISTINCT image_id) AS images, count(*) AS captions, round(avg({SPACES}), 6) AS mean_words FROM captions GROUP BY ROLLUP (category)",
     "h10_prompts": f"WITH {SQL_CAPTIONS}, forms AS (SELECT unnest(range(5))::INT AS form, unnest({list(PROMPTS)}) AS f) SELECT {QID} AS query, form, replace(f, '%s', regexp_replace(trim(text), '[.!?]+$', '')) AS prompt FROM captions, forms",

@@ -56,6 +56,37 @@ def search(queries: DataFrame, gallery: DataFrame, k: int = 10) -> DataFrame:
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
+def _ahead(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """For each query of a block, how many vectors of a gallery block come before its target."""
+    for frame in frames:
+        for row in frame.itertuples(index=False):
+            q, g = (np.asarray(x).reshape(len(i), -1) for i, x in ((row.q_ids, row.q_flat), (row.g_ids, row.g_flat)))
+            score, ids = np.round(q @ g.T, 9), np.asarray(row.g_ids)
+            target, s = np.asarray(row.q_targets)[:, None], np.asarray(row.q_scores)[:, None]
+            ahead = (ids != target) & ((score > s) | ((score == s) & (ids < target)))
+            yield pd.DataFrame({"query": row.q_ids, "ahead": ahead.sum(axis=1)})
+
+
+def target_ranks(queries: DataFrame, gallery: DataFrame) -> DataFrame:
+    """(query, target, score, rank): the place of each query's target in the order of the whole gallery, ties to the smaller id.
+
+    ``queries`` has vec_id, embedding and target, the id of a gallery vector; queries whose target
+    is not in the gallery are left out. Counts of the vectors ahead are summed over blocks, so
+    that the order itself is never written.
+    """
+    conf = gallery.sparkSession.conf
+    conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "16")
+    conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+    own = gallery.select(F.col("vec_id").alias("target"), unit("embedding").alias("t"))
+    dot = F.aggregate(F.zip_with("u", "t", lambda x, y: x * y), F.lit(0.0), lambda a, x: a + x)
+    rows = queries.select("vec_id", "target", unit("embedding").alias("u")).join(own, "target").select("vec_id", "target", "u", F.round(dot, 9).alias("s"))
+    n = max(1, -(-queries.count() // BLOCK))
+    packed = rows.groupBy(F.pmod(F.xxhash64("vec_id"), F.lit(n)).alias("block")).agg(F.collect_list(F.struct("vec_id", "target", "u", "s")).alias("rows"))
+    packed = packed.select(F.col("rows.vec_id").alias("q_ids"), F.col("rows.target").alias("q_targets"), F.col("rows.s").alias("q_scores"), F.flatten("rows.u").alias("q_flat"))
+    ahead = blocks(gallery, "g").crossJoin(packed).mapInPandas(_ahead, "query long, ahead long").groupBy("query").agg(F.sum("ahead").alias("ahead"))
+    return rows.select(F.col("vec_id").alias("query"), "target", F.col("s").alias("score")).join(ahead, "query").select("query", "target", "score", (F.col("ahead") + 1).alias("rank"))
+
+
 def _embeddings(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "embeddings")
 
@@ -81,6 +112,13 @@ def i3_label_precision(spark: SparkSession, d: str) -> DataFrame:
     return found.groupBy(F.col("own").alias("label")).agg(F.count("*").alias("n"), F.count_if(F.col("label") == F.col("own")).alias("hits"))
 
 
+def i3_target_ranks(spark: SparkSession, d: str) -> DataFrame:
+    """Where the next vector by id stands among all, for every vector whose id is divisible by 20."""
+    rows = _embeddings(spark, d).select("vec_id", "embedding")
+    found = target_ranks(rows.where("vec_id % 20 = 0").withColumn("target", F.col("vec_id") + 1), rows)
+    return found.select("query", "target", F.round("score", 4).alias("score"), "rank")
+
+
 def i4_ensemble(spark: SparkSession, d: str) -> DataFrame:
     """Mean of the unit vectors of each five ids in a row, brought to length one; a row a component."""
     parts = _embeddings(spark, d).select(F.floor(F.col("vec_id") / 5).alias("grp"), F.posexplode(unit("embedding")).alias("pos", "x"))
@@ -108,11 +146,12 @@ UNIT = f"list_transform(embedding, lambda x: x::DOUBLE / {NORM})"
 FOUND = f"""WITH u AS (SELECT vec_id, label, {UNIT} AS u FROM embeddings),
 s AS (SELECT q.vec_id AS query, q.label AS own, g.vec_id, g.label, round(list_inner_product(q.u, g.u), 9) AS score FROM u q, u g WHERE q.vec_id % 20 = 0),
 f AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, vec_id) AS rank FROM s QUALIFY rank <= 10) """
-QUERIES = {f.__name__: f for f in (i1_norms, i2_vector_search, i3_label_precision, i4_ensemble, i5_checks, i6_fingerprints, i7_index_size)}
+QUERIES = {f.__name__: f for f in (i1_norms, i2_vector_search, i3_label_precision, i3_target_ranks, i4_ensemble, i5_checks, i6_fingerprints, i7_index_size)}
 SQL = {
     "i1_norms": f"SELECT vec_id, round({NORM}, 6) AS norm, round(({UNIT})[1], 6) AS first FROM embeddings",
     "i2_vector_search": FOUND + "SELECT query, vec_id, round(score, 4) AS score, rank FROM f",
     "i3_label_precision": FOUND + "SELECT own AS label, count(*) AS n, count(*) FILTER (label = own) AS hits FROM f WHERE query <> vec_id GROUP BY own",
+    "i3_target_ranks": FOUND[: FOUND.index(",\nf AS")] + ", t AS (SELECT query, vec_id AS target, score AS s FROM s WHERE vec_id = query + 1) SELECT query, target, round(any_value(t.s), 4) AS score, 1 + count(*) FILTER (s.vec_id <> target AND (s.score > t.s OR s.score = t.s AND s.vec_id < target)) AS rank FROM s JOIN t USING (query) GROUP BY query, target",
     "i4_ensemble": f"WITH u AS (SELECT vec_id // 5 AS grp, unnest(range(64))::INT AS pos, unnest({UNIT}) AS x FROM embeddings), m AS (SELECT grp, pos, avg(x) AS x FROM u GROUP BY ALL) SELECT grp, pos, round(x / sqrt(sum(x * x) OVER (PARTITION BY grp)), 6) AS x FROM m",
     "i5_checks": "SELECT count(*) AS n, count(DISTINCT vec_id) AS ids, count(*) FILTER (len(embedding) <> 64) AS wrong_size FROM embeddings",
     "i6_fingerprints": "SELECT vec_id // 1000 AS block, count(*) AS n, sha256(string_agg(vec_id::VARCHAR, ',' ORDER BY vec_id)) AS fingerprint FROM embeddings GROUP BY ALL",

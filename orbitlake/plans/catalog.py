@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from orbitlake.operators import evaluation, raster, records, reports, scenes, splits, text_search, vectors
+from orbitlake.operators import cases, evaluation, raster, records, reports, scenes, splits, text_search, vectors
 
-MODULES = [text_search, evaluation, raster, vectors, splits, reports, scenes, records]
+MODULES = [text_search, evaluation, raster, vectors, splits, reports, scenes, records, cases]
 
 
 def queries() -> dict[str, Callable]:
