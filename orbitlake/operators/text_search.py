@@ -15,6 +15,8 @@ from orbitlake.sources.fixtures import SQL_CAPTIONS, captions, table
 K1, B = 1.5, 0.75
 #: Ranges of image ids that are ranked apart.
 RANGES = 256
+#: Bands that a whole score is cut into where all of a gallery is ranked.
+BANDS = 16
 #: Queries and documents of a block of scores; blocks of queries are cut down to the smaller size while cores would idle.
 QUERIES_A_BLOCK, FEWEST_QUERIES, DOCS_A_BLOCK = 4096, 256, 2000
 
@@ -181,11 +183,11 @@ def earlier(ids: DataFrame, key: str) -> DataFrame:
     """
     bounds = ids.agg(F.percentile_approx(key, [i / RANGES for i in range(1, RANGES)])).first()[0] or []  # one literal for both uses: the estimate may vary
     dealt = ids.withColumn("_range", F.size(F.filter(F.lit(sorted(set(bounds))), lambda b: b < F.col(key))))
-    counts = dealt.groupBy("_range").agg(F.count("*").alias("_n"))
-    start = F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row a range
+    counts = dict(dealt.groupBy("_range").count().collect())  # a row a range
+    starts = [sum(n for r, n in counts.items() if r < i) for i in range(len(set(bounds)) + 1)]
     place = F.row_number().over(Window.partitionBy("_range").orderBy(key)) - 1
-    dealt = dealt.withColumn("_place", place).join(F.broadcast(counts.select("_range", start.alias("_start"))), "_range")
-    return dealt.withColumn("before", F.col("_start") + F.col("_place")).drop("_range", "_place", "_start")
+    start = F.get(F.lit(starts).cast("array<bigint>"), F.col("_range"))
+    return dealt.withColumn("before", start + place).drop("_range")
 
 
 def retrieval_metrics(ranks: DataFrame) -> DataFrame:
@@ -210,6 +212,24 @@ def search(queries: DataFrame, docs: DataFrame, k: int = 10) -> DataFrame:
     return in_blocks(terms, index(docs), rough_sizes(queries, F.col("query"), docs, "doc"), best, schema).withColumn("rank", F.row_number().over(top)).where(F.col("rank") <= k)
 
 
+def rank_gallery(queries: DataFrame, scores: DataFrame, gallery: DataFrame) -> DataFrame:
+    """(query, doc, score, rank): all of ``gallery`` (doc) for each of a stated set of ``queries`` (query), by ``scores`` (query, doc, score), all above 0.
+
+    Documents without a score have 0; ties go to the smaller document. Ranks are taken within bands of
+    near scores, or of neighbouring documents where there is none, and what lies before a
+    band comes from counts, so that no task sorts a whole gallery.
+    """
+    part = F.floor(F.col("before") / DOCS_A_BLOCK).alias("part")
+    blocks = earlier(gallery.select("doc").distinct(), "doc").groupBy(part).agg(F.collect_list(F.struct("doc", "before")).alias("docs"))
+    pairs = queries.select("query").distinct().crossJoin(blocks).select("query", "part", F.explode("docs").alias("x")).select("query", "part", "x.*")
+    rows = pairs.join(scores, ["query", "doc"], "left").fillna(0.0, ["score"])
+    rows = rows.withColumn("band", F.when(F.col("score") > 0, -1 - F.floor(F.col("score") * BANDS)).otherwise(F.col("part")))
+    start = F.sum("n").over(Window.partitionBy("query").orderBy("band").rowsBetween(Window.unboundedPreceding, -1))
+    starts = rows.groupBy("query", "band").agg(F.count("*").alias("n")).select("query", "band", F.coalesce(start, F.lit(0)).alias("start"))
+    place = F.row_number().over(Window.partitionBy("query", "band").orderBy(F.desc("score"), "before"))
+    return rows.withColumn("place", place).join(starts, ["query", "band"]).select("query", "doc", "score", (F.col("start") + F.col("place")).alias("rank"))
+
+
 def h1_tokens(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", F.size(tokenize(F.col("text"))).alias("tokens"))
 
@@ -223,6 +243,13 @@ def e3_search(spark: SparkSession, d: str) -> DataFrame:
     return search(caps.select(query_id().alias("query"), "text"), image_docs(caps)).select("query", "doc", F.round("score", 4).alias("score"), "rank")
 
 
+def e1_rank_gallery(spark: SparkSession, d: str) -> DataFrame:
+    """All images, with a score or without, for the first caption of every image whose id is divisible by 20."""
+    caps = captions(spark, d)
+    asked, docs = caps.where("image_id % 20 = 0 AND caption_idx = 0").select(query_id().alias("query"), "text"), image_docs(caps)
+    return rank_gallery(asked, bm25(asked, index(docs)), docs).select("query", "doc", F.round("score", 4).alias("score"), "rank")
+
+
 def h5_max_caption(spark: SparkSession, d: str) -> DataFrame:
     caps = captions(spark, d)
     docs = caps.select(query_id().alias("doc"), "text")
@@ -348,10 +375,11 @@ def _any(parts: tuple[str, ...]) -> str:
     return "(" + " OR ".join(f"contains(low, '{p}')" for p in parts) + ")"
 
 
-QUERIES = {f.__name__: f for f in (h1_tokens, h2_index, e3_search, h5_max_caption, h6_bm25_leave_one_out_ranks, h6_bm25_leave_one_out_metrics, h7_category_ranks, c11_qualitative_matrix, d14_failures, d1_corpus, h10_prompts, h11_leakage)}
+QUERIES = {f.__name__: f for f in (h1_tokens, h2_index, e1_rank_gallery, e3_search, h5_max_caption, h6_bm25_leave_one_out_ranks, h6_bm25_leave_one_out_metrics, h7_category_ranks, c11_qualitative_matrix, d14_failures, d1_corpus, h10_prompts, h11_leakage)}
 SQL = {
     "h1_tokens": f"SELECT doc_id, len({TOK}) AS tokens FROM documents",
     "h2_index": f"WITH {SQL_CAPTIONS}, {_index(IMAGES)} SELECT doc, term, tf, dl, round(idf, 6) AS idf FROM idx",
+    "e1_rank_gallery": f"WITH {SQL_CAPTIONS}, {_index(IMAGES)}, {QTERMS}, {SCORED} SELECT k.query, k.doc, round(coalesce(score, 0), 4) AS score, row_number() OVER (PARTITION BY k.query ORDER BY coalesce(score, 0) DESC, k.doc) AS rank FROM (SELECT {QID} AS query, o.doc FROM captions, (SELECT DISTINCT image_id AS doc FROM captions) o WHERE image_id % 20 = 0 AND caption_idx = 0) k LEFT JOIN scored USING (query, doc)",
     "e3_search": f"WITH {SQL_CAPTIONS}, {_index(IMAGES)}, {QTERMS}, {SCORED} SELECT query, doc, round(score, 4) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc) AS rank FROM scored) WHERE rank <= 10",
     "h5_max_caption": f"WITH {SQL_CAPTIONS}, {_index(f'SELECT {QID} AS doc, text FROM captions')}, {QTERMS}, {SCORED} SELECT query, image_id, round(max(score), 4) AS score FROM scored JOIN (SELECT {QID} AS doc, image_id FROM captions) USING (doc) GROUP BY ALL",
     "h6_bm25_leave_one_out_ranks": LOO + "SELECT query, category, round(score, 6) AS score, rank FROM ranks",

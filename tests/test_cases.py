@@ -54,3 +54,16 @@ def test_labels_rank_ties_by_image(spark):
     found = {r["image_id"]: r["rank"] for r in text_search.target_ranks(caps, text_search.category_docs(caps), asked).collect()}
     # image 2 meets its own label best; the blank caption scores no image, so that its image stands in order of ids
     assert found == {2: 1, 3: 4}
+
+
+def test_whole_gallery_in_bands(spark, monkeypatch):
+    monkeypatch.setattr(text_search, "DOCS_A_BLOCK", 3)
+    gallery = spark.range(0, 20).withColumnRenamed("id", "doc")
+    given = {("q", d): s for d, s in ((3, 0.5), (9, 0.5), (4, 0.51), (17, 2.25), (0, 0.01))}
+    scores = spark.createDataFrame([(q, d, s) for (q, d), s in given.items()], "query string, doc long, score double")
+    queries = spark.createDataFrame([("q",), ("none",)], "query string")
+    rows = text_search.rank_gallery(queries, scores, gallery).collect()
+    for q in ("q", "none"):
+        order = sorted(range(20), key=lambda d: (-given.get((q, d), 0), d))
+        assert [r["doc"] for r in sorted((r for r in rows if r["query"] == q), key=lambda r: r["rank"])] == order
+        assert sorted(r["rank"] for r in rows if r["query"] == q) == list(range(1, 21))
