@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from orbitlake.llm import decontamination, html_text, licenses, lm_scoring, mixing, near_dedup, prefix_trie, quality_model, quality_rules, sharding, substring_dedup
+from orbitlake.llm import decontamination, html_text, licenses, lm_scoring, mixing, near_dedup, prefix_trie, quality_model, quality_rules, sharding, substring_dedup, warc
 
 
 def queries() -> dict[str, Callable]:
@@ -19,10 +19,11 @@ def queries() -> dict[str, Callable]:
         html_text.op8_html_text,
         substring_dedup.op9_substring_dedup,
         quality_rules.op10_quality_rules,
+        warc.op12_warc,
         prefix_trie.op13_prefix_trie,
     ]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op13_prefix_trie": prefix_trie.SQL}
+    return {"op12_warc": warc.SQL, "op13_prefix_trie": prefix_trie.SQL}
