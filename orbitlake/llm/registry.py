@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from orbitlake.llm import decontamination, html_text, licenses, lm_scoring, mixing, near_dedup, prefix_trie, quality_model, quality_rules, sharding, substring_dedup, warc
+from orbitlake.llm import decontamination, hard_negatives, html_text, licenses, lm_scoring, mixing, near_dedup, prefix_trie, quality_model, quality_rules, sharding, substring_dedup, warc
 
 
 def queries() -> dict[str, Callable]:
@@ -19,6 +19,7 @@ def queries() -> dict[str, Callable]:
         html_text.op8_html_text,
         substring_dedup.op9_substring_dedup,
         quality_rules.op10_quality_rules,
+        hard_negatives.op11_hard_negatives,
         warc.op12_warc,
         prefix_trie.op13_prefix_trie,
     ]
@@ -26,4 +27,4 @@ def queries() -> dict[str, Callable]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op12_warc": warc.SQL, "op13_prefix_trie": prefix_trie.SQL}
+    return {"op11_hard_negatives": hard_negatives.SQL, "op12_warc": warc.SQL, "op13_prefix_trie": prefix_trie.SQL}
