@@ -22,11 +22,6 @@ def change_score(rule: str = "mean") -> Column:
     return F.expr(DIFF if rule == "mean" else CVA)
 
 
-def box_mean(value: Column, radius: int) -> Column:
-    """Mean along x within the scene's row, cut off at the border."""
-    return F.avg(value).over(Window.partitionBy("scene_id", "y").orderBy("x").rowsBetween(-radius, radius))
-
-
 def vari(i: int) -> Column:
     """(g - r) / (g + r - b), 0 where the denominator is, within [-1, 1]."""
     den = F.col(f"g{i}") + F.col(f"r{i}") - F.col(f"b{i}")
@@ -103,12 +98,6 @@ def j7_illumination(spark: SparkSession, d: str) -> DataFrame:
     return bright.groupBy("scene_id", "add").agg(F.round(F.avg(change_score()), 6).alias("mean"), F.count_if((F.col("r2") == 255) & (F.col("g2") == 255) & (F.col("b2") == 255)).alias("saturated"))
 
 
-def j14_illumination_discrepancy(spark: SparkSession, d: str) -> DataFrame:
-    """Relative difference of local mean brightness along rows (15 pixels)."""
-    u1, u2 = (box_mean(F.expr(LUMA.format(i=i)), 7) for i in (1, 2))
-    return _scene(pixels(spark, d).withColumns({"u1": u1, "u2": u2}), F.abs(F.col("u1") - F.col("u2")) / (F.col("u1") + F.col("u2") + 1e-4), "mean")
-
-
 def j18_quality_gate(spark: SparkSession, d: str) -> DataFrame:
     """Scores damped where they are uncertain and brightness differs: p * (1 - gamma * 4p(1-p) * q)."""
     p, q = change_score(), F.abs(F.expr(LUMA.format(i=1)) - F.expr(LUMA.format(i=2)))
@@ -135,10 +124,6 @@ def _mask(spark: SparkSession, d: str) -> DataFrame:
     return pixels(spark, d).select("scene_id", "y", "x", F.expr(f"cast({DIFF} >= {CUT}D AS int)").alias("m"))
 
 
-def l1_morphology(spark: SparkSession, d: str) -> DataFrame:
-    return morphology(_mask(spark, d)).groupBy("scene_id").agg(F.sum("m").alias("set_pixels"))
-
-
 def l7_regions(spark: SparkSession, d: str) -> DataFrame:
     """Regions of the cleaned change masks."""
     return region_stats(components(morphology(_mask(spark, d)))).drop("label")
@@ -165,7 +150,7 @@ def _pass(n: int, f: str, line: str, along: str) -> str:
 
 
 MORPH = f"WITH {SQL_PIXELS}, m0 AS (SELECT scene_id, y, x, ({D} >= {CUT})::INT AS m FROM pixels), " + ", ".join(_pass(2 * i + j, f, *l) for i, f in enumerate(("max", "min", "min", "max")) for j, l in enumerate((("y", "x"), ("x", "y"))))
-QUERIES = {f.__name__: f for f in (j1_pixel_diff, j1_pixel_diff_max, j2_cva, j3_luma, j6_error_classes, j7_illumination, j14_illumination_discrepancy, j18_quality_gate, j19_vari, d2_class_pixels, d24_patches, l1_morphology, l7_regions)}
+QUERIES = {f.__name__: f for f in (j1_pixel_diff, j1_pixel_diff_max, j2_cva, j3_luma, j6_error_classes, j7_illumination, j18_quality_gate, j19_vari, d2_class_pixels, d24_patches, l7_regions)}
 SQL = {
     "j1_pixel_diff": _sc(D),
     "j1_pixel_diff_max": _sc("greatest(abs(r1 - r2), abs(g1 - g2), abs(b1 - b2)) / 255.0"),
@@ -173,10 +158,8 @@ SQL = {
     "j3_luma": _sc(_luma(1)),
     "j6_error_classes": f"WITH {SQL_PIXELS} SELECT scene_id, CASE WHEN {D} >= {CUT} THEN if(gt = 1, 'TP', 'FP') ELSE if(gt = 1, 'FN', 'TN') END AS kind, count(*) AS n FROM pixels GROUP BY ALL",
     "j7_illumination": f"WITH {SQL_PIXELS}, p AS (SELECT scene_id, r1, g1, b1, a AS add, least(255, r2 + a) AS r2, least(255, g2 + a) AS g2, least(255, b2 + a) AS b2 FROM pixels, (SELECT unnest([13, 38, 64]) AS a)) SELECT scene_id, add, round(avg({D}), 6) AS mean, count(*) FILTER (r2 = 255 AND g2 = 255 AND b2 = 255) AS saturated FROM p GROUP BY ALL",
-    "j14_illumination_discrepancy": f"WITH {SQL_PIXELS}, u AS (SELECT scene_id, avg({_luma(1)}) OVER w AS u1, avg({_luma(2)}) OVER w AS u2 FROM pixels WINDOW w AS (PARTITION BY scene_id, y ORDER BY x ROWS BETWEEN 7 PRECEDING AND 7 FOLLOWING)), v AS (SELECT scene_id, abs(u1 - u2) / (u1 + u2 + 1e-4) AS v FROM u) SELECT scene_id, round(avg(v), 6) AS mean, round(max(v), 6) AS most FROM v GROUP BY ALL",
     "j18_quality_gate": f"WITH {SQL_PIXELS}, p AS (SELECT scene_id, {D} AS p, abs({_luma(1)} - {_luma(2)}) AS q, gamma FROM pixels, (SELECT unnest([0.0::DOUBLE, 0.3, 0.6]) AS gamma)) SELECT scene_id, gamma, round(avg(p * (1 - gamma * 4 * p * (1 - p) * q)), 6) AS mean FROM p GROUP BY ALL",
     "j19_vari": f"WITH {SQL_PIXELS} SELECT scene_id, gt, round(avg({_vari(1)}), 6) AS before, round(avg({_vari(2)}), 6) AS after FROM pixels GROUP BY ALL",
     "d2_class_pixels": f"WITH {SQL_PIXELS} SELECT count(*) AS pixels, sum(gt)::BIGINT AS changed, round(avg(gt), 6) AS share FROM pixels",
     "d24_patches": f"WITH {SQL_PIXELS} SELECT scene_id, ((y // 4) * 5 + x // 4)::INT AS patch, sum(gt)::BIGINT AS changed, round(sum(gt) / 16, 6) AS share, max(gt) AS positive FROM pixels GROUP BY ALL",
-    "l1_morphology": MORPH + " SELECT scene_id, sum(m)::BIGINT AS set_pixels FROM m8 GROUP BY ALL",
 }

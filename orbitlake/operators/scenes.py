@@ -1,29 +1,18 @@
-"""Quality signals, perturbations, patches, shifts and gates over pixel tables, each as one SQL text.
+"""Contrast, patches, vegetation, gates and categories, each as one SQL text.
 
 The texts hold for Spark and DuckDB alike: inputs stand in braces, doubles are written
-with an exponent. Windows run within a line of a scene. Borders are reflected
-(d c b a | a b c d | d c b a): neighbours at distance 1 by their own pixel, wider frames by
-mirrored rows that are dropped afterwards.
+with an exponent.
 """
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame, SparkSession
 
-from orbitlake.operators.evaluation import METRICS
 from orbitlake.sources import fixtures
-from orbitlake.sources.fixtures import SIDE
 
 PIX = "{pixels}"
-DIFF = "(abs(r1 - r2) + abs(g1 - g2) + abs(b1 - b2)) / 7.65e2"
-# fixed values: luma weights, signal weights, frozen thresholds, gate grid
+# fixed values: luma weights
 LUMA = ("2.989e-1", "5.87e-1", "1.14e-1")
-WEIGHTS = {"s_reg": "3.4e-1", "s_illum": "3.3e-1", "s_sharp": "3.3e-1"}
-FROZEN, GAMMA, TAU = "3e-1", "3e-1", "4.5e-1"
-GAMMAS = ["0e0", "1e-1", "2e-1", "3e-1", "4e-1", "5e-1", "6e-1"]
-TAUS = ["3e-1", "3.5e-1", "4e-1", "4.5e-1", "5e-1", "5.5e-1", "6e-1"]
 
 
 def luma(i: int, weights: tuple[str, str, str] = LUMA) -> str:
@@ -31,179 +20,19 @@ def luma(i: int, weights: tuple[str, str, str] = LUMA) -> str:
     return f"({r} * r{i} + {g} * g{i} + {b} * b{i}) / 2.55e2"
 
 
-def line(axis: str) -> str:
-    return f"(PARTITION BY scene_id, {'y' if axis == 'x' else 'x'} ORDER BY {axis})"
-
-
-def before(v: str, axis: str) -> str:
-    return f"coalesce(lag({v}) OVER {line(axis)}, {v})"
-
-
-def after(v: str, axis: str) -> str:
-    return f"coalesce(lead({v}) OVER {line(axis)}, {v})"
-
-
-def mirrored(source: str, axis: str, columns: str, radius: int) -> str:
-    """``source`` with ``radius`` reflected pixels before and after each line."""
-    other = "y" if axis == "x" else "x"
-    head = f"SELECT scene_id, {other}, {axis}, {columns} FROM {source}"
-    return f"{head} UNION ALL SELECT scene_id, {other}, -1 - {axis}, {columns} FROM {source} WHERE {axis} < {radius} UNION ALL SELECT scene_id, {other}, {2 * SIDE - 1} - {axis}, {columns} FROM {source} WHERE {axis} >= {SIDE - radius}"
-
-
-def separable(source: str, out: str, values: list[str], kept: list[str], radius: int, weights: list[float] | None = None) -> str:
-    """CTEs that end in ``out``: ``values`` averaged (or weighed) over a square around each pixel, ``kept`` as they are."""
-
-    def smooth(v: str, axis: str) -> str:
-        if weights is None:
-            return f"avg({v}) OVER (PARTITION BY scene_id, {'y' if axis == 'x' else 'x'} ORDER BY {axis} ROWS BETWEEN {radius} PRECEDING AND {radius} FOLLOWING) AS {v}"
-        taps = [f"{w:.12e} * " + (v if k == 0 else f"(coalesce(lag({v}, {k}) OVER {line(axis)}, 0e0) + coalesce(lead({v}, {k}) OVER {line(axis)}, 0e0))") for k, w in enumerate(weights)]
-        return f"{' + '.join(taps)} AS {v}"
-
-    steps, now = [], source
-    for axis in ("x", "y"):
-        steps.append(f"{out}_m{axis} AS ({mirrored(now, axis, ', '.join(values + kept), radius)})")
-        now = out if axis == "y" else f"{out}_{axis}"
-        done = ", ".join(["scene_id", "y", "x", *(smooth(v, axis) for v in values), *kept])
-        steps.append(f"{now} AS (SELECT * FROM (SELECT {done} FROM {out}_m{axis}) t WHERE {axis} BETWEEN 0 AND {SIDE - 1})")
-    return ", ".join(steps)
-
-
-def gaussian(sigma: float, radius: int | None = None) -> list[float]:
-    """Weights at distances 0 to ``radius`` (4 sigma); with both sides they add up to 1."""
-    w = [math.exp(-k * k / (2 * sigma * sigma)) for k in range((int(4 * sigma + 0.5) if radius is None else radius) + 1)]
-    return [x / (w[0] + 2 * sum(w[1:])) for x in w]
-
-
-def _stencils() -> str:
-    first, second, third = [], [], []
-    for v in ("u", "v"):
-        first += [f"{after(v, 'x')} - {before(v, 'x')} AS d{v}", f"{before(v, 'x')} + 2 * {v} + {after(v, 'x')} AS s{v}", f"{before(v, 'x')} + {after(v, 'x')} - 4 * {v} AS a{v}"]
-        second += [f"{before('d' + v, 'y')} + 2 * d{v} + {after('d' + v, 'y')} AS h{v}", f"{after('s' + v, 'y')} - {before('s' + v, 'y')} AS w{v}", f"a{v} + {before(v, 'y')} + {after(v, 'y')} AS l{v}"]
-        third += [f"sqrt(h{v} * h{v} + w{v} * w{v}) AS g{v}", f"l{v} * l{v} AS q{v}"]
-    at = "scene_id, y, x, u, v, p, gt"
-    return f"""base AS (SELECT scene_id, y, x, {luma(1)} AS u, {luma(2)} AS v, {DIFF} AS p, gt FROM {PIX}),
-st1 AS (SELECT {at}, {", ".join(first)} FROM base), st2 AS (SELECT {at}, {", ".join(second)} FROM st1), st3 AS (SELECT {at}, {", ".join(third)} FROM st2),
-{separable("st3", "box", ["u", "v", "qu", "qv"], ["p", "gt", "gu", "gv"], 7)},
-signals AS (SELECT scene_id, y, x, p, gt, abs(gu - gv) / (gu + gv + 1e-4) AS s_reg, abs(u - v) / (u + v + 1e-4) AS s_illum, abs(qu - qv) / (qu + qv + 1e-4) AS s_sharp, 4 * p * (1 - p) AS margin FROM box)"""
-
-
-SIGNALS = _stencils()
-
-
-def defect(*active: str) -> str:
-    """Weighted mean of the active signals, 0 without any."""
-    if not active:
-        return "0e0"
-    return f"(({' + '.join(f'{WEIGHTS[s]} * {s}' for s in active)}) / ({' + '.join(WEIGHTS[s] for s in active)}))"
-
-
-def gated(gamma: str, q: str, margin: str = "margin") -> str:
-    return f"least(1e0, greatest(0e0, p * (1 - {gamma} * {margin} * {q})))"
-
-
-def means(source: str, value: str) -> str:
-    return f"SELECT scene_id, round(avg({value}), 6) AS mean, round(max({value}), 6) AS most FROM {source} GROUP BY scene_id"
-
-
-def counted(by: str, pred: str, source: str) -> str:
-    """Confusion counts by group, as CTE cm, and its metrics."""
-    kinds = [("tp", f"{pred} AND gt = 1"), ("fp", f"{pred} AND gt = 0"), ("fn", f"NOT ({pred}) AND gt = 1"), ("tn", f"NOT ({pred}) AND gt = 0")]
-    sums = ", ".join(f"CAST(sum(CASE WHEN {c} THEN 1 ELSE 0 END) AS BIGINT) AS {n}" for n, c in kinds)
-    return f"cm AS (SELECT {by}, {sums} FROM {source} GROUP BY {by}) SELECT {by}, tp, fp, fn, tn, {METRICS} FROM cm"
-
-
-# fixed values: luma weights of the structural similarity, and its stabilisers for values in [0, 1]
-SSIM_LUMA, SSIM_C = ("2.99e-1", "5.87e-1", "1.14e-1"), ("1e-4", "9e-4")
-
-
-def ssim_dissimilarity() -> str:
-    """CTEs that end in ssim (scene_id, y, x, gt, p): 1 - SSIM of the lumas within 11 gaussian taps of sigma 1.5, clipped to [0, 1]."""
-    c1, c2 = SSIM_C
-    top = f"(2 * u * v + {c1}) * (2 * (uv - u * v) + {c2})"
-    bottom = f"(u * u + v * v + {c1}) * (uu - u * u + vv - v * v + {c2})"
-    return f"""lumas AS (SELECT scene_id, y, x, gt, {luma(1, SSIM_LUMA)} AS u, {luma(2, SSIM_LUMA)} AS v FROM {PIX}),
-products AS (SELECT scene_id, y, x, gt, u, v, u * u AS uu, v * v AS vv, u * v AS uv FROM lumas),
-{separable("products", "smooth", ["u", "v", "uu", "vv", "uv"], ["gt"], 5, gaussian(1.5, 5))},
-ssim AS (SELECT scene_id, y, x, gt, least(1e0, greatest(0e0, 1 - {top} / ({bottom}))) AS p FROM smooth)"""
-
-
-FULL = defect(*WEIGHTS)
-ABLATION = {
-    "full": gated(GAMMA, FULL),
-    "no_gate": "p",
-    "all_signals": gated(GAMMA, FULL, "1e0"),
-    "reg_only": gated(GAMMA, defect("s_reg")),
-    "illum_only": gated(GAMMA, defect("s_illum")),
-    "sharp_only": gated(GAMMA, defect("s_sharp")),
-    "no_signal": gated(GAMMA, defect()),
-}
-PASSED = " + ".join(f"CAST(g >= {t} AS INT)" for t in TAUS)
-GRID = f"""{SIGNALS}, gm AS (SELECT * FROM (VALUES {", ".join(f"({g})" for g in GAMMAS)}) t(gamma)), ta AS (SELECT * FROM (VALUES {", ".join(f"({i + 1}, {t})" for i, t in enumerate(TAUS))}) t(i, tau)),
-gp AS (SELECT gamma, gt, {gated("gamma", FULL)} AS g FROM signals CROSS JOIN gm),
-bins AS (SELECT gamma, gt, {PASSED} AS k, count(*) AS n FROM gp GROUP BY gamma, gt, {PASSED}),
-cm AS (SELECT gamma, tau, CAST(sum(CASE WHEN k >= i AND gt = 1 THEN n ELSE 0 END) AS BIGINT) AS tp, CAST(sum(CASE WHEN k >= i AND gt = 0 THEN n ELSE 0 END) AS BIGINT) AS fp,
-  CAST(sum(CASE WHEN k < i AND gt = 1 THEN n ELSE 0 END) AS BIGINT) AS fn, CAST(sum(CASE WHEN k < i AND gt = 0 THEN n ELSE 0 END) AS BIGINT) AS tn FROM bins CROSS JOIN ta GROUP BY gamma, tau),
-grid AS (SELECT gamma, tau, tp, fp, fn, tn, {METRICS} FROM cm)"""
-
-
 def _vari(i: int) -> str:
     den = f"(g{i} + r{i} - b{i})"
     return f"CASE WHEN abs({den}) < 1e-6 THEN 0e0 ELSE greatest(-1e0, least(1e0, (g{i} - r{i}) * 1e0 / {den})) END"
 
 
-def _brighter(add: str) -> str:
-    return ", ".join(f"least(2.55e2, {c}2 + {add} * 2.55e2) AS {c}2" for c in "rgb")
-
-
-def _shadow(share: str) -> str:
-    side = f"floor(sqrt({share} * {SIDE * SIDE}))"
-    inside = f"y >= {int(SIDE * 0.35)} AND y < {int(SIDE * 0.35)} + {side} AND x >= {int(SIDE * 0.35)} AND x < {int(SIDE * 0.35)} + {side}"
-    return ", ".join(f"CASE WHEN {inside} THEN {c}2 * 4e-1 ELSE {c}2 * 1e0 END AS {c}2" for c in "rgb")
-
-
-PLAIN = "scene_id, y, x, r1, g1, b1, gt"
-CONDITIONS = " UNION ALL ".join(
-    f"SELECT '{name}' AS cond, {PLAIN}, {second} FROM {PIX}"
-    for name, second in [
-        ("control", ", ".join(f"{c}2 * 1e0 AS {c}2" for c in "rgb")),
-        *((f"light_{s}", _brighter(s)) for s in ("5e-2", "1.5e-1", "2.5e-1")),
-        *((f"shadow_{s}", _shadow(s)) for s in ("2e-2", "5e-2", "1e-1")),
-    ]
-)
-
-
-def _blurred(sigma: int) -> str:
-    return separable("bl0", f"bl{sigma}", ["v"], ["u"], 4 * sigma, gaussian(sigma))
-
-
-def _moved(axis: str, k: int) -> str:
-    return f"CASE WHEN a.{axis} < {k} THEN {k - 1} - a.{axis} ELSE a.{axis} - {k} END"
-
-
-OFFSETS = ", ".join(f"({dy}, {dx})" for dy in (-1, 0, 1) for dx in (-1, 0, 1))
 #: Name: (inputs, SQL after WITH).
 TEXTS = {
-    "j4_ssim_dissimilarity": (["pixels"], f"{ssim_dissimilarity()} {means('ssim', 'p')}"),
-    "j8_blur": (["pixels"], f"bl0 AS (SELECT scene_id, y, x, {luma(2)} AS v, {luma(2)} AS u FROM {PIX}), " + ", ".join(_blurred(s) for s in (1, 2, 4)) + ", every AS (" + " UNION ALL ".join(f"SELECT {s} AS sigma, scene_id, abs(u - v) AS e FROM bl{s}" for s in (1, 2, 4)) + ") SELECT scene_id, sigma, round(avg(e), 6) AS mean, round(max(e), 6) AS most FROM every GROUP BY scene_id, sigma"),
-    "j9_shift": (["pixels"], "mv AS (" + " UNION ALL ".join(f"SELECT {k} AS shift, a.scene_id, a.gt, abs({luma(1).replace('r1', 'a.r1').replace('g1', 'a.g1').replace('b1', 'a.b1')} - {luma(2).replace('r2', 'b.r2').replace('g2', 'b.g2').replace('b2', 'b.b2')}) AS e FROM {PIX} a JOIN {PIX} b ON a.scene_id = b.scene_id AND b.y = {_moved('y', k)} AND b.x = {_moved('x', k)}" for k in (1, 3, 5)) + ") SELECT scene_id, shift, count(*) AS n, round(avg(e), 6) AS mean FROM mv GROUP BY scene_id, shift"),
-    "j10_shadow": (["pixels"], f"c AS ({CONDITIONS}) SELECT scene_id, cond, round(avg({DIFF}), 6) AS mean FROM c WHERE cond LIKE 'shadow%' GROUP BY scene_id, cond"),
     "j12_contrast": (["pixels"], f"m AS (SELECT scene_id, avg(r2) AS mr FROM {PIX} GROUP BY scene_id), f AS (SELECT * FROM (VALUES (1.3e0), (7e-1)) t(factor)), c AS (SELECT p.scene_id, factor, r2, least(2.55e2, greatest(0e0, (r2 - mr) * factor + mr)) AS v FROM {PIX} p JOIN m ON p.scene_id = m.scene_id CROSS JOIN f) SELECT scene_id, factor, round(avg(v), 5) AS mean, round(avg(abs(v - r2)), 5) AS moved FROM c GROUP BY scene_id, factor"),
-    "j13_registration_discrepancy": (["pixels"], f"{SIGNALS} {means('signals', 's_reg')}"),
-    "j14_illumination_box": (["pixels"], f"{SIGNALS} {means('signals', 's_illum')}"),
-    "j15_sharpness_discrepancy": (["pixels"], f"{SIGNALS} {means('signals', 's_sharp')}"),
-    "j17_defect_index": (["pixels"], f"{SIGNALS} {means('signals', FULL)}"),
-    "d25_gate_diagnostics": (["pixels"], f"{SIGNALS} SELECT scene_id, " + ", ".join(f"round(avg({s}), 6) AS {s}" for s in (*WEIGHTS, "margin")) + " FROM signals GROUP BY scene_id"),
-    "d30_gating_ablation": (["pixels"], f"{SIGNALS}, ab AS (" + " UNION ALL ".join(f"SELECT '{n}' AS cond, gt, CAST({g} >= {TAU} AS INT) AS hit FROM signals" for n, g in ABLATION.items()) + "), " + counted("cond", "hit = 1", "ab")),
-    "d11_gate_grid": (["pixels"], f"{GRID} SELECT gamma, tau, tp, fp, fn, tn, f1 FROM (SELECT *, row_number() OVER (ORDER BY f1 DESC, gamma, tau) AS rn FROM grid) t WHERE rn = 1"),
-    "d28_gamma_sweep": (["pixels"], f"{GRID} SELECT gamma, precision, recall, f1 FROM grid WHERE abs(tau - {TAU}) < 1e-5"),
-    "d20_robustness": (["pixels"], f"c AS ({CONDITIONS}), s AS (SELECT cond, gt, {DIFF} AS score FROM c), " + counted("cond", f"score >= {FROZEN}", "s")),
     "d9_otsu": (["scores"], "h AS (SELECT model, CAST(least(floor(score * 256), 255) AS INT) AS b, count(*) * 1e0 AS n FROM {scores} GROUP BY model, CAST(least(floor(score * 256), 255) AS INT)), c AS (SELECT model, b, sum(n) OVER (PARTITION BY model ORDER BY b) AS w0, sum(n * (b + 5e-1) / 256) OVER (PARTITION BY model ORDER BY b) AS m0, sum(n) OVER (PARTITION BY model) AS w, sum(n * (b + 5e-1) / 256) OVER (PARTITION BY model) AS m FROM h), v AS (SELECT model, b, CASE WHEN w > w0 THEN round(w0 / w * (1 - w0 / w) * pow(m0 / w0 - (m - m0) / (w - w0), 2), 9) ELSE 0e0 END AS between_var FROM c) SELECT model, round((b + 5e-1) / 256, 6) AS tau, between_var FROM (SELECT *, row_number() OVER (PARTITION BY model ORDER BY between_var DESC, b) AS rn FROM v) t WHERE rn = 1"),
     "j20_regional_vari": (["pixels"], f"box AS (SELECT scene_id, min(y) AS y0, max(y) AS y1, min(x) AS x0, max(x) AS x1 FROM {PIX} WHERE gt = 1 GROUP BY scene_id), r AS (SELECT p.scene_id, avg({_vari(1)}) AS v1, avg({_vari(2)}) AS v2 FROM {PIX} p JOIN box b ON p.scene_id = b.scene_id AND y BETWEEN y0 AND y1 AND x BETWEEN x0 AND x1 GROUP BY p.scene_id), d AS (SELECT scene_id, round(v1, 6) AS v_before, round(v2, 6) AS v_after, round(v2 - v1, 6) AS delta FROM r) SELECT *, CASE WHEN delta >= 1.5e-1 THEN 'up' WHEN delta <= -1.5e-1 THEN 'down' ELSE 'stable' END AS trend, CASE WHEN delta >= 2e-1 THEN 'vegetation_increase' WHEN delta <= -2e-1 THEN 'vegetation_decrease' ELSE 'uncertain' END AS category FROM d"),
     "j22_vari_exposure": (["pixels"], f"e AS (SELECT * FROM (VALUES (1e0), (1.6e0), (4e-1)) t(exposure)), p AS (SELECT exposure, gt, least(2.55e2, r1 * exposure) AS r1, least(2.55e2, g1 * exposure) AS g1, least(2.55e2, b1 * exposure) AS b1 FROM {PIX} CROSS JOIN e), v AS (SELECT exposure, gt, {_vari(1)} AS v FROM p) SELECT exposure, gt, round(avg(v), 5) AS mean, round(min(v), 5) AS lo, round(max(v), 5) AS hi FROM v GROUP BY exposure, gt"),
     "k2_padded_patches": (["pixels"], f"p AS (SELECT scene_id, CAST(floor(y / 6) * 3 + floor(x / 6) AS INT) AS patch, gt FROM {PIX}) SELECT scene_id, patch, count(*) AS pixels, CAST(sum(gt) AS BIGINT) AS changed, round(sum(gt) / 3.6e1, 6) AS share, count(*) < 36 AS is_padded FROM p GROUP BY scene_id, patch"),
-    "k3_reconstruct": (["pixels"], f"o AS (SELECT * FROM (VALUES (0), (1)) t(o)), p AS (SELECT scene_id, y, x, {luma(2)} AS v, CAST(floor(y / 2) AS INT) - a.o AS py, CAST(floor(x / 2) AS INT) - b.o AS px FROM {PIX} CROSS JOIN o a CROSS JOIN o b), q AS (SELECT * FROM p WHERE py BETWEEN 0 AND 7 AND px BETWEEN 0 AND 7), r AS (SELECT scene_id, y, x, avg(v) AS v, count(*) AS n FROM q GROUP BY scene_id, y, x) SELECT scene_id, count(*) AS pixels, max(n) AS most_patches, round(avg(v), 6) AS mean FROM r GROUP BY scene_id"),
     "k6_tile_statistics": (["pixels"], f"t AS (SELECT scene_id, CAST(floor(y / 4) * 5 + floor(x / 4) AS INT) AS tile FROM {PIX}), n AS (SELECT scene_id, count(DISTINCT tile) AS tiles FROM t GROUP BY scene_id) SELECT tiles, count(*) AS scenes, tiles = 25 AS expected FROM n GROUP BY tiles"),
-    "m3_estimate_shift": (["pixels"], f"a AS (SELECT scene_id, y, x, {luma(1)} AS u FROM {PIX}), b AS (SELECT scene_id, y + scene_id % 3 - 1 AS y, x + scene_id % 2 AS x, u FROM a), o AS (SELECT * FROM (VALUES {OFFSETS}) t(dy, dx)), w AS (SELECT scene_id, y + dy AS y, x + dx AS x, dy, dx, u FROM a CROSS JOIN o), e AS (SELECT w.scene_id, dy, dx, round(avg(abs(w.u - b.u)), 9) AS err FROM w JOIN b ON w.scene_id = b.scene_id AND w.y = b.y AND w.x = b.x GROUP BY w.scene_id, dy, dx) SELECT scene_id, dy, dx, err FROM (SELECT *, row_number() OVER (PARTITION BY scene_id ORDER BY err, abs(dy) + abs(dx), dy, dx) AS rn FROM e) t WHERE rn = 1"),
     "b6_image_gate": (["pixels"], f"s AS (SELECT scene_id, count(*) AS n, stddev_pop({luma(1)}) AS sd, avg({luma(1)}) AS mean FROM {PIX} GROUP BY scene_id) SELECT scene_id, CASE WHEN n < 256 THEN 'too small' WHEN n > 16777216 THEN 'too large' WHEN sd < 1e-4 THEN 'blank' WHEN mean < 1.2e-1 THEN 'dark' WHEN mean > 8.8e-1 THEN 'bright' ELSE 'valid' END AS reason, round(sd, 6) AS sd FROM s"),
     "b2_categories": (["documents"], "d AS (SELECT doc_id, source || '_' || lang || '_' || doc_id AS name FROM {documents}), c AS (SELECT doc_id, coalesce(nullif(regexp_extract(lower(name), '^([a-z]+)[_0-9]', 1), ''), 'unclassified') AS letters, coalesce(nullif(regexp_extract(lower(name), '^([^_]*)_', 1), ''), 'unclassified') AS first_part, coalesce(nullif(regexp_extract(name, '^(.*)_', 1), ''), 'unknown') AS all_but_last FROM d) SELECT letters, first_part, all_but_last, count(*) AS n FROM c GROUP BY letters, first_part, all_but_last"),
     "c2_pair_completeness": (["documents", "labels", "embeddings"], "a AS (SELECT doc_id AS id, 1 AS side FROM {documents} UNION ALL SELECT doc_id, 2 FROM {labels} UNION ALL SELECT vec_id, 4 FROM {embeddings}), s AS (SELECT id, CAST(sum(DISTINCT side) AS INT) AS sides FROM a GROUP BY id) SELECT CASE WHEN sides % 2 = 0 THEN 'missing in A' WHEN sides % 4 < 2 THEN 'missing in B' WHEN sides < 4 THEN 'missing label' ELSE 'complete' END AS outcome, count(*) AS n FROM s GROUP BY CASE WHEN sides % 2 = 0 THEN 'missing in A' WHEN sides % 4 < 2 THEN 'missing in B' WHEN sides < 4 THEN 'missing label' ELSE 'complete' END"),

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,6 +41,41 @@ def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.selectExpr("scene_id", "y", "x", "r1", "g1", "b1", *second, "cast(hit AS int) AS gt")
 
 
+#: Sides of the scenes of tiles: most are small, every 32nd is 61 x 61 and every other 32nd 47 x 61, with boxes four times as large.
+HEIGHT = "CASE s % 32 WHEN 0 THEN 61 WHEN 16 THEN 47 ELSE 17 END"
+WIDTH = "CASE s % 16 WHEN 0 THEN 61 ELSE 17 END"
+SCALE = "CASE s % 16 WHEN 0 THEN 4 ELSE 1 END"
+#: Scenes that a task makes.
+SCENES_A_TASK = 2000
+
+
+def _drawn(scene_id: pd.Series, ty: pd.Series, tx: pd.Series, size: pd.Series, h: pd.Series, w: pd.Series, k: pd.Series) -> pd.DataFrame:
+    """Bytes of the tiles of scenes, row by row: red, green and blue of both images, and whether a pixel has changed."""
+    keys = pd.DataFrame({"s": scene_id, "ty": ty, "tx": tx, "n": size, "h": h, "w": w, "k": k}).reset_index(drop=True)
+    out = {name: np.empty(len(keys), object) for name in ("t1", "t2", "label")}
+    for (j, i, n, high, wide, by), rows in keys.groupby(["ty", "tx", "n", "h", "w", "k"]):
+        s = rows["s"].to_numpy()[:, None, None]
+        y, x = np.arange(j * n, min(high, (j + 1) * n))[:, None], np.arange(i * n, min(wide, (i + 1) * n))
+        t1 = np.stack([(31 * s + 13 * x + 17 * y) % 256, (17 * s + 29 * x + 7 * y) % 256, (11 * s + 5 * x + 23 * y) % 256], axis=-1)
+        hit = (x >= by * (s % 10)) & (x < by * (s % 10 + 3 + s % 4)) & (y >= by * (s * 7 % 10)) & (y < by * (s * 7 % 10 + 3 + s // 3 % 4))
+        t2 = np.where(hit[..., None], 255 - t1, np.minimum(255, t1 + ((s + x + y) % 5)[..., None]))
+        for name, image in (("t1", t1), ("t2", t2), ("label", hit)):
+            for row, a in zip(rows.index, image.astype(np.uint8), strict=True):
+                out[name][row] = a.tobytes()
+    return pd.DataFrame(out)
+
+
+def tiles(spark: SparkSession, sf_dir: str, size: int = 32) -> DataFrame:
+    """A pair of scenes for every part, as tiles of at most ``size`` pixels a side; as ``pixels``, but of several sizes."""
+    parts = table(spark, sf_dir, "part")
+    n = max(2 * spark.sparkContext.defaultParallelism, -(-parts.count() // SCENES_A_TASK))
+    sides = parts.selectExpr("p_partkey AS s").selectExpr("s AS scene_id", f"cast({HEIGHT} AS int) AS h", f"cast({WIDTH} AS int) AS w", f"cast({SCALE} AS int) AS k").repartition(n, "scene_id")
+    grid = sides.withColumn("ty", F.explode(F.expr(f"sequence(0, cast((h - 1) div {size} AS int))"))).withColumn("tx", F.explode(F.expr(f"sequence(0, cast((w - 1) div {size} AS int))")))
+    draw = F.pandas_udf(_drawn, "struct<t1: binary, t2: binary, label: binary>")  # a column, so that filters on sides come first
+    drawn = grid.withColumn("size", F.lit(size)).withColumn("drawn", draw("scene_id", "ty", "tx", "size", "h", "w", "k"))
+    return drawn.select("scene_id", "ty", "tx", "size", "h", "w", "drawn.t1", "drawn.t2", "drawn.label")
+
+
 # the same in DuckDB
 SQL_CAPTIONS = "captions AS (SELECT conv_id AS image_id, turn AS caption_idx, text, 'cat_' || (conv_id % 10) AS category FROM conversations)"
 SQL_SCORES = """raw AS (SELECT l_orderkey % 128 AS scene_id, (l_quantity - 1) / 49 AS a, round(l_discount * 10, 2) AS b, (l_returnflag = 'R')::INT AS gt FROM lineitem),
@@ -46,3 +84,10 @@ SQL_PIXELS = (
     "px AS (" + PIXELS.format(third="(s // 3)", grid=f"(SELECT p_partkey AS s, y, x FROM part, range({SIDE}) t(y), range({SIDE}) u(x))") + "),\n"
     "pixels AS (SELECT scene_id, y, x, r1, g1, b1, " + ", ".join(f"CASE WHEN hit THEN 255 - {c}1 ELSE least(255, {c}1 + (scene_id + x + y) % 5) END AS {c}2" for c in "rgb") + ", hit::INT AS gt FROM px)"
 )
+#: The scenes of ``tiles`` as pixels, with the sides of each.
+SQL_WIDE = (
+    "sides AS (SELECT p_partkey AS s, " + f"{HEIGHT} AS h, {WIDTH} AS w, {SCALE} AS k FROM (SELECT p_partkey, p_partkey AS s FROM part)" + "), px AS ("
+    "SELECT s AS scene_id, h, w, y, x, (31*s+13*x+17*y) % 256 AS r1, (17*s+29*x+7*y) % 256 AS g1, (11*s+5*x+23*y) % 256 AS b1, "
+    "(x >= k * (s % 10) AND x < k * (s % 10 + 3 + s % 4) AND y >= k * (s*7 % 10) AND y < k * (s*7 % 10 + 3 + s // 3 % 4)) AS hit FROM (SELECT *, unnest(range(w)) AS x FROM (SELECT *, unnest(range(h)) AS y FROM sides))),\n"
+    "pixels AS (SELECT scene_id, h, w, y, x, r1, g1, b1, " + ", ".join(f"CASE WHEN hit THEN 255 - {c}1 ELSE least(255, {c}1 + (scene_id + x + y) % 5) END AS {c}2" for c in "rgb") + ", hit::INT AS gt FROM px)"
+)

@@ -1,4 +1,3 @@
-from orbitlake.llm import sharding
 from orbitlake.operators.text_search import earlier
 
 
@@ -9,8 +8,3 @@ def test_images_are_ranked_in_ranges(spark):
     assert {r["image_id"]: r["before"] for r in frame.collect()} == {i: n for n, i in enumerate(order)}
     assert earlier(spark.createDataFrame([], "image_id long"), "image_id").count() == 0
     assert "_range" in frame._jdf.queryExecution().optimizedPlan().toString()  # windows over ids are dealt by range
-
-
-def test_slots_are_longs(spark):
-    rows = spark.createDataFrame([(1, "a b"), (2, "c")], "doc_id long, text string")
-    assert dict(sharding.shard(rows, 2).dtypes)["slot"] == "bigint"
