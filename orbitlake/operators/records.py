@@ -186,7 +186,8 @@ def e4_top_lists(spark: SparkSession, d: str) -> DataFrame:
     caps = captions(spark, d)
     best = text_search.search(caps.select(text_search.query_id().alias("query"), "text"), text_search.image_docs(caps), 5)
     rows = best.groupBy("query").agg(F.sort_array(F.collect_list(F.struct("rank", "doc", F.round("score", 4).alias("score")))).alias("l"))
-    return rows.select("query", F.array_join(F.col("l.doc").cast("array<string>"), ",").alias("ids"), F.col("l.score")[0].alias("best"))
+    scores = F.transform("l.score", lambda x: x.cast("decimal(18,4)").cast("string"))
+    return rows.select("query", F.array_join(F.col("l.doc").cast("array<string>"), ",").alias("ids"), F.array_join(scores, ",").alias("scores"), F.col("l.score")[0].alias("best"))
 
 
 def e8_stride_sample(spark: SparkSession, d: str) -> DataFrame:
@@ -329,7 +330,7 @@ SELECT event_id, j IS NOT NULL AS parsed, CASE WHEN c IN {CATEGORIES} THEN c ELS
     "d27_reliability": f"{_SCENES}, w AS (SELECT *, {METRICS} FROM cm) SELECT model, scene_id, tp, fp, fn, tn, f1, accuracy, CASE WHEN tp + fp > 0 THEN round(tp / (tp + fp), 6) ELSE 1 END AS optimistic_precision, CASE WHEN tp + fn > 0 THEN round(tp / (tp + fn), 6) ELSE 1 END AS optimistic_recall, CASE WHEN tp + fp + fn > 0 THEN round(tp / (tp + fp + fn), 6) ELSE 1 END AS optimistic_iou, CASE WHEN tp + fn = 0 THEN 'no positives' WHEN tp = 0 THEN 'all missed' WHEN fn = 0 THEN 'all found' ELSE 'some found' END AS outcome FROM w",
     "s2_union_scene_metrics": f"{_SCENES}, w AS (SELECT *, {METRICS} FROM cm) SELECT scene_id, precision, recall, f1, CASE WHEN model = 'a' THEN iou END AS iou, model FROM w",
     "s6_ordered_dedupe": f"WITH {SQL_CAPTIONS}, w AS (SELECT image_id, caption_idx, unnest(string_split(lower(text), ' ')) AS w, generate_subscripts(string_split(lower(text), ' '), 1) AS i FROM captions), u AS (SELECT image_id, caption_idx, w, min(i) AS i FROM w GROUP BY ALL) SELECT image_id || '_cap' || caption_idx AS query, string_agg(w, ' ' ORDER BY i) AS words FROM u GROUP BY image_id, caption_idx",
-    "e4_top_lists": text_search.SQL["e3_search"].replace("SELECT query, doc, round(score, 4) AS score, rank FROM", "SELECT query, string_agg(doc, ',' ORDER BY rank) AS ids, round(max(score), 4) AS best FROM").replace("WHERE rank <= 10", "WHERE rank <= 5 GROUP BY query"),
+    "e4_top_lists": text_search.SQL["e3_search"].partition(" SELECT query, doc, round(score, 4)")[0] + " SELECT query, string_agg(doc, ',' ORDER BY rank) AS ids, string_agg(round(score, 4)::DECIMAL(18, 4)::VARCHAR, ',' ORDER BY rank) AS scores, round(max(score), 4) AS best FROM placed WHERE rank <= 5 GROUP BY query",
     "e8_stride_sample": f"WITH {SQL_CAPTIONS}, i AS (SELECT image_id, row_number() OVER (ORDER BY image_id) - 1 AS b, count(*) OVER () AS n FROM (SELECT DISTINCT image_id FROM captions)) SELECT image_id FROM i WHERE b % greatest(1, n // 20) = 0 AND b < 20 * greatest(1, n // 20)",
     "e9_natural_sort": "WITH n AS (SELECT doc_id, concat_ws('_', source, CASE WHEN doc_id % 7 = 0 THEN 'last' ELSE doc_id::VARCHAR END) AS name FROM documents) SELECT doc_id, name, coalesce(TRY_CAST(regexp_extract(name, '[^_]*$') AS INT), 9999) AS place FROM n",
     "b4_unit_float": f"WITH {SQL_PIXELS}, s AS (SELECT scene_id, CASE WHEN scene_id % 5 = 0 THEN r1 % 2 ELSE r1 END AS r FROM pixels) SELECT scene_id, round(sum(r) / (255 * count(*)), 6) AS fixed_scale, CASE WHEN max(r) > 1 THEN round(sum(r) / (255 * count(*)), 6) ELSE round(sum(r) / count(*), 6) END AS auto_scale FROM s GROUP BY scene_id",

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from orbitlake.functions.lineage import cut
+from orbitlake.operators.postings import Postings, by_query
 from orbitlake.sources.fixtures import SQL_CAPTIONS, captions, table
 
 K1, B = 1.5, 0.75
@@ -38,14 +39,26 @@ def lengths(docs: DataFrame) -> DataFrame:
 
 def index(docs: DataFrame) -> DataFrame:
     """(doc, term, tf, dl, idf, avgdl); collection figures are one row, joined to every term."""
-    dl = lengths(docs)
+    return index_of(postings(docs), lengths(docs))
+
+
+def index_of(tf: DataFrame, dl: DataFrame) -> DataFrame:
+    """The index from (doc, term, tf) and (doc, dl) of all documents, those without a term too."""
     whole = dl.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    tf = postings(docs)
     df = tf.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(whole))
     idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
     return tf.join(df.select("term", idf.alias("idf"), "avgdl"), "term").join(dl, "doc")
 
 
+def caption_terms(caps: DataFrame) -> DataFrame:
+    """(image_id, caption_idx, term, n) of all captions, tokenized once and written; few large input splits are dealt to all cores first."""
+    cores = caps.sparkSession.sparkContext.defaultParallelism
+    rows = caps.select("image_id", "caption_idx", "text")
+    rows = rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+    terms = rows.select("image_id", "caption_idx", F.explode(tokenize(F.col("text"))).alias("term"))
+    return cut(terms.groupBy("image_id", "caption_idx", "term").agg(F.count("*").alias("n")))
+
+
 def weight(tf: Column, dl: Column) -> Column:
     return F.col("idf") * tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / (F.col("avgdl") + 1e-9)) + 1e-9)
 
@@ -53,15 +66,18 @@ def weight(tf: Column, dl: Column) -> Column:
 def in_blocks(terms: DataFrame, indexed: DataFrame, sizes: tuple[int, int], block: Callable[[pa.Table, pa.Table], pa.Table], schema: str) -> DataFrame:
     """``block`` over each block of queries with each block of documents.
 
-    ``sizes`` are about the numbers of queries and documents. It gets (query, term, qtf and what else ``terms`` has) and (term, docs, weights), the latter a list of
+    ``sizes`` are about the numbers of queries and documents; all documents of an owner, if the index has such a column, are in one block. It gets (query, term, qtf and what else ``terms`` has) and (term, docs, weights), the latter a list of
     at most a block's documents, so that no pair of query and document is ever a row: the shuffle holds the
     terms once a block of the other side, and tasks emit what ``block`` keeps of the scores.
     """
     parts = lambda n, size: max(1, -(-n // size))
     n_d, idle = parts(sizes[1], DOCS_A_BLOCK), terms.sparkSession.sparkContext.defaultParallelism
     n_q = max(parts(sizes[0], QUERIES_A_BLOCK), min(parts(sizes[0], FEWEST_QUERIES), parts(idle, n_d)))
-    weighted = indexed.select("term", "doc", weight(F.col("tf"), F.col("dl")).alias("w"), F.pmod(F.xxhash64("doc"), F.lit(n_d)).cast("int").alias("_d"))
-    lists = weighted.groupBy("_d", "term").agg(F.collect_list(F.struct("doc", "w")).alias("_l")).select("_d", "term", F.col("_l.doc").alias("docs"), F.col("_l.w").alias("weights"))
+    owned = ["owner"] if "owner" in indexed.columns else []
+    whole = F.xxhash64("owner" if owned else "doc")
+    weighted = indexed.select("term", "doc", *owned, weight(F.col("tf"), F.col("dl")).alias("w"), F.pmod(whole, F.lit(n_d)).cast("int").alias("_d"))
+    lists = weighted.groupBy("_d", "term").agg(F.collect_list(F.struct("doc", "w", *owned)).alias("_l"))
+    lists = lists.select("_d", F.col("term").alias("term"), F.col("_l.doc").alias("docs"), F.col("_l.w").alias("weights"), *[F.col(f"_l.{c}").alias(f"{c}s") for c in owned])
     left = terms.withColumn("_q", F.pmod(F.xxhash64("query"), F.lit(n_q)).cast("int")).withColumn("_d", F.explode(F.sequence(F.lit(0), F.lit(n_d - 1))))
     right = lists.withColumn("_q", F.explode(F.sequence(F.lit(0), F.lit(n_q - 1))))
     return left.groupBy("_q", "_d").cogroup(right.groupBy("_q", "_d")).applyInArrow(block, schema)
@@ -71,35 +87,6 @@ def rough_sizes(queries: DataFrame, query: Column, docs: DataFrame, doc: str) ->
     return queries.agg(F.approx_count_distinct(query)).first()[0], docs.agg(F.approx_count_distinct(doc)).first()[0]
 
 
-def block_scores(queries: pa.Table, lists: pa.Table) -> tuple[pa.Table, pa.Array, Iterator[tuple[int, np.ndarray, np.ndarray]]]:
-    """Queries in order, documents in order, and per query its first row, the documents it meets and their scores."""
-    queries = queries.sort_by("query").combine_chunks()
-    of = lists["docs"].combine_chunks()
-    flat, weights = of.flatten(), lists["weights"].combine_chunks().flatten().to_numpy()
-    docs = pc.unique(flat)
-    docs = docs.take(pc.sort_indices(docs))
-    place = pc.index_in(flat, value_set=docs).to_numpy()
-    ends = np.cumsum(pc.list_value_length(of).to_numpy())
-    sizes = np.diff(ends, prepend=0)
-    at = pc.fill_null(pc.index_in(queries["term"], value_set=lists["term"].combine_chunks()), -1).to_numpy()
-    qtf = queries["qtf"].to_numpy()
-
-    def scored():
-        runs = pc.run_end_encode(queries["query"].combine_chunks()).run_ends.to_numpy() if len(queries) else []
-        first = 0
-        for end in runs:
-            rows = np.arange(first, end)[at[first:end] >= 0]
-            n = sizes[at[rows]]
-            if n.sum():
-                every = np.repeat(ends[at[rows]] - np.cumsum(n), n) + np.arange(n.sum())
-                score = np.bincount(place[every], np.repeat(qtf[rows], n) * weights[every], len(docs))
-                met = np.bincount(place[every], minlength=len(docs)).nonzero()[0]
-                yield first, met, np.round(score[met], 9)
-            first = end
-
-    return queries, docs, scored()
-
-
 def bm25(queries: DataFrame, indexed: DataFrame) -> DataFrame:
     """(query, doc, score) of (query, text) against an index; pairs without a common term are left out (score 0)."""
     terms = queries.select("query", F.explode(tokenize(F.col("text"))).alias("term")).groupBy("query", "term").agg(F.count("*").alias("qtf"))
@@ -116,12 +103,18 @@ def query_id() -> Column:
 
 
 def _beaten(queries: pa.Table, lists: pa.Table) -> pa.Table:
-    """Per query the images other than its own that come before it, and those with a score and a smaller id."""
-    queries, docs, scored = block_scores(queries, lists)
-    own, own_score, ids, rows = queries["image_id"].to_numpy(), queries["s"].to_numpy(), docs.to_numpy(), []
-    for first, met, score in scored:
-        image, s, doc = own[first], own_score[first], ids[met]
-        rows.append((first, int(((doc != image) & ((score > s) | ((score == s) & (doc < image)))).sum()), int((doc < image).sum())))
+    """Per query the images other than its own that come before it; where that has no score, also those with a score and a smaller id.
+
+    Only documents are scored whose bounds reach the score of the query's image.
+    """
+    block, rows = Postings(lists), []
+    queries, each = by_query(queries, block.terms)
+    own, own_score, ids = queries["image_id"].to_numpy(), queries["s"].to_numpy(), block.names.to_numpy()
+    for first, terms, qtf in each:
+        image, s = own[first], own_score[first]
+        met, score = block.reaching(terms, qtf, s)
+        doc = ids[met]
+        rows.append((first, int(((doc != image) & ((score > s) | ((score == s) & (doc < image)))).sum()), int((doc < image).sum()) if s == 0 else 0))
     first, above, before = zip(*rows) if rows else ((), (), ())
     return pa.table({"query": queries["query"].take(pa.array(first, pa.int64())), "above": pa.array(above, pa.int64()), "scored_before": pa.array(before, pa.int64())})
 
@@ -156,23 +149,25 @@ def loo_ranks(caps: DataFrame, asked: DataFrame | None = None) -> DataFrame:
     Captions equal to the query after trimming and lower-casing go from the target too, unless none would be
     left. idf and average length stay those of the whole corpus; ties go to the smaller image.
     """
-    asked = caps if asked is None else asked
-    idx = index(image_docs(caps))
-    queries = asked.select(query_id().alias("query"), "image_id", "caption_idx", "text", "category")
-    own = caps.select("image_id", F.col("caption_idx").alias("other"), F.col("text").alias("other_text"))
-    same = F.lower(F.trim("text")) == F.lower(F.trim("other_text"))
-    pairs = queries.join(own, "image_id").withColumn("equal", same | (F.col("caption_idx") == F.col("other")))
+    every = caption_terms(caps)
+    tf = every.groupBy(F.col("image_id").alias("doc"), "term").agg(F.sum("n").alias("tf"))
+    sizes = every.groupBy(F.col("image_id").alias("doc")).agg(F.sum("n").alias("dl"))
+    idx = cut(index_of(tf, caps.select(F.col("image_id").alias("doc")).distinct().join(sizes, "doc", "left").fillna(0, ["dl"])))
+    terms = every if asked is None else every.join(asked.select("image_id", "caption_idx").distinct(), ["image_id", "caption_idx"], "left_semi")
+    terms = terms.select(query_id().alias("query"), "image_id", "term", F.col("n").alias("qtf"))
+    queries = (caps if asked is None else asked).select(query_id().alias("query"), "image_id", "caption_idx", F.lower(F.trim("text")).alias("said"), "category")
+    own = caps.select("image_id", F.col("caption_idx").alias("other"), F.lower(F.trim("text")).alias("other_said"))
+    pairs = queries.join(own, "image_id").withColumn("equal", (F.col("said") == F.col("other_said")) | (F.col("caption_idx") == F.col("other")))
     left = F.min("equal").over(Window.partitionBy("query"))  # true if nothing would be left
     pairs = pairs.withColumn("gone", F.when(left, F.col("caption_idx") == F.col("other")).otherwise(F.col("equal")))
-    gone = pairs.where("gone").select("query", "image_id", F.explode(tokenize(F.col("other_text"))).alias("term"))
-    gone_tf = gone.groupBy("query", "term").agg(F.count("*").alias("gone_tf"))
-    gone_dl = gone.groupBy("query").agg(F.count("*").alias("gone_dl"))
-    terms = query_terms(asked)
+    gone = pairs.where("gone").select("query", "image_id", F.col("other").alias("caption_idx")).distinct().join(every, ["image_id", "caption_idx"])
+    gone_tf = gone.groupBy("query", "term").agg(F.sum("n").alias("gone_tf"))
+    gone_dl = gone.groupBy("query").agg(F.sum("n").alias("gone_dl"))
     target = terms.join(idx.withColumnRenamed("doc", "image_id"), ["image_id", "term"]).join(gone_tf, ["query", "term"], "left").join(gone_dl, "query", "left")
     tf = F.col("tf") - F.coalesce("gone_tf", F.lit(0))
     s = F.when(tf > 0, F.col("qtf") * weight(tf, F.col("dl") - F.coalesce("gone_dl", F.lit(0)))).otherwise(0.0)
     target = queries.select("query", "image_id", "category").join(target.groupBy("query").agg(F.round(F.sum(s), 9).alias("s")), "query", "left").fillna(0.0, ["s"])
-    return _places(caps, terms, idx, target)
+    return _places(caps, terms, idx, cut(target))
 
 
 def earlier(ids: DataFrame, key: str) -> DataFrame:
@@ -197,19 +192,40 @@ def retrieval_metrics(ranks: DataFrame) -> DataFrame:
 
 
 def search(queries: DataFrame, docs: DataFrame, k: int = 10) -> DataFrame:
-    """(query, doc, score, rank): the best ``k`` documents of each query (query, text), ties to the smaller document."""
+    """(query, doc, score, rank): the best ``k`` documents of each query (query, text), or all if there are fewer; ties to the smaller document.
+
+    Where ``docs`` (doc, text) has a column owner, a document is a part of its owner: owners are found, by
+    the best of their documents. What shares no term with a query has 0.
+    """
+    owned = "owner" in docs.columns
 
     def best(of: pa.Table, lists: pa.Table) -> pa.Table:
-        of, names, scored = block_scores(of, lists)
-        kept = [(first, met[top], score[top]) for first, met, score in scored for top in [np.lexsort((met, -score))[:k]]]
+        block, kept = Postings(lists), []
+        of, each = by_query(of, block.terms)
+        for first, terms, qtf in each:
+            kept.append((first, *block.best(terms, qtf, k)))
         first = np.repeat([f for f, _, _ in kept], [len(m) for _, m, _ in kept]).astype("int64")
         met, score = (np.concatenate([np.zeros(0, t), *(row[i] for row in kept)]) for i, t in ((1, "int64"), (2, "float64")))
-        return pa.table({"query": of["query"].take(pa.array(first)), "doc": names.take(pa.array(met)), "score": pa.array(score)})
+        return pa.table({"query": of["query"].take(pa.array(first)), "doc": block.owners.take(pa.array(met)), "score": pa.array(score)})
 
+    name = "owner" if owned else "doc"
     terms = queries.select("query", F.explode(tokenize(F.col("text"))).alias("term")).groupBy("query", "term").agg(F.count("*").alias("qtf"))
-    schema = f"query {queries.schema['query'].dataType.simpleString()}, doc {docs.schema['doc'].dataType.simpleString()}, score double"
+    schema = f"query {queries.schema['query'].dataType.simpleString()}, doc {docs.schema[name].dataType.simpleString()}, score double"
+    indexed = index(docs.select("doc", "text"))
+    indexed = indexed.join(docs.select("doc", "owner").distinct(), "doc") if owned else indexed
     top = Window.partitionBy("query").orderBy(F.desc("score"), "doc")
-    return in_blocks(terms, index(docs), rough_sizes(queries, F.col("query"), docs, "doc"), best, schema).withColumn("rank", F.row_number().over(top)).where(F.col("rank") <= k)
+    found = in_blocks(terms, indexed, rough_sizes(queries, F.col("query"), docs, "doc"), best, schema).withColumn("rank", F.row_number().over(top)).where(F.col("rank") <= k)
+    return filled(found, queries, docs.select(F.col(name).alias("doc")), k)
+
+
+def filled(found: DataFrame, queries: DataFrame, docs: DataFrame, k: int) -> DataFrame:
+    """``found`` (query, doc, score, rank) with the smallest other ``docs`` at score 0 after each query's own, until it has ``k`` or all."""
+    first = docs.where("doc IS NOT NULL").distinct().orderBy("doc").limit(2 * k).agg(F.array_sort(F.collect_list("doc")).alias("first"))  # fewer than k of them are found
+    lists = found.groupBy("query").agg(F.array_sort(F.collect_list(F.struct("rank", "doc", "score"))).alias("l"))
+    rows = queries.select("query").distinct().join(lists, "query", "left").crossJoin(F.broadcast(first)).withColumn("l", F.coalesce("l", F.array().cast(lists.schema["l"].dataType)))
+    more = F.slice(F.array_except("first", "l.doc"), 1, F.greatest(F.lit(0), k - F.size("l")))
+    both = F.concat(F.transform("l", lambda x: F.struct(x["doc"].alias("doc"), x["score"].alias("score"))), F.transform(more, lambda x: F.struct(x.alias("doc"), F.lit(0.0).alias("score"))))
+    return rows.select("query", F.posexplode(both).alias("_at", "x")).select("query", "x.doc", "x.score", (F.col("_at") + 1).alias("rank"))
 
 
 def rank_gallery(queries: DataFrame, scores: DataFrame, gallery: DataFrame) -> DataFrame:
@@ -239,22 +255,25 @@ def h2_index(spark: SparkSession, d: str) -> DataFrame:
 
 
 def e3_search(spark: SparkSession, d: str) -> DataFrame:
+    """The best ten images of every caption, with their categories."""
     caps = captions(spark, d)
-    return search(caps.select(query_id().alias("query"), "text"), image_docs(caps)).select("query", "doc", F.round("score", 4).alias("score"), "rank")
+    found = search(caps.select(query_id().alias("query"), "text"), image_docs(caps))
+    kinds = caps.select(F.col("image_id").alias("doc"), "category").distinct()
+    return found.join(kinds, "doc").select("query", "doc", F.round("score", 4).alias("score"), "rank", F.lit("bm25").alias("score_type"), "category")
 
 
 def e1_rank_gallery(spark: SparkSession, d: str) -> DataFrame:
-    """All images, with a score or without, for the first caption of every image whose id is divisible by 20."""
+    """All images, with a score or without, for the captions of every image whose id is divisible by 20."""
     caps = captions(spark, d)
-    asked, docs = caps.where("image_id % 20 = 0 AND caption_idx = 0").select(query_id().alias("query"), "text"), image_docs(caps)
+    asked, docs = caps.where("image_id % 20 = 0").select(query_id().alias("query"), "text"), image_docs(caps)
     return rank_gallery(asked, bm25(asked, index(docs)), docs).select("query", "doc", F.round("score", 4).alias("score"), "rank")
 
 
 def h5_max_caption(spark: SparkSession, d: str) -> DataFrame:
+    """The best ten images of every caption, each by that of its captions that fits best."""
     caps = captions(spark, d)
-    docs = caps.select(query_id().alias("doc"), "text")
-    scored = bm25(caps.select(query_id().alias("query"), "text"), index(docs)).join(caps.select(query_id().alias("doc"), "image_id"), "doc")
-    return scored.groupBy("query", "image_id").agg(F.round(F.max("score"), 4).alias("score"))
+    found = search(caps.select(query_id().alias("query"), "text"), caps.select(query_id().alias("doc"), "text", F.col("image_id").alias("owner")))
+    return found.select("query", F.col("doc").alias("image_id"), F.round("score", 4).alias("score"), "rank")
 
 
 def h6_bm25_leave_one_out_ranks(spark: SparkSession, d: str) -> DataFrame:
@@ -278,9 +297,9 @@ def h7_category_ranks(spark: SparkSession, d: str) -> DataFrame:
 
 
 def c11_qualitative_matrix(spark: SparkSession, d: str) -> DataFrame:
-    """Ranks by three protocols, side by side, and the best five images, for the first caption of every image whose id is divisible by 20."""
+    """Ranks by three protocols, side by side, and the best five images, for the captions of every image whose id is divisible by 20."""
     caps = captions(spark, d)
-    asked = caps.where("image_id % 20 = 0 AND caption_idx = 0")
+    asked = caps.where("image_id % 20 = 0")
     ranks = {"loo_rank": loo_ranks(caps, asked), "label_rank": target_ranks(caps, category_docs(caps), asked), "whole_rank": target_ranks(caps, image_docs(caps), asked)}
     best = search(asked.select(query_id().alias("query"), "text"), image_docs(caps), 5).groupBy("query")
     out = best.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "doc"))), lambda x: x["doc"].cast("string")), ",").alias("top_5"))
@@ -361,6 +380,10 @@ LABELS = "SELECT image_id AS doc, array_to_string(string_split(arg_min(text, cap
 RANKED = "ranks AS (SELECT q.query, q.image_id, q.category, q.s AS score, 1 + count(*) FILTER (o.image_id <> q.image_id AND (coalesce(c.score, 0) > q.s OR coalesce(c.score, 0) = q.s AND o.image_id < q.image_id)) AS rank FROM (SELECT k.*, coalesce(score, 0) AS s FROM (SELECT image_id || '_cap' || caption_idx AS query, image_id, caption_idx, category FROM captions) k LEFT JOIN scored ON scored.query = k.query AND scored.doc = k.image_id {where}) q, (SELECT DISTINCT image_id FROM captions) o LEFT JOIN scored c ON c.query = q.query AND c.doc = o.image_id GROUP BY ALL)"
 
 
+#: Every pair of a query and an image, ranked.
+PLACED = "placed AS (SELECT query, doc, coalesce(score, 0) AS score, row_number() OVER (PARTITION BY query ORDER BY coalesce(score, 0) DESC, doc) AS rank FROM (SELECT {q} AS query, o.doc FROM captions, (SELECT DISTINCT image_id AS doc FROM captions) o) LEFT JOIN {scored} USING (query, doc))"
+
+
 def _target(docs: str, where: str = "") -> str:
     return f"WITH {SQL_CAPTIONS}, {_index(docs)}, {QTERMS}, {SCORED}, {RANKED.format(where=where)} "
 
@@ -368,7 +391,7 @@ def _target(docs: str, where: str = "") -> str:
 SPACES = r"len(string_split_regex(trim(text), '\s+'))"
 
 
-EVERY_20TH = "WHERE k.image_id % 20 = 0 AND k.caption_idx = 0"
+EVERY_20TH = "WHERE k.image_id % 20 = 0"
 
 
 def _any(parts: tuple[str, ...]) -> str:
@@ -379,13 +402,13 @@ QUERIES = {f.__name__: f for f in (h1_tokens, h2_index, e1_rank_gallery, e3_sear
 SQL = {
     "h1_tokens": f"SELECT doc_id, len({TOK}) AS tokens FROM documents",
     "h2_index": f"WITH {SQL_CAPTIONS}, {_index(IMAGES)} SELECT doc, term, tf, dl, round(idf, 6) AS idf FROM idx",
-    "e1_rank_gallery": f"WITH {SQL_CAPTIONS}, {_index(IMAGES)}, {QTERMS}, {SCORED} SELECT k.query, k.doc, round(coalesce(score, 0), 4) AS score, row_number() OVER (PARTITION BY k.query ORDER BY coalesce(score, 0) DESC, k.doc) AS rank FROM (SELECT {QID} AS query, o.doc FROM captions, (SELECT DISTINCT image_id AS doc FROM captions) o WHERE image_id % 20 = 0 AND caption_idx = 0) k LEFT JOIN scored USING (query, doc)",
-    "e3_search": f"WITH {SQL_CAPTIONS}, {_index(IMAGES)}, {QTERMS}, {SCORED} SELECT query, doc, round(score, 4) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc) AS rank FROM scored) WHERE rank <= 10",
-    "h5_max_caption": f"WITH {SQL_CAPTIONS}, {_index(f'SELECT {QID} AS doc, text FROM captions')}, {QTERMS}, {SCORED} SELECT query, image_id, round(max(score), 4) AS score FROM scored JOIN (SELECT {QID} AS doc, image_id FROM captions) USING (doc) GROUP BY ALL",
+    "e1_rank_gallery": f"WITH {SQL_CAPTIONS}, {_index(IMAGES)}, {QTERMS}, {SCORED} SELECT k.query, k.doc, round(coalesce(score, 0), 4) AS score, row_number() OVER (PARTITION BY k.query ORDER BY coalesce(score, 0) DESC, k.doc) AS rank FROM (SELECT {QID} AS query, o.doc FROM captions, (SELECT DISTINCT image_id AS doc FROM captions) o WHERE image_id % 20 = 0) k LEFT JOIN scored USING (query, doc)",
+    "e3_search": f"WITH {SQL_CAPTIONS}, {_index(IMAGES)}, {QTERMS}, {SCORED}, {PLACED.format(q=QID, scored='scored')} SELECT query, doc, round(score, 4) AS score, rank::INT AS rank, 'bm25' AS score_type, 'cat_' || doc % 10 AS category FROM placed WHERE rank <= 10",
+    "h5_max_caption": f"WITH {SQL_CAPTIONS}, {_index(f'SELECT {QID} AS doc, text FROM captions')}, {QTERMS}, {SCORED}, most AS (SELECT query, image_id AS doc, max(score) AS score FROM scored JOIN (SELECT {QID} AS doc, image_id FROM captions) USING (doc) GROUP BY ALL), {PLACED.format(q=QID, scored='most')} SELECT query, doc AS image_id, round(score, 4) AS score, rank::INT AS rank FROM placed WHERE rank <= 10",
     "h6_bm25_leave_one_out_ranks": LOO + "SELECT query, category, round(score, 6) AS score, rank FROM ranks",
     "h6_bm25_leave_one_out_metrics": LOO + "SELECT category, count(*) AS queries, round(avg((rank <= 1)::INT), 6) AS r1, round(avg((rank <= 5)::INT), 6) AS r5, round(avg((rank <= 10)::INT), 6) AS r10, round(avg(1 / rank), 6) AS mrr FROM ranks GROUP BY ROLLUP (category)",
     "h7_category_ranks": _target(LABELS) + "SELECT query, category, round(score, 6) AS score, rank FROM ranks",
-    "c11_qualitative_matrix": f"SELECT l.query, l.rank AS loo_rank, g.rank AS label_rank, w.rank AS whole_rank, t.top_5 FROM ({_target(LABELS, EVERY_20TH)} SELECT query, rank FROM ranks) g JOIN ({_target(IMAGES, EVERY_20TH)} SELECT query, rank FROM ranks) w USING (query) JOIN ({LOO} SELECT query, rank FROM ranks) l USING (query) LEFT JOIN (WITH {SQL_CAPTIONS}, {_index(IMAGES)}, {QTERMS}, {SCORED} SELECT query, string_agg(doc, ',' ORDER BY score DESC, doc) AS top_5 FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc) AS n FROM scored) WHERE n <= 5 GROUP BY query) t USING (query)",
+    "c11_qualitative_matrix": f"SELECT l.query, l.rank AS loo_rank, g.rank AS label_rank, w.rank AS whole_rank, t.top_5 FROM ({_target(LABELS, EVERY_20TH)} SELECT query, rank FROM ranks) g JOIN ({_target(IMAGES, EVERY_20TH)} SELECT query, rank FROM ranks) w USING (query) JOIN ({LOO} SELECT query, rank FROM ranks) l USING (query) LEFT JOIN (WITH {SQL_CAPTIONS}, {_index(IMAGES)}, {QTERMS}, {SCORED}, {PLACED.format(q=QID, scored='scored')} SELECT query, string_agg(doc, ',' ORDER BY rank) AS top_5 FROM placed WHERE rank <= 5 GROUP BY query) t USING (query)",
     "d14_failures": LOO + ", k AS (SELECT CASE " + " ".join(f"WHEN {c} THEN '{k}'" for k, c in (("spatial_relational_confusion", _any(SPATIAL)), ("dense_small_objects", _any(DENSE)), ("generic_repetitive_caption", "w <= 4"), ("fine_grained_attribute_mismatch", _any(ATTRIBUTES)))) + f" ELSE 'broad_geographic_context' END AS kind FROM ranks JOIN (SELECT {QID} AS query, lower(text) AS low, {SPACES} AS w FROM captions) USING (query) WHERE rank > 10) SELECT kind, count(*) AS n, round(count(*) / sum(count(*)) OVER () * 100, 3) AS pct FROM k GROUP BY kind",
     "d1_corpus": f"WITH {SQL_CAPTIONS} SELECT category, count(DISTINCT image_id) AS images, count(*) AS captions, round(avg({SPACES}), 6) AS mean_words FROM captions GROUP BY ROLLUP (category)",
     "h10_prompts": f"WITH {SQL_CAPTIONS}, forms AS (SELECT unnest(range(5))::INT AS form, unnest({list(PROMPTS)}) AS f) SELECT {QID} AS query, form, replace(f, '%s', regexp_replace(trim(text), '[.!?]+$', '')) AS prompt FROM captions, forms",

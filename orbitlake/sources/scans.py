@@ -188,15 +188,3 @@ def build_manifest(inventory: DataFrame, caps: DataFrame) -> DataFrame:
 
 def filter_split(rows: DataFrame, split: str) -> DataFrame:
     return rows.where(F.col("split") == split)
-
-
-def pixels_to_tiles(rows: DataFrame) -> DataFrame:
-    """(scene_id, width, tile) of (scene_id, y, x, v): values 0 to 255 as bytes, row by row; every pixel has to be there."""
-    by = rows.groupBy("scene_id").agg((F.max("x") + 1).alias("width"), F.sort_array(F.collect_list(F.struct("y", "x", "v"))).alias("p"))
-    return by.select("scene_id", "width", F.unhex(F.array_join(F.transform("p", lambda c: F.lpad(F.hex(c["v"]), 2, "0")), "")).alias("tile"))
-
-
-def tiles_to_pixels(tiles: DataFrame) -> DataFrame:
-    rows = tiles.select("scene_id", "width", F.hex("tile").alias("h"), F.explode(F.sequence(F.lit(0), F.length("tile") - 1)).alias("i"))
-    v = F.conv(F.substring(F.col("h"), F.col("i") * 2 + 1, F.lit(2)), 16, 10).cast("int")
-    return rows.select("scene_id", F.floor(F.col("i") / F.col("width")).cast("int").alias("y"), (F.col("i") % F.col("width")).cast("int").alias("x"), v.alias("v"))

@@ -69,11 +69,7 @@ def test_tables(spark, tmp_path):
     assert scans.load_result_table(spark, str(tmp_path / "none"), "id string") is None
 
 
-def test_tiles(spark):
-    rows = spark.createDataFrame([(s, y, x, (s * 90 + y * 40 + x * 7) % 256) for s in (1, 2) for y in range(3) for x in range(4)], "scene_id long, y int, x int, v int")
-    tiles = scans.pixels_to_tiles(rows)
-    assert {len(r["tile"]) for r in tiles.collect()} == {12}
-    assert sorted(map(tuple, scans.tiles_to_pixels(tiles).collect())) == sorted(map(tuple, rows.collect()))
+def test_mask_values(spark):
     found = {r["scene_id"]: (r["unexpected"], r["valid"]) for r in scans.mask_value_audit(spark.createDataFrame([(1, 0), (1, 255), (2, 7), (2, 0)], "scene_id long, v int")).collect()}
     assert found == {1: ([], True), 2: ([7], False)}
 
