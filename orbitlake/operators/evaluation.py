@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from orbitlake.sources.fixtures import SQL_SCORES, scores, table
+from orbitlake.sources.fixtures import SQL_SCORES, scores
 
 BINS = 2000
 
@@ -76,56 +76,6 @@ def d10_grid(spark: SparkSession, d: str) -> DataFrame:
     return first_best(with_metrics(confusion(rows, ["model", "tau"], F.col("score") >= F.col("tau"))), ["model"])
 
 
-def d15_latency(spark: SparkSession, d: str) -> DataFrame:
-    v = F.col("value")
-    return table(spark, d, "events").groupBy(F.col("event_type").alias("stage")).agg(
-        F.count(v).alias("n"), F.round(F.avg(v), 6).alias("mean"), F.round(F.percentile(v, 0.5), 6).alias("p50"), F.round(F.percentile(v, 0.95), 6).alias("p95"), F.round(F.min(v), 6).alias("lo"), F.round(F.max(v), 6).alias("hi")
-    )
-
-
-def d16_bootstrap(spark: SparkSession, d: str, draws: int = 1000) -> DataFrame:
-    """Intervals of precision, recall, F1, IoU (by summed counts) and macro F1 over resampled scenes; a draw names the same scenes for all models."""
-    cm = with_metrics(per_scene(spark, d))
-    no = cm.select("scene_id").distinct().withColumn("no", F.row_number().over(Window.orderBy("scene_id")) - 1)  # a row a scene
-    n = no.agg(F.count("*").alias("scenes"))
-    draw = F.conv(F.substring(F.md5(F.concat(F.lit("boot:"), F.col("rep"), F.lit(":"), F.col("i"))), 1, 8), 16, 10).cast("bigint") % F.col("scenes")
-    reps = F.broadcast(n).select("scenes", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("rep")).select("scenes", "rep", F.explode(F.sequence(F.lit(0), F.col("scenes") - 1)).alias("i"))
-    times = reps.select("rep", draw.alias("no")).groupBy("rep", "no").agg(F.count("*").alias("times")).join(no, "no")
-    macro = F.sum(F.col("f1") * F.col("times")) / F.sum("times")
-    sums = cm.join(times, "scene_id").groupBy("model", "rep").agg(*[F.sum(F.col(c) * F.col("times")).alias(c) for c in ("tp", "fp", "fn")], macro.alias("macro_f1"))
-    tp, fp, fn = (F.col(c) for c in ("tp", "fp", "fn"))
-    shares = {"precision": (tp, tp + fp), "recall": (tp, tp + fn), "f1": (2 * tp, 2 * tp + fp + fn), "iou": (tp, tp + fp + fn)}
-    drawn = sums.select("model", "macro_f1", *[F.when(of > 0, a / of).otherwise(0.0).alias(name) for name, (a, of) in shares.items()])
-    rows = drawn.unpivot("model", [*shares, "macro_f1"], "metric", "v")
-    return rows.groupBy("model", "metric").agg(F.round(F.avg("v"), 6).alias("mean"), F.round(F.percentile("v", 0.025), 6).alias("lo"), F.round(F.percentile("v", 0.975), 6).alias("hi"))
-
-
-def d17_wilcoxon(spark: SparkSession, d: str) -> DataFrame:
-    """Signed-rank statistic of the two models' scene F1 and its normal deviate: zero differences dropped, ties take mean ranks."""
-    f1 = with_metrics(per_scene(spark, d)).groupBy("scene_id").pivot("model", ["a", "b"]).agg(F.first("f1"))
-    diff = f1.select("scene_id", F.round(F.col("a") - F.col("b"), 6).alias("diff")).where("diff <> 0")
-    size = F.abs("diff")
-    ranked = diff.withColumn("rk", F.rank().over(Window.orderBy(size)) + (F.count("*").over(Window.partitionBy(size)) - 1) / 2)  # a row a scene
-    plus, minus = (F.coalesce(F.sum(F.when(c, F.col("rk"))), F.lit(0.0)) for c in (F.col("diff") > 0, F.col("diff") < 0))
-    out = ranked.withColumn("t", F.count("*").over(Window.partitionBy(size))).agg(F.count("*").alias("n"), plus.alias("w_plus"), minus.alias("w_minus"), F.sum(F.pow("t", 2) - 1).alias("ties"))
-    n = F.col("n")
-    spread = F.sqrt(n * (n + 1) * (2 * n + 1) / 24 - F.col("ties") / 48)
-    return out.withColumn("statistic", F.least("w_plus", "w_minus")).withColumn("z", F.round((F.col("statistic") - n * (n + 1) / 4) / spread, 6)).drop("ties")
-
-
-def d19_degradation(spark: SparkSession, d: str) -> DataFrame:
-    """Model b against model a as control, scene by scene."""
-    m = with_metrics(per_scene(spark, d))
-    a, b = (m.where(F.col("model") == x).select("scene_id", *[F.col(c).alias(f"{c}_{x}") for c in ("f1", "fp", "tn")]) for x in "ab")
-    loss = F.when(F.col("f1_a") > 0, (F.col("f1_a") - F.col("f1_b")) / F.col("f1_a") * 100).otherwise(0.0)
-    rate = F.when(F.col("tn_a") + F.col("fp_a") > 0, (F.col("fp_b") - F.col("fp_a")) / (F.col("tn_a") + F.col("fp_a")) * 100).otherwise(0.0)
-    return a.join(b, "scene_id").select("scene_id", F.round(loss, 4).alias("f1_loss_pct"), (F.col("fp_b") - F.col("fp_a")).alias("fp_more"), F.round(rate, 4).alias("fp_rate_pct"))
-
-
-def d23_dispersion(spark: SparkSession, d: str) -> DataFrame:
-    return d29_per_scene(spark, d).groupBy("model").agg(*[F.round(F.percentile("f1", p / 4), 6).alias(f"q{p}") for p in range(5)])
-
-
 def d26_accounting(spark: SparkSession, d: str) -> DataFrame:
     """Models must be judged on the same items: one total and one number of positives a scene."""
     cm = per_scene(spark, d)
@@ -149,7 +99,7 @@ HIST = "SELECT model, least(floor(score * 2000), 1999)::INT AS bin, count(*) FIL
 CURVE = f"""WITH {SQL_SCORES}, h AS ({HIST}), c AS (SELECT model, i, sum(CASE WHEN bin >= i * 10 THEN pos ELSE 0 END)::BIGINT AS tp, sum(CASE WHEN bin >= i * 10 THEN neg ELSE 0 END)::BIGINT AS fp, sum(pos)::BIGINT AS p, sum(neg)::BIGINT AS n FROM h, range(1, 200) t(i) GROUP BY ALL),
 cv AS (SELECT *, {METRICS} FROM (SELECT model, round(i * 5 / 1000, 3) AS tau, tp, fp, p - tp AS fn, n - fp AS tn FROM c)) """
 BEST = "SELECT * FROM {} QUALIFY row_number() OVER (PARTITION BY model ORDER BY f1 DESC, tau) = 1"
-QUERIES = {f.__name__: f for f in (d5_confusion, d7_histogram, d8_curve, d8_calibrated, d10_grid, d15_latency, d16_bootstrap, d17_wilcoxon, d19_degradation, d23_dispersion, d26_accounting, d29_per_scene)}
+QUERIES = {f.__name__: f for f in (d5_confusion, d7_histogram, d8_curve, d8_calibrated, d10_grid, d26_accounting, d29_per_scene)}
 SQL = {
     "d5_confusion": f"WITH {SQL_SCORES}, cm AS ({_cm('model', 'score >= 0.41::DOUBLE')}) SELECT *, {METRICS} FROM cm",
     "d29_per_scene": MS + "SELECT * FROM m",
@@ -157,10 +107,5 @@ SQL = {
     "d8_curve": CURVE + "SELECT * FROM cv",
     "d8_calibrated": CURVE + BEST.format("cv"),
     "d10_grid": f"WITH {SQL_SCORES}, g AS (SELECT scores.*, round(i / 20, 2) AS tau FROM scores, range(1, 20) t(i)), cm AS ({_cm('model, tau', 'score >= tau', 'g')}), m AS (SELECT *, {METRICS} FROM cm) " + BEST.format("m"),
-    "d15_latency": "SELECT event_type AS stage, count(value) AS n, round(avg(value), 6) AS mean, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95, round(min(value), 6) AS lo, round(max(value), 6) AS hi FROM events GROUP BY ALL",
-    "d16_bootstrap": MS + ", no AS (SELECT scene_id, row_number() OVER (ORDER BY scene_id) - 1 AS no FROM (SELECT DISTINCT scene_id FROM m)), dr AS (SELECT rep, ('0x' || substr(md5('boot:' || rep || ':' || i), 1, 8))::BIGINT % (SELECT count(*) FROM no) AS no FROM range(1000) a(rep), range((SELECT count(*) FROM no)) b(i)), s AS (SELECT model, rep, sum(tp) AS tp, sum(fp) AS fp, sum(fn) AS fn, avg(f1) AS macro FROM dr JOIN no USING (no) JOIN m USING (scene_id) GROUP BY ALL), f AS (" + " UNION ALL ".join(f"SELECT model, '{n}' AS metric, {v} AS v FROM s" for n, v in (("macro_f1", "macro"), ("precision", "CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0 END"), ("recall", "CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0 END"), ("f1", "CASE WHEN tp + fp + fn > 0 THEN 2 * tp / (2 * tp + fp + fn) ELSE 0 END"), ("iou", "CASE WHEN tp + fp + fn > 0 THEN tp / (tp + fp + fn) ELSE 0 END"))) + ") SELECT model, metric, round(avg(v), 6) AS mean, round(quantile_cont(v, 0.025), 6) AS lo, round(quantile_cont(v, 0.975), 6) AS hi FROM f GROUP BY ALL",
-    "d17_wilcoxon": MS + ", df AS (SELECT a.scene_id, round(a.f1 - b.f1, 6) AS diff FROM m a JOIN m b ON a.scene_id = b.scene_id AND a.model = 'a' AND b.model = 'b'), r AS (SELECT diff, count(*) OVER (PARTITION BY abs(diff)) AS t, rank() OVER (ORDER BY abs(diff)) + (count(*) OVER (PARTITION BY abs(diff)) - 1) / 2 AS rk FROM df WHERE diff <> 0) SELECT count(*)::BIGINT AS n, coalesce(sum(rk) FILTER (diff > 0), 0) AS w_plus, coalesce(sum(rk) FILTER (diff < 0), 0) AS w_minus, least(w_plus, w_minus) AS statistic, round((statistic - n * (n + 1) / 4) / sqrt(n * (n + 1) * (2 * n + 1) / 24 - sum(t * t - 1) / 48), 6) AS z FROM r",
-    "d19_degradation": MS + "SELECT a.scene_id, round(CASE WHEN a.f1 > 0 THEN (a.f1 - b.f1) / a.f1 * 100 ELSE 0 END, 4) AS f1_loss_pct, b.fp - a.fp AS fp_more, round(CASE WHEN a.tn + a.fp > 0 THEN (b.fp - a.fp) / (a.tn + a.fp) * 100 ELSE 0 END, 4) AS fp_rate_pct FROM m a JOIN m b ON a.scene_id = b.scene_id AND a.model = 'a' AND b.model = 'b'",
-    "d23_dispersion": MS + "SELECT model, " + ", ".join(f"round(quantile_cont(f1, {p / 4}), 6) AS q{p}" for p in range(5)) + " FROM m GROUP BY ALL",
     "d26_accounting": MS + "SELECT scene_id, count(DISTINCT tp + fp + fn + tn) = 1 AS same_total, count(DISTINCT tp + fn) = 1 AS same_positives FROM m GROUP BY ALL",
 }

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orbitlake.operators.evaluation import METRICS, MS, per_scene, with_metrics
+from orbitlake.operators.evaluation import MS, per_scene, with_metrics
 from orbitlake.sources.fixtures import table
 
 # fixed values: weights and bounds of the alignment gate
@@ -32,25 +32,6 @@ def d6b_optimistic(spark: SparkSession, d: str) -> DataFrame:
     return per_scene(spark, d).selectExpr("model", "scene_id", *[f"{e} AS {n}" for n, e in OPTIMISTIC.items()])
 
 
-def d18_tradeoff(spark: SparkSession, d: str) -> DataFrame:
-    """What model b saves in false positives and loses in true ones against model a."""
-    t = per_scene(spark, d).groupBy("model").agg(F.sum("tp").alias("tp"), F.sum("fp").alias("fp"))
-    a, b = (t.where(F.col("model") == x).select(F.col("tp").alias(f"tp_{x}"), F.col("fp").alias(f"fp_{x}")) for x in "ab")
-    return a.join(b).selectExpr("fp_a - fp_b AS fp_saved", "tp_a - tp_b AS tp_lost", "round((fp_a - fp_b) * 1e0 / greatest(tp_a - tp_b, 1), 6) AS benefit")
-
-
-def d21_leaderboard(spark: SparkSession, d: str) -> DataFrame:
-    """Metrics of each model over all scenes and the mean of its scenes' f1."""
-    scenes = with_metrics(per_scene(spark, d))
-    sums = scenes.groupBy("model").agg(F.count("*").alias("scenes"), F.round(F.avg("f1"), 5).alias("macro_f1"), *[F.sum(c).alias(c) for c in ("tp", "fp", "fn", "tn")])
-    return with_metrics(sums)
-
-
-def d22_iterations(spark: SparkSession, d: str) -> DataFrame:
-    v = F.col("value")
-    return table(spark, d, "events").groupBy("event_type").agg(F.round(F.avg(v), 6).alias("mean"), F.round(F.stddev_samp(v), 6).alias("std"), F.round(F.max(v), 6).alias("most"))
-
-
 def c8_paired(spark: SparkSession, d: str) -> DataFrame:
     """Both models' f1 of each scene and which is better."""
     m = with_metrics(per_scene(spark, d))
@@ -69,12 +50,9 @@ def m2_gate(spark: SparkSession, d: str) -> DataFrame:
 
 
 DIAG = "WITH d AS (SELECT " + ", ".join(DIAGNOSTICS) + f" FROM orders), s AS (SELECT *, {CONFIDENCE} AS score FROM d) "
-QUERIES = {f.__name__: f for f in (d6b_optimistic, d18_tradeoff, d21_leaderboard, d22_iterations, c8_paired, m1_confidence, m2_gate)}
+QUERIES = {f.__name__: f for f in (d6b_optimistic, c8_paired, m1_confidence, m2_gate)}
 SQL = {
     "d6b_optimistic": MS + "SELECT model, scene_id, " + ", ".join(f"{e} AS {n}" for n, e in OPTIMISTIC.items()) + " FROM cm",
-    "d18_tradeoff": MS + "SELECT (a.fp - b.fp)::BIGINT AS fp_saved, (a.tp - b.tp)::BIGINT AS tp_lost, round((a.fp - b.fp) * 1e0 / greatest(a.tp - b.tp, 1), 6) AS benefit FROM (SELECT sum(tp) AS tp, sum(fp) AS fp FROM cm WHERE model = 'a') a, (SELECT sum(tp) AS tp, sum(fp) AS fp FROM cm WHERE model = 'b') b",
-    "d21_leaderboard": MS + f", t AS (SELECT model, count(*) AS scenes, round(avg(f1), 5) AS macro_f1, sum(tp)::BIGINT AS tp, sum(fp)::BIGINT AS fp, sum(fn)::BIGINT AS fn, sum(tn)::BIGINT AS tn FROM m GROUP BY model) SELECT *, {METRICS} FROM t",
-    "d22_iterations": "SELECT event_type, round(avg(value), 6) AS mean, round(stddev_samp(value), 6) AS std, round(max(value), 6) AS most FROM events GROUP BY ALL",
     "c8_paired": MS + "SELECT a.scene_id, a.f1 AS f1_a, b.f1 AS f1_b, CASE WHEN a.f1 > b.f1 THEN 'a' WHEN b.f1 > a.f1 THEN 'b' ELSE 'tie' END AS better FROM m a JOIN m b ON a.scene_id = b.scene_id AND a.model = 'a' AND b.model = 'b'",
     "m1_confidence": DIAG + "SELECT o_orderkey, score FROM s",
     "m2_gate": DIAG + f"SELECT {GATE} AS outcome, count(*) AS n, min(score) AS lo, max(score) AS hi FROM s GROUP BY ALL",

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from orbitlake.operators import cases, evaluation, kernels, raster, records, reports, scenes, splits, text_search, vectors
+from orbitlake.operators import cases, evaluation, kernels, raster, records, reports, scenes, splits, statistics, text_search, vectors
 
-MODULES = [text_search, evaluation, raster, kernels, vectors, splits, reports, scenes, records, cases]
+MODULES = [text_search, evaluation, raster, kernels, statistics, vectors, splits, reports, scenes, records, cases]
 
 
 def queries() -> dict[str, Callable]:
