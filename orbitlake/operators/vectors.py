@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from orbitlake.functions.lineage import cut
+from orbitlake.sources import store
 from orbitlake.sources.fixtures import table
 
 #: Vectors of a block; a task multiplies one block of queries with one of the gallery at a time.
@@ -25,6 +27,14 @@ def unit(v: str) -> Column:
     return F.transform(v, lambda x: F.when(n > 0, x.cast("double") / n).otherwise(x.cast("double")))
 
 
+def normalized(vectors: DataFrame) -> DataFrame:
+    """All vectors over their lengths (and 1e-9), if any length is off one by more than 1e-3; else as they are."""
+    off = vectors.agg(F.coalesce(F.max(F.abs(norm("embedding") - 1)), F.lit(0.0)).alias("_off"))  # one row
+    rows = vectors.crossJoin(F.broadcast(off)).withColumn("_norm", norm("embedding") + 1e-9)
+    scaled = F.transform("embedding", lambda x: F.when(F.col("_off") > 1e-3, x.cast("double") / F.col("_norm")).otherwise(x.cast("double")))
+    return rows.withColumn("embedding", scaled).drop("_off", "_norm")
+
+
 def blocks(vectors: DataFrame, prefix: str) -> DataFrame:
     """(``prefix``_ids, ``prefix``_flat): unit vectors dealt by a hash of their ids into blocks of about BLOCK, ids ascending."""
     n = max(1, -(-vectors.count() // BLOCK))
@@ -137,6 +147,39 @@ def i6_fingerprints(spark: SparkSession, d: str) -> DataFrame:
     return _embeddings(spark, d).groupBy(F.floor(F.col("vec_id") / 1000).alias("block")).agg(F.count("*").alias("n"), F.sha2(ids, 256).alias("fingerprint"))
 
 
+def i6_root(spark: SparkSession, d: str) -> DataFrame:
+    """One fingerprint of all ids in their order."""
+    return store.fingerprint(store.numbered(_embeddings(spark, d), "vec_id"))
+
+
+def i6_cache_valid(spark: SparkSession, d: str) -> DataFrame:
+    """Whether the vectors are those that several runs expect: the same, another model or size, ids less one, ids in another order."""
+    rows = _embeddings(spark, d).select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    ids = cut(store.numbered(rows, "id"))
+    about = store.described(rows, ids, "m", "d", "test")
+    last = ids.agg(F.max("pos").alias("last"))  # one row
+    roots = {"same": ids, "less_one": ids.crossJoin(F.broadcast(last)).where("pos < last").drop("last"), "other_order": ids.crossJoin(F.broadcast(last)).select((F.col("last") - F.col("pos")).alias("pos"), "id")}
+    cases = [("same", "m", 64, "same"), ("other_model", "n", 64, "same"), ("other_dim", "m", 65, "same"), ("less_one", "m", 64, "less_one"), ("other_order", "m", 64, "other_order")]
+    wanted = None
+    for name, model, dim, of in cases:
+        one = store.fingerprint(roots[of]).select(F.lit(name).alias("variant"), F.struct(F.lit(model).alias("model"), F.lit("d").alias("dataset"), F.lit("test").alias("split"), "count", F.lit(dim).cast("long").alias("dim"), "root").alias("wanted"))
+        wanted = one if wanted is None else wanted.unionByName(one)
+    found = wanted.crossJoin(F.broadcast(about.select(F.struct(*store.FIELDS).alias("about"))))
+    why = store.mismatch("about", "wanted")
+    return found.select("variant", why.isNull().alias("valid"), why.alias("reason"))
+
+
+def i1_normalized(spark: SparkSession, d: str) -> DataFrame:
+    """Vectors as they are and doubled: only the latter are brought to length one, as their lengths are off."""
+    rows = _embeddings(spark, d)
+    out = None
+    for by in (1, 2):
+        found = normalized(rows.withColumn("embedding", F.transform("embedding", lambda x: x * by)))  # noqa: B023
+        one = found.select("vec_id", F.lit(by).alias("factor"), F.round(F.element_at("embedding", 1).cast("double"), 6).alias("first"), F.round(norm("embedding"), 4).alias("norm"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 def i7_index_size(spark: SparkSession, d: str) -> DataFrame:
     return _embeddings(spark, d).agg(F.sum(F.size("embedding").cast("long") * 4).alias("bytes"))
 
@@ -146,7 +189,19 @@ UNIT = f"list_transform(embedding, lambda x: x::DOUBLE / {NORM})"
 FOUND = f"""WITH u AS (SELECT vec_id, label, {UNIT} AS u FROM embeddings),
 s AS (SELECT q.vec_id AS query, q.label AS own, g.vec_id, g.label, round(list_inner_product(q.u, g.u), 9) AS score FROM u q, u g WHERE q.vec_id % 20 = 0),
 f AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, vec_id) AS rank FROM s QUALIFY rank <= 10) """
-QUERIES = {f.__name__: f for f in (i1_norms, i2_vector_search, i3_label_precision, i3_target_ranks, i4_ensemble, i5_checks, i6_fingerprints, i7_index_size)}
+
+
+def _root(ids: str) -> str:
+    """(count, root) of (pos, id) by four levels of thousands."""
+    levels = f"SELECT pos // 1000 AS pos, sha256(string_agg(strlen(id::VARCHAR) || ':' || id, '' ORDER BY pos)) AS h FROM ({ids}) GROUP BY 1"
+    for _ in range(3):
+        levels = f"SELECT pos // 1000 AS pos, sha256(string_agg(h, '' ORDER BY pos)) AS h FROM ({levels}) GROUP BY 1"
+    return f"SELECT (SELECT count(*) FROM ({ids})) AS count, sha256((SELECT count(*) FROM ({ids})) || ':' || coalesce((SELECT max(h) FROM ({levels})), '')) AS root"
+
+
+_IDS = "SELECT vec_id AS id, row_number() OVER (ORDER BY vec_id) - 1 AS pos FROM embeddings"
+_CASES = {"same": ("m", 64, _IDS), "other_model": ("n", 64, _IDS), "other_dim": ("m", 65, _IDS), "less_one": ("m", 64, f"SELECT * FROM ({_IDS}) WHERE pos < (SELECT count(*) - 1 FROM embeddings)"), "other_order": ("m", 64, "SELECT vec_id AS id, row_number() OVER (ORDER BY vec_id DESC) - 1 AS pos FROM embeddings")}
+QUERIES = {f.__name__: f for f in (i1_norms, i2_vector_search, i3_label_precision, i3_target_ranks, i4_ensemble, i5_checks, i1_normalized, i6_fingerprints, i6_root, i6_cache_valid, i7_index_size)}
 SQL = {
     "i1_norms": f"SELECT vec_id, round({NORM}, 6) AS norm, round(({UNIT})[1], 6) AS first FROM embeddings",
     "i2_vector_search": FOUND + "SELECT query, vec_id, round(score, 4) AS score, rank FROM f",
@@ -155,5 +210,8 @@ SQL = {
     "i4_ensemble": f"WITH u AS (SELECT vec_id // 5 AS grp, unnest(range(64))::INT AS pos, unnest({UNIT}) AS x FROM embeddings), m AS (SELECT grp, pos, avg(x) AS x FROM u GROUP BY ALL) SELECT grp, pos, round(x / sqrt(sum(x * x) OVER (PARTITION BY grp)), 6) AS x FROM m",
     "i5_checks": "SELECT count(*) AS n, count(DISTINCT vec_id) AS ids, count(*) FILTER (len(embedding) <> 64) AS wrong_size FROM embeddings",
     "i6_fingerprints": "SELECT vec_id // 1000 AS block, count(*) AS n, sha256(string_agg(vec_id::VARCHAR, ',' ORDER BY vec_id)) AS fingerprint FROM embeddings GROUP BY ALL",
+    "i6_root": _root(_IDS),
+    "i6_cache_valid": f"WITH a AS (SELECT *, (SELECT max(len(embedding)) FROM embeddings) AS dim FROM ({_root(_IDS)})), w AS (" + " UNION ALL ".join(f"SELECT '{n}' AS variant, '{m}' AS model, {k} AS dim, * FROM ({_root(ids)})" for n, (m, k, ids) in _CASES.items()) + "), r AS (SELECT variant, CASE WHEN w.model <> 'm' THEN 'model mismatch' WHEN w.count <> a.count THEN 'count mismatch' WHEN w.dim <> a.dim THEN 'dim mismatch' WHEN w.root <> a.root THEN 'root mismatch' END AS reason FROM w, a) SELECT variant, reason IS NULL AS valid, reason FROM r",
+    "i1_normalized": f"SELECT vec_id, factor, round(CASE WHEN factor = 2 THEN embedding[1]::DOUBLE * 2 / (2 * {NORM} + 1e-9) ELSE embedding[1]::DOUBLE END, 6) AS first, round(CASE WHEN factor = 2 THEN 1 ELSE {NORM} END, 4) AS norm FROM embeddings, (SELECT unnest([1, 2]) AS factor)",
     "i7_index_size": "SELECT sum(len(embedding) * 4)::BIGINT AS bytes FROM embeddings",
 }
