@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from orbitlake.operators import raster
 from orbitlake.operators.evaluation import MS, per_scene, with_metrics
-from orbitlake.operators.reports import CONFIDENCE, DIAG, DIAGNOSTICS, GATE
+from orbitlake.operators.reports import DIAG, GATE, diagnostics, gate
 from orbitlake.sources.fixtures import SQL_PIXELS, pixels, table
 
 # fixed values: sentences of a report
@@ -80,8 +80,8 @@ def unmatched(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
 
 
 def _diagnostics(spark: SparkSession, d: str) -> DataFrame:
-    scored = table(spark, d, "orders").selectExpr(*DIAGNOSTICS).selectExpr("*", f"{CONFIDENCE} AS score")
-    return scored.selectExpr("o_orderkey AS scene_id", f"{GATE} AS status", "score AS confidence")
+    status = gate(*[F.col(c) for c in ("matches", "inliers", "error", "score")])
+    return diagnostics(spark, d).select(F.col("o_orderkey").alias("scene_id"), status.alias("status"), F.col("score").alias("confidence"))
 
 
 def n2_region_reports(spark: SparkSession, d: str) -> DataFrame:

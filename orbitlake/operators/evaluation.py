@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from orbitlake.functions.contracts import not_empty
 from orbitlake.sources.fixtures import SQL_SCORES, scores
 
 BINS = 2000
@@ -33,7 +34,8 @@ def histogram(rows: DataFrame, bins: int = BINS) -> DataFrame:
 
 
 def curve(hist: DataFrame, bins: int = BINS) -> DataFrame:
-    """Counts at 199 thresholds 0.005 to 0.995 from at most ``bins`` rows a model."""
+    """Counts at 199 thresholds 0.005 to 0.995 from at most ``bins`` rows a model. Reading it fails without any rows."""
+    hist = not_empty(hist, "no scores to calibrate with")
     taus = hist.select("model").distinct().select("model", F.explode(F.sequence(F.lit(1), F.lit(199))).alias("i"))
     cut_ = (F.col("i") * bins / 200).cast("int")
     above = hist.join(taus, "model").groupBy("model", "i").agg(F.sum(F.when(F.col("bin") >= cut_, F.col("pos")).otherwise(0)).alias("tp"), F.sum(F.when(F.col("bin") >= cut_, F.col("neg")).otherwise(0)).alias("fp"), F.sum("pos").alias("p"), F.sum("neg").alias("n"))

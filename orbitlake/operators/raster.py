@@ -23,9 +23,9 @@ def change_score(rule: str = "mean") -> Column:
 
 
 def vari(i: int) -> Column:
-    """(g - r) / (g + r - b), 0 where the denominator is, within [-1, 1]."""
+    """(g - r) / (g + r - b), 0 where the denominator is less than 1e-6 from 0, within [-1, 1]."""
     den = F.col(f"g{i}") + F.col(f"r{i}") - F.col(f"b{i}")
-    return F.when(den == 0, 0.0).otherwise(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), (F.col(f"g{i}") - F.col(f"r{i}")) / den)))
+    return F.when(F.abs(den) < 1e-6, 0.0).otherwise(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), (F.col(f"g{i}") - F.col(f"r{i}")) / den)))
 
 
 def morphology(mask: DataFrame, radius: int = 1) -> DataFrame:

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from orbitlake.functions.contracts import not_empty
 from orbitlake.operators import raster, text_search
 from orbitlake.operators.evaluation import METRICS, confusion, with_metrics
-from orbitlake.operators.reports import OPTIMISTIC
+from orbitlake.operators.reports import optimistic
 from orbitlake.sources.fixtures import SIDE, SQL_CAPTIONS, SQL_PIXELS, SQL_SCORES, captions, pixels, scores, table
 
 # fixed values: categories of change and what stands in for a missing or broken response
@@ -16,33 +17,46 @@ OBSERVATION = "Visible structural differences detected."
 EVIDENCE = "Observed optical feature shift."
 NO_OBSERVATION = "Automated vision model response unavailable or could not be verified."
 NO_EVIDENCE = "Vision inference unverified; relying on deterministic detector mask."
-FENCE, BRACES = r"```(?:json)?\s*([\s\S]*?)\s*```", r"\{[\s\S]*\}"
 # fixed values: bounds of a region and the share of its sides that its context adds
 LEAST_AREA, LEAST_SHARE, CONTEXT = 9, 2e-4, 0.1
 
 
+def _object(text: Column) -> Column:
+    """The only JSON object that a text is; as an element of a list, so that nothing may follow it."""
+    found = F.from_json(F.concat(F.lit("["), text, F.lit("]")), "array<map<string,string>>")
+    return F.when(F.size(found) == 1, F.get(found, F.lit(0)))
+
+
 def parse_responses(rows: DataFrame) -> DataFrame:
     """(…, parsed, change_category, visual_observation, evidence, requires_review) of (…, raw).
 
-    A fenced text is taken without its fence, else a text that is no JSON object from its first to its last
-    brace. An unknown category is uncertain; what cannot be read is an uncertain row to be reviewed.
+    What stands between the first two fences is the answer, if the text begins with one; if that is no JSON object, what
+    stands from its first brace to its last. An unknown category is uncertain; lists may come as
+    single values; what cannot be read is an uncertain row to be reviewed.
     """
     raw = F.trim("raw")
-    fenced = F.when(raw.startswith("```") & raw.rlike(FENCE), F.regexp_extract(raw, FENCE, 1)).otherwise(raw)
-    whole = F.from_json(fenced, "map<string,string>")
-    found = F.coalesce(whole, F.from_json(F.regexp_extract(fenced, BRACES, 0), "map<string,string>"))
+    parts = F.split(raw, "```", -1)
+    inner = F.trim(F.get(parts, F.lit(1)))
+    inner = F.trim(F.when(F.startswith(inner, F.lit("json")), F.expr("substring(trim(split(trim(raw), '```', -1)[1]), 5)")).otherwise(inner))
+    answer = F.when(F.startswith(raw, F.lit("```")) & (F.size(parts) > 2), inner).otherwise(raw)
+    rows = rows.withColumn("_a", answer)
+    first, behind = F.locate("{", "_a"), F.locate("}", F.reverse("_a"))
+    object_ = F.when((first > 0) & (behind > 0), F.substring("_a", first, F.length("_a") - behind - first + 2)).otherwise("")
+    found = F.coalesce(_object(F.col("_a")), _object(object_))
     rows = rows.withColumn("_m", F.when(F.size(found) > 0, found))
     field = lambda name: F.try_element_at("_m", F.lit(name))
+    listed = lambda name, default: F.coalesce(F.from_json(field(name), "array<string>"), F.when(field(name).isNotNull(), F.array(field(name))), default)
     category = F.lower(F.trim(field("change_category")))
     category = F.when(category.isin(*CATEGORIES), category).otherwise("uncertain")
-    evidence = F.coalesce(F.from_json(field("evidence_for_category"), "array<string>"), F.array(F.coalesce(field("evidence_for_category"), F.lit(EVIDENCE))))
     parsed = F.col("_m").isNotNull()
     return rows.select(
-        *[c for c in rows.columns if c not in ("raw", "_m")],
+        *[c for c in rows.columns if c not in ("raw", "_m", "_a")],
         parsed.alias("parsed"),
         category.alias("change_category"),
         F.when(parsed, F.trim(F.coalesce(field("visual_observation"), F.lit(OBSERVATION)))).otherwise(NO_OBSERVATION).alias("visual_observation"),
-        F.when(parsed, F.array_join(evidence, "; ")).otherwise(NO_EVIDENCE).alias("evidence"),
+        F.when(parsed, F.array_join(listed("evidence_for_category", F.array(F.lit(EVIDENCE))), "; ")).otherwise(NO_EVIDENCE).alias("evidence"),
+        F.array_join(F.coalesce(listed("alternative_interpretations", F.array().cast("array<string>")), F.array().cast("array<string>")), "; ").alias("alternatives"),
+        F.trim(field("uncertainty_reason")).alias("uncertainty_reason"),
         F.coalesce(field("requires_human_review") == "true", category == "uncertain").alias("requires_review"),
     )
 
@@ -53,8 +67,8 @@ def missing_targets(queries: DataFrame, gallery: DataFrame) -> DataFrame:
 
 
 def pair_scenes(a: DataFrame, b: DataFrame, label: DataFrame) -> DataFrame:
-    """Inner join of both sides on ``stem``; a label where there is one."""
-    return a.join(b, "stem").join(label, "stem", "left")
+    """Inner join of both sides on ``stem``; a label where there is one. Reading it fails if no stem has both sides."""
+    return not_empty(a.join(b, "stem"), "no pairs: no stem has both sides").join(label, "stem", "left")
 
 
 def compare_to_control(cm: DataFrame) -> DataFrame:
@@ -115,7 +129,7 @@ def region_details(pairs: DataFrame, tau: float = raster.CUT, gsd: float | None
 
 def response_texts(spark: SparkSession, d: str) -> DataFrame:
     category = "CASE event_type WHEN 'purchase' THEN 'new_construction' WHEN 'signup' THEN ' Demolition ' WHEN 'view' THEN 'water_body_change' ELSE event_type END"
-    body = f"""concat('{{"change_category": "', {category}, '", "evidence_for_category": ["', event_type, '", "second"], "requires_human_review": ', CASE WHEN event_id % 3 = 0 THEN 'true' ELSE 'false' END, '}}')"""
+    body = f"""concat('{{"change_category": "', {category}, '", "evidence_for_category": ["', event_type, '", "second"], "requires_human_review": ', CASE WHEN event_id % 3 = 0 THEN 'true' ELSE 'false' END, CASE event_id % 4 WHEN 0 THEN ', "alternative_interpretations": ["shade", "season"]' WHEN 1 THEN ', "alternative_interpretations": "glare", "uncertainty_reason": " low light "' ELSE '' END, '}}')"""
     raw = f"CASE event_id % 5 WHEN 0 THEN concat('```json ', {body}, ' ```') WHEN 1 THEN {body} WHEN 2 THEN concat('Answer: ', {body}, ' end') WHEN 3 THEN props ELSE concat('no answer to ', event_type) END"
     return table(spark, d, "events").selectExpr("event_id", f"{raw} AS raw")
 
@@ -163,16 +177,30 @@ def d27_reliability(spark: SparkSession, d: str) -> DataFrame:
     """Counts, strict and optimistic metrics of each scene and model, and whether positives were there to be found."""
     cm = with_metrics(confusion(scores(spark, d), ["model", "scene_id"], F.col("score") >= 0.5))
     strict = ["tp", "fp", "fn", "tn", "f1", "accuracy"]
-    return cm.selectExpr("model", "scene_id", *strict, *[f"{e} AS optimistic_{n}" for n, e in OPTIMISTIC.items()], "CASE WHEN tp + fn = 0 THEN 'no positives' WHEN tp = 0 THEN 'all missed' WHEN fn = 0 THEN 'all found' ELSE 'some found' END AS outcome")
+    outcome = F.when(F.expr("tp + fn = 0"), "no positives").when(F.col("tp") == 0, "all missed").when(F.col("fn") == 0, "all found").otherwise("some found")
+    return cm.select("model", "scene_id", *strict, *[c.alias(f"optimistic_{n}") for n, c in optimistic().items()], outcome.alias("outcome"))
+
+
+#: Columns that tables of single models are brought to.
+SCENE_COLUMNS = ["scene_id", "model", "precision", "recall", "f1", "iou", "tp", "fp", "fn", "tn"]
+
+
+def union_scene_metrics(tables: dict[str, DataFrame], keys: tuple[str, ...] = ("sample_id", "image_id")) -> DataFrame:
+    """Tables of single models under each other as SCENE_COLUMNS: their scene column may have a name of ``keys``, columns that they lack are null."""
+    out = None
+    for model, rows in tables.items():
+        name = next((k for k in keys if k in rows.columns), "scene_id")
+        rows = rows.withColumnRenamed(name, "scene_id").withColumn("model", F.lit(model))
+        rows = rows.select(*[F.col(c) if c in rows.columns else F.lit(None).cast("double").alias(c) for c in SCENE_COLUMNS])
+        out = rows if out is None else out.unionByName(rows)
+    return out
 
 
 def s2_union_scene_metrics(spark: SparkSession, d: str) -> DataFrame:
-    """Tables of single models, whose scene columns have other names, under each other."""
-    cm = with_metrics(confusion(scores(spark, d), ["model", "scene_id"], F.col("score") >= 0.5)).select("model", "scene_id", "precision", "recall", "f1", "iou")
-    a = cm.where("model = 'a'").drop("model").withColumnRenamed("scene_id", "sample_id")
-    b = cm.where("model = 'b'").drop("model", "iou").withColumnRenamed("scene_id", "image_id")
-    a, b = a.withColumnRenamed("sample_id", "scene_id").withColumn("model", F.lit("a")), b.withColumnRenamed("image_id", "scene_id").withColumn("model", F.lit("b"))
-    return a.unionByName(b, allowMissingColumns=True)
+    """Two models' tables, one without overlap, whose scene columns have other names."""
+    cm = with_metrics(confusion(scores(spark, d), ["model", "scene_id"], F.col("score") >= 0.5)).drop("accuracy")
+    of = lambda m: cm.where(F.col("model") == m).drop("model")
+    return union_scene_metrics({"a": of("a").withColumnRenamed("scene_id", "sample_id"), "b": of("b").drop("iou").withColumnRenamed("scene_id", "image_id")})
 
 
 def s6_ordered_dedupe(spark: SparkSession, d: str) -> DataFrame:
@@ -287,7 +315,7 @@ FUNCTIONS = (
 )
 QUERIES = {f.__name__: f for f in FUNCTIONS}
 
-_BODY = """'{"change_category": "' || CASE event_type WHEN 'purchase' THEN 'new_construction' WHEN 'signup' THEN ' Demolition ' WHEN 'view' THEN 'water_body_change' ELSE event_type END || '", "evidence_for_category": ["' || event_type || '", "second"], "requires_human_review": ' || CASE WHEN event_id % 3 = 0 THEN 'true' ELSE 'false' END || '}'"""
+_BODY = """'{"change_category": "' || CASE event_type WHEN 'purchase' THEN 'new_construction' WHEN 'signup' THEN ' Demolition ' WHEN 'view' THEN 'water_body_change' ELSE event_type END || '", "evidence_for_category": ["' || event_type || '", "second"], "requires_human_review": ' || CASE WHEN event_id % 3 = 0 THEN 'true' ELSE 'false' END || CASE event_id % 4 WHEN 0 THEN ', "alternative_interpretations": ["shade", "season"]' WHEN 1 THEN ', "alternative_interpretations": "glare", "uncertainty_reason": " low light "' ELSE '' END || '}'"""
 _CM = "SELECT {by}, count(*) FILTER (score >= 0.5 AND gt = 1) AS tp, count(*) FILTER (score >= 0.5 AND gt = 0) AS fp, count(*) FILTER (score < 0.5 AND gt = 1) AS fn, count(*) FILTER (score < 0.5 AND gt = 0) AS tn FROM scores GROUP BY ALL"
 _SCENES = f"WITH {SQL_SCORES}, cm AS ({_CM.format(by='model, scene_id')})"
 _REGIONS = raster.MORPH.replace("WITH ", "WITH RECURSIVE ", 1) + f""", onp AS MATERIALIZED (SELECT scene_id, y, x FROM m8 WHERE m = 1),
@@ -320,7 +348,7 @@ SQL = {
 b AS (SELECT event_id, regexp_extract(raw, '\\{{[\\s\\S]*\\}}') AS j FROM t), v AS (SELECT event_id, CASE WHEN j <> '' AND json_valid(j) THEN j END AS j FROM b),
 f AS (SELECT event_id, j, lower(trim(json_extract_string(j, '$.change_category'))) AS c, CAST(json_extract(j, '$.evidence_for_category') AS VARCHAR[]) AS e, json_extract_string(j, '$.requires_human_review') AS r FROM v)
 SELECT event_id, j IS NOT NULL AS parsed, CASE WHEN c IN {CATEGORIES} THEN c ELSE 'uncertain' END AS change_category, CASE WHEN j IS NULL THEN '{NO_OBSERVATION}' ELSE '{OBSERVATION}' END AS visual_observation,
-  CASE WHEN j IS NULL THEN '{NO_EVIDENCE}' ELSE coalesce(array_to_string(e, '; '), '{EVIDENCE}') END AS evidence, coalesce(r = 'true', c IS NULL OR c NOT IN {CATEGORIES} OR c = 'uncertain') AS requires_review FROM f""",
+  CASE WHEN j IS NULL THEN '{NO_EVIDENCE}' ELSE coalesce(array_to_string(e, '; '), '{EVIDENCE}') END AS evidence, CASE event_id % 4 WHEN 0 THEN CASE WHEN json_extract(j, '$.alternative_interpretations') IS NULL THEN '' ELSE 'shade; season' END ELSE coalesce(json_extract_string(j, '$.alternative_interpretations'), '') END AS alternatives, trim(json_extract_string(j, '$.uncertainty_reason')) AS uncertainty_reason, coalesce(r = 'true', c IS NULL OR c NOT IN {CATEGORIES} OR c = 'uncertain') AS requires_review FROM f""",
     "n3_ablation_listing": "SELECT event_id, 'full' AS condition, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events UNION ALL SELECT event_id, 'no_gate', event_id FROM events",
     "c1_pair_scenes": "SELECT d.doc_id AS stem, lang, label AS second, quality FROM documents d JOIN embeddings ON vec_id = d.doc_id LEFT JOIN labels l ON l.doc_id = d.doc_id",
     "c6_missing_targets": "SELECT doc_id AS target FROM documents d WHERE NOT EXISTS (FROM labels l WHERE l.doc_id = d.doc_id)",
@@ -328,7 +356,7 @@ SELECT event_id, j IS NOT NULL AS parsed, CASE WHEN c IN {CATEGORIES} THEN c ELS
     "c10_attach_findings": "SELECT d.doc_id AS region_id, CASE WHEN l.doc_id IS NULL THEN 'unverified' WHEN quality = 1 THEN 'new_construction' ELSE 'uncertain' END AS category, coalesce(toxic = 1, TRUE) AS review FROM documents d LEFT JOIN labels l USING (doc_id)",
     "c12_retained": "SELECT doc_id, lang FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)",
     "d27_reliability": f"{_SCENES}, w AS (SELECT *, {METRICS} FROM cm) SELECT model, scene_id, tp, fp, fn, tn, f1, accuracy, CASE WHEN tp + fp > 0 THEN round(tp / (tp + fp), 6) ELSE 1 END AS optimistic_precision, CASE WHEN tp + fn > 0 THEN round(tp / (tp + fn), 6) ELSE 1 END AS optimistic_recall, CASE WHEN tp + fp + fn > 0 THEN round(tp / (tp + fp + fn), 6) ELSE 1 END AS optimistic_iou, CASE WHEN tp + fn = 0 THEN 'no positives' WHEN tp = 0 THEN 'all missed' WHEN fn = 0 THEN 'all found' ELSE 'some found' END AS outcome FROM w",
-    "s2_union_scene_metrics": f"{_SCENES}, w AS (SELECT *, {METRICS} FROM cm) SELECT scene_id, precision, recall, f1, CASE WHEN model = 'a' THEN iou END AS iou, model FROM w",
+    "s2_union_scene_metrics": f"{_SCENES}, w AS (SELECT *, {METRICS} FROM cm) SELECT scene_id, model, precision, recall, f1, CASE WHEN model = 'a' THEN iou END AS iou, tp, fp, fn, tn FROM w",
     "s6_ordered_dedupe": f"WITH {SQL_CAPTIONS}, w AS (SELECT image_id, caption_idx, unnest(string_split(lower(text), ' ')) AS w, generate_subscripts(string_split(lower(text), ' '), 1) AS i FROM captions), u AS (SELECT image_id, caption_idx, w, min(i) AS i FROM w GROUP BY ALL) SELECT image_id || '_cap' || caption_idx AS query, string_agg(w, ' ' ORDER BY i) AS words FROM u GROUP BY image_id, caption_idx",
     "e4_top_lists": text_search.SQL["e3_search"].partition(" SELECT query, doc, round(score, 4)")[0] + " SELECT query, string_agg(doc, ',' ORDER BY rank) AS ids, string_agg(round(score, 4)::DECIMAL(18, 4)::VARCHAR, ',' ORDER BY rank) AS scores, round(max(score), 4) AS best FROM placed WHERE rank <= 5 GROUP BY query",
     "e8_stride_sample": f"WITH {SQL_CAPTIONS}, i AS (SELECT image_id, row_number() OVER (ORDER BY image_id) - 1 AS b, count(*) OVER () AS n FROM (SELECT DISTINCT image_id FROM captions)) SELECT image_id FROM i WHERE b % greatest(1, n // 20) = 0 AND b < 20 * greatest(1, n // 20)",
