@@ -335,6 +335,53 @@ def j4_ssim_channels(spark: SparkSession, d: str) -> DataFrame:
     return _one("j4", 5, lambda s: ssim_by_channel(s.t1, s.t2))(spark, d)
 
 
+def j18_gated_scores(spark: SparkSession, d: str) -> DataFrame:
+    """Scores gated by all signals at three strengths, with the margin and without; strength 0 leaves them as they are."""
+    names = {f"g{i}{u}": (gamma, bool(u)) for i, gamma in enumerate((0.0, 0.3, 0.6)) for u in (0, 1)}
+
+    def maps(s: T.Stack) -> dict[str, np.ndarray]:
+        found = signals(s)
+        q = defect(found, *WEIGHTS)
+        return {n: gated(found["p"], gamma, found["margin"] if use else 1.0, q) for n, (gamma, use) in names.items()}
+
+    found = T.means(_tiles(spark, d), 8, maps, list(names), SIZE)
+    rows = [F.struct(F.lit(gamma).alias("gamma"), F.lit(use).alias("with_margin"), F.round(F.col(f"{n}_sum") / F.col("n"), 6).alias("mean"), F.round(f"{n}_most", 6).alias("most")) for n, (gamma, use) in names.items()]
+    return found.select("scene_id", F.explode(F.array(*rows)).alias("r")).select("scene_id", "r.*")
+
+
+def vari_map(image: np.ndarray) -> np.ndarray:
+    """(g - r) / (g + r - b), 0 where the denominator is less than 1e-6 from 0, within [-1, 1]."""
+    r, g, b = (image[..., c] / 255 for c in range(3))
+    den = g + r - b
+    small = np.abs(den) < 1e-6
+    return np.where(small, 0, np.clip((g - r) / np.where(small, 1, den), -1, 1))
+
+
+# fixed values: deviation of an image without any variance, and means of one that is dark or bright
+FLAT, DARK, BRIGHT = 1e-4, 0.12, 0.88
+
+
+def j19_evidence(spark: SparkSession, d: str) -> DataFrame:
+    """Mean vegetation index of both images of a scene, 0 for one without variance, and what is to be said of their light; shadow dims the second ones of every third scene."""
+
+    def maps(s: T.Stack) -> dict[str, np.ndarray]:
+        second = np.where((s.scene % 3 == 0)[:, None, None, None], s.t2 // 16, s.t2)
+        out = {}
+        for i, image in ((1, s.t1), (2, second)):
+            level = image / 255
+            out |= {f"v{i}": vari_map(image), f"l{i}": level.mean(axis=3), f"q{i}": (level**2).mean(axis=3)}
+        return out
+
+    found = T.means(_tiles(spark, d), 0, maps, [f"{c}{i}" for i in (1, 2) for c in "vlq"], SIZE)
+    of = lambda c: F.col(f"{c}_sum") / F.col("n")
+    out = [F.col("scene_id")]
+    for i, side in ((1, "before"), (2, "after")):
+        deviation = F.sqrt(F.greatest(F.lit(0.0), of(f"q{i}") - of(f"l{i}") * of(f"l{i}")))
+        note = F.when(deviation < FLAT, "zero_variance").when(of(f"l{i}") < DARK, "dark").when(of(f"l{i}") > BRIGHT, "bright").otherwise("")
+        out += [F.round(F.when(deviation < FLAT, 0.0).otherwise(of(f"v{i}")), 6).alias(f"vari_{side}"), F.round(of(f"l{i}"), 6).alias(f"level_{side}"), note.alias(f"note_{side}")]
+    return found.select(*out)
+
+
 def d25_gate_diagnostics(spark: SparkSession, d: str) -> DataFrame:
     names = [*WEIGHTS, "margin"]
     found = T.means(_tiles(spark, d), 8, signals, names, SIZE)
@@ -405,7 +452,7 @@ MAPS = {
     "j17_defect_index": (8, lambda s: defect(signals(s), *WEIGHTS)),
 }
 FUNCTIONS = (
-    j4_ssim_channels, j8_blur, j9_shift, j10_shadow, d25_gate_diagnostics, d11_gate_grid, d28_gamma_sweep, d30_gating_ablation, d20_robustness,
+    j4_ssim_channels, j8_blur, j9_shift, j10_shadow, j18_gated_scores, j19_evidence, d25_gate_diagnostics, d11_gate_grid, d28_gamma_sweep, d30_gating_ablation, d20_robustness,
     l1_morphology, m3_estimate_shift, k2_patches, k3_reconstruct, k4_tiles_to_pixels, k5_pixels_to_tiles,
 )
 QUERIES = {name: _one(name, *of) for name, of in MAPS.items()} | {f.__name__: f for f in FUNCTIONS}

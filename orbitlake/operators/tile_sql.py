@@ -183,7 +183,23 @@ def _several(key: str, names: list[tuple[str, str]], value: str, kind: str) -> s
 
 
 SHADES = " UNION ALL ".join(f"SELECT scene_id, 'shadow_{place}_{v}' AS cond, {DIFF} AS e FROM (SELECT {FIRST}, {shadow(k, place == 'seeded')} FROM shade)" for k, v in SHARES.items() for place in ("fixed", "seeded"))
+def _index(i: int) -> str:
+    r, g, b = (f"{c}{i}::DOUBLE / 255" for c in "rgb")
+    return f"CASE WHEN abs({g} + {r} - {b}) < 1e-6 THEN 0 ELSE least(1, greatest(-1, ({g} - {r}) / ({g} + {r} - {b}))) END"
+
+
+def _level(i: int) -> str:
+    return f"(r{i} + g{i} + b{i}) / 765"
+
+
+def _said(i: int, side: str) -> str:
+    return f"round(CASE WHEN sd{i} < 1e-4 THEN 0 ELSE v{i} END, 6) AS vari_{side}, round(l{i}, 6) AS level_{side}, CASE WHEN sd{i} < 1e-4 THEN 'zero_variance' WHEN l{i} < 0.12 THEN 'dark' WHEN l{i} > 0.88 THEN 'bright' ELSE '' END AS note_{side}"
+
+
+_DIMMED = ", ".join(f"CASE WHEN scene_id % 3 = 0 THEN {c}2 // 16 ELSE {c}2 END AS {c}2" for c in "rgb")
 SQL = {
+    "j18_gated_scores": f"{SIGNALS}, k AS (SELECT gamma, u = 1 AS with_margin, u FROM (SELECT unnest([0.0::DOUBLE, 0.3, 0.6]) AS gamma), (SELECT unnest([0, 1]) AS u)) SELECT scene_id, gamma, with_margin, round(avg({gated('gamma', FULL, 'CASE WHEN u = 1 THEN margin ELSE 1 END')}), 6) AS mean, round(max({gated('gamma', FULL, 'CASE WHEN u = 1 THEN margin ELSE 1 END')}), 6) AS most FROM signals, k GROUP BY ALL",
+    "j19_evidence": f"{WITH}z AS (SELECT scene_id, r1, g1, b1, {_DIMMED} FROM pixels), e AS (SELECT scene_id, " + ", ".join(f"avg({_index(i)}) AS v{i}, avg({_level(i)}) AS l{i}, sqrt(greatest(0, avg((r{i} * r{i} + g{i} * g{i} + b{i} * b{i}) / 195075) - avg({_level(i)}) * avg({_level(i)}))) AS sd{i}" for i in (1, 2)) + f" FROM z GROUP BY scene_id) SELECT scene_id, {_said(1, 'before')}, {_said(2, 'after')} FROM e",
     "j4_ssim_dissimilarity": f"{WITH}{ssim('pixels', 'ss', '')} {means('ss', 'p')}",
     "j4_ssim_channels": f"{WITH}{', '.join(ssim('pixels', f's{c}', '', c) for c in 'rgb')} SELECT scene_id, round(avg((sr.p + sg.p + sb.p) / 3), 6) AS mean, round(max((sr.p + sg.p + sb.p) / 3), 6) AS most FROM sr JOIN sg USING (scene_id, y, x) JOIN sb USING (scene_id, y, x) GROUP BY scene_id",
     "j13_registration_discrepancy": f"{SIGNALS} {means('signals', 's_reg')}",
