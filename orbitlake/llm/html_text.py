@@ -4,7 +4,9 @@ Every element's subtree is hashed (tags and text). Spark counts on how many page
 host, and of a section of it (the first part of the path), each hash occurs; subtrees that recur across many pages are
 template and are deleted. Beyond that, elements whose tag, role or class says menu,
 header, footer, sidebar, notice, advert, form or comments go, and an article or main
-element, where there is one, is all that is read. Headings and paragraphs inside an article go
+element, where there is one that stays, is all that is read. A form, or an element that goes
+for its class only, stays if it holds most of the page (of its articles, where it has any), as a wrapper does; the
+form's fields go all the same. Headings and paragraphs inside an article go
 only if their class says advert or comments, or if it says any of the other things and they recur as well.
 """
 
@@ -22,9 +24,9 @@ from pyspark.sql import functions as F
 from orbitlake.llm.common import arrow_in_small_batches, cut, if_small, table
 
 # Names of elements, roles and class words.
-DROPPED = set("head title nav footer aside form script style noscript template iframe svg canvas math button select textarea input dialog menu object embed audio video map".split())
-RAW = "script|style|noscript|template|iframe|svg|textarea|title"
-INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img br".split())
+DROPPED = set("head title nav footer aside script style noscript template iframe svg canvas annotation annotation-xml button select textarea input dialog menu object embed audio video map".split())
+RAW = set("script style noscript template iframe svg textarea title".split())
+INLINE = set("a abbr acronym b bdi bdo big button cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img br math mi mn mo ms mtext mrow msup msub msubsup mfrac msqrt mroot munder mover munderover mtable mtr mtd semantics".split())
 VOID = set("area base br col embed hr img input link meta source track wbr".split())
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 CLOSES_P = set("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
@@ -38,76 +40,138 @@ PROSE = set("p h1 h2 h3 h4 h5 h6 blockquote pre".split())
 # Of these, what takes a heading or paragraph out of an article, and what doesn't take other elements out of it.
 ALWAYS = set("ad ads adv advert adverts advertisement advertising sponsor sponsored comment comments disqus".split())
 IN_ARTICLE = CLASS_WORDS - {"header", "masthead"}
-
-# Quantifiers give nothing back, and a quoted value has a longest length, so that no page takes more than about linear time.
-_VALUE = r"(?:[^>\"']++|\"[^\"]{0,65536}+\"|'[^']{0,65536}+')*+"
-TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<({RAW})\b{_VALUE}>.*?(?:</\1\s*+>|\Z)"
-    rf"|<(/?)([a-zA-Z][^\s/>]*+)({_VALUE})>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>|<[!?/][^>]*+(?:>|\Z)|[^<]++|<",
-    re.S | re.I,
-)
+# First parts of a class that deny what it says; last parts that say only what surrounds something.
+DENIED = set("no not non with without has hide".split())
+AROUND = set("area banner bar block blocks bottom box btn button buttons card cards container content feed form group head heading icons inner item items label left line link links list main note outer overlay panel post posts region right row section slot space strip text title top unit wrap wrapper zone".split())
+# Where a button amid text is part of a sentence.
+SENTENCES = set("p h1 h2 h3 h4 h5 h6 blockquote li dd td".split())
+
+NAME = re.compile(r"[a-zA-Z][^\s/>]*+")
+STOP = re.compile(r">|=\s*+([\"'])")
+RAW_ENDS = {tag: re.compile(rf"</{tag}(?=[\s/>])", re.I) for tag in RAW}
 ATTRIBUTE = re.compile(r"([^\s=\"'>/]++)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s\"'>]++)))?")
 SPACE = re.compile(r"\s+")
 
 #: A subtree is template if it is on PAGES pages of its host or section and on SHARE of them; outside articles MANY pages do.
 PAGES, SHARE, MANY = 5, 0.2, 50
+#: What a form, or an element that would go for its class, holds of the page's text if it is a wrapper.
+WRAPS = 0.75
 
 
 class Node:
-    __slots__ = ("hash", "inside", "parts", "suspect", "tag", "unwanted")
+    __slots__ = ("hash", "inside", "parts", "soft", "suspect", "tag", "unwanted")
 
-    def __init__(self, tag: str, unwanted: bool, inside: bool, suspect: bool = False):
-        self.tag, self.unwanted, self.inside, self.suspect, self.parts, self.hash = tag, unwanted, inside, suspect, [], 0
+    def __init__(self, tag: str, inside: bool, unwanted: bool = False, soft: bool = False, suspect: bool = False):
+        self.tag, self.inside, self.unwanted, self.soft, self.suspect, self.parts, self.hash = tag, inside, unwanted, soft, suspect, [], 0
 
     @property
     def kept_prose(self) -> bool:
         return self.inside and self.tag in PROSE and not self.suspect
 
 
-def _judge(tag: str, attributes: str, inside: bool) -> tuple[bool, bool]:
-    """(unwanted, suspect: unwanted if it recurs) by tag and attributes."""
+def _says(value: str, words: set[str], strict: bool) -> bool:
+    """Whether a name in ``value`` has one of ``words`` as a part; if ``strict``, only where its last part is one or stands for what surrounds."""
+    for name in value.split():
+        parts = [x for x in re.split(r"[_-]+", name) if x]
+        if parts and parts[0] not in DENIED and not words.isdisjoint(parts) and (not strict or parts[-1] in words or parts[-1] in AROUND or parts[-1].isdigit()):
+            return True
+    return False
+
+
+def _judge(tag: str, attributes: str, inside: bool) -> tuple[bool, bool, bool]:
+    """(unwanted, soft: stays as a wrapper, suspect: unwanted if it recurs) by tag and attributes."""
     if tag in DROPPED or tag == "header" and not inside:
-        return True, False
-    suspect = False
+        return True, False, False
+    soft, suspect = tag == "form", False
     if not attributes.strip(" /"):
-        return False, False
+        return soft, soft, False
     for m in ATTRIBUTE.finditer(attributes):
         name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
         if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and "display:none" in value.replace(" ", ""):
-            return True, False
+            return True, False, False
         if name == "role" and value.strip() in ROLES:
-            return True, False
+            if value.strip() not in ("form", "search"):
+                return True, False, False
+            soft = True
         if name in ("class", "id") and tag not in ("html", "body", "article", "main"):
-            said = set(re.split(r"[\s_-]+", value))
-            if not inside:
-                if CLASS_WORDS & said:
-                    return True, False
-            elif tag not in PROSE:
-                if IN_ARTICLE & said:
-                    return True, False
-            elif ALWAYS & set(value.split()):
-                return True, False
-            else:
-                suspect |= bool(IN_ARTICLE & said)
-    return False, suspect
+            if tag in PROSE and inside:
+                if ALWAYS & set(value.split()):
+                    return True, False, False
+                suspect |= _says(value, IN_ARTICLE, False)
+            elif _says(value, IN_ARTICLE if inside else CLASS_WORDS, inside):
+                if _says(value, ALWAYS, True):
+                    return True, False, False
+                soft = True
+    return soft, soft, suspect
+
+
+def _tag_end(source: str, at: int, dead: set[int]) -> int:
+    """Where the ``>`` is that ends a tag whose name ends at ``at``: outside quoted values, or the first one if a value has no end.
+
+    ``dead`` are quotes of the page from which no such ``>`` was found, so that none is followed twice.
+    """
+    followed, here = [], at
+    while m := STOP.search(source, here):
+        if m[1] is None:
+            return m.start()
+        quote = m.end() - 1
+        if quote in dead:
+            break
+        followed.append(quote)
+        here = source.find(m[1], quote + 1) + 1
+        if not here:
+            break
+    dead.update(followed)
+    return source.find(">", at)
+
+
+def _scan(source: str) -> Iterator[tuple[str, str, str]]:
+    """(kind, tag, attributes or text) of a page in one pass; kind is ``<`` for a tag, ``/`` for its end, empty for text."""
+    at, dead = 0, set()
+    while at < len(source):
+        begin = source.find("<", at)
+        if begin != at:
+            yield "", "", source[at : begin if begin > 0 else len(source)]
+            if begin < 0:
+                return
+        end = source[begin + 1 : begin + 2] == "/"
+        if source.startswith("<!--", begin):
+            close = source.find("-->", begin + 4)
+            at = close + 3 if close >= 0 else len(source)
+        elif m := NAME.match(source, begin + 1 + end):
+            close = _tag_end(source, m.end(), dead)
+            if close < 0:
+                yield "", "", "<"
+                at = begin + 1
+                continue
+            tag, attributes, at = m[0].lower(), source[m.end() : close], close + 1
+            if end or tag not in RAW:
+                yield "/" if end else "<", tag, attributes
+            elif not (tag == "svg" and attributes.endswith("/")):
+                m = RAW_ENDS[tag].search(source, at)
+                at = source.find(">", m.end()) + 1 if m else 0
+                at = at or len(source)
+        elif source[begin + 1 : begin + 2] in ("!", "?", "/"):
+            close = source.find(">", begin)
+            at = close + 1 if close >= 0 else len(source)
+        else:
+            yield "", "", "<"
+            at = begin + 1
 
 
 def parse(source: str) -> Node:
     """Tree of a page; what follows an element that is never closed belongs to it, and a tag that never ends is left out."""
-    root = Node("", False, False)
+    root = Node("", False)
     stack = [root]
     end = source.rfind(">") + 1
     begun = re.search(r"<[a-zA-Z/!?]", source[end:])
     source = source[: end + begun.start()] if begun else source
 
-    for m in TOKEN.finditer(source):
-        tag = m[3] or m[6]
-        if tag is None:
-            if m[1] is None and not m[0].startswith("<") or m[0] == "<":
-                stack[-1].parts.append(html.unescape(m[0]))
+    for kind, tag, rest in _scan(source):
+        if not kind:
+            stack[-1].parts.append(html.unescape(rest))
             continue
-        tag = tag.lower()
-        if m[2] or m[5]:
+        if kind == "/":
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i].tag == tag:
                     del stack[i:]
@@ -124,14 +188,43 @@ def parse(source: str) -> Node:
                 if stack[i].tag not in INLINE and stack[i].tag != "p":
                     break
         inside = stack[-1].inside or tag in ("article", "main")
-        unwanted, suspect = _judge(tag, m[4] or m[7] or "", inside)
-        node = Node(tag, unwanted, inside, suspect)
+        node = Node(tag, inside, *_judge(tag, rest, inside))
         stack[-1].parts.append(node)
         if tag not in VOID:
             stack.append(node)
+    _settle(root)
     return root
 
 
+def _settle(root: Node) -> None:
+    """Keeps soft elements that hold most of the page, and buttons that are part of a sentence."""
+    soft, size, gone, articles = [], [0, 0], 0, 0  # characters of all text, and of that inside articles
+    begun: list[list[int]] = []
+    for node, left in _walk(root):
+        hard = node.unwanted and not node.soft
+        if left:
+            gone -= hard
+            if node.soft:
+                soft.append((node, [x - y for x, y in zip(size, begun.pop(), strict=True)]))
+            continue
+        gone += hard
+        if node.tag in SENTENCES and any(isinstance(x, str) and not x.isspace() for x in node.parts):
+            for x in node.parts:
+                if isinstance(x, Node) and x.tag == "button":
+                    x.unwanted = False
+        if node.soft:
+            begun.append(list(size))
+        if not gone:
+            articles += node.tag in ("article", "main")
+            n = sum(len(SPACE.sub("", x)) for x in node.parts if isinstance(x, str))
+            size[0] += n
+            size[1] += n * node.inside
+    by = 1 if articles and size[1] else 0
+    for node, held in soft:
+        if held[by] and held[by] >= WRAPS * size[by] and not (by and node.inside):
+            node.unwanted = False
+
+
 def _walk(root: Node) -> Iterator[tuple[Node, bool]]:
     """(node, left) before and after its parts."""
     stack = [(root, False)]
@@ -143,6 +236,16 @@ def _walk(root: Node) -> Iterator[tuple[Node, bool]]:
             stack += [(x, False) for x in reversed(node.parts) if isinstance(x, Node)]
 
 
+def _kept(root: Node) -> Iterator[Node]:
+    """The nodes that neither are unwanted nor stand in such a one."""
+    stack = [root]
+    while stack:
+        node = stack.pop()
+        if not node.unwanted:
+            yield node
+            stack += [x for x in node.parts if isinstance(x, Node)]
+
+
 def set_hashes(root: Node) -> None:
     for node, left in _walk(root):
         if left:
@@ -169,7 +272,7 @@ def candidates(root: Node) -> dict[int, bool]:
 
 def text_of(root: Node, template: set[int] = frozenset()) -> str:
     """The blocks that remain, in page order, joined by blank lines."""
-    articles = any(n.tag in ("article", "main") and not n.unwanted for n, _ in _walk(root))
+    articles = any(n.tag in ("article", "main") for n in _kept(root))
     blocks, line = [], []
 
     def flush() -> None:
