@@ -83,7 +83,7 @@ def _judge(tag: str, attributes: str, inside: bool) -> tuple[bool, bool, bool]:
     if tag in DROPPED or tag == "header" and not inside:
         return True, False, False
     soft, suspect = tag == "form", False
-    if not attributes.strip(" /"):
+    if not attributes or not attributes.strip(" /"):
         return soft, soft, False
     for m in ATTRIBUTE.finditer(attributes):
         name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
@@ -134,12 +134,12 @@ def _scan(source: str) -> Iterator[tuple[str, str, str]]:
             yield "", "", source[at : begin if begin > 0 else len(source)]
             if begin < 0:
                 return
-        end = source[begin + 1 : begin + 2] == "/"
+        end = source.startswith("/", begin + 1)
         if source.startswith("<!--", begin):
             close = source.find("-->", begin + 4)
             at = close + 3 if close >= 0 else len(source)
         elif m := NAME.match(source, begin + 1 + end):
-            close = _tag_end(source, m.end(), dead)
+            close = m.end() if source.startswith(">", m.end()) else _tag_end(source, m.end(), dead)
             if close < 0:
                 yield "", "", "<"
                 at = begin + 1
@@ -161,7 +161,7 @@ def _scan(source: str) -> Iterator[tuple[str, str, str]]:
 
 def parse(source: str) -> Node:
     """Tree of a page; what follows an element that is never closed belongs to it, and a tag that never ends is left out."""
-    root = Node("", False)
+    root, unsettled = Node("", False), False
     stack = [root]
     end = source.rfind(">") + 1
     begun = re.search(r"<[a-zA-Z/!?]", source[end:])
@@ -169,7 +169,7 @@ def parse(source: str) -> Node:
 
     for kind, tag, rest in _scan(source):
         if not kind:
-            stack[-1].parts.append(html.unescape(rest))
+            stack[-1].parts.append(html.unescape(rest) if "&" in rest else rest)
             continue
         if kind == "/":
             for i in range(len(stack) - 1, 0, -1):
@@ -189,10 +189,12 @@ def parse(source: str) -> Node:
                     break
         inside = stack[-1].inside or tag in ("article", "main")
         node = Node(tag, inside, *_judge(tag, rest, inside))
+        unsettled = unsettled or node.soft or tag == "button"
         stack[-1].parts.append(node)
         if tag not in VOID:
             stack.append(node)
-    _settle(root)
+    if unsettled:
+        _settle(root)
     return root
 
 
@@ -216,7 +218,7 @@ def _settle(root: Node) -> None:
             begun.append(list(size))
         if not gone:
             articles += node.tag in ("article", "main")
-            n = sum(len(SPACE.sub("", x)) for x in node.parts if isinstance(x, str))
+            n = sum(len(x) - x.count(" ") for x in node.parts if isinstance(x, str) and not x.isspace())
             size[0] += n
             size[1] += n * node.inside
     by = 1 if articles and size[1] else 0
