@@ -6,8 +6,11 @@ words. Each decision is predicted from the code's own shares and from two hashed
 the token before and the two tokens before. Predictions are combined in the logistic domain (Mahoney, "Adaptive
 weighing of context models", 2005) with weights that a gate picks by depth in the code and
 by how often the longer context has been seen; a table of outcomes by gate and prediction
-then refines the result. A word outside the head is spelled: its length, then its bytes, each
-from counts of what follows the two bytes before it.
+then refines the result. A word outside the head is either met among the training texts' other words, at its
+share of them by an exact count that Spark joins on, or spelled; its probability is the sum of both. Spelling
+mixes in the same way: the eight bits of each byte, and of the word's end, are predicted from hashed contexts of none to
+five bytes before, with weights gated by how many of these contexts were seen. It is learnt from
+the distinct rare words of a block.
 
 On top of the tokens stands a memory that grows with the corpus: texts are cut into passages
 where the hash of the last GRAM tokens says so, and passages are counted over all training texts.
@@ -20,7 +23,7 @@ by 64-bit hash. Decisions are learnt online: training texts are dealt into block
 of their text; a block goes through its texts in the order of that hash, predicts each batch from the counts so far,
 moves its weights, then counts. Blocks' counts add up, and their weights are averaged as
 sums of integers, so that scores do not depend on how the table is partitioned. The tables
-that reach the driver (code book, CONTEXTS * 2**SLOT_BITS slots, spelling) have a fixed size.
+that reach the driver (code book, slots of the contexts of tokens and bytes) have a fixed size.
 """
 
 from __future__ import annotations
@@ -33,8 +36,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 import zstandard
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -48,36 +51,26 @@ END_HASH, REST, END = np.uint64(0xE7037ED1A0B428DB), 0, 1
 DEPTHS, SEEN, STEPS = 24, 4, 33
 CONTEXTS = 2
 INPUTS = CONTEXTS + 2
-GATES = DEPTHS * SEEN
+#: Contexts of a byte are the 0 to ORDERS - 1 bytes before it in its word.
+ORDERS, LETTER_DEPTHS = 6, 8
 PRIOR, RATE = 0.4, 0.02
 #: Decisions are worked through so many tokens at a time, which keeps arrays in the cache.
 BATCH = 8192
 #: A passage ends where the hash of GRAM tokens is 0 modulo PASSAGE; one in HOT passages is frequent.
 GRAM, PASSAGE, HOT = 4, 16, 1000
-#: Bytes fall in CLASSES kinds, 0 for those outside words; lengths count up to LONG.
-CLASSES, LONG = 64, 64
-
-
-def _byte_classes() -> tuple[np.ndarray, np.ndarray]:
-    """(class of each byte, bits that tell it from others of its class): letters, digits and common marks stand alone."""
-    alone = b"abcdefghijklmnopqrstuvwxyz0123456789'-.,()\"@_/:;"
-    kind = np.zeros(256, np.int32)
-    rest = [b for b in range(256) if WORD_BYTES[b] and b not in alone and not 0x41 <= b <= 0x5A]
-    for i, b in enumerate(alone):
-        kind[b] = i + 1
-        kind[b - 32 if 0x61 <= b <= 0x7A else b] = i + 1
-    left = CLASSES - 1 - len(alone)
-    for i, b in enumerate(rest):  # the others in byte order, in groups of equal size
-        kind[b] = len(alone) + 1 + i * left // len(rest)
-    size = np.bincount(kind[rest], minlength=CLASSES)
-    return kind, np.where(np.isin(np.arange(256), rest), np.log2(np.maximum(1, size[kind])), 0.0)
+#: The byte that tells a word's end, which no word holds.
+SPACE = 0x20
+#: Spelling moves its weights after about so many bytes.
+LETTER_BATCH, LETTER_RATE = 4096, 0.1
 
 
 class Reader:
     """Tokens of a batch of texts: hashes in lower case (A-Z), an end after each text, and what spelling needs."""
 
     def __init__(self) -> None:
-        self.read, (self.kind, self.apart) = WordHashes(lower=True), _byte_classes()
+        self.read = WordHashes(lower=True)
+        self.lower = np.arange(256, dtype=np.uint8)
+        self.lower[ord("A") : ord("Z") + 1] += 32
 
     def tokens(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(hashes, where each text's tokens begin among them, which tokens are words)"""
@@ -89,22 +82,27 @@ class Reader:
         flat[word] = h
         return flat, at + docs, word
 
-    def letters(self, texts: pa.Array, most: int = 1 << 15) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-        """For a few texts at a time: the cell (two classes before, class) of each byte, its extra bits, starts and lengths of the words."""
+    def letters(self, texts: pa.Array, which: np.ndarray, most: int = 1 << 15) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """For a few texts at a time, of the words that ``which`` marks: their bytes, each word with its end; where they begin."""
         offsets, data = text_bytes(texts)
+        done = 0
         for a, b in _spans_of(offsets, most):
             part, breaks = data[offsets[a] : offsets[b]], offsets[a:b] - offsets[a]
-            breaks = breaks[breaks < len(part)]
-            c0 = self.kind[part]
-            c1 = np.append(np.int32(0), c0[:-1])
-            c1[breaks] = 0
-            c2 = np.append(np.int32(0), c1[:-1])
-            c2[breaks] = 0
-            c2[c1 == 0] = 0
-            begin, first = (c0 > 0) & (c1 == 0), c0 > 0
-            first[:-1] &= (c0[1:] == 0) | (c1[1:] == 0)
-            starts, ends = np.flatnonzero(begin), np.flatnonzero(first)
-            yield (c2 * CLASSES + c1) * CLASSES + c0, self.apart[part], starts, ends + 1 - starts
+            edge = np.zeros(len(part) + 1, bool)
+            edge[breaks] = edge[-1] = True
+            inside = np.concatenate(([False], WORD_BYTES[part], [False]))
+            starts = np.flatnonzero(inside[1:-1] & (~inside[:-2] | edge[:-1]))
+            ends = np.flatnonzero(inside[1:-1] & (~inside[2:] | edge[1:])) + 1
+            here = which[done : done + len(starts)]
+            done += len(starts)
+            starts, size = starts[here], (ends - starts)[here] + 1
+            first = np.cumsum(size) - size
+            at = np.repeat(starts - first, size) + np.arange(size.sum())
+            last = first + size - 1
+            at[last] = 0
+            spelled = self.lower[part[at]] if len(at) else np.zeros(0, np.uint8)
+            spelled[last] = SPACE
+            yield spelled, first
 
 
 def _spans_of(offsets: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
@@ -244,6 +242,50 @@ class Decisions:
             yield d, n, bit, node, slots
 
 
+class Letters:
+    """The decisions of spelled words: eight for each byte and for the end of a word, most significant bit first."""
+
+    def __init__(self, c: np.ndarray, first: np.ndarray):
+        """``c`` are the bytes of words end to end, which begin at ``first``."""
+        self.c = c.astype(np.uint32)
+        place = np.arange(len(c)) - np.repeat(first, np.diff(np.append(first, len(c))))
+        key = np.zeros(len(c), np.uint32)
+        self.keys = [key]
+        for back in range(1, ORDERS):
+            before = np.zeros(len(c), np.uint32)
+            before[back:] = self.c[: len(c) - back] + np.uint32(1)
+            before[place < back] = 0
+            key = (key + before + np.uint32(back)) * np.uint32(0x9E3779B1)
+            key = key ^ (key >> np.uint32(15))
+            self.keys.append(key)
+        self.order = np.arange(len(c))
+
+    def __iter__(self) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, list[np.ndarray]]]:
+        """(depth, bytes, bit, node, slots of the contexts)"""
+        for d in range(LETTER_DEPTHS):
+            node = (self.c >> np.uint32(LETTER_DEPTHS - d)) + np.uint32(1 << d)
+            bit = (self.c >> np.uint32(LETTER_DEPTHS - 1 - d)) & np.uint32(1)
+            slots = []
+            for key in self.keys:
+                x = (key ^ node * np.uint32(0x2545F491)) * np.uint32(0xD3A2646D)
+                x ^= x >> np.uint32(15)
+                slots.append(((x * np.uint32(0x846CA68B)) >> np.uint32(32 - SLOT_BITS)).astype(np.int64))
+            yield d, len(self.c), bit, None, slots
+
+
+def _token_gate(seen: list[np.ndarray]) -> np.ndarray:
+    """The gate of a token's decision, by how often its longest context was seen (in steps)."""
+    return seen[-1].astype(np.int64)
+
+
+def _letter_gate(seen: list[np.ndarray]) -> np.ndarray:
+    """The gate of a byte's decision: how many of the longer contexts were seen, and whether the longest such one often."""
+    return sum((x > 0).astype(np.int64) + (x > 1) for x in seen[1:])
+
+
+LETTER_GATES = 2 * ORDERS - 1
+
+
 def _stretched(pairs: np.ndarray) -> np.ndarray:
     x = np.log(pairs.astype(np.float32) + np.float32(PRIOR))
     return x[:, 1] - x[:, 0]
@@ -257,7 +299,7 @@ def _seen(n: np.ndarray) -> np.ndarray:
 def _mixed(w: np.ndarray, gate: np.ndarray, x: list[np.ndarray]) -> np.ndarray:
     """Weighted sum of predictions, with the weights of the gate; the last weight stands alone."""
     w = np.ascontiguousarray(w.T)
-    y = w[INPUTS - 1][gate]
+    y = w[-1][gate]
     for i, v in enumerate(x):
         y += w[i][gate] * v
     return np.clip(y, -12, 12)
@@ -271,6 +313,10 @@ def _first_weights() -> np.ndarray:
     return np.tile(np.array([0.6, 0.2, 0.2, 0.0], np.float32), (DEPTHS, SEEN, 1))
 
 
+def _first_letter_weights() -> np.ndarray:
+    return np.tile(np.array([0.05, 0.1, 0.2, 0.3, 0.3, 0.3, 0.0], np.float32), (LETTER_DEPTHS, LETTER_GATES, 1))
+
+
 def _load(packed: bytes):
     return pickle.loads(zstandard.ZstdDecompressor().decompress(packed))
 
@@ -310,28 +356,29 @@ KIND = "kind int, piece int, data binary"
 
 
 def _encode(book, blocks: int):
-    """Rows (block, h, packed): class numbers of a text; and, with a block below 0, counts for spelling."""
+    """Rows (block, h, packed, spelled): class numbers of a text, and the bytes of its distinct rare words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code, reader = _load(book.value), Reader()
-        cells, sizes = np.zeros(CLASSES**3, np.int64), np.zeros(LONG, np.int64)
         for batch in batches:
             h, at, word = reader.tokens(batch.column(0))
             c = classes(code, h, word)
-            rare, done = (c == REST)[word], 0
-            for cell, _, starts, lengths in reader.letters(batch.column(0)):
-                here = rare[done : done + len(starts)]
-                done += len(starts)
-                edges = np.zeros(len(cell) + 1, np.int8)
-                edges[starts[here]] = 1
-                edges[(starts + lengths)[here]] -= 1
-                cells += np.bincount(cell[np.cumsum(edges[:-1]) > 0], minlength=CLASSES**3)
-                sizes += np.bincount(np.minimum(lengths[here], LONG) - 1, minlength=LONG)
+            rare = (c == REST) & word
+            of = np.repeat(np.arange(len(at) - 1), np.diff(at))[rare]
+            order = np.lexsort((h[rare], of))
+            new = np.ones(len(order), bool)
+            new[1:] = (h[rare][order][1:] != h[rare][order][:-1]) | (of[order][1:] != of[order][:-1])
+            first = np.zeros(len(order), bool)
+            first[order[new]] = True  # lexsort is stable, so that it is a word's first place in its text
+            rare[rare] = first
+            letters = [x[0] for x in reader.letters(batch.column(0), rare[word])]
+            letters = np.concatenate([np.zeros(0, np.uint8), *letters])
+            ends = np.append(0, np.flatnonzero(letters == SPACE) + 1)
+            of_text = ends[np.searchsorted(of[first], np.arange(len(at)))]
             th = batch.column(1).to_numpy()
             packed = [_squeeze(c[a:b]) for a, b in zip(at[:-1], at[1:])]
-            yield pa.RecordBatch.from_arrays([pa.array(th % blocks, pa.int64()), pa.array(th, pa.int64()), pa.array(packed, pa.binary())], names=["block", "h", "packed"])
-        at = -1 - TaskContext.get().partitionId() % 64
-        yield pa.RecordBatch.from_arrays([pa.array([at], pa.int64()), pa.array([0], pa.int64()), pa.array([_squeeze(np.concatenate([cells, sizes]))], pa.binary())], names=["block", "h", "packed"])
+            spelled = [_squeeze(letters[a:b]) for a, b in zip(of_text[:-1], of_text[1:])]
+            yield pa.RecordBatch.from_arrays([pa.array(th % blocks, pa.int64()), pa.array(th, pa.int64()), pa.array(packed, pa.binary()), pa.array(spelled, pa.binary())], names=["block", "h", "packed", "spelled"])
 
     return run
 
@@ -342,56 +389,105 @@ def _learn_block(book):
         return pa.RecordBatch.from_arrays([pa.array(kind, pa.int32()), pa.array(piece, pa.int32()), pa.array([_squeeze(x.astype(np.int64)) for x in data], pa.binary())], names=["kind", "piece", "data"])
 
     def run(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if key[0].as_py() < 0:
-            yield rows([(CONTEXTS + 1, 0, sum(_expand(x, np.int64) for batch in batches for x in batch.column(2)))])
-            return
         code = _load(book.value)
-        hs, texts = [], []
+        hs, texts, spelled = [], [], []
         for batch in batches:
             hs += batch.column(1).to_pylist()
             texts += [x.as_py() for x in batch.column(2)]
+            spelled += [x.as_py() for x in batch.column(3)]
         order = np.argsort(np.array(hs), kind="stable")
-        counts = [np.zeros(2 * SLOTS, np.int32) for _ in range(CONTEXTS)]
-        w, n, cells = _first_weights(), np.zeros((DEPTHS, SEEN), np.int64), np.zeros((2, DEPTHS, SEEN * STEPS), np.int64)
-        unpack, held, size = zstandard.ZstdDecompressor(), [], 0
+        tokens, letters = Learner(CONTEXTS, _first_weights(), RATE, _token_gate, code["none"]), Learner(ORDERS, _first_letter_weights(), LETTER_RATE, _letter_gate)
+        unpack, held, size, met, new, waiting = zstandard.ZstdDecompressor(), [], 0, set(), [], 0
         for i, k in enumerate(order.tolist()):
             held.append(np.frombuffer(unpack.decompress(texts[k]), np.uint16))
             size += len(held[-1])
+            for x in unpack.decompress(spelled[k]).split(b" ")[:-1]:
+                if x not in met:
+                    met.add(x)
+                    new.append(x)
+                    waiting += len(x) + 1
             if size >= BATCH or i + 1 == len(order):
-                _learn_batch(code, held, counts, w, n, cells)
+                tokens.learn(Decisions(code, np.concatenate(held), np.concatenate([np.arange(len(x)) for x in held])))
                 held, size = [], 0
-        for kind, x in enumerate(counts):
+            if waiting >= LETTER_BATCH or new and i + 1 == len(order):
+                for part in _lots(new, LETTER_BATCH):
+                    sizes = np.array([len(x) + 1 for x in part])
+                    letters.learn(Letters(np.frombuffer(b" ".join([*part, b""]), np.uint8), np.cumsum(sizes) - sizes))
+                new, waiting = [], 0
+        for kind, x in enumerate([*tokens.counts, *letters.counts]):
             yield rows([(kind, p, x[2 * p * PIECE : 2 * (p + 1) * PIECE]) for p in range(SLOTS // PIECE)])
-        yield rows([(CONTEXTS, 0, np.concatenate([np.rint(w.astype(np.float64) * n[:, :, None] * 1024).astype(np.int64).ravel(), n.ravel(), cells.ravel()]))])
+        yield rows([(CONTEXTS + ORDERS, 0, tokens.sums()), (CONTEXTS + ORDERS + 1, 0, letters.sums())])
 
     return run
 
 
-def _learn_batch(book: dict, texts: list[np.ndarray], counts: list[np.ndarray], w: np.ndarray, n: np.ndarray, cells: np.ndarray) -> None:
-    """One online step: predict the decisions of ``texts`` from the counts so far, move the weights, then count."""
-    c, place = np.concatenate(texts), np.concatenate([np.arange(len(x)) for x in texts])
-    pairs = [x.view(np.int64) for x in counts]  # both counts of a slot in one look
-    seen: list[list[np.ndarray]] = [[] for _ in counts]
-    for d, _, bit, node, slots in Decisions(book, c, place):
-        met = [x[s].view(np.int32).reshape(-1, 2) for x, s in zip(pairs, slots, strict=True)]
-        at = min(d, DEPTHS - 1)
-        gate = _seen(met[-1][:, 0] + met[-1][:, 1])
-        x = [book["none"][node], *map(_stretched, met)]
-        y = _mixed(w[at], gate, x)
-        both = np.bincount(_cells(gate, y) * 2 + bit, minlength=2 * SEEN * STEPS)
-        cells[:, at] += both.reshape(-1, 2).T
-        error = bit - 1 / (1 + np.exp(-y))
-        size = np.bincount(gate, minlength=SEEN)
-        n[at] += size
-        rate = RATE * 10 / np.maximum(size, 64)
-        for i, v in enumerate([*x, None]):
-            w[at, :, i] += (rate * np.bincount(gate, error if v is None else error * v, SEEN)).astype(np.float32)
-        for store, s in zip(seen, slots, strict=True):
-            store.append(s * 2 + bit)
-    for x, s in zip(counts, seen, strict=True):
-        if s:
-            s = np.concatenate(s)
-            np.add.at(x, s, np.ones(len(s), np.int32))
+def _lots(words: list[bytes], most: int) -> Iterator[list[bytes]]:
+    """``words`` in lots of about ``most`` bytes."""
+    part, size = [], 0
+    for x in words:
+        part.append(x)
+        size += len(x) + 1
+        if size >= most:
+            yield part
+            part, size = [], 0
+    if part:
+        yield part
+
+
+class Learner:
+    """Counts, weights and refinement of one mix."""
+
+    def __init__(self, contexts: int, w: np.ndarray, rate: float, gate, none: np.ndarray | None = None):
+        self.counts = [np.zeros(2 * SLOTS, np.int32) for _ in range(contexts)]
+        self.w, self.rate, self.gate, self.none = w, rate, gate, none
+        self.n, self.cells = np.zeros(w.shape[:2], np.int64), np.zeros((2, w.shape[0], w.shape[1] * STEPS), np.int64)
+
+    def learn(self, decisions: Decisions | Letters) -> None:
+        """One online step: predict ``decisions`` from the counts so far, move the weights, then count."""
+        pairs = [x.view(np.int64) for x in self.counts]  # both counts of a slot in one look
+        seen: list[list[np.ndarray]] = [[] for _ in self.counts]
+        depths, gates, _ = self.w.shape
+        for d, _, bit, node, slots in decisions:
+            met = [x[s].view(np.int32).reshape(-1, 2) for x, s in zip(pairs, slots, strict=True)]
+            at = min(d, depths - 1)
+            gate = self.gate([_seen(x[:, 0] + x[:, 1]) for x in met])
+            x = [*([] if self.none is None else [self.none[node]]), *map(_stretched, met)]
+            y = _mixed(self.w[at], gate, x)
+            both = np.bincount(_cells(gate, y) * 2 + bit, minlength=2 * gates * STEPS)
+            self.cells[:, at] += both.reshape(-1, 2).T
+            error = bit - 1 / (1 + np.exp(-y))
+            size = np.bincount(gate, minlength=gates)
+            self.n[at] += size
+            rate = self.rate * 10 / np.maximum(size, 64)
+            for i, v in enumerate([*x, None]):
+                self.w[at, :, i] += (rate * np.bincount(gate, error if v is None else error * v, gates)).astype(np.float32)
+            for store, s in zip(seen, slots, strict=True):
+                store.append(s * 2 + bit)
+        for x, s in zip(self.counts, seen, strict=True):
+            if s:
+                s = np.concatenate(s)
+                np.add.at(x, s, np.ones(len(s), np.int32))
+
+    def sums(self) -> np.ndarray:
+        """Weights times decisions, decisions, and outcomes by gate and prediction."""
+        return np.concatenate([np.rint(self.w.astype(np.float64) * self.n[:, :, None] * 1024).astype(np.int64).ravel(), self.n.ravel(), self.cells.ravel()])
+
+
+def _mixer(sums: dict, first_kind: int, contexts: int, at: int, first: np.ndarray, step: bool) -> dict:
+    """What blocks' ``sums`` give for scoring: predictions and how often slots were seen, weights, refinement."""
+    pairs = [np.concatenate([sums.get((k, p), np.zeros(2 * PIECE, np.int64)) for p in range(SLOTS // PIECE)]).reshape(-1, 2) for k in range(first_kind, first_kind + contexts)]
+    depths, gates, inputs = first.shape
+    flat = sums.get((at, 0), np.zeros(depths * gates * (inputs + 1 + 2 * STEPS), np.int64))
+    w, n, cells = np.split(flat, [depths * gates * inputs, depths * gates * (inputs + 1)])
+    n = n.reshape(depths, gates, 1)
+    cells = cells.reshape(2, depths, gates * STEPS)
+    level = 1 / (1 + np.exp(-np.tile(np.linspace(-12, 12, STEPS), gates)))
+    return {
+        "stretch": [_stretched(x) for x in pairs],
+        "seen": [_seen(x.sum(1)).astype(np.uint8) for x in (pairs if step else pairs[-1:])],
+        "weights": np.where(n > 0, w.reshape(first.shape) / 1024 / np.maximum(n, 1), first).astype(np.float32),
+        "refine": ((cells[1] + 20 * level) / (cells.sum(0) + 20)).astype(np.float32),
+    }
 
 
 def _add(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -427,62 +523,38 @@ def learn(texts: DataFrame) -> dict:
     sent = spark.sparkContext.broadcast(_dump(book))
     blocks = max(1, -(-total // BLOCK_TOKENS))
     th = F.xxhash64(F.coalesce("text", F.lit("")))
-    coded = texts.select("text", th.alias("h")).mapInArrow(_encode(sent, blocks), "block long, h long, packed binary")
+    coded = texts.select("text", th.alias("h")).mapInArrow(_encode(sent, blocks), "block long, h long, packed binary, spelled binary")
     parts = coded.groupBy("block").applyInArrow(_learn_block(sent), KIND).groupBy("kind", "piece").applyInArrow(_add, KIND)
-    sums = {(r["kind"], r["piece"]): np.frombuffer(zstandard.ZstdDecompressor().decompress(bytes(r["data"])), np.int64) for r in parts.collect()}  # CONTEXTS * 256 pieces and two more, whatever the corpus
-    pairs = [np.concatenate([sums.get((k, p), np.zeros(2 * PIECE, np.int64)) for p in range(SLOTS // PIECE)]).reshape(-1, 2) for k in range(CONTEXTS)]
-    flat = sums.get((CONTEXTS, 0), np.zeros(DEPTHS * SEEN * (INPUTS + 1 + 2 * STEPS), np.int64))
-    w, n, cells = np.split(flat, [GATES * INPUTS, GATES * (INPUTS + 1)])
-    n = n.reshape(DEPTHS, SEEN, 1)
-    weights = np.where(n > 0, w.reshape(DEPTHS, SEEN, INPUTS) / 1024 / np.maximum(n, 1), _first_weights()).astype(np.float32)
-    cells = cells.reshape(2, DEPTHS, SEEN * STEPS)
-    level = 1 / (1 + np.exp(-np.tile(np.linspace(-12, 12, STEPS), SEEN)))
-    spelled = sums.get((CONTEXTS + 1, 0), np.zeros(CLASSES**3 + LONG, np.int64))
+    sums = {(r["kind"], r["piece"]): np.frombuffer(zstandard.ZstdDecompressor().decompress(bytes(r["data"])), np.int64) for r in parts.collect()}  # (CONTEXTS + ORDERS) * 256 pieces and two more, whatever the corpus
     return {
         "book": book,
         "tokens": total,
-        "stretch": [_stretched(x) for x in pairs],
-        "seen": _seen(pairs[-1].sum(1)).astype(np.uint8),
-        "weights": weights,
-        "refine": ((cells[1] + 20 * level) / (cells.sum(0) + 20)).astype(np.float32),
-        "letters": _letter_bits(spelled[: CLASSES**3].reshape(CLASSES, CLASSES, CLASSES)),
-        "lengths": -np.log2((spelled[CLASSES**3 :] + 0.5) / (spelled[CLASSES**3 :].sum() + 0.5 * LONG)),
+        "mix": _mixer(sums, 0, CONTEXTS, CONTEXTS + ORDERS, _first_weights(), False),
+        "letters": _mixer(sums, CONTEXTS, ORDERS, CONTEXTS + ORDERS + 1, _first_letter_weights(), True),
     }
 
 
-def _letter_bits(n: np.ndarray) -> np.ndarray:
-    """Bits of each class of byte after any two: order two falls back on order one, that on none."""
-    p = (n.sum((0, 1)) + 0.5) / (n.sum() + 0.5 * CLASSES)
-    one = (n.sum(0) + 4 * p) / (n.sum((0, 2)) + 4)[:, None]
-    return -np.log2((n + 8 * one[None]) / (n.sum(2) + 8)[:, :, None]).astype(np.float64).ravel()
-
-
-def _token_bits(m: dict, c: np.ndarray, place: np.ndarray) -> np.ndarray:
-    """Bits of each token's decisions."""
-    all_ = Decisions(m["book"], c, place)
-    bits = np.zeros(len(c))
-    for d, n, bit, node, slots in all_:
-        at = min(d, DEPTHS - 1)
-        gate = m["seen"][slots[-1]].astype(np.int64)
-        y = _mixed(m["weights"][at], gate, [m["book"]["none"][node], *[x[s] for x, s in zip(m["stretch"], slots, strict=True)]])
-        one = (1 / (1 + np.exp(-y)) + m["refine"][at][_cells(gate, y)]) * np.float32(0.5)
+def _bits(mix: dict, decisions: Decisions | Letters, gate_of, none: np.ndarray | None = None) -> np.ndarray:
+    """Bits of each token's, or byte's, decisions."""
+    bits = np.zeros(len(decisions.order))
+    for d, n, bit, node, slots in decisions:
+        at = min(d, len(mix["weights"]) - 1)
+        gate = gate_of([x[s] for x, s in zip(mix["seen"], slots[-len(mix["seen"]) :], strict=True)])
+        y = _mixed(mix["weights"][at], gate, [*([] if none is None else [none[node]]), *[x[s] for x, s in zip(mix["stretch"], slots, strict=True)]])
+        one = (1 / (1 + np.exp(-y)) + mix["refine"][at][_cells(gate, y)]) * np.float32(0.5)
         bit = bit.astype(np.float32)
         bits[:n] -= np.log2((1 - bit) + (2 * bit - 1) * one)
     out = np.empty_like(bits)
-    out[all_.order] = bits
+    out[decisions.order] = bits
     return out
 
 
-def _spelling_bits(m: dict, reader: Reader, texts: pa.Array) -> np.ndarray:
-    """Bits of each word, spelled."""
+def _spelling_bits(m: dict, reader: Reader, texts: pa.Array, which: np.ndarray) -> np.ndarray:
+    """Bits of each word that ``which`` marks, spelled."""
     out = [np.zeros(0)]
-    for cell, apart, starts, lengths in reader.letters(texts):
-        cost = m["letters"][cell] + apart
-        if len(starts):
-            cost[cell % CLASSES == 0] = 0.0
-            each = np.add.reduceat(cost, starts)
-            over = lengths >= LONG
-            out.append(each + m["lengths"][np.minimum(lengths, LONG) - 1] + np.where(over, 2 * np.log2(np.maximum(1, lengths - LONG + 1)) + 1, 0))
+    for c, first in reader.letters(texts, which):
+        if len(first):
+            out.append(np.add.reduceat(_bits(m["letters"], Letters(c, first), _letter_gate), first))
     return np.concatenate(out)
 
 
@@ -497,41 +569,77 @@ def _score(model):
             c = classes(m["book"], h, word)
             n = np.diff(at)
             place = np.arange(len(h)) - np.repeat(at[:-1], n)
-            bits = np.concatenate([np.zeros(0), *[_token_bits(m, c[at[a] : at[b]], place[at[a] : at[b]]) for a, b in _spans_of(at, BATCH)]])
+            bits = np.concatenate([np.zeros(0), *[_bits(m["mix"], Decisions(m["book"], c[at[a] : at[b]], place[at[a] : at[b]]), _token_gate, m["book"]["none"]) for a, b in _spans_of(at, BATCH)]])
             rare = c == REST
-            bits[rare] += _spelling_bits(m, reader, texts)[rare[word]]
             chunk, starts = passages(h, at)
             lists = np.searchsorted(starts, at)
+            words_, first, same = np.unique(h[rare], return_index=True, return_inverse=True)
+            which = np.zeros(int(rare.sum()), bool)
+            which[first] = True
+            spell = np.zeros(len(words_))
+            spell[same[which]] = _spelling_bits(m, reader, texts, _within(rare, which)[word])
+            bits[rare] += spell[same]
             told = np.add.reduceat(bits, starts) if len(starts) else bits
-            docs = np.repeat(np.arange(len(n)), n)[rare]
-            order = np.lexsort((h[rare], docs))
-            docs, words = docs[order], h[rare][order]
-            new = np.flatnonzero(np.append(True, (words[1:] != words[:-1]) | (docs[1:] != docs[:-1]))) if len(words) else np.zeros(0, np.int64)
-            times = np.diff(np.append(new, len(words)))
-            rare_at = np.searchsorted(docs[new], np.arange(len(n) + 1))
+            piece = np.searchsorted(starts, np.flatnonzero(rare), "right") - 1
+            order = np.lexsort((same, piece))
+            piece, same = piece[order], same[order]
+            new = np.flatnonzero(np.append(True, (same[1:] != same[:-1]) | (piece[1:] != piece[:-1]))) if len(same) else np.zeros(0, np.int64)
+            times = np.diff(np.append(new, len(same)))
+            piece, same = piece[new], same[new]
+            rare_at = np.searchsorted(piece, lists)
+            within = piece - np.repeat(lists[:-1], np.diff(rare_at))
             offsets, _ = text_bytes(texts)
             head = np.add.reduceat(log_c[c], at[:-1]) if len(n) else np.zeros(0)
             known = n - np.add.reduceat(rare.astype(np.int64), at[:-1]) if len(n) else n
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(2), pa.array(np.diff(offsets), pa.int64()), pa.array(n, pa.int64()), pa.array(known, pa.int64()), pa.array(head, pa.float64()), ragged(words[new].view(np.int64), rare_at), ragged(times.astype(np.int32), rare_at), ragged(chunk.view(np.int64), lists), ragged(told, lists)],
-                names=["doc_id", "train", "n_bytes", "n_tokens", "known", "head", "rare", "rare_n", "passages", "told"],
+                [batch.column(0), batch.column(2), pa.array(np.diff(offsets), pa.int64()), pa.array(n, pa.int64()), pa.array(known, pa.int64()), pa.array(head, pa.float64()), ragged(words_[same].view(np.int64), rare_at), ragged(times.astype(np.int32), rare_at), ragged(within.astype(np.int32), rare_at), ragged(spell[same].astype(np.float32), rare_at), ragged(chunk.view(np.int64), lists), ragged(told, lists)],
+                names=["doc_id", "train", "n_bytes", "n_tokens", "known", "head", "rare", "rare_n", "rare_at", "rare_bits", "passages", "told"],
             )
 
     return run
 
 
+def _within(mask: np.ndarray, which: np.ndarray) -> np.ndarray:
+    """``mask`` without those of its marks that ``which`` doesn't pick."""
+    out = mask.copy()
+    out[mask] = which
+    return out
+
+
 def _counted(looked: DataFrame, frequent: DataFrame) -> DataFrame:
-    """``looked`` (h, row, n, train and others) with c, how often ``h`` occurs in training texts, and lo, the first such row.
+    """``looked`` (h, row, n, train and others) with c, how often ``h`` occurs in training texts, and lo, the first such row and place.
 
     Passages that are frequent, which are at most HOT, are aggregated before they are shuffled.
     """
     at = Window.partitionBy("h")
-    c, lo = F.sum(F.when(F.col("train"), F.col("n"))), F.min(F.when(F.col("train"), F.col("row")))
+    c, lo = F.sum(F.when(F.col("train"), F.col("n"))), F.min(F.when(F.col("train"), F.struct("row", "k")))
     rare = looked.join(F.broadcast(frequent), "h", "left_anti").withColumns({"c": c.over(at), "lo": lo.over(at)})
     often = looked.join(F.broadcast(frequent), "h", "left_semi")
     return rare.unionByName(often.join(F.broadcast(often.groupBy("h").agg(c.alias("c"), lo.alias("lo"))), "h"))
 
 
+def _retold(batch: pa.RecordBatch, all_rare: int, p: float) -> list[np.ndarray]:
+    """Bits of each text's passages if rare words may also be met among the training texts' ``all_rare`` ones, which ``p`` of them are.
+
+    The last columns are words (k, n, c), rare_n, rare_at, rare_bits, told, train. A training text's own words of a passage are left out of their count.
+    """
+    words_, times, at, spell, told, train = batch.columns[-6:]
+    flat, begin = np.array(told.flatten()), np.append(0, np.cumsum(pa.compute.list_value_length(told)))
+    rare = np.append(0, np.cumsum(pa.compute.list_value_length(at)))
+    at, spell = at.flatten().to_numpy(), spell.flatten().to_numpy().astype(np.float64)
+    known = pa.compute.list_value_length(words_).to_numpy()
+    doc = np.repeat(np.arange(len(known)), known)
+    k, n, c = (pa.compute.struct_field(words_.flatten(), i).to_numpy() for i in range(3))
+    c = np.maximum(0, c - np.where(train.to_numpy(zero_copy_only=False)[doc], n, 0))
+    # every rare word pays for being spelled, unless it is met
+    every = np.repeat(begin[:-1], np.diff(rare)) + at
+    place = rare[doc] - 1 - k
+    np.add.at(flat, every, times.flatten().to_numpy() * -math.log2(1 - p))
+    met = -np.log2(p * c / max(1, all_rare) + (1 - p) * np.exp2(-spell[place]))
+    np.add.at(flat, every[place], n * (met - spell[place] + math.log2(1 - p)))
+    return np.split(flat, begin[1:-1])
+
+
 def _flags(known: list, told: np.ndarray, log_all: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(taken from memory, bits, state of each passage); the state is what the two passages before were and how many bits are told."""
     cost = np.full(len(told), np.inf)
@@ -543,24 +651,24 @@ def _flags(known: list, told: np.ndarray, log_all: float) -> tuple[np.ndarray, n
     return taken, np.where(taken, cost, told), (2 * before + second) * 4 + np.minimum(3, told.astype(np.int64) // 64)
 
 
-def _flag_counts(log_all: float):
+def _flag_counts(log_all: float, all_rare: int, p: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = np.zeros(32, np.int64)
         for batch in batches:
-            for known, told in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                taken, _, state = _flags(known or [], np.asarray(told.values), log_all)
+            for known, told in zip(batch.column(0).to_pylist(), _retold(batch, all_rare, p), strict=True):
+                taken, _, state = _flags(known or [], told, log_all)
                 n += np.bincount(2 * state + taken, minlength=32)
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(32), pa.int32()), pa.array(n, pa.int64())], names=["i", "n"])
 
     return run
 
 
-def _totals(log_all: float, flag_bits: np.ndarray):
+def _totals(log_all: float, all_rare: int, p: float, flag_bits: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             bits = []
-            for known, told in zip(batch.column(1).to_pylist(), batch.column(2), strict=True):
-                taken, cost, state = _flags(known or [], np.asarray(told.values), log_all)
+            for known, told in zip(batch.column(1).to_pylist(), _retold(batch, all_rare, p), strict=True):
+                taken, cost, state = _flags(known or [], told, log_all)
                 bits.append(float(cost.sum() + flag_bits[2 * state + taken].sum()))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(bits, pa.float64())], names=["row", "bits"])
 
@@ -577,33 +685,36 @@ def score(docs: DataFrame, model: dict) -> DataFrame:
     spark = docs.sparkSession
     arrow_in_small_batches(spark)
     sent = spark.sparkContext.broadcast(_dump(model))
-    schema = "doc_id long, train boolean, n_bytes long, n_tokens long, known long, head double, rare array<long>, rare_n array<int>, passages array<long>, told array<double>"
+    schema = "doc_id long, train boolean, n_bytes long, n_tokens long, known long, head double, rare array<long>, rare_n array<int>, rare_at array<int>, rare_bits array<float>, passages array<long>, told array<double>"
     folder = f"{shared_folder(spark)}/lm-{uuid.uuid4().hex}"
     docs.select("doc_id", "text", "train").mapInArrow(_score(sent), schema).withColumn("row", F.monotonically_increasing_id()).write.parquet(folder)
     rows = spark.read.parquet(folder)
-    rare = rows.select("row", "train", F.explode(F.arrays_zip("rare", "rare_n")).alias("w")).select("w.rare", "row", F.col("w.rare_n"), "train", F.lit(-1)).toDF("h", "row", "n", "train", "k")
+    rare = rows.select("row", "train", F.posexplode(F.arrays_zip("rare", "rare_n")).alias("j", "w")).select("w.rare", "row", F.col("w.rare_n"), "train", -1 - F.col("j")).toDF("h", "row", "n", "train", "k")
     told = rows.select("row", "train", F.posexplode("passages").alias("k", "h")).select("h", "row", F.lit(1).alias("n"), "train", "k")
     top = told.agg(F.count("*").alias("n"), F.expr(f"approx_top_k(h, {HOT}, {10 * HOT})").alias("top"))  # results don't hang on it
     frequent = cut(top.select("n", F.explode("top").alias("t")).where(F.col("t.count") * HOT >= F.col("n")).select(F.col("t.item").alias("h")))
     word = F.col("k") < 0
     counted = _counted(rare.union(told), frequent)
     others: Column = F.col("c") - F.when(word | ~F.col("train"), 0).otherwise(1)
-    counted = counted.select("row", "k", "n", others.alias("c"), (word & F.col("train") & (F.col("row") == F.col("lo"))).alias("new")).where("c > 0")
+    counted = counted.select("row", "k", "n", others.alias("c"), (word & F.col("train") & (F.struct("row", "k") == F.col("lo"))).alias("new"), F.when(word & F.col("train") & (F.col("c") > F.col("n")), F.col("n")).alias("again")).where("c > 0")
     one = F.struct("k", "n", "c")
-    found = counted.groupBy("row").agg(F.sort_array(F.collect_list(one)).alias("found"), F.count_if("new").alias("new"))  # at most a text's own words and passages
-    every = cut(rows.drop("rare", "rare_n", "passages").join(found, "row", "left").withColumn("found", F.coalesce("found", F.array().cast("array<struct<k:int,n:int,c:bigint>>"))))
-    sums = every.agg(F.sum("new"), F.sum(F.when(F.col("train"), F.size("told")))).first()
+    found = counted.groupBy("row").agg(F.sort_array(F.collect_list(one)).alias("found"), F.count_if("new").alias("new"), F.sum("again").alias("again"))  # at most a text's own words and passages
+    every = cut(rows.drop("rare", "passages").join(found, "row", "left").withColumn("found", F.coalesce("found", F.array().cast("array<struct<k:int,n:int,c:bigint>>"))))
+    sums = every.agg(F.sum("new"), F.sum(F.when(F.col("train"), F.size("told"))), F.sum("again")).first()
     book, total = model["book"], model["tokens"]
     v = int((book["n"][1:] > 0).sum()) + (sums[0] or 0)
     log_all = math.log2(max(1, sums[1] or 0))
+    all_rare = int(book["n"][REST])
+    p = ((sums[2] or 0) + 0.5) / (all_rare + 1)  # share of rare words met in another passage
     words = F.filter("found", lambda x: x["k"] < 0)
     every = every.withColumns({"words": words, "known_passages": F.filter("found", lambda x: x["k"] >= 0)})
+    of = ["words", "rare_n", "rare_at", "rare_bits", "told", "train"]
     n = np.zeros(32)
-    for r in every.where("train").select("known_passages", "told").mapInArrow(_flag_counts(log_all), "i int, n long").groupBy("i").agg(F.sum("n").alias("n")).collect():
+    for r in every.where("train").select("known_passages", *of).mapInArrow(_flag_counts(log_all, all_rare, p), "i int, n long").groupBy("i").agg(F.sum("n").alias("n")).collect():
         n[r["i"]] = r["n"]
     n = n.reshape(16, 2) + 0.5
     flag_bits = -np.log2(n / n.sum(1, keepdims=True)).ravel()
-    bits = every.select("row", "known_passages", "told").mapInArrow(_totals(log_all, flag_bits), "row long, bits double")
+    bits = every.select("row", "known_passages", *of).mapInArrow(_totals(log_all, all_rare, p, flag_bits), "row long, bits double")
     rare_log = F.aggregate("words", F.lit(0.0), lambda a, x: a + x["n"] * F.log10(x["c"] + 0.5))
     rare_known = F.aggregate("words", F.lit(0).cast("long"), lambda a, x: a + x["n"])
     unknown = F.col("n_tokens") - F.col("known") - rare_known
