@@ -147,16 +147,16 @@ def mix(docs: DataFrame, share: float = 1.5, cap: float = 2.0, weights: tuple[in
     Null texts count no words; documents without words are taken at their source's rate of
     1, so they stay. A null source is a source of its own. An empty table stays empty.
     """
-    columns = docs.columns
     sized = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"))
-    plan = if_small(solve(cut(sized), share, cap, weights).select(F.col("source").alias("mix_source"), F.struct("lam", "mean", "shift").alias("mix_plan")))
-    rows = docs.withColumn("mix_size", word_count(F.col("text"))).join(plan, F.col("source").eqNullSafe(F.col("mix_source")))
-    u = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("copies")), F.lit(1 << 20)) / float(1 << 20)
-    rate = _rate(F.col("mix_plan.lam"), _x(F.col("mix_size"), F.col("mix_plan.mean")), cap) / UNIT
-    shift = F.when(F.col("mix_size") > 0, F.col("mix_plan.shift")).otherwise(0)
-    u = F.when(F.col("mix_size") > 0, u).otherwise(0.0)
+    plan = if_small(solve(cut(sized), share, cap, weights).select(F.col("source").alias("of"), F.struct("lam", "mean", "shift").alias("plan")))
+    rows = docs.select(F.struct("*").alias("doc"), word_count(F.col("text")).alias("size"))  # one struct a row, so that no name clashes
+    rows = rows.join(plan, F.col("doc.source").eqNullSafe(F.col("of")))
+    u = F.pmod(F.xxhash64(F.col("doc.doc_id"), F.lit("copies")), F.lit(1 << 20)) / float(1 << 20)
+    rate = _rate(F.col("plan.lam"), _x(F.col("size"), F.col("plan.mean")), cap) / UNIT
+    shift = F.when(F.col("size") > 0, F.col("plan.shift")).otherwise(0)
+    u = F.when(F.col("size") > 0, u).otherwise(0.0)
     n = F.least(F.greatest(F.floor((F.floor((rate + u) * GRID) + shift) / GRID), F.lit(0)), F.lit(math.floor(cap))).cast("int")
-    return rows.withColumn("mix_copy", F.explode(F.array_repeat(F.lit(1), n))).select(*[F.col(f"`{c}`") for c in columns])
+    return rows.select("doc", F.explode(F.array_repeat(F.lit(1), n))).select("doc.*")
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
