@@ -253,7 +253,7 @@ class Letters:
         self.keys = [key]
         for back in range(1, ORDERS):
             before = np.zeros(len(c), np.uint32)
-            before[back:] = self.c[: len(c) - back] + np.uint32(1)
+            before[back:] = self.c[: max(0, len(c) - back)] + np.uint32(1)
             before[place < back] = 0
             key = (key + before + np.uint32(back)) * np.uint32(0x9E3779B1)
             key = key ^ (key >> np.uint32(15))
