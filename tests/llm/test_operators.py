@@ -99,6 +99,11 @@ def test_mixing(spark, docs, empty):
     mixed = mixing.mix(docs)
     assert mixed.columns == docs.columns and max(Counter(r["doc_id"] for r in mixed.collect()).values()) <= 2
     assert mixing.mix(empty).count() == 0
+    names = ["mix_size", "mix_source", "mix_plan", "of", "plan", "size", "doc"]
+    clash = docs.drop("size").selectExpr("*", *[f"777 AS {n}" for n in names])
+    rows = mixing.mix(clash).collect()
+    assert Counter(r["doc_id"] for r in rows) == Counter(r["doc_id"] for r in mixing.mix(docs).collect())
+    assert all(r[n] == 777 for r in rows for n in names)
 
 
 def test_decontamination(spark, docs, empty):
