@@ -31,11 +31,21 @@ FROM {grid}
 """
 
 
+#: Scenes that a task makes.
+SCENES_A_TASK = 1000
+
+
+def by_scene(scenes: DataFrame) -> DataFrame:
+    """``scenes`` (scene_id, ...) dealt by scene before they grow into pixels, so that what is grouped by scene needs no other shuffle and no task makes more than a bounded number."""
+    n = max(2 * scenes.sparkSession.sparkContext.defaultParallelism, -(-scenes.count() // SCENES_A_TASK))
+    return scenes.repartition(n, "scene_id")
+
+
 def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A pair of small scenes for every part: outside a box the second differs by 0 to 4, inside it is inverted."""
-    parts = table(spark, sf_dir, "part").selectExpr("p_partkey AS s")
+    parts = by_scene(table(spark, sf_dir, "part").selectExpr("p_partkey AS scene_id"))
     line = f"explode(sequence(0, {SIDE - 1}))"
-    grid = parts.selectExpr("s", f"{line} AS y").selectExpr("s", "y", f"{line} AS x")
+    grid = parts.selectExpr("scene_id AS s", f"{line} AS y").selectExpr("s", "y", f"{line} AS x")
     rows = spark.sql(PIXELS.format(third="cast(floor(s / 3) AS bigint)", grid="{grid}"), grid=grid)
     second = [f"CASE WHEN hit THEN 255 - {c}1 ELSE least(255, {c}1 + (scene_id + x + y) % 5) END AS {c}2" for c in "rgb"]
     return rows.selectExpr("scene_id", "y", "x", "r1", "g1", "b1", *second, "cast(hit AS int) AS gt")
@@ -45,10 +55,6 @@ def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
 HEIGHT = "CASE s % 32 WHEN 0 THEN 61 WHEN 16 THEN 47 ELSE 17 END"
 WIDTH = "CASE s % 16 WHEN 0 THEN 61 ELSE 17 END"
 SCALE = "CASE s % 16 WHEN 0 THEN 4 ELSE 1 END"
-#: Scenes that a task makes.
-SCENES_A_TASK = 2000
-
-
 def _drawn(scene_id: pd.Series, ty: pd.Series, tx: pd.Series, size: pd.Series, h: pd.Series, w: pd.Series, k: pd.Series) -> pd.DataFrame:
     """Bytes of the tiles of scenes, row by row: red, green and blue of both images, and whether a pixel has changed."""
     keys = pd.DataFrame({"s": scene_id, "ty": ty, "tx": tx, "n": size, "h": h, "w": w, "k": k}).reset_index(drop=True)
@@ -67,9 +73,8 @@ def _drawn(scene_id: pd.Series, ty: pd.Series, tx: pd.Series, size: pd.Series, h
 
 def tiles(spark: SparkSession, sf_dir: str, size: int = 32) -> DataFrame:
     """A pair of scenes for every part, as tiles of at most ``size`` pixels a side; as ``pixels``, but of several sizes."""
-    parts = table(spark, sf_dir, "part")
-    n = max(2 * spark.sparkContext.defaultParallelism, -(-parts.count() // SCENES_A_TASK))
-    sides = parts.selectExpr("p_partkey AS s").selectExpr("s AS scene_id", f"cast({HEIGHT} AS int) AS h", f"cast({WIDTH} AS int) AS w", f"cast({SCALE} AS int) AS k").repartition(n, "scene_id")
+    parts = table(spark, sf_dir, "part").selectExpr("p_partkey AS s")
+    sides = by_scene(parts.selectExpr("s AS scene_id", f"cast({HEIGHT} AS int) AS h", f"cast({WIDTH} AS int) AS w", f"cast({SCALE} AS int) AS k"))
     grid = sides.withColumn("ty", F.explode(F.expr(f"sequence(0, cast((h - 1) div {size} AS int))"))).withColumn("tx", F.explode(F.expr(f"sequence(0, cast((w - 1) div {size} AS int))")))
     draw = F.pandas_udf(_drawn, "struct<t1: binary, t2: binary, label: binary>")  # a column, so that filters on sides come first
     drawn = grid.withColumn("size", F.lit(size)).withColumn("drawn", draw("scene_id", "ty", "tx", "size", "h", "w", "k"))
