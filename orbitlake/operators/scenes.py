@@ -35,7 +35,7 @@ def otsu(rows: DataFrame, bins: int = 256) -> DataFrame:
 def contrasted(rows: DataFrame, column: str, factors: list[float]) -> DataFrame:
     """(scene_id, factor, before, v): a channel further from its scene's mean, or nearer, held within 0 to 255."""
     mean = rows.groupBy("scene_id").agg(F.avg(column).alias("mean"))
-    out = rows.join(mean, "scene_id").withColumn("factor", F.explode(F.array(*map(F.lit, factors))))
+    out = rows.join(mean.hint("shuffle_hash"), "scene_id").withColumn("factor", F.explode(F.array(*map(F.lit, factors))))
     v = (F.col(column) - F.col("mean")) * F.col("factor") + F.col("mean")
     return out.select("scene_id", "factor", F.col(column).alias("before"), F.least(F.lit(255.0), F.greatest(F.lit(0.0), v)).alias("v"))
 
