@@ -59,7 +59,7 @@ def j20_regional_vari(spark: SparkSession, d: str) -> DataFrame:
     """Vegetation before and after within each scene's box of changed pixels."""
     rows = pixels(spark, d)
     box = rows.where("gt = 1").groupBy("scene_id").agg(*[f(c).alias(f"{c}{i}") for c in "yx" for i, f in enumerate((F.min, F.max))])
-    inside = rows.join(box, "scene_id").where(F.col("y").between(F.col("y0"), F.col("y1")) & F.col("x").between(F.col("x0"), F.col("x1")))
+    inside = rows.join(box.hint("shuffle_hash"), "scene_id").where(F.col("y").between(F.col("y0"), F.col("y1")) & F.col("x").between(F.col("x0"), F.col("x1")))
     out = inside.groupBy("scene_id").agg(F.avg(vari(1)).alias("a"), F.avg(vari(2)).alias("b"))
     out = out.select("scene_id", F.round("a", 6).alias("v_before"), F.round("b", 6).alias("v_after"), F.round(F.col("b") - F.col("a"), 6).alias("delta"))
     by = lambda least, up, down, else_: F.when(F.col("delta") >= least, up).when(F.col("delta") <= -least, down).otherwise(else_)

@@ -12,7 +12,7 @@ def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("query", [scenes.j12_contrast, raster.d24_patches, scenes.k6_tile_statistics, scenes.k2_padded_patches])
+@pytest.mark.parametrize("query", [scenes.j12_contrast, scenes.j20_regional_vari, raster.d24_patches, scenes.k6_tile_statistics, scenes.k2_padded_patches])
 def test_pixels_stay_where_their_scene_is(spark, query):
     lines = plan(query(spark, DATA)).splitlines()
     depth = [len(line) - len(line.lstrip(" :+-*()0123456789")) for line in lines]
