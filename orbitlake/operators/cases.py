@@ -41,7 +41,7 @@ def region_report(regions: DataFrame, findings: DataFrame, diagnostics: DataFram
 
     ``regions`` (scene_id, region_id from 1, pixel_area, area_ratio, gsd) are the few that a scene reports; gsd, null
     or not above 0 where unknown, holds for the scene. ``findings`` (scene_id, region_id, category, review) and
-    ``diagnostics`` (scene_id, status, confidence) may lack rows. Areas on the ground are given only with a gsd.
+    ``diagnostics`` (scene_id, status, confidence) may lack rows. Areas on the ground are given only with a gsd. A confidence is rounded as the binary number that it is: 0.5085 is less than it looks and gives 0.508.
     """
     rows = regions.join(findings, ["scene_id", "region_id"], "left")
     one = F.struct("region_id", "pixel_area", "area_ratio", F.coalesce("category", F.lit(UNVERIFIED)).alias("category"), F.coalesce("review", F.lit(False)).alias("review"))
@@ -60,7 +60,7 @@ def region_report(regions: DataFrame, findings: DataFrame, diagnostics: DataFram
     return by.select(
         "scene_id",
         F.concat_ws("\n", *detector).alias("detector"),
-        F.when(F.col("status").isNull(), BYPASSED).otherwise(F.format_string(REGISTERED, "status", F.round("confidence", 3))).alias("registration"),
+        F.when(F.col("status").isNull(), BYPASSED).otherwise(F.format_string(REGISTERED, "status", F.floor(F.col("confidence") * 1000 + 0.5) / 1000)).alias("registration"),
         _lines(F.col("r"), area).alias("regions"),
         F.concat_ws("\n", *map(F.lit, LIMITATIONS), F.when(F.col("gsd").isNull(), NO_GSD)).alias("limitations"),
         F.when(F.size(inspect) > 0, _lines(inspect, lambda x: F.format_string(INSPECT, x["region_id"]))).otherwise(F.format_string(SPOT_CHECK, F.get("r", F.lit(0))["pixel_area"])).alias("review"),

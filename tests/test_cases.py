@@ -1,6 +1,7 @@
 """Reports, target ranks and neighbours on hand-made rows."""
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from orbitlake.operators import cases, raster, text_search, vectors
@@ -67,3 +68,11 @@ def test_whole_gallery_in_bands(spark, monkeypatch):
         order = sorted(range(20), key=lambda d: (-given.get((q, d), 0), d))
         assert [r["doc"] for r in sorted((r for r in rows if r["query"] == q), key=lambda r: r["rank"])] == order
         assert sorted(r["rank"] for r in rows if r["query"] == q) == list(range(1, 21))
+
+
+@pytest.mark.parametrize(("confidence", "said"), [(0.5085, "0.508"), (0.5094, "0.509"), (0.0625, "0.063"), (1.0, "1.000"), (0.0, "0.000")])
+def test_confidence_to_three_places(spark, confidence, said):
+    regions = spark.createDataFrame([(1, 1, 10, 0.5, None)], REGIONS)
+    findings = spark.createDataFrame([], "scene_id long, region_id int, category string, review boolean")
+    gate = spark.createDataFrame([(1, "moderate", confidence)], "scene_id long, status string, confidence double")
+    assert cases.region_report(regions, findings, gate).first()["registration"].endswith(f"{said}).")
