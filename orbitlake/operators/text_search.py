@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from orbitlake.functions.lineage import cut
+from orbitlake.functions.lineage import stored
 from orbitlake.operators.postings import Postings, by_query
 from orbitlake.sources.fixtures import SQL_CAPTIONS, captions, table
 
@@ -19,7 +20,9 @@ RANGES = 256
 #: Bands that a whole score is cut into where all of a gallery is ranked.
 BANDS = 16
 #: Queries and documents of a block of scores; blocks of queries are cut down to the smaller size while cores would idle.
-QUERIES_A_BLOCK, FEWEST_QUERIES, DOCS_A_BLOCK = 4096, 256, 2000
+QUERIES_A_BLOCK, FEWEST_QUERIES, DOCS_A_BLOCK = 16_384, 256, 8000
+#: Neighbouring documents without a score that are ranked together.
+DOCS_A_BAND = 2000
 
 
 def tokenize(text: Column) -> Column:
@@ -56,7 +59,7 @@ def caption_terms(caps: DataFrame) -> DataFrame:
     rows = caps.select("image_id", "caption_idx", "text")
     rows = rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
     terms = rows.select("image_id", "caption_idx", F.explode(tokenize(F.col("text"))).alias("term"))
-    return cut(terms.groupBy("image_id", "caption_idx", "term").agg(F.count("*").alias("n")))
+    return stored(terms.groupBy("image_id", "caption_idx", "term").agg(F.count("*").alias("n")))
 
 
 def weight(tf: Column, dl: Column) -> Column:
@@ -67,8 +70,8 @@ def in_blocks(terms: DataFrame, indexed: DataFrame, sizes: tuple[int, int], bloc
     """``block`` over each block of queries with each block of documents.
 
     ``sizes`` are about the numbers of queries and documents; all documents of an owner, if the index has such a column, are in one block. It gets (query, term, qtf and what else ``terms`` has) and (term, docs, weights), the latter a list of
-    at most a block's documents, so that no pair of query and document is ever a row: the shuffle holds the
-    terms once a block of the other side, and tasks emit what ``block`` keeps of the scores.
+    at most a block's documents, so that no pair of query and document is ever a row: the shuffle holds a row of terms for each query once a block of
+    documents, and the lists once a block of queries; tasks emit what ``block`` keeps of the scores.
     """
     parts = lambda n, size: max(1, -(-n // size))
     n_d, idle = parts(sizes[1], DOCS_A_BLOCK), terms.sparkSession.sparkContext.defaultParallelism
@@ -78,9 +81,18 @@ def in_blocks(terms: DataFrame, indexed: DataFrame, sizes: tuple[int, int], bloc
     weighted = indexed.select("term", "doc", *owned, weight(F.col("tf"), F.col("dl")).alias("w"), F.pmod(whole, F.lit(n_d)).cast("int").alias("_d"))
     lists = weighted.groupBy("_d", "term").agg(F.collect_list(F.struct("doc", "w", *owned)).alias("_l"))
     lists = lists.select("_d", F.col("term").alias("term"), F.col("_l.doc").alias("docs"), F.col("_l.w").alias("weights"), *[F.col(f"_l.{c}").alias(f"{c}s") for c in owned])
-    left = terms.withColumn("_q", F.pmod(F.xxhash64("query"), F.lit(n_q)).cast("int")).withColumn("_d", F.explode(F.sequence(F.lit(0), F.lit(n_d - 1))))
+    others = [c for c in terms.columns if c not in ("query", "term", "qtf")]
+    asked = terms.groupBy("query", *others).agg(F.collect_list(F.struct("term", "qtf")).alias("_t")).select("query", *others, F.col("_t.term").alias("term"), F.col("_t.qtf").alias("qtf"))
+    left = asked.withColumn("_q", F.pmod(F.xxhash64("query"), F.lit(n_q)).cast("int")).withColumn("_d", F.explode(F.sequence(F.lit(0), F.lit(n_d - 1))))
     right = lists.withColumn("_q", F.explode(F.sequence(F.lit(0), F.lit(n_q - 1))))
-    return left.groupBy("_q", "_d").cogroup(right.groupBy("_q", "_d")).applyInArrow(block, schema)
+
+    def run(of: pa.Table, lists: pa.Table) -> pa.Table:
+        of = of.combine_chunks()
+        each = pc.list_parent_indices(of["term"].combine_chunks())
+        rows = {c: of[c].take(each) for c in ("query", *others)} | {c: of[c].combine_chunks().flatten() for c in ("term", "qtf")}
+        return block(pa.table(rows), lists)
+
+    return left.groupBy("_q", "_d").cogroup(right.groupBy("_q", "_d")).applyInArrow(run, schema)
 
 
 def rough_sizes(queries: DataFrame, query: Column, docs: DataFrame, doc: str) -> tuple[int, int]:
@@ -152,7 +164,7 @@ def loo_ranks(caps: DataFrame, asked: DataFrame | None = None) -> DataFrame:
     every = caption_terms(caps)
     tf = every.groupBy(F.col("image_id").alias("doc"), "term").agg(F.sum("n").alias("tf"))
     sizes = every.groupBy(F.col("image_id").alias("doc")).agg(F.sum("n").alias("dl"))
-    idx = cut(index_of(tf, caps.select(F.col("image_id").alias("doc")).distinct().join(sizes, "doc", "left").fillna(0, ["dl"])))
+    idx = stored(index_of(tf, caps.select(F.col("image_id").alias("doc")).distinct().join(sizes, "doc", "left").fillna(0, ["dl"])))
     terms = every if asked is None else every.join(asked.select("image_id", "caption_idx").distinct(), ["image_id", "caption_idx"], "left_semi")
     terms = terms.select(query_id().alias("query"), "image_id", "term", F.col("n").alias("qtf"))
     queries = (caps if asked is None else asked).select(query_id().alias("query"), "image_id", "caption_idx", F.lower(F.trim("text")).alias("said"), "category")
@@ -167,7 +179,7 @@ def loo_ranks(caps: DataFrame, asked: DataFrame | None = None) -> DataFrame:
     tf = F.col("tf") - F.coalesce("gone_tf", F.lit(0))
     s = F.when(tf > 0, F.col("qtf") * weight(tf, F.col("dl") - F.coalesce("gone_dl", F.lit(0)))).otherwise(0.0)
     target = queries.select("query", "image_id", "category").join(target.groupBy("query").agg(F.round(F.sum(s), 9).alias("s")), "query", "left").fillna(0.0, ["s"])
-    return _places(caps, terms, idx, cut(target))
+    return _places(caps, terms, idx, stored(target))
 
 
 def earlier(ids: DataFrame, key: str) -> DataFrame:
@@ -235,7 +247,7 @@ def rank_gallery(queries: DataFrame, scores: DataFrame, gallery: DataFrame) -> D
     near scores, or of neighbouring documents where there is none, and what lies before a
     band comes from counts, so that no task sorts a whole gallery.
     """
-    part = F.floor(F.col("before") / DOCS_A_BLOCK).alias("part")
+    part = F.floor(F.col("before") / DOCS_A_BAND).alias("part")
     blocks = earlier(gallery.select("doc").distinct(), "doc").groupBy(part).agg(F.collect_list(F.struct("doc", "before")).alias("docs"))
     pairs = queries.select("query").distinct().crossJoin(blocks).select("query", "part", F.explode("docs").alias("x")).select("query", "part", "x.*")
     rows = pairs.join(scores, ["query", "doc"], "left").fillna(0.0, ["score"])

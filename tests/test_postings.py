@@ -3,12 +3,17 @@
 import math
 import random
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
+from pyspark.sql import functions as F
 
+from orbitlake.functions.lineage import checkpoint_folder
 from orbitlake.operators import postings, text_search
+from orbitlake.sources import fixtures
 
 WORDS = [f"w{i}" for i in range(60)]
 
@@ -80,3 +85,22 @@ def test_bounds_spare_documents_and_lose_none(seed):
 def test_empty_block():
     block = postings.Postings(pa.table({"term": pa.array([], pa.string()), "docs": pa.array([], pa.list_(pa.int64())), "weights": pa.array([], pa.list_(pa.float64()))}))
     assert len(block.names) == 0 and block.runs == 0
+
+
+def test_searches_keep_columns_not_checkpoints(spark):
+    caps = fixtures.captions(spark, "/root/testdata/sf0.001")
+    folder = Path(checkpoint_folder(spark).removeprefix("file:"))
+    before = set(folder.glob("*/rdd-*")) | set(folder.glob("rdd-*"))
+    assert text_search.loo_ranks(caps).count() == caps.count()
+    assert not (set(folder.glob("*/rdd-*")) | set(folder.glob("rdd-*"))) - before
+
+
+def test_a_query_is_one_row_a_block_of_documents(spark, monkeypatch):
+    monkeypatch.setattr(text_search, "DOCS_A_BLOCK", 5)
+    docs = spark.createDataFrame([(i, f"w{i} w{i % 3} common") for i in range(20)], "doc long, text string")
+    queries = spark.createDataFrame([("q", "w1 w2 w3 w1 common")], "query string, text string")
+    terms = queries.select("query", F.explode(text_search.tokenize(F.col("text"))).alias("term")).groupBy("query", "term").agg(F.count("*").alias("qtf"))
+    count = lambda of, lists: pa.table({"n": pa.array([len(of)], pa.int64()), "docs": pa.array([len(pc.unique(lists["docs"].combine_chunks().flatten()))], pa.int64())})
+    blocks = text_search.in_blocks(terms, text_search.index(docs), (1, 20), count, "n long, docs long")
+    assert "collect_list(struct(term" in blocks._jdf.queryExecution().optimizedPlan().toString()
+    assert [r["n"] for r in blocks.collect()] == [4] * 4
