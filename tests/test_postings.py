@@ -104,3 +104,15 @@ def test_a_query_is_one_row_a_block_of_documents(spark, monkeypatch):
     blocks = text_search.in_blocks(terms, text_search.index(docs), (1, 20), count, "n long, docs long")
     assert "collect_list(struct(term" in blocks._jdf.queryExecution().optimizedPlan().toString()
     assert [r["n"] for r in blocks.collect()] == [4] * 4
+
+
+def test_best_captions_of_all_images(spark):
+    """Every image that shares a word with a caption is there, not only the first ten."""
+    data = "/root/testdata/sf0.001"
+    caps = fixtures.captions(spark, data).select(text_search.query_id().alias("query"), "image_id", F.array_distinct(text_search.tokenize(F.col("text"))).alias("w"))
+    words = [(r["query"], r["image_id"], set(r["w"])) for r in caps.collect()]
+    want = {(q, other) for q, _, w in words for _, other, o in words if w & o}
+    rows = text_search.h5_max_caption(spark, data).collect()
+    found = Counter(r["query"] for r in rows)
+    assert {(r["query"], r["image_id"]) for r in rows} >= want and len({(r["query"], r["image_id"]) for r in rows}) == len(rows)
+    assert max(found.values()) > 10
