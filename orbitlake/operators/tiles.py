@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Pixels of a stack, with borders.
-STACK_PIXELS = 1 << 20
+STACK_PIXELS = 1 << 17
 KEY = ["scene_id", "ty", "tx", "size", "h", "w"]
 IMAGES = (("t1", 3), ("t2", 3), ("label", 1))
 PIECE_SCHEMA = "scene_id long, ty int, tx int, size int, h int, w int, py int, px int, ph int, pw int, t1 binary, t2 binary, label binary"

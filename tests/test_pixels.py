@@ -1,8 +1,9 @@
 """Pixel tables: scenes are dealt once, as keys, and nothing of a pixel's size is sent to all tasks."""
 
+import pyarrow as pa
 import pytest
 
-from orbitlake.operators import raster, records, scenes
+from orbitlake.operators import raster, records, scenes, tiles
 from orbitlake.sources import fixtures
 
 DATA = "/root/testdata/sf0.001"
@@ -36,3 +37,15 @@ def test_moved_values(spark):
     assert len(found) == 18
     for (s, y, x), v in found.items():
         assert v == (10 * (y - 1) + x + 2 if s == 1 and y > 0 and x < 2 else 0)
+
+
+def test_stacks_hold_a_bounded_number_of_pixels(spark, tmp_path):
+    """However many scenes a task has, a kernel gets a few hundred thousand pixels at most."""
+
+    def kernel(s):
+        assert s.t1.shape[0] * s.t1.shape[1] * s.t1.shape[2] <= 1 << 18
+        return pa.RecordBatch.from_pydict({"n": pa.array([len(s.scene)], pa.int64())})
+
+    spark.range(4000).selectExpr("id * 32 + 1 AS p_partkey").write.parquet(f"{tmp_path}/part.parquet")
+    found = tiles.over_tiles(fixtures.tiles(spark, str(tmp_path)).coalesce(1), 8, kernel, "n long", 32)
+    assert found.agg({"n": "sum"}).first()[0] == 4000
