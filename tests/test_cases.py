@@ -70,6 +70,21 @@ def test_whole_gallery_in_bands(spark, monkeypatch):
         assert sorted(r["rank"] for r in rows if r["query"] == q) == list(range(1, 21))
 
 
+def test_whole_gallery_from_lists(spark, monkeypatch):
+    for name, n in (("DOCS_A_BLOCK", 7), ("DOCS_A_BAND", 3), ("FEWEST_QUERIES", 2), ("RANKS_A_BATCH", 4)):
+        monkeypatch.setattr(text_search, name, n)
+    words = ["river bank", "river", "airport with planes near river", "", None, "wood", "planes planes", "bank of wood"]
+    docs = spark.createDataFrame([(7 * i % 31, words[i % 8]) for i in range(31)] + [(None, "river"), (3, "airport")], "doc long, text string")
+    queries = spark.createDataFrame([("a", "river bank"), ("b", "planes"), ("c", ""), ("d", "unheard"), (None, "river"), ("e", "wood wood of airport")], "query string, text string")
+    want = text_search.rank_gallery(queries, text_search.bm25(queries, text_search.index(docs)), docs)
+    found = text_search.search_gallery(queries, docs)
+    rows = [sorted(((r["query"] or "", r["rank"], r["doc"], round(r["score"], 6)) for r in x.collect())) for x in (found, want)]
+    unnamed = [r for r in rows[0] if not r[0]]
+    assert [r for r in rows[0] if r[0]] == rows[1]
+    assert len(rows[1]) == 5 * 32
+    assert [(r[1], r[3]) for r in unnamed] == [(i, 0.0) for i in range(1, 33)]  # as in SQL; ranks by joins leave it out
+
+
 @pytest.mark.parametrize(("confidence", "said"), [(0.5085, "0.508"), (0.5094, "0.509"), (0.0625, "0.063"), (1.0, "1.000"), (0.0, "0.000")])
 def test_confidence_to_three_places(spark, confidence, said):
     regions = spark.createDataFrame([(1, 1, 10, 0.5, None)], REGIONS)
