@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import math
 
@@ -35,38 +36,50 @@ def gaussian(sigma: float, radius: int | None = None) -> list[float]:
     return [x / (w[0] + 2 * sum(w[1:])) for x in w]
 
 
+def _over_channels(a: np.ndarray) -> np.ndarray:
+    return a[..., 0] + a[..., 1] + a[..., 2]
+
+
 def pixel_diff(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return np.abs(a.astype(np.int32) - b).sum(axis=3) / 765
+    return _over_channels(np.abs(a.astype(np.int16) - b)) / 765
 
 
 def cva(a: np.ndarray, b: np.ndarray, normalize: bool = True) -> np.ndarray:
     """Length of the change vector, at most 1; over the root of the channels with ``normalize``."""
-    square = ((a.astype(np.int32) - b) ** 2).sum(axis=3)
+    square = _over_channels((a.astype(np.int32) - b) ** 2)
     return np.minimum(1, np.sqrt(square / ((3 if normalize else 1) * 65025)))
 
 
-def ssim_dissimilarity(u: np.ndarray, v: np.ndarray, side: int = 11, sigma: float = 1.5) -> np.ndarray:
-    """1 - SSIM within gaussian windows, clipped to [0, 1]; takes ``side`` // 2 pixels off. An even side is an error."""
-    if side % 2 == 0 or min(u.shape[1:]) < side:
+def ssim_moments(u: np.ndarray, side: int = 11, sigma: float = 1.5, mean=T.weighed) -> tuple[np.ndarray, np.ndarray]:
+    """Means of an image and of its square within gaussian windows; takes ``side`` // 2 pixels off, unless ``mean`` folds. An even side is an error."""
+    if side % 2 == 0 or (mean is T.weighed and min(u.shape[1:]) < side):
         raise ValueError("windows have an odd side that the images hold")
-    w, (c1, c2) = gaussian(sigma, side // 2), SSIM_C
-    mu, mv, uu, vv, uv = (T.weighed(x, w) for x in (u, v, u * u, v * v, u * v))
-    top = (2 * mu * mv + c1) * (2 * (uv - mu * mv) + c2)
-    return np.clip(1 - top / ((mu * mu + mv * mv + c1) * (uu - mu * mu + vv - mv * mv + c2)), 0, 1)
+    w = gaussian(sigma, side // 2)
+    return mean(u, w), mean(u * u, w)
+
+
+def ssim_dissimilarity(u: np.ndarray, v: np.ndarray, side: int = 11, sigma: float = 1.5, known: tuple[np.ndarray, np.ndarray] | None = None, mean=T.weighed) -> np.ndarray:
+    """1 - SSIM within gaussian windows, clipped to [0, 1]; takes ``side`` // 2 pixels off, unless ``mean`` folds. ``known`` are the moments of ``u``, if they are there already."""
+    (mu, uu), (mv, vv) = known or ssim_moments(u, side, sigma, mean), ssim_moments(v, side, sigma, mean)
+    (c1, c2), uv, mm, m2 = SSIM_C, mean(u * v, gaussian(sigma, side // 2)), mu * mv, mu * mu + mv * mv
+    top = (2 * mm + c1) * (2 * (uv - mm) + c2)
+    return np.clip(1 - top / ((m2 + c1) * (uu + vv - m2 + c2)), 0, 1)
 
 
-def ssim_by_channel(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return sum(ssim_dissimilarity(a[..., c] / 255, b[..., c] / 255) for c in range(3)) / 3
+def ssim_by_channel(a: np.ndarray, b: np.ndarray, mean=T.weighed) -> np.ndarray:
+    return sum(ssim_dissimilarity(a[..., c] / 255, b[..., c] / 255, mean=mean) for c in range(3)) / 3
 
 
 def lit(image: np.ndarray, share: float) -> np.ndarray:
     return np.clip(np.rint(image + 255 * share), 0, 255).astype(np.uint8)
 
 
-def blurred(image: np.ndarray, sigma: float) -> np.ndarray:
-    """Takes 4 sigma off."""
+def blurred(image: np.ndarray, sigma: float, mean=T.weighed) -> np.ndarray:
+    """Takes 4 sigma off, unless ``mean`` folds."""
     w = gaussian(sigma)
-    return np.stack([np.clip(np.rint(T.weighed(image[..., c].astype(np.float64), w)), 0, 255) for c in range(3)], axis=-1).astype(np.uint8)
+    channels = np.moveaxis(image, 3, 0).reshape(-1, *image.shape[1:3]).astype(np.float64)
+    found = np.clip(np.rint(mean(channels, w)), 0, 255).astype(np.uint8)
+    return np.moveaxis(found.reshape(3, -1, *found.shape[1:]), 0, 3)
 
 
 def moved(image: np.ndarray, by: int, margin: int) -> np.ndarray:
@@ -79,6 +92,8 @@ def moved_around(s: T.Stack, image: np.ndarray, by: int, margin: int) -> np.ndar
     """As ``moved``, with ``margin`` pixels around the tile, which beyond the scene reflect the moved image; ``image`` has by more around at least."""
     more = (image.shape[1] - s.label.shape[1]) // 2
     at = [inside(of(margin), side) - by - first[:, None] + more for of, side, first in ((s.rows, s.h, s.y0), (s.columns, s.w, s.x0))]
+    if s.entire:
+        at = [inside(a, side) for a, side in zip(at, (s.h, s.w), strict=True)]
     return image[np.arange(len(s.scene))[:, None, None], at[0][:, :, None], at[1][:, None, :]]
 
 
@@ -88,29 +103,46 @@ def inside(at: np.ndarray, side: np.ndarray) -> np.ndarray:
     return v - np.maximum(0, 2 * (v - side[:, None]) + 1)
 
 
+@functools.lru_cache(1 << 15)
+def _placed(seed: int, scene: int, axis: str) -> int:
+    return int(hashlib.md5(f"shadow:{seed}:{scene}:{axis}".encode()).hexdigest()[:8], 16)
+
+
 def shadow_box(h: np.ndarray, w: np.ndarray, share: float, scene: np.ndarray, seed: int | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(side, top, left) of a square of ``share`` of a scene: at 35 percent of what is left of its sides, or by ``seed`` anywhere."""
     side = np.clip(np.rint(np.sqrt(h * w * share)), 1, np.minimum(h, w)).astype(int)
     if seed is None:
         return side, np.rint((h - side) * 0.35).astype(int), np.rint((w - side) * 0.35).astype(int)
-    at = [[int(hashlib.md5(f"shadow:{seed}:{s}:{axis}".encode()).hexdigest()[:8], 16) % max(1, n) for s, n in zip(scene.tolist(), (of - side).tolist(), strict=True)] for axis, of in (("y", h), ("x", w))]
+    at = [[_placed(seed, s, axis) % max(1, n) for s, n in zip(scene.tolist(), (of - side).tolist(), strict=True)] for axis, of in (("y", h), ("x", w))]
     return side, np.array(at[0]), np.array(at[1])
 
 
-def shaded(s: T.Stack, image: np.ndarray, margin: int, share: float, seed: int | None, dimmed: float = DIMMED) -> np.ndarray:
-    """``image``, with ``margin`` pixels around the tile, darker within the shadow's box."""
+def in_shadow(s: T.Stack, margin: int, share: float, seed: int | None) -> np.ndarray:
+    """The pixels of each tile, with ``margin`` around, that are within the shadow's box."""
     side, top, left = shadow_box(s.h, s.w, share, s.scene, seed)
     hit = [(v >= first[:, None]) & (v < (first + side)[:, None]) for v, first in ((inside(s.rows(margin), s.h), top), (inside(s.columns(margin), s.w), left))]
-    return np.where((hit[0][:, :, None] & hit[1][:, None, :])[..., None], np.rint(image * dimmed), image).astype(np.uint8)
+    return hit[0][:, :, None] & hit[1][:, None, :]
+
+
+def darker(image: np.ndarray, dimmed: float = DIMMED) -> np.ndarray:
+    return np.rint(np.arange(256) * dimmed).astype(np.uint8)[image]
+
+
+def shaded(s: T.Stack, image: np.ndarray, margin: int, share: float, seed: int | None, dimmed: float = DIMMED) -> np.ndarray:
+    """``image``, with ``margin`` pixels around the tile, darker within the shadow's box."""
+    return np.where(in_shadow(s, margin, share, seed)[..., None], darker(image, dimmed), image)
 
 
 def signals(s: T.Stack) -> dict[str, np.ndarray]:
     """Difference of the images, discrepancies of their edges, light and sharpness, and the difference's uncertainty; needs 8 pixels around."""
     u, v = (T.luma(s.near(t, 8), LUMA) for t in (s.t1, s.t2))
     apart = lambda a, b: np.abs(a - b) / (a + b + 1e-4)
-    edges = [T.sobel(a[:, 7 : a.shape[1] - 7, 7 : a.shape[2] - 7]) for a in (u, v)]
-    light = [T.box_mean(a[:, 1:-1, 1:-1], 7) for a in (u, v)]
-    sharp = [T.box_mean(T.laplacian(a) ** 2, 7) for a in (u, v)]
+    box = (lambda a: T.folded(a, [1 / 15] * 8)) if s.entire else (lambda a: T.box_mean(a, 7))
+    cut = slice(s.out(1), -1 if s.out(1) else None)
+    wide = [s.bordered(a, 1) for a in (u, v)]
+    edges = [T.sobel(a[:, s.out(7) : a.shape[1] - s.out(7), s.out(7) : a.shape[2] - s.out(7)]) for a in wide]
+    light = [box(a[:, cut, cut]) for a in (u, v)]
+    sharp = [box(T.laplacian(a) ** 2) for a in wide]
     p = pixel_diff(s.near(s.t1), s.near(s.t2))
     return {"p": p, "s_reg": apart(*edges), "s_illum": apart(*light), "s_sharp": apart(*sharp), "margin": 4 * p * (1 - p)}
 
@@ -126,7 +158,10 @@ def gated(p: np.ndarray, gamma: float, margin: np.ndarray | float, q: np.ndarray
 
 def _counted(names: dict[str, list], counts: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
     """A row for each name and tp, fp, fn, tn of (predicted, label) over a whole stack."""
-    cm = [(int((p & y).sum()), int((p & ~y).sum()), int((~p & y).sum()), int((~p & ~y).sum())) for p, y in counts]
+    cm = []
+    for p, y in counts:
+        tp, over, set_ = (int(np.count_nonzero(a)) for a in (p & y, p, y))
+        cm.append((tp, over - tp, set_ - tp, y.size - over - set_ + tp))
     columns = {k: pa.array(v) for k, v in names.items()} | {k: pa.array([c[i] for c in cm], pa.int64()) for i, k in enumerate(("tp", "fp", "fn", "tn"))}
     return pa.RecordBatch.from_pydict(columns)
 
@@ -149,7 +184,7 @@ def gate_grid(tiles: DataFrame, size: int) -> DataFrame:
                 rows += [(gamma, tau, gt, int(above[i + 1]), int(above[0] - above[i + 1])) for i, tau in enumerate(TAUS)]
         return pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], ["gamma", "tau", "gt", "over", "under"])
 
-    found = T.over_tiles(tiles, 8, kernel, "gamma double, tau double, gt long, over long, under long", size)
+    found = T.over_tiles(tiles, 8, kernel, "gamma double, tau double, gt long, over long, under long", size, True)
     of = lambda column, gt: F.sum(F.when(F.col("gt") == gt, F.col(column)).otherwise(0))
     return with_metrics(found.groupBy("gamma", "tau").agg(of("over", 1).alias("tp"), of("over", 0).alias("fp"), of("under", 1).alias("fn"), of("under", 0).alias("tn")))
 
@@ -167,7 +202,7 @@ def gating_ablation(tiles: DataFrame, size: int, gamma: float, tau: float) -> Da
         hits["no_uncertainty"] = gated(p, GAMMA, 1.0, defect(found, *every)) >= tau
         return _counted({"cond": list(hits)}, [(h, s.label > 0) for h in hits.values()])
 
-    return summed(T.over_tiles(tiles, 8, kernel, "cond string, tp long, fp long, fn long, tn long", size), "cond")
+    return summed(T.over_tiles(tiles, 8, kernel, "cond string, tp long, fp long, fn long, tn long", size, True), "cond")
 
 
 def conditions(s: T.Stack, margin: int) -> dict[tuple[str, str], np.ndarray]:
@@ -176,7 +211,7 @@ def conditions(s: T.Stack, margin: int) -> dict[tuple[str, str], np.ndarray]:
     out = {("control", "none"): t2}
     for severity, light, sigma, by, share in zip(SEVERITIES, LIGHT, BLUR, SHIFT, SHADOW, strict=True):
         out["illumination", severity] = lit(t2, light)
-        out["blur", severity] = blurred(s.near(s.t2, margin + 4 * sigma), sigma)
+        out["blur", severity] = blurred(s.near(s.t2, margin + 4 * sigma), sigma, s.weighed)
         out["misregistration", severity] = moved_around(s, s.near(s.t2, margin + 5), by, margin)
         out["occlusion", severity] = shaded(s, t2, margin, share, SEED)
     return out
@@ -186,18 +221,21 @@ def robustness_matrix(tiles: DataFrame, size: int) -> DataFrame:
     """Every detector at its frozen threshold in every condition, with what it loses against the control; the tiles are read once."""
 
     def kernel(s: T.Stack) -> pa.RecordBatch:
-        first, y, names, hits = s.near(s.t1, 5), s.label > 0, [], []
+        m, y, names, hits = s.out(5), s.label > 0, [], []
+        first = s.near(s.t1, m)
         u = T.luma(first, SSIM_LUMA)
-        inner = (slice(None), slice(5, -5), slice(5, -5))
-        for (family, severity), second in conditions(s, 5).items():
-            scores = {"pixel_diff": pixel_diff(first[inner], second[inner]), "ssim": ssim_dissimilarity(u, T.luma(second, SSIM_LUMA)), "cva": cva(first[inner], second[inner])}
+        known = ssim_moments(u, mean=T.folded if s.entire else T.weighed)
+        inner = (slice(None), *[slice(m, -m if m else None)] * 2)
+        for (family, severity), second in conditions(s, m).items():
+            ssim = ssim_dissimilarity(u, T.luma(second, SSIM_LUMA), known=known, mean=T.folded if s.entire else T.weighed)
+            scores = {"pixel_diff": pixel_diff(first[inner], second[inner]), "ssim": ssim, "cva": cva(first[inner], second[inner])}
             for detector, score in scores.items():
                 names.append((family, severity, detector))
                 hits.append((score >= FROZEN[detector], y))
         return _counted(dict(zip(("family", "severity", "detector"), map(list, zip(*names, strict=True)), strict=True)), hits)
 
     schema = "family string, severity string, detector string, tp long, fp long, fn long, tn long"
-    return degradation(summed(T.over_tiles(tiles, 21, kernel, schema, size), "detector", "family", "severity"))
+    return degradation(summed(T.over_tiles(tiles, 21, kernel, schema, size, True), "detector", "family", "severity"))
 
 
 def degradation(rows: DataFrame) -> DataFrame:
@@ -250,10 +288,12 @@ def displaced(tiles: DataFrame, radius: int, size: int) -> DataFrame:
         dy, dx = s.scene % (2 * radius + 1) - radius, s.scene % radius
         rows, cols = (radius - d[:, None] + np.arange(n) for d, n in ((dy, t1.shape[1]), (dx, t1.shape[2])))
         t2 = s.near(s.t1, radius)[np.arange(len(dy))[:, None, None], rows[:, :, None], cols[:, None, :]]
-        data = [[np.ascontiguousarray(x).tobytes() for x in a] for a in (t1, t2, s.label)]
-        n = len(s.scene)
-        columns = [s.scene.tolist(), s.ty.tolist(), s.tx.tolist(), [size] * n, s.h.tolist(), s.w.tolist(), *data]
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, T.TILE_KINDS, strict=True)], [*T.KEY, *(x for x, _ in T.IMAGES)])
+        columns = []
+        for y in range(0, t1.shape[1], size):  # a scene as a whole has several tiles
+            for x in range(0, t1.shape[2], size):
+                data = [[c.tobytes() for c in a[:, y : y + size, x : x + size]] for a in (t1, t2, s.label)]
+                columns.append((s.scene, s.ty + y // size, s.tx + x // size, np.full(len(s.scene), size), s.h, s.w, *data))
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c) if k != pa.binary() else [x for a in c for x in a], k) for c, k in zip(zip(*columns, strict=True), T.TILE_KINDS, strict=True)], [*T.KEY, *(x for x, _ in T.IMAGES)])
 
     return T.over_tiles(tiles, radius, kernel, T.TILE_SCHEMA, size)
 
@@ -262,11 +302,11 @@ def _tiles(spark: SparkSession, d: str) -> DataFrame:
     return fixtures.tiles(spark, d, SIZE)
 
 
-def _one(name: str, margin: int, kernel) -> DataFrame:
+def _one(name: str, margin: int, kernel, entire: bool = True) -> DataFrame:
     """A query: mean and largest value of a map over each scene."""
 
     def run(spark: SparkSession, d: str) -> DataFrame:
-        found = T.means(_tiles(spark, d), margin, lambda s: {"v": kernel(s)}, ["v"], SIZE)
+        found = T.means(_tiles(spark, d), margin, lambda s: {"v": kernel(s)}, ["v"], SIZE, entire)
         return found.select("scene_id", F.round(F.col("v_sum") / F.col("n"), 6).alias("mean"), F.round("v_most", 6).alias("most"))
 
     run.__name__ = name
@@ -288,7 +328,7 @@ def _light_along_rows(s: T.Stack) -> np.ndarray:
 
 
 def _ssim(s: T.Stack) -> np.ndarray:
-    return ssim_dissimilarity(T.luma(s.t1, SSIM_LUMA), T.luma(s.t2, SSIM_LUMA))
+    return ssim_dissimilarity(T.luma(s.t1, SSIM_LUMA), T.luma(s.t2, SSIM_LUMA), mean=T.folded if s.entire else T.weighed)
 
 
 def _several(found: DataFrame, key: str, names: dict[str, object], kind: str) -> DataFrame:
@@ -303,9 +343,9 @@ def j8_blur(spark: SparkSession, d: str) -> DataFrame:
 
     def maps(s: T.Stack) -> dict[str, np.ndarray]:
         v = T.luma(s.t2, LUMA)
-        return {n: np.abs(s.near(v) - T.weighed(s.near(v, 4 * sigma), gaussian(sigma))) for n, sigma in names.items()}
+        return {n: np.abs(s.near(v) - s.weighed(s.near(v, 4 * sigma), gaussian(sigma))) for n, sigma in names.items()}
 
-    return _several(T.means(_tiles(spark, d), 16, maps, list(names), SIZE), "sigma", names, "int")
+    return _several(T.means(_tiles(spark, d), 16, maps, list(names), SIZE, True), "sigma", names, "int")
 
 
 def j9_shift(spark: SparkSession, d: str) -> DataFrame:
@@ -325,14 +365,15 @@ def j10_shadow(spark: SparkSession, d: str) -> DataFrame:
     names = {f"{place}{i}": f"shadow_{place}_{share}" for i, share in enumerate(SHADOW) for place in ("fixed", "seeded")}
 
     def maps(s: T.Stack) -> dict[str, np.ndarray]:
-        return {n: pixel_diff(s.t1, shaded(s, s.t2, 0, SHADOW[int(n[-1])], None if n.startswith("fixed") else SEED)) for n in names}
+        dark, light = pixel_diff(s.t1, darker(s.t2)), pixel_diff(s.t1, s.t2)
+        return {n: np.where(in_shadow(s, 0, SHADOW[int(n[-1])], None if n.startswith("fixed") else SEED), dark, light) for n in names}
 
     return _several(T.means(_tiles(spark, d), 0, maps, list(names), SIZE), "cond", names, "string").drop("most")
 
 
 def j4_ssim_channels(spark: SparkSession, d: str) -> DataFrame:
     """Structural dissimilarity of each channel, averaged."""
-    return _one("j4", 5, lambda s: ssim_by_channel(s.t1, s.t2))(spark, d)
+    return _one("j4", 5, lambda s: ssim_by_channel(s.t1, s.t2, T.folded if s.entire else T.weighed))(spark, d)
 
 
 def j18_gated_scores(spark: SparkSession, d: str) -> DataFrame:
@@ -344,7 +385,7 @@ def j18_gated_scores(spark: SparkSession, d: str) -> DataFrame:
         q = defect(found, *WEIGHTS)
         return {n: gated(found["p"], gamma, found["margin"] if use else 1.0, q) for n, (gamma, use) in names.items()}
 
-    found = T.means(_tiles(spark, d), 8, maps, list(names), SIZE)
+    found = T.means(_tiles(spark, d), 8, maps, list(names), SIZE, True)
     rows = [F.struct(F.lit(gamma).alias("gamma"), F.lit(use).alias("with_margin"), F.round(F.col(f"{n}_sum") / F.col("n"), 6).alias("mean"), F.round(f"{n}_most", 6).alias("most")) for n, (gamma, use) in names.items()]
     return found.select("scene_id", F.explode(F.array(*rows)).alias("r")).select("scene_id", "r.*")
 
@@ -384,7 +425,7 @@ def j19_evidence(spark: SparkSession, d: str) -> DataFrame:
 
 def d25_gate_diagnostics(spark: SparkSession, d: str) -> DataFrame:
     names = [*WEIGHTS, "margin"]
-    found = T.means(_tiles(spark, d), 8, signals, names, SIZE)
+    found = T.means(_tiles(spark, d), 8, signals, names, SIZE, True)
     return found.select("scene_id", *[F.round(F.col(f"{n}_sum") / F.col("n"), 6).alias(n) for n in names])
 
 
@@ -447,7 +488,7 @@ MAPS = {
     "j4_ssim_dissimilarity": (5, _ssim),
     "j13_registration_discrepancy": (8, lambda s: signals(s)["s_reg"]),
     "j14_illumination_box": (8, lambda s: signals(s)["s_illum"]),
-    "j14_illumination_discrepancy": (7, _light_along_rows),
+    "j14_illumination_discrepancy": (7, _light_along_rows, False),
     "j15_sharpness_discrepancy": (8, lambda s: signals(s)["s_sharp"]),
     "j17_defect_index": (8, lambda s: defect(signals(s), *WEIGHTS)),
 }

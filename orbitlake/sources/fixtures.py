@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -55,20 +55,26 @@ def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
 HEIGHT = "CASE s % 32 WHEN 0 THEN 61 WHEN 16 THEN 47 ELSE 17 END"
 WIDTH = "CASE s % 16 WHEN 0 THEN 61 ELSE 17 END"
 SCALE = "CASE s % 16 WHEN 0 THEN 4 ELSE 1 END"
-def _drawn(scene_id: pd.Series, ty: pd.Series, tx: pd.Series, size: pd.Series, h: pd.Series, w: pd.Series, k: pd.Series) -> pd.DataFrame:
+
+
+def _drawn(scene_id: pa.Array, ty: pa.Array, tx: pa.Array, size: pa.Array, h: pa.Array, w: pa.Array, k: pa.Array) -> pa.Array:
     """Bytes of the tiles of scenes, row by row: red, green and blue of both images, and whether a pixel has changed."""
-    keys = pd.DataFrame({"s": scene_id, "ty": ty, "tx": tx, "n": size, "h": h, "w": w, "k": k}).reset_index(drop=True)
-    out = {name: np.empty(len(keys), object) for name in ("t1", "t2", "label")}
-    for (j, i, n, high, wide, by), rows in keys.groupby(["ty", "tx", "n", "h", "w", "k"]):
-        s = rows["s"].to_numpy()[:, None, None]
+    scenes, made, rows = scene_id.to_numpy(), [[], [], []], [np.zeros(0, np.int64)]
+    keys, which = np.unique(np.stack([c.to_numpy() for c in (ty, tx, size, h, w, k)]), axis=1, return_inverse=True)
+    for at, (j, i, n, high, wide, by) in enumerate(keys.T.tolist()):
+        like = np.flatnonzero(which.ravel() == at)
+        s = scenes[like][:, None, None]
         y, x = np.arange(j * n, min(high, (j + 1) * n))[:, None], np.arange(i * n, min(wide, (i + 1) * n))
-        t1 = np.stack([(31 * s + 13 * x + 17 * y) % 256, (17 * s + 29 * x + 7 * y) % 256, (11 * s + 5 * x + 23 * y) % 256], axis=-1)
-        hit = (x >= by * (s % 10)) & (x < by * (s % 10 + 3 + s % 4)) & (y >= by * (s * 7 % 10)) & (y < by * (s * 7 % 10 + 3 + s // 3 % 4))
-        t2 = np.where(hit[..., None], 255 - t1, np.minimum(255, t1 + ((s + x + y) % 5)[..., None]))
-        for name, image in (("t1", t1), ("t2", t2), ("label", hit)):
-            for row, a in zip(rows.index, image.astype(np.uint8), strict=True):
-                out[name][row] = a.tobytes()
-    return pd.DataFrame(out)
+        t1 = np.stack([(a * s % 256).astype(np.uint8) + ((b * x + c * y) % 256).astype(np.uint8) for a, b, c in ((31, 13, 17), (17, 29, 7), (11, 5, 23))], axis=-1)  # bytes wrap
+        hit = (x >= by * (s % 10)) & (x < by * (s % 10 + 3 + s % 4)) & ((y >= by * (s * 7 % 10)) & (y < by * (s * 7 % 10 + 3 + s // 3 % 4)))
+        more = (((s % 5).astype(np.uint8) + ((x + y) % 5).astype(np.uint8)) % 5)[..., None]
+        t2 = np.where(hit[..., None], 255 - t1, np.minimum(t1, 255 - more) + more)
+        for to, image in zip(made, (t1, t2, hit), strict=True):
+            data, ends = np.ascontiguousarray(image, np.uint8), np.arange(len(like) + 1, dtype=np.int32) * image[0].size
+            to.append(pa.Array.from_buffers(pa.binary(), len(like), [None, pa.py_buffer(ends), pa.py_buffer(data)]))
+        rows.append(like)
+    order = pa.array(np.argsort(np.concatenate(rows)))
+    return pa.StructArray.from_arrays([pa.concat_arrays([pa.array([], pa.binary()), *c]).take(order) for c in made], ["t1", "t2", "label"])
 
 
 def tiles(spark: SparkSession, sf_dir: str, size: int = 32) -> DataFrame:
@@ -76,7 +82,7 @@ def tiles(spark: SparkSession, sf_dir: str, size: int = 32) -> DataFrame:
     parts = table(spark, sf_dir, "part").selectExpr("p_partkey AS s")
     sides = by_scene(parts.selectExpr("s AS scene_id", f"cast({HEIGHT} AS int) AS h", f"cast({WIDTH} AS int) AS w", f"cast({SCALE} AS int) AS k"))
     grid = sides.withColumn("ty", F.explode(F.expr(f"sequence(0, cast((h - 1) div {size} AS int))"))).withColumn("tx", F.explode(F.expr(f"sequence(0, cast((w - 1) div {size} AS int))")))
-    draw = F.pandas_udf(_drawn, "struct<t1: binary, t2: binary, label: binary>")  # a column, so that filters on sides come first
+    draw = F.arrow_udf(_drawn, "struct<t1: binary, t2: binary, label: binary>")  # a column, so that filters on sides come first
     drawn = grid.withColumn("size", F.lit(size)).withColumn("drawn", draw("scene_id", "ty", "tx", "size", "h", "w", "k"))
     return drawn.select("scene_id", "ty", "tx", "size", "h", "w", "drawn.t1", "drawn.t2", "drawn.label")
 

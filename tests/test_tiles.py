@@ -1,6 +1,7 @@
 """Kernels over tiles of any size against the same on whole scenes, and what tiles must not be."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.errors import PythonException
 
@@ -167,6 +168,44 @@ def test_forms_change_into_each_other(spark):
         T.pixels_to_tiles(pixels.selectExpr("scene_id", "h", "w", "y", "x", "r1 + 1 AS r1", "g1", "b1", "r2", "g2", "b2", "gt"), 16).collect()
 
 
+@pytest.mark.parametrize("size", [5, 16])
+def test_scenes_as_a_whole_and_by_tiles(spark, monkeypatch, size):
+    """Small scenes are put together, larger ones are not; results are the same."""
+    scenes = some(6, 4)
+    frame = cut(spark, scenes, size)
+    jobs = {
+        "matrix": lambda: kernels.robustness_matrix(frame, size),
+        "grid": lambda: kernels.gate_grid(frame, size),
+        "ablation": lambda: kernels.gating_ablation(frame, size, 0.2, 0.4),
+        "shift": lambda: kernels.estimate_shift(kernels.displaced(frame, 2, size), 2, size),
+        "patches": lambda: T.extract_patches(frame, 9, 5, True, 7),
+        "again": lambda: T.reconstruct(T.extract_patches(frame, 4, 3, False), 3, False, 7),
+    }
+    entire = {name: rows(job()) for name, job in jobs.items()}
+    monkeypatch.setattr(T, "WHOLE", 0)
+    for name, job in jobs.items():
+        assert rows(job()) == entire[name], name
+
+
+def test_no_border_no_shuffle(spark):
+    kernel = lambda s: pa.RecordBatch.from_pydict({"scene_id": pa.array(s.scene), "n": pa.array(np.full(len(s.scene), s.label[0].size))})
+    frame = cut(spark, some(), 16)
+    found = T.over_tiles(frame, 0, kernel, "scene_id long, n long", 16)
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+    assert sum(r["n"] for r in found.collect()) == sum(a[2].size for a in some().values())
+
+
+def test_a_tile_there_twice_is_an_error(spark):
+    frame = cut(spark, some(), 16)
+    with pytest.raises(PythonException, match="tile 1, 0"):
+        kernels.gate_grid(frame.unionByName(frame.where("scene_id = 99 AND ty = 1")), 16).collect()
+
+
+def test_folded_weights():
+    a, w = np.random.default_rng(8).random((3, 5, 17)), kernels.gaussian(4)
+    assert np.allclose(T.folded(a, w), T.weighed(np.pad(a, ((0, 0), (16, 16), (16, 16)), mode="symmetric"), w))  # farther than a side
+
+
 def test_tiles_have_to_be_whole(spark):
     frame = cut(spark, some(), 16)
     mean = lambda f: T.means(f, 3, lambda s: {"v": kernels.pixel_diff(s.near(s.t1), s.near(s.t2))}, ["v"], 16)
