@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from orbitlake.functions.lineage import stored
 from orbitlake.operators import tile_sql
 from orbitlake.operators import tiles as T
 from orbitlake.operators.evaluation import with_metrics
@@ -235,7 +236,8 @@ def robustness_matrix(tiles: DataFrame, size: int) -> DataFrame:
         return _counted(dict(zip(("family", "severity", "detector"), map(list, zip(*names, strict=True)), strict=True)), hits)
 
     schema = "family string, severity string, detector string, tp long, fp long, fn long, tn long"
-    return degradation(summed(T.over_tiles(tiles, 21, kernel, schema, size, True), "detector", "family", "severity"))
+    rows = summed(T.over_tiles(tiles, 21, kernel, schema, size, True), "detector", "family", "severity")
+    return degradation(stored(rows))  # a row a condition; read twice, made once
 
 
 def degradation(rows: DataFrame) -> DataFrame:

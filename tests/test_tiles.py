@@ -62,6 +62,11 @@ def test_matrix_does_not_depend_on_tiles(spark):
     assert rows(kernels.robustness_matrix(cut(spark, scenes, 16), 16)) == rows(kernels.robustness_matrix(cut(spark, scenes, 64), 64))
 
 
+def test_matrix_is_made_once(spark):
+    found = kernels.robustness_matrix(cut(spark, some(4), 16), 16)
+    assert "MapInArrow" not in found._jdf.queryExecution().executedPlan().toString()  # the rows are there, for themselves and for the control
+
+
 def test_moved_images_reflect_beyond_the_scene(spark):
     images = some(1, 3)[99]
     s = whole(images, 10)
