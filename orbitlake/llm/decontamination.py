@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orbitlake.llm.common import cut, fixed, if_small, table
+from orbitlake.llm.common import cut, fixed, if_small, shuffles_go, table
 
 WINDOW, LITERALS, ENOUGH = 8, 5, 13
 #: Up to so many distinct first pairs of tokens in the benchmark, only windows that begin with one of
@@ -165,6 +165,7 @@ def _consistent_runs(at: Column, clashes: Column) -> Column:
     return F.transform(begins, lambda b: F.filter(at, lambda j: (j >= b) & ~F.exists(clashes, lambda c: (c["p"] >= b) & (c["q"] < j + WINDOW))))
 
 
+@shuffles_go
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, item_id, start, covered, item_tokens, refilled) for every contaminated document and item.
 
@@ -208,6 +209,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     return found.select("doc_id", "item_id", F.col("best.start").alias("start"), "covered", F.col("best.item_tokens").alias("item_tokens"), F.col("best.refilled").alias("refilled"))
 
 
+@shuffles_go
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``docs`` without the rows whose doc_id is contaminated by any item."""
     bad = cut(contaminated(docs, benchmark).select(F.col("doc_id").alias("bad_id")).distinct())

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from orbitlake.llm.common import WordHashes, arrow_in_small_batches, cut, if_small, mix64, table
+from orbitlake.llm.common import WordHashes, arrow_in_small_batches, cut, if_small, mix64, shuffles_go, table
 from orbitlake.operators.graph import connected_components
 
 HALF, SKETCHES = 3, 12
@@ -176,6 +176,7 @@ def _links(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame
     return pairs.join(right, "b").join(left, "a").select("a", "b", "x", "y").mapInArrow(_confirm(k, percent), "a long, b long")
 
 
+@shuffles_go
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row of ``docs`` (doc_id, text).
 
@@ -228,6 +229,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     return rows.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
 
 
+@shuffles_go
 def keep_one(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """One row of ``docs`` (doc_id, text and any others) for each group: that of the smallest doc_id.
 
