@@ -3,10 +3,14 @@
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
+import numpy as np
+
 from orbitlake.llm import lm_scoring
+from tests.llm.test_sharding import shuffled
 
 
 def words(t):
@@ -64,3 +68,30 @@ def test_probabilities_of_a_code_sum_to_one(spark):
     book = lm_scoring.learn(docs)["book"]
     assert abs(sum(0.5 ** float(n) for n in book["length"]) - 1) < 1e-12
     assert len({(int(n), int(c)) for n, c in zip(book["length"], book["code"])}) == len(book["n"])
+
+
+def test_a_byte_in_its_context_is_spelled_once(spark):
+    docs = spark.createDataFrame([(i, t, True) for i, t in enumerate(corpus())], "doc_id long, text string, train boolean")
+    mix = lm_scoring.learn(docs)["letters"]
+    data = np.frombuffer(b"w1 w12 w12 banana nana w1 bananas ", np.uint8)
+    first = np.append(0, np.flatnonzero(data[:-1] == lm_scoring.SPACE) + 1)
+    plain = lm_scoring._bits(mix, lm_scoring.Letters(data, first), lm_scoring._letter_gate)
+    speller, asked = lm_scoring.Speller(mix), []
+    bits = lm_scoring._bits
+    lm_scoring._bits = lambda m, decisions, *rest: asked.append(len(decisions.order)) or bits(m, decisions, *rest)
+    try:
+        assert np.allclose(speller.of_bytes(data, first), plain, rtol=1e-6) and np.allclose(speller.of_bytes(data, first), plain, rtol=1e-6)
+    finally:
+        lm_scoring._bits = bits
+    assert len(asked) == 1 and asked[0] < len(data)
+
+
+def test_learning_and_scoring_leave_no_shuffle_files(spark):
+    docs, before = spark.createDataFrame([(i, t, True) for i, t in enumerate(corpus())], "doc_id long, text string, train boolean"), shuffled()
+    out = lm_scoring.score(docs, lm_scoring.learn(docs))
+    for _ in range(20):  # files go soon, not at once
+        if not shuffled() - before:
+            break
+        time.sleep(0.5)
+    assert not shuffled() - before
+    assert out.count() == len(corpus())
