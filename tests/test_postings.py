@@ -116,3 +116,58 @@ def test_best_captions_of_all_images(spark):
     found = Counter(r["query"] for r in rows)
     assert {(r["query"], r["image_id"]) for r in rows} >= want and len({(r["query"], r["image_id"]) for r in rows}) == len(rows)
     assert max(found.values()) > 10
+
+
+def test_many_queries_score_as_single_ones():
+    """Scores of a product and of added postings together are those of each query's own postings, for owners as well."""
+    rng = np.random.default_rng(7)
+    table, held, weights = lists(rng, 900, 40)
+    rare = pa.table({"term": [f"r{i}" for i in range(200)], "docs": pa.array([[int(x)] for x in rng.integers(0, 900, 200)]), "weights": pa.array([[float(x)] for x in rng.random(200)])})
+    table = pa.concat_tables([table, rare])
+    block = postings.Postings(table.append_column("owners", pa.array([[d % 70 for d in x] for x in table["docs"].to_pylist()])))
+    names = [f"q{i}" for i in range(300)]
+    each = [sorted(set(rng.choice(table["term"].to_pylist(), rng.integers(1, 30)))) for _ in names]
+    number = np.repeat(np.arange(len(names)), [len(t) for t in each])
+    flat = [t for ts in each for t in ts]
+    rows = pa.table({"query": pa.DictionaryArray.from_arrays(pa.array(number, pa.int32()), pa.array(names)), "term": pa.array(flat).dictionary_encode(), "qtf": pa.array(rng.integers(1, 4, len(flat)))})
+    asked = postings.Asked(rows, block.terms)
+    whole, at = np.zeros((len(names), 900)), {t: i for i, t in enumerate(table["term"].to_pylist())}
+    docs, held = table["docs"].to_pylist(), table["weights"].to_pylist()
+    for q, t, f in zip(number, flat, rows["qtf"].to_pylist(), strict=True):
+        whole[q, docs[at[t]]] += f * np.array(held[at[t]])
+    most = np.stack([whole[:, np.arange(900) % 70 == o].max(axis=1) for o in range(70)], axis=1)
+    found = np.concatenate([block.by_owner(s).copy() for _, s in block.every(asked)])
+    assert np.allclose(found[:, block.owners.to_numpy().argsort()], most) and len(block.owners) == 70
+    for i, t, f in list(asked.each())[:20]:
+        one = block.best(t, f, 5)
+        query, owner, score = block.best_of_each(asked, 5)
+        mine = [x[query == i] for x in (owner, score)]
+        by = np.lexsort((mine[0], -mine[1]))[:5]
+        assert mine[0][by].tolist() == one[0].tolist() and np.allclose(mine[1][by], one[1])
+
+
+@pytest.mark.parametrize("search", ["search", "search_gallery"])
+def test_a_block_is_kept_once_whatever_the_number_of_others(spark, monkeypatch, search):
+    """No row of terms or lists is shuffled again for each block that it meets."""
+    monkeypatch.setattr(text_search, "DOCS_A_BLOCK", 5)
+    docs = spark.createDataFrame([(i, f"w{i} w{i % 3} common") for i in range(20)], "doc long, text string")
+    queries = spark.createDataFrame([(f"q{i}", f"w{i} common") for i in range(8)], "query string, text string")
+    plan = getattr(text_search, search)(queries, docs)._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in plan and "FlatMapCoGroups" not in plan
+
+
+def test_all_images_are_ranked_without_a_shuffle_of_pairs(spark, monkeypatch):
+    """The rows of a search for all that share a term, and their order, by brute force; they come from the task that scores them."""
+    monkeypatch.setattr(text_search, "DOCS_A_BLOCK", 40)
+    docs = corpus(3)
+    asked = {"a": "w0 w1 w1", "b": "w59", "c": "nothing known", "d": "", "e": docs[30]}
+    frames = spark.createDataFrame([*asked.items()], "query string, text string"), spark.createDataFrame([*docs.items()], "doc long, text string")
+    out = text_search.search(*frames, 10, every=True)
+    assert "Window" not in out._jdf.queryExecution().executedPlan().toString()
+    found = defaultdict(list)
+    for r in out.orderBy("query", "rank").collect():
+        found[r["query"]].append((r["rank"], r["doc"], round(r["score"], 6)))
+    for q, text in asked.items():
+        best = sorted((-s, d) for d, s in scores(text, docs).items())
+        best = best[: max(10, sum(s < 0 for s, _ in best))]
+        assert found[q] == [(i + 1, d, round(-s, 6)) for i, (s, d) in enumerate(best)]
