@@ -2,11 +2,14 @@
 
 import glob
 import os
+import random
 import tempfile
 import time
 import zlib
 from collections import Counter, defaultdict
 
+from pyspark.sql import functions as F
+
 from orbitlake.functions.lineage import SHUFFLES_GO
 from orbitlake.llm import sharding
 from orbitlake.llm.common import cut
@@ -94,3 +97,32 @@ def test_rounds_leave_no_shuffle_files(spark):
         time.sleep(0.5)
     assert not shuffled() - before
     assert out.count() == out.count() == len(texts())
+
+
+def copies_with_other_ends():
+    """Texts that differ in their first line, their beginning and their last line, and share what lies between, but for a word."""
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randrange(3, 9)))
+    for i in range(40):
+        body = [word() for _ in range(300)]
+        for j in range(3):
+            body[100 * j] = word()
+            yield i, f"{word()} {word()} is the heading of copy {j} of {i}, {word()}\n{' '.join(body)}\n{word()} ends copy {j} of text {i}"
+
+
+def test_texts_that_share_their_middle_are_linked(spark):
+    texts = list(copies_with_other_ends())
+    docs = spark.createDataFrame([(k, t) for k, (_, t) in enumerate(texts)], "doc_id long, text string")
+    groups = defaultdict(list)
+    for r in sharding.sized(docs).collect():
+        groups[texts[r["doc_id"]][0]].append(set(r["pieces"]))
+    assert all(a & b for g in groups.values() for a in g for b in g)
+    _, units = sharding.units_of(cut(sharding.sized(docs)), [30] * 24)
+    first, last = (sharding.propagate(units, [30] * 24, rounds) for rounds in (0, sharding.ROUNDS))
+    assert sharding.links_cut(last) < 0.2 * sharding.links_cut(first)
+
+
+def test_passages_hold_the_whole_text(spark):
+    text = "One line  with two spaces\n\n" + " ".join(f"word{i}" for i in range(500)) + "\nlast"
+    found = spark.createDataFrame([(text,)], "text string").select(sharding.passages(F.col("text")).alias("p")).first()["p"]
+    assert " ".join(found).split() == text.split() and len(found) > 10
